@@ -215,6 +215,7 @@ MAC_HOME = r"/Users/[^/\s]+(?:/[^\s]*)?"
 PUBLIC_EXTENSIONS = (
     ".json", ".html", ".md", ".txt", ".css", ".js", ".vtt", ".srt", ".png", ".jpg", ".jpeg", ".webp", ".mp4",
 )
+TEXT_EXTENSIONS = (".json", ".html", ".md", ".txt", ".css", ".js", ".vtt", ".srt")
 RAW_PRIVATE_NAMES = ("you.md", "you-writer.md", "you-designer.md", "profile.json", "receipts.json")
 
 # Accounts.

@@ -23,17 +23,21 @@ def signal_hits(fingerprint: Column, word_boundary: bool = False, markers=None)
     return {family: _marked(padded, words, word_boundary) for family, words in (markers or K.SALIENCE_MARKERS).items()}
 
 
-def signal_families(fingerprint: Column, recurrence: Column, word_boundary: bool = False) -> Column:
-    hits = signal_hits(fingerprint, word_boundary)
-    hits["recurrence"] = recurrence > 1
-    found = F.sort_array(_labels(hits))
-    return F.when(F.size(found) == 0, F.array(F.lit("exploration"))).otherwise(found)
+def base_signals(fingerprint: Column, word_boundary: bool = False) -> Column:
+    """Signal families the words alone show."""
+    return _labels(signal_hits(fingerprint, word_boundary))
 
 
-def salience(fingerprint: Column, recurrence: Column, word_boundary: bool = False) -> Column:
+def signal_families(signals: Column, recurrence: Column) -> Column:
+    """Sorted families, with recurrence across sessions; ``exploration`` when there is none."""
+    found = F.when(recurrence > 1, F.array_append(signals, F.lit("recurrence"))).otherwise(signals)
+    return F.when(F.size(found) == 0, F.array(F.lit("exploration"))).otherwise(F.sort_array(found))
+
+
+def salience(signals: Column, recurrence: Column) -> Column:
     score = F.lit(1)
-    for family, hit in signal_hits(fingerprint, word_boundary).items():
-        score = score + F.when(hit, K.SALIENCE_WEIGHTS[family]).otherwise(0)
+    for family, weight in K.SALIENCE_WEIGHTS.items():
+        score = score + F.when(F.array_contains(signals, family), weight).otherwise(0)
     bonus = F.least(F.lit(K.RECURRENCE_CAP), (recurrence - 1) * K.RECURRENCE_STEP)
     return (score + F.when(recurrence > 1, bonus).otherwise(0)).cast("int")
 
