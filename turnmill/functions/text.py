@@ -7,6 +7,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from turnmill import constants as K
 
@@ -114,8 +115,8 @@ def _casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else v.casefold())
 
 
-_nfkc_udf = F.pandas_udf(_fold, "string")
-_casefold_udf = F.pandas_udf(_casefold, "string")
+_nfkc_udf = F.pandas_udf(_fold, StringType())
+_casefold_udf = F.pandas_udf(_casefold, StringType())
 
 
 def _folded(text: Column, udf) -> Column:

@@ -141,17 +141,24 @@ def retain_newest(rows: DataFrame, group: list[str], ident: str, keep: int = K.R
     return top_rows(rows, group, [F.desc(ident)], keep)
 
 
-def advance_heads(uploads: DataFrame, max_steps: int = K.MAX_GENERATIONS) -> tuple[DataFrame, DataFrame]:
+def advance_heads(uploads: DataFrame, heads: DataFrame | None = None,
+                  max_steps: int = K.MAX_GENERATIONS) -> tuple[DataFrame, DataFrame]:
     """Replay uploads against each account's head: an upload moves it only if its parent is the head.
 
-    ``uploads``: account_id, generation_id, parent_generation_id, arrival. The first root becomes the head. From any
-    head the next one is its first child to arrive after it, so each generation points at one successor and the moves
-    are the path from the root. Returns all generations with ``head_advanced``, and the heads.
+    ``uploads``: account_id, generation_id, parent_generation_id, arrival. ``heads``: where accounts stand before
+    these uploads. Without a head the first root becomes it. From any head the next one is its first child to arrive
+    after it, so each generation points at one successor and the moves are the path from the start. Returns the
+    uploads, without repeats, with ``head_advanced``, and the heads.
     """
     key = ["account_id", "generation_id"]
     stored = first_rows(uploads, key, ["arrival"])
-    roots = first_rows(stored.filter("parent_generation_id is null"), ["account_id"], ["arrival"])
-    parents = stored.select("account_id", F.col("generation_id").alias("parent_generation_id"), F.col("arrival").alias("since"))
+    roots = first_rows(stored.filter("parent_generation_id is null"), ["account_id"], ["arrival"]).select(*key)
+    parents = stored.select(*key, F.col("arrival").alias("since"))
+    if heads is not None:
+        roots = roots.join(heads, "account_id", "left_anti").unionByName(heads.select(*key))
+        parents = parents.join(heads.select(*key), key, "left_anti").unionByName(heads.select(
+            *key, F.lit(-1).cast("bigint").alias("since")))
+    parents = parents.withColumnRenamed("generation_id", "parent_generation_id")
     children = salted_lookup(
         stored.filter("parent_generation_id is not null"), parents, ["account_id", "parent_generation_id"], "inner")
     following = children.filter("arrival > since").groupBy("account_id", "parent_generation_id").agg(
@@ -160,6 +167,6 @@ def advance_heads(uploads: DataFrame, max_steps: int = K.MAX_GENERATIONS) -> tup
     starts = roots.select(F.col("account_id").alias("owner_id"), F.col("generation_id").alias("node"))
     path = walk(pointers, starts, max_steps).select(
         F.col("owner_id").alias("account_id"), F.col("node").alias("generation_id"), "steps")
-    heads = path.groupBy("account_id").agg(F.max_by("generation_id", "steps").alias("generation_id"))
+    tips = path.groupBy("account_id").agg(F.max_by("generation_id", "steps").alias("generation_id"))
     moved = stored.join(path.select(*key, F.lit(True).alias("head_advanced")), key, "left").fillna(False, ["head_advanced"])
-    return moved, heads
+    return moved, tips

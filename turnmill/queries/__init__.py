@@ -1 +1,6 @@
 """The analyses bound to the driver tables, each with its SQL where SQL can express it."""
+
+from turnmill.queries import corpus  # noqa: F401
+from turnmill.queries.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

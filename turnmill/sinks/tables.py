@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.functions.identity import canonical_json, sha256
 from turnmill.operators.digest import set_digest
+from turnmill.session import materialize
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -34,7 +35,7 @@ def append_once(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
     fresh = both.filter("stored_sha256 is null").drop("stored_sha256").join(twice, key, "left_anti")
     clash = both.filter("stored_sha256 != content_sha256").drop("stored_sha256").unionByName(
         both.filter("stored_sha256 is null").drop("stored_sha256").join(twice, key, "left_semi"))
-    clash = rows.sparkSession.createDataFrame(clash.limit(1000).collect(), clash.schema)
+    clash = materialize(clash, "clash")
     fresh.write.mode("append").parquet(path)
     return clash
 
@@ -63,3 +64,24 @@ def current(spark: SparkSession, root: str) -> DataFrame | None:
     except AnalysisException:
         return None
     return spark.read.parquet(f"{root}/version={json.loads(pointer[0])['version']}")
+
+
+def write_delta(df: DataFrame, root: str, batch_id: int) -> None:
+    """Add one micro-batch to a log of changes; writing a batch again replaces it."""
+    df.write.mode("overwrite").parquet(f"{root}/delta/batch={batch_id}")
+
+
+def read_deltas(spark: SparkSession, root: str) -> DataFrame | None:
+    """The compacted base, if any, and every later micro-batch, with a ``batch`` column."""
+    base = current(spark, f"{root}/base")
+    deltas = read_table(spark, f"{root}/delta")
+    if base is None or deltas is None:
+        return base if deltas is None else deltas
+    upto = base.agg(F.max("batch")).first()[0]
+    return base.unionByName(deltas.filter(F.col("batch") > upto).select(*base.columns))
+
+
+def compact(df: DataFrame, root: str) -> str:
+    """Publish ``df`` (with its ``batch`` column at the newest batch it covers) as the new base."""
+    upto = df.agg(F.max("batch")).first()[0]
+    return publish(df.withColumn("batch", F.lit(upto)), f"{root}/base")

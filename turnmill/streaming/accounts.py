@@ -1,36 +1,55 @@
-"""Current account state from a stream of events that arrive out of order."""
+"""Account state and heads from streams whose events arrive out of order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.operators.ordered import newest
-from turnmill.sinks.tables import current, publish
+from turnmill.plans.accounts import advance_heads
+from turnmill.sinks.tables import read_deltas, write_delta
 
-COLUMNS = ["account_id", "event_id", "state", "effective_at"]
+ENTITLEMENT = ["account_id", "event_id", "state", "effective_at"]
+ORDER = ["effective_at", "event_id"]
 
 
-def fold_batch(batch: DataFrame, root: str) -> None:
-    """Merge a micro-batch into the current table: the newest event per account stays.
+def latest_entitlements(events: DataFrame) -> DataFrame:
+    """Streaming aggregate of the newest event per account, for update or complete mode; state is one row a key."""
+    newest_row = F.max(F.struct(*ORDER, "state")).alias("row")
+    return events.groupBy("account_id").agg(newest_row).select(
+        "account_id", "row.event_id", "row.state", "row.effective_at")
 
-    Running the same batch again changes nothing, which makes the sink safe to retry.
-    """
-    old = current(batch.sparkSession, root)
-    rows = batch.select(*COLUMNS)
-    if old is not None:
-        rows = old.select(*COLUMNS).unionByName(rows)
-    publish(newest(rows, ["account_id"], ["effective_at", "event_id"]), root)
 
+def current_entitlements(spark: SparkSession, root: str) -> DataFrame | None:
+    log = read_deltas(spark, root)
+    return None if log is None else newest(log.select(*ENTITLEMENT), ["account_id"], ORDER)
 
-def latest_entitlements(events: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Streaming aggregate of the newest event per account, for update or complete mode."""
-    if watermark:
-        events = events.withWatermark("received_at", watermark)
-    return events.groupBy("account_id").agg(F.max(F.struct("effective_at", "event_id", "state")).alias("row")).select(
-        "account_id", "row.event_id", "row.state", "row.effective_at")
+
+def start_entitlements(events: DataFrame, root: str, checkpoint: str, **trigger):
+    """Log the newest event per account of every micro-batch. A batch costs its own size, not the table's."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_delta(newest(batch.select(*ENTITLEMENT), ["account_id"], ORDER), root, batch_id)
+
+    return _start(events, write, checkpoint, trigger)
+
+
+def current_heads(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    log = read_deltas(spark, root)
+    if log is None:
+        return None
+    if before is not None:
+        log = log.filter(F.col("batch") < before)
+    return newest(log.select("account_id", "generation_id", "batch"), ["account_id"], ["batch"]).drop("batch")
+
+
+def start_heads(uploads: DataFrame, root: str, checkpoint: str, **trigger):
+    """Move heads with every micro-batch of uploads. A repeated batch sees the heads from before it."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _, tips = advance_heads(batch, current_heads(batch.sparkSession, root, batch_id))
+        write_delta(tips, root, batch_id)
+
+    return _start(uploads, write, checkpoint, trigger)
 
 
-def start_fold(events: DataFrame, root: str, checkpoint: str, **trigger):
-    """Keep the entitlement table under ``root`` up to date from a stream."""
-    return events.writeStream.foreachBatch(lambda batch, _: fold_batch(batch, root)).option(
-        "checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def _start(stream: DataFrame, write, checkpoint: str, trigger):
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})).start()
