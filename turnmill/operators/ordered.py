@@ -13,6 +13,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
 CHUNK_ROWS = 4096
 
@@ -167,7 +168,10 @@ def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "
 
     The left rows of a key spread over ``salts`` buckets and the right row is copied into each.
     """
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    spread = [f.name for f in left.schema.fields if f.name not in on and isinstance(f.dataType, AtomicType)]
+    # Never null, so that the join adds no null check that would compute the hashed columns a second time.
+    draw = F.coalesce(F.pmod(F.xxhash64(*(spread or on)), F.lit(salts)).cast("int"), F.lit(0))
+    salted = left.withColumn("__salt", draw)
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 

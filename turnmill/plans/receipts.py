@@ -43,7 +43,7 @@ def score(receipts: DataFrame, word_boundary: bool = False) -> DataFrame:
     marked = marked.select(
         *[c for c in receipts.columns if c not in ("text", "domain_hints")],
         F.size("__tokens").alias("normalized_token_count"),
-        I.sha256(F.col("__print")).alias("__print_hash"),
+        F.coalesce(I.sha256(F.col("__print")), F.lit("")).alias("__print_hash"),
         M.base_signals(F.col("__print"), word_boundary).alias("__signals"),
         M.domain_hints(F.col("__print"), given, word_boundary).alias("domain_hints"),
     )
