@@ -53,7 +53,8 @@ def _anchor(words: Column, size: Column) -> Column:
     inner = F.slice(words, F.lit(2), F.size(words) - 2)
     at = F.sequence(F.lit(1), F.size(inner) - size + 1)
     grams = F.transform(at, lambda i: F.array_join(F.slice(inner, i, size), " "))
-    return F.element_at(F.array_sort(F.transform(grams, lambda g: F.struct(-F.length(g), g))), 1)["col2"]
+    return F.element_at(F.array_sort(F.transform(
+        grams, lambda g: F.struct((-F.length(g)).alias("rank"), g.alias("gram")))), 1)["gram"]
 
 
 def find_spans(needles: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:

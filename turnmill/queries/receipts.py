@@ -43,11 +43,12 @@ scored AS (
 
 
 def mined_documents(spark, folder):
-    return corpus.mine(document_messages(spark, folder))
+    """The mined messages as a written table: every later step reads them more than once."""
+    return materialize(corpus.mine(document_messages(spark, folder)), "messages")
 
 
 def scored_documents(spark, folder):
-    return receipts.score(receipts.ledger(mined_documents(spark, folder)))
+    return materialize(receipts.score(receipts.ledger(mined_documents(spark, folder))), "scored")
 
 
 @query("receipt_ledger", f"""
@@ -105,14 +106,14 @@ def corpus_snapshot(spark, folder):
 
 @query("select_stage")
 def select_stage(spark, folder):
-    scored = materialize(scored_documents(spark, folder), "scored")
+    scored = scored_documents(spark, folder)
     selected, _ = receipts.stage_plan(scored, "A")
     return selected.select("owner_id", "receipt_id", "tokens", "position")
 
 
 @query("stage_packets")
 def stage_packets(spark, folder):
-    scored = materialize(scored_documents(spark, folder), "scored")
+    scored = scored_documents(spark, folder)
     _, packet_rows = receipts.stage_plan(scored, "A")
     return packet_rows.select(
         "owner_id", "packet_no", "packet_hash", "source_tokens", F.size("receipt_ids").cast("bigint").alias("receipts"),
