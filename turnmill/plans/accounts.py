@@ -51,8 +51,9 @@ def normalize_events(raw: DataFrame, products: dict[str, str]) -> DataFrame:
         .when(d["current_period_end"].isNotNull() & C.utc_millis(d["current_period_end"]).isNull(), "period-end"))
     rows = raw.filter(F.col("type").isin(*K.SUBSCRIPTION_EVENTS)).withColumns({
         "state": state, "product_code": code, "effective_at": effective, "error": error})
+    kept = [c for c in ("arrival",) if c in raw.columns]
     return rows.select(
-        "event_id", "type", "received_at", d["external_id"].alias("account_id"), "state", "product_code",
+        *kept, "event_id", "type", "received_at", d["external_id"].alias("account_id"), "state", "product_code",
         d["id"].alias("subscription_id"), d["customer_id"].alias("customer_id"), d["product_id"].alias("product_id"),
         "effective_at", C.utc_millis(d["current_period_end"]).alias("current_period_end"),
         F.when(F.col("state") == "past_due", C.add_days(F.col("effective_at"), K.GRACE_DAYS)).alias("grace_ends_at"),

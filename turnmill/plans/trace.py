@@ -19,18 +19,21 @@ def _straight(text: Column) -> Column:
     """Pairs of straight marks per line, left to right; an odd last mark pairs with nothing."""
     rest = F.regexp_replace(text, K.CURLY_QUOTE, " ")
 
-    def inside(line):
-        parts = F.split(line, '"')
+    def inside(parts):
         return F.filter(parts, lambda _, i: (i % 2 == 1) & (i <= F.size(parts) - 2))
 
-    return F.flatten(F.transform(F.split(rest, "\n"), inside))
+    # Split first and filter the bound array, so that no line is split once per part.
+    split = F.transform(F.split(rest, "\n"), lambda line: F.split(line, '"'))
+    return F.flatten(F.transform(split, inside))
 
 
 def extract_quotes(profiles: DataFrame, min_words: int = K.TRACE_MIN_WORDS) -> DataFrame:
     """Every quoted span long enough to be a receipt, first spelling per normal form.
 
-    ``profiles``: owner_id, profile_id, text.
+    ``profiles``: owner_id, profile_id, text. Spans under three words have no inner word to look them up by.
     """
+    if min_words < 3:
+        raise ValueError("quotes of fewer than three words cannot be traced")
     spans = profiles.select(
         "owner_id", "profile_id", F.posexplode(F.concat(_curly(F.col("text")), _straight(F.col("text")))).alias("place", "raw"))
     quote = T.strip(F.col("raw"))
@@ -42,21 +45,38 @@ def extract_quotes(profiles: DataFrame, min_words: int = K.TRACE_MIN_WORDS) -> D
     return first_rows(kept, ["owner_id", "profile_id", "needle"], ["place"])
 
 
+def _beside(left: Column, right: Column) -> Column:
+    return F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b))
+
+
 def _grams(words: Column, size: int) -> Column:
-    count = F.size(words) - size + 1
-    at = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
+    """Runs of ``size`` words, from whole arrays laid side by side; the last few come out short and match nothing."""
+    def shifted(values: Column, by: int) -> Column:
+        return F.slice(values, F.lit(by + 1), F.greatest(F.lit(0), F.size(words) - by))
+
+    if size == 1:
+        return words
+    pairs = _beside(words, shifted(words, 1))
+    if size == 2:
+        return pairs
+    return _beside(pairs, shifted(words if size == 3 else pairs, 2))
 
 
-def _anchor(words: Column, size: Column) -> Column:
+def _anchor(inner: Column, size: Column) -> Column:
     """Longest run of ``size`` inner words: those appear in any text that contains the span, whole."""
-    inner = F.slice(words, F.lit(2), F.size(words) - 2)
     at = F.sequence(F.lit(1), F.size(inner) - size + 1)
     grams = F.transform(at, lambda i: F.array_join(F.slice(inner, i, size), " "))
     return F.element_at(F.array_sort(F.transform(
         grams, lambda g: F.struct((-F.length(g)).alias("rank"), g.alias("gram")))), 1)["gram"]
 
 
+def _hashes(words: Column, sizes: list[int]) -> Column:
+    def of(size: int) -> Column:
+        return F.transform(F.array_distinct(_grams(words, size)), lambda gram: F.xxhash64(F.lit(size), gram))
+
+    return F.flatten(F.array(*[of(size) for size in sizes]))
+
+
 def find_spans(needles: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of needle and text where the text contains the needle.
 
@@ -65,16 +85,15 @@ def find_spans(needles: DataFrame, texts: DataFrame, key: list[str]) -> DataFram
     hit is then checked in full; no needle meets a text it shares no such run with.
     """
     words = F.split("needle", " ")
-    anchored = needles.select("owner_id", "needle").distinct().withColumn(
-        "size", F.least(F.lit(GRAM_MAX), F.size(words) - 2)).filter("size > 0")
-    anchored = anchored.withColumn("gram", F.xxhash64("size", _anchor(words, F.col("size"))))
+    inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
+    anchored = needles.select("owner_id", "needle").distinct().withColumn("inner", inner).withColumn(
+        "size", F.least(F.lit(GRAM_MAX), F.size("inner"))).filter("size > 0")
+    anchored = anchored.withColumn("gram", F.xxhash64("size", _anchor(F.col("inner"), F.col("size"))))
     sizes = sorted(r[0] for r in anchored.select("size").distinct().collect())
     if not sizes:
         return texts.select("owner_id", *key).join(needles.select("owner_id", "needle").limit(0), "owner_id")
-    tokens = F.split("haystack", " ")
-    found = F.flatten(F.array(*[
-        F.transform(F.array_distinct(_grams(tokens, s)), lambda g, s=s: F.xxhash64(F.lit(s), g)) for s in sizes]))
-    grams = texts.select("owner_id", *key, F.explode(found).alias("gram"))
+    tokens = texts.select("owner_id", *key, F.split("haystack", " ").alias("__words"))
+    grams = tokens.select("owner_id", *key, F.explode(_hashes(F.col("__words"), sizes)).alias("gram"))
     hits = grams.join(anchored.select("owner_id", "gram", "needle"), ["owner_id", "gram"]).drop("gram").distinct()
     return hits.join(texts, ["owner_id", *key]).filter(F.contains("haystack", "needle")).drop("haystack")
 
