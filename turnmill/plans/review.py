@@ -139,13 +139,22 @@ def policy(kind: Column, risks: Column, contradictions: Column, sessions: Column
     return outcome, reason
 
 
+def with_support(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Add receipts, sessions and time_strata from evidence rows (owner_id, candidate_id, session_id, time_stratum)."""
+    counts = evidence.groupBy("owner_id", "candidate_id").agg(
+        F.count("*").alias("receipts"), F.countDistinct("session_id").alias("sessions"),
+        F.countDistinct("time_stratum").alias("time_strata"))
+    return candidates.join(counts, ["owner_id", "candidate_id"])
+
+
 def with_policy(candidates: DataFrame, auto_activate: bool = False) -> DataFrame:
-    sessions, strata = support(F.col("evidence"))
-    outcome, reason = policy(F.col("kind"), F.col("risk_categories"), F.col("contradiction_count"), sessions, strata,
-                             auto_activate)
-    return candidates.withColumns({
-        "receipts": F.size("evidence"), "sessions": sessions, "time_strata": strata, "policy_class": outcome,
-        "policy_reason": reason})
+    """Add policy class and reason; support comes from the ``evidence`` array unless ``with_support`` added it."""
+    if "evidence" in candidates.columns:
+        sessions, strata = support(F.col("evidence"))
+        candidates = candidates.withColumns({"receipts": F.size("evidence"), "sessions": sessions, "time_strata": strata})
+    outcome, reason = policy(F.col("kind"), F.col("risk_categories"), F.col("contradiction_count"), F.col("sessions"),
+                             F.col("time_strata"), auto_activate)
+    return candidates.withColumns({"policy_class": outcome, "policy_reason": reason})
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:

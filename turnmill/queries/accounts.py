@@ -132,10 +132,10 @@ def account_access(spark, folder):
 
 
 @query("quota_usage", """
-WITH u AS (SELECT o_custkey AS account_id, count(*) AS generations, CAST(sum(CAST(o_totalprice AS BIGINT)) AS BIGINT) AS bytes FROM orders GROUP BY o_custkey)
+WITH u AS (SELECT o_custkey AS account_id, count(*) AS generations, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS bytes FROM orders GROUP BY o_custkey)
 SELECT *, generations < 500 AND bytes + 66000000 <= 67108864 AS available FROM u""")
 def quota_usage(spark, folder):
-    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("account_id"), F.round("o_totalprice").cast("bigint").alias("bytes"))
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("account_id"), F.floor("o_totalprice").alias("bytes"))
     return accounts.quota(rows, 66_000_000)
 
 
@@ -270,15 +270,17 @@ queue AS (
 
 def candidates(spark, folder):
     part, size = table(spark, folder, "part"), F.col("p_size")
-    evidence = table(spark, folder, "lineitem").filter("l_quantity > 44").groupBy(F.col("l_partkey").alias("candidate_id")).agg(
-        F.collect_list(F.struct((F.col("l_orderkey") % 40).alias("session_id"), F.date_format("l_shipdate", "yyyy").alias("time_stratum"))).alias("evidence"))
     none = F.array().cast("array<string>")
     base = part.select(
         F.concat(F.lit("u"), (F.col("p_partkey") % 4).cast("string")).alias("owner_id"), F.col("p_partkey").alias("candidate_id"),
         F.when(size % 7 == 0, "retirement").otherwise("directive").alias("kind"),
         F.when(size % 11 == 0, F.array(F.lit("legal"))).when(size % 13 == 0, F.array(F.lit("mystery"))).otherwise(none).alias("risk_categories"),
         F.when(size % 5 == 0, 2).otherwise(0).alias("contradiction_count"))
-    return base.join(evidence, "candidate_id")
+    # One row of evidence per line item; counted, never listed, so a part with very many is no larger than another.
+    rows = table(spark, folder, "lineitem").filter("l_quantity > 44").select(
+        F.concat(F.lit("u"), (F.col("l_partkey") % 4).cast("string")).alias("owner_id"), F.col("l_partkey").alias("candidate_id"),
+        (F.col("l_orderkey") % 40).alias("session_id"), F.date_format("l_shipdate", "yyyy").alias("time_stratum"))
+    return review.with_support(base, rows)
 
 
 def decisions(spark, folder):
