@@ -62,10 +62,8 @@ def _bad_domain_states(states: Column) -> Column:
 
 
 def _states_disagree(states: Column, evidence: Column) -> Column:
-    bad = [
-        (states[d] == "evidence") != F.exists(evidence, lambda e, d=d: F.coalesce(e["domain"] == d, F.lit(False)))
-        for d in K.DOMAINS]
-    return T.any_of(bad)
+    shown = F.transform(evidence, lambda e: e["domain"])
+    return T.any_of([(states[d] == "evidence") != F.array_contains(shown, d) for d in K.DOMAINS])
 
 
 def _repeated_before(evidence: Column, position: Column, ident: Column) -> Column:

@@ -9,6 +9,7 @@ from turnmill.functions import calendar as C, identity as I
 from turnmill.operators.digest import set_digest
 from turnmill.operators.ordered import hash_chunks
 from turnmill.operators.packing import pack_greedy
+from turnmill.session import materialize
 
 SESSION = ["owner_id", "session_id"]
 SEGMENT = ["owner_id", "segment_hash"]
@@ -59,11 +60,11 @@ def stale_segments(segments: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def sync(segments: DataFrame, sessions: DataFrame, target_tokens: int) -> DataFrame:
     """Bring an index up to date: stale segments retire, and only their sessions and new ones are packed again."""
-    stale = stale_segments(segments, sessions)
+    stale = materialize(stale_segments(segments, sessions), "stale")
     kept = segments.join(stale, SEGMENT, "left_anti")
     retired = segments.join(stale, SEGMENT, "left_semi").withColumn("active", F.lit(False))
     represented = versions_of(kept.filter("active")).select(*SESSION).distinct()
-    fresh = seal(sessions.join(represented, SESSION, "left_anti"), target_tokens)
+    fresh = materialize(seal(sessions.join(represented, SESSION, "left_anti"), target_tokens), "fresh")
     old = kept.unionByName(retired)
     # A segment packed again to the same content takes the place of its retired row.
     return old.join(fresh.select(*SEGMENT), SEGMENT, "left_anti").unionByName(fresh)
