@@ -10,6 +10,7 @@ from turnmill.operators.digest import set_digest
 from turnmill.operators.ordered import integer_chunks, ranked, salted_lookup
 from turnmill.operators.packing import pack_greedy
 from turnmill.operators.selection import select_stage
+from turnmill.session import materialize
 
 KEY = ["owner_id", "receipt_id"]
 
@@ -47,6 +48,8 @@ def score(receipts: DataFrame, word_boundary: bool = False) -> DataFrame:
         M.base_signals(F.col("__print"), word_boundary).alias("__signals"),
         M.domain_hints(F.col("__print"), given, word_boundary).alias("domain_hints"),
     )
+    # Written once without the text, so that texts are read and tokenised once though the rows are used twice.
+    marked = materialize(marked, "marked")
     print_key = ["owner_id", "__print_hash"]
     sessions = marked.select(*print_key, "session_id").distinct().groupBy(*print_key).agg(
         F.count("*").cast("int").alias("recurrence_sessions"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from turnmill import constants as K
 from turnmill.functions import calendar as C, identity as I, markers as M, text as T
-from turnmill.operators.ordered import first_rows, integer_chunks, previous, ranked, runs, top_rows, union_all
+from turnmill.operators.ordered import first_rows, integer_chunks, previous, ranked, runs, top_rows
 
 SESSION = ["owner_id", "session_id"]
 ORDER = ["neg_count", "date", "session_id", "ordinal"]
@@ -35,33 +35,42 @@ def message_runs(messages: DataFrame) -> DataFrame:
     return runs(paired, SESSION, "place", {"repeat_run": ~same, "reword_run": ~(close & ~same)})
 
 
-def _run_findings(numbered: DataFrame, run: str, key: str, min_run: int, min_words: int) -> DataFrame:
+def _run_findings(numbered: DataFrame) -> DataFrame:
+    """Long repeat and reword runs; both kinds come from one pass over the numbered messages."""
+    kinds = F.array(F.struct(F.lit("repeat_sends").alias("finding"), F.col("repeat_run").alias("run")),
+                    F.struct(F.lit("reword_loops").alias("finding"), F.col("reword_run").alias("run")))
     first = F.min_by(F.struct("date", "quote", "word_count"), "ordinal")
-    found = numbered.groupBy(*SESSION, "source", run).agg(
+    found = numbered.select(*SESSION, "source", "ordinal", "date", "quote", "word_count", F.inline(kinds)).groupBy(
+        *SESSION, "source", "finding", "run").agg(
         F.count("*").alias("count"), F.min("ordinal").alias("ordinal"), first.alias("first"))
-    return found.filter((F.col("count") >= min_run) & (F.col("first.word_count") >= min_words)).select(
-        "owner_id", F.lit(key).alias("finding"), "session_id", "source", F.col("first.date").alias("date"), "ordinal",
+    repeats = (F.col("count") >= K.REPEAT_MIN_RUN) & (F.col("first.word_count") >= K.REPEAT_MIN_WORDS)
+    kept = F.when(F.col("finding") == "repeat_sends", repeats).otherwise(F.col("count") >= K.REWORD_MIN_RUN)
+    return found.filter(kept).select(
+        "owner_id", "finding", "session_id", "source", F.col("first.date").alias("date"), "ordinal",
         F.col("first.quote").alias("text"), F.lit("").alias("marker"), "count")
 
 
+def _single_findings(messages: DataFrame) -> DataFrame:
+    """Messages that restate context or open with a correction; one message can do both."""
+    normal = T.usage_form(F.col("text"))
+    base = messages.select(*SESSION, "source", "date", "ordinal", "text", normal.alias("normal")).withColumns(
+        {"marker": M.restated_marker(F.col("normal")), "corrects": M.is_correction(F.col("normal"))})
+
+    def found(name, marker, text):
+        return F.struct(F.lit(name).alias("finding"), text.alias("quote"), marker.alias("shown"))
+
+    both = F.array_compact(F.array(
+        F.when(F.col("marker").isNotNull(), found("restated_context", F.col("marker"), T.excerpt(F.col("text"), F.col("marker")))),
+        F.when(F.col("corrects"), found("corrections", F.lit(""), T.excerpt(F.col("text"))))))
+    # Outer, then filtered: a filter below the generator would work the normal form out again for every phrase.
+    return base.select(*SESSION, "source", "date", "ordinal", F.inline_outer(both)).filter("finding is not null").select(
+        "owner_id", "finding", "session_id", "source", "date", "ordinal", F.col("quote").alias("text"),
+        F.col("shown").alias("marker"), F.lit(1).cast("bigint").alias("count"))
+
+
 def findings(messages: DataFrame) -> DataFrame:
     """Evidence rows of all four findings."""
-    numbered = message_runs(messages)
-    marker = M.restated_marker(F.col("normal"))
-    single = _prepared(messages).withColumns({"marker": marker, "corrects": M.is_correction(F.col("normal"))}).filter(
-        "marker is not null or corrects")
-
-    def rows(key, shown, text):
-        return [F.lit(key).alias("finding"), "session_id", "source", "date", "ordinal", text.alias("text"),
-                shown.alias("marker"), F.lit(1).cast("bigint").alias("count")]
-
-    return union_all([
-        _run_findings(numbered, "repeat_run", "repeat_sends", K.REPEAT_MIN_RUN, K.REPEAT_MIN_WORDS),
-        _run_findings(numbered, "reword_run", "reword_loops", K.REWORD_MIN_RUN, 0),
-        single.filter("marker is not null").select(
-            "owner_id", *rows("restated_context", F.col("marker"), T.excerpt(F.col("text"), F.col("marker")))),
-        single.filter("corrects").select("owner_id", *rows("corrections", F.lit(""), F.col("quote"))),
-    ])
+    return _run_findings(message_runs(messages)).unionByName(_single_findings(messages))
 
 
 def totals(messages: DataFrame) -> DataFrame:

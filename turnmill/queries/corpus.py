@@ -90,14 +90,14 @@ def message_ordinals(spark, folder):
 SELECT doc_id, sha256(clean) AS clean_hash, clean <> text AS redacted FROM (SELECT doc_id, text, {_CLEAN} AS clean FROM documents)""")
 def redact_documents(spark, folder):
     clean = T.redact(F.col("text"))
-    return table(spark, folder, "documents").withColumn("clean", clean).select(
+    return table(spark, folder, "documents", spread=True).withColumn("clean", clean).select(
         "doc_id", I.sha256(F.col("clean")).alias("clean_hash"), (F.col("clean") != F.col("text")).alias("redacted"))
 
 
 @query("redact_pages", f"""
 SELECT page_id, sha256(clean) AS clean_hash, clean <> html AS redacted FROM (SELECT page_id, html, {S.redact('html')} AS clean FROM pages)""")
 def redact_pages(spark, folder):
-    return table(spark, folder, "pages").withColumn("clean", T.redact(F.col("html"))).select(
+    return table(spark, folder, "pages", spread=True).withColumn("clean", T.redact(F.col("html"))).select(
         "page_id", I.sha256(F.col("clean")).alias("clean_hash"), (F.col("clean") != F.col("html")).alias("redacted"))
 
 
@@ -112,7 +112,7 @@ _SQL_RULES = [(name, S.PHONE if name.endswith("[PHONE]") else p.replace("(?U)",
 def redaction_rule_hits(spark, folder):
     # One pass: every document lists the rules it meets, and the empty rules come from the same listing.
     hits = F.array(*[F.struct(F.lit(n).alias("rule"), F.col("text").rlike(p).alias("hit")) for n, p in _RULES])
-    rows = table(spark, folder, "documents").select(F.length("text").alias("n"), F.inline(hits))
+    rows = table(spark, folder, "documents", spread=True).select(F.length("text").alias("n"), F.inline(hits))
     return rows.groupBy("rule").agg(
         F.count_if("hit").alias("hits"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).cast("bigint").alias("chars"))
 
@@ -133,7 +133,7 @@ def _noisy(spark, folder):
         F.when(n % 11 == 0, F.concat(F.lit("  <summary>"), text))
         .when(n % 13 == 0, F.replace(text, F.lit(". "), F.lit(".\n    at app.run ")))
         .when(n % 7 == 0, F.replace(text, F.lit(", "), F.lit("\nmain.py:7 "))).otherwise(text))
-    return table(spark, folder, "documents").select("doc_id", noisy.alias("text"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", noisy.alias("text"))
 
 
 @query("noise_flags", f"""
@@ -168,7 +168,7 @@ SELECT conv_id, turn, length(clean) AS chars, sha256(clean) AS clean_hash FROM (
       SELECT *, [{', '.join(S.quote(t) for t in _TAGS)}][turn % {len(_TAGS)} + 1] AS tag FROM conversations)))""")
 def strip_envelopes(spark, folder):
     tag = F.element_at(F.array(*[F.lit(t) for t in _TAGS]), (F.col("turn") % len(_TAGS) + 1).cast("int"))
-    rows = table(spark, folder, "conversations").withColumn("tag", tag)
+    rows = table(spark, folder, "conversations", spread=True).withColumn("tag", tag)
     wrapped = F.format_string('<%s id="1">%s</%s> %s', "tag", "text", "tag", "role")
     image = F.format_string('<image name="a">%s</image> <%s>', "text", "tag")
     clean = T.strip_envelopes(F.when(F.col("conv_id") % 2 == 0, wrapped).otherwise(image))
@@ -191,7 +191,7 @@ SELECT doc_id, CAST({S.tokens('length(text)')} AS BIGINT) AS tokens, len({S.usag
 FROM documents""")
 def text_measures(spark, folder):
     t = F.col("text")
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", spread=True).select(
         "doc_id", T.estimate_tokens(F.length(t)).alias("tokens"), F.size(T.usage_words(t)).cast("bigint").alias("distinct_words"),
         T.word_count(t).cast("bigint").alias("words"), I.sha256(T.usage_form(t)).alias("usage_hash"),
         I.sha256(F.array_join(T.salience_tokens(t), " ")).alias("fingerprint_hash"),

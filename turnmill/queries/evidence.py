@@ -221,7 +221,7 @@ failures AS (
 
 def attempts(spark, folder):
     n, quality, toxic = F.col("doc_id"), F.col("quality") == 1, F.col("toxic") == 1
-    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    rows = table(spark, folder, "documents", spread=True).join(table(spark, folder, "labels"), "doc_id")
     family = F.element_at(F.array(*[F.lit(f) for f in K.FAMILIES]), (n % 3 + 1).cast("int"))
     made = F.lit("hash")
     return rows.select(
@@ -335,10 +335,10 @@ WITH texts AS (
 SELECT id, array_to_string({_SCAN}, ',') AS findings, len({_SCAN}) = 0 AS passed FROM texts""")
 def privacy_scan(spark, folder):
     n, text = F.col("doc_id"), F.col("text")
-    docs = table(spark, folder, "documents").select(
+    docs = table(spark, folder, "documents", spread=True).select(
         F.concat(F.lit("d"), n.cast("string")).alias("id"),
         F.when(n % 20 == 0, F.concat(text, F.lit(" /home/me/x"))).when(n % 21 == 0, F.concat(text, F.lit(" /Users/me"))).otherwise(text).alias("text"))
-    pages = table(spark, folder, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
+    pages = table(spark, folder, "pages", spread=True).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
     return privacy.scan(docs.unionByName(pages), CANARIES, ("/srv/private",)).select(
         "id", F.array_join("findings", ",").alias("findings"), "passed")
 
@@ -357,7 +357,7 @@ def public_names(spark, folder):
     n = F.col("page_id")
     tails = F.array(*[F.lit(t) for t in (".json", ".exe", "", "/receipt.md", "/.hidden.txt", "/You.md")])
     path = F.concat(F.element_at(F.split(F.regexp_replace("url", "^https?://", ""), r"\?"), 1), F.element_at(tails, (n % 6 + 1).cast("int")))
-    return table(spark, folder, "pages").select("page_id", privacy.name_error(path).alias("error"))
+    return table(spark, folder, "pages", spread=True).select("page_id", privacy.name_error(path).alias("error"))
 
 
 _CLAIM = "CASE WHEN doc_id % 9 = 0 THEN text || ' P-Value and 1000x' ELSE text END"
@@ -367,5 +367,5 @@ _CLAIM = "CASE WHEN doc_id % 9 = 0 THEN text || ' P-Value and 1000x' ELSE text E
 SELECT doc_id, array_to_string({S.labels([(c, f"contains(lower({_CLAIM}), {S.quote(c)})") for c in K.PROHIBITED_CLAIMS])}, ',') AS claims FROM documents""")
 def prohibited_claims(spark, folder):
     text = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" P-Value and 1000x"))).otherwise(F.col("text"))
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", spread=True).select(
         "doc_id", F.array_join(F.sort_array(M.prohibited_claims(text)), ",").alias("claims"))

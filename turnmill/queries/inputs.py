@@ -44,7 +44,7 @@ def _messages(rows: DataFrame, owner: Column, session: Column, source: Column, p
 
 
 def conversation_messages(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "conversations").filter("role = 'user'")
+    rows = table(spark, folder, "conversations", spread=True).filter("role = 'user'")
     return _messages(
         rows, F.lit("default"), I.short_hash(_key("conv:", F.col("conv_id")), 16), F.lit("custom"),
         F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.col("turn"), F.lit("undated"))
@@ -59,5 +59,5 @@ def document_messages(spark: SparkSession, folder: str) -> DataFrame:
     source = F.element_at(F.array(*[F.lit(x) for x in K.SOURCES]), (s % 6 + 1).cast("int"))
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (s * 7 % 700).cast("int")), "yyyy-MM-dd")
     return _messages(
-        table(spark, folder, "documents"), _key("u", s % 3), I.short_hash(_key("doc:", s), 16), source,
+        table(spark, folder, "documents", spread=True), _key("u", s % 3), I.short_hash(_key("doc:", s), 16), source,
         F.lpad(s.cast("string"), 12, "0"), F.col("doc_id") % 5, F.when(s % 17 == 0, "undated").otherwise(day))

@@ -30,7 +30,7 @@ prompts AS (
 
 
 def prompts(spark, folder):
-    rows = table(spark, folder, "events")
+    rows = table(spark, folder, "events", spread=True)
     base = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _PROMPTS.items()])
     tail = F.when(F.col("event_id") % 4 == 0, "  !").when(F.col("event_id") % 9 == 0, " ok").otherwise("")
     messages = rows.select(
@@ -152,7 +152,7 @@ WITH w AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER B
 SELECT b.source, b.doc_id, round(len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))), 9) AS overlap
 FROM w b LEFT JOIN w a ON a.source = b.source AND a.place = b.place - 1""")
 def adjacent_overlap(spark, folder):
-    rows = table(spark, folder, "documents").select("source", "doc_id", T.usage_words(F.col("text")).alias("words"))
+    rows = table(spark, folder, "documents", spread=True).select("source", "doc_id", T.usage_words(F.col("text")).alias("words"))
     placed = ranked(rows, ["source"], ["doc_id"], integer_chunks("doc_id"), "place")
     paired = previous(placed, ["source"], "place", {"prior": "words"})
     return paired.select("source", "doc_id", F.round(T.overlap(F.col("prior"), F.col("words")), 9).alias("overlap"))
@@ -166,7 +166,7 @@ def marker_flags(spark, folder):
     t, n = F.col("text"), F.col("turn") % 3
     said = F.when(n == 0, F.concat(F.lit("No, "), t)).when(n == 1, F.concat(t, F.lit(" as I said."))).otherwise(
         F.concat(F.lit("no need "), t))
-    rows = table(spark, folder, "conversations").withColumn("normal", T.usage_form(said))
+    rows = table(spark, folder, "conversations", spread=True).withColumn("normal", T.usage_form(said))
     return rows.select("conv_id", "turn", M.restated_marker(F.col("normal")).alias("marker"), M.is_correction(F.col("normal")).alias("corrects"))
 
 
@@ -181,7 +181,7 @@ profiles AS (
 
 def profiles(spark, folder):
     quoted = F.regexp_replace(F.regexp_replace("text", r"\. ([^\n.]+)\. ", '. "$1". '), r"^([^\n.]+)", "“$1”")
-    return table(spark, folder, "documents").filter("trim(text) != ''").select(
+    return table(spark, folder, "documents", spread=True).filter("trim(text) != ''").select(
         F.concat(F.lit("u"), (F.floor(F.col("doc_id") / 5) % 3).cast("string")).alias("owner_id"),
         F.col("doc_id").alias("profile_id"), quoted.alias("text"))
 
@@ -224,7 +224,7 @@ SELECT b.item_id, d.doc_id FROM benchmark b JOIN hay d ON contains(d.t, {S.quote
 def benchmark_spans(spark, folder):
     items = table(spark, folder, "benchmark").select(
         F.lit("all").alias("owner_id"), "item_id", T.quote_form(F.col("text")).alias("needle"))
-    texts = table(spark, folder, "documents").select(
+    texts = table(spark, folder, "documents", spread=True).select(
         F.lit("all").alias("owner_id"), "doc_id", T.quote_form(F.col("text")).alias("haystack"))
     return trace.find_spans(items, texts, ["doc_id"]).join(items, ["owner_id", "needle"]).select("item_id", "doc_id")
 
