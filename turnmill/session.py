@@ -26,20 +26,21 @@ def build_session(app: str = "turnmill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a temporary folder,
-    because other hosts cannot read one.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a temporary folder, one per
+    application, because other hosts cannot read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="turnmill-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _LOCAL_DIRS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="turnmill-"))
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
