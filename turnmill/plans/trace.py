@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnmill import constants as K
-from turnmill.functions import identity as I, text as T
+from turnmill.functions import text as T
 from turnmill.operators.ordered import first_rows
 
 GRAM_MAX = 4
@@ -117,7 +117,3 @@ def trace_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("owner_id", "profile_id").agg(
         F.count("*").alias("quotes_checked"), F.count_if(F.col("sessions") == 0).alias("unsupported"),
         F.count_if(F.col("sessions") == 1).alias("single_session"))
-
-
-def quote_id(needle: Column) -> Column:
-    return I.short_hash(needle, 20)

@@ -10,6 +10,8 @@ from turnmill.operators.ordered import first_rows, integer_chunks, previous, ran
 
 SESSION = ["owner_id", "session_id"]
 ORDER = ["neg_count", "date", "session_id", "ordinal"]
+_RECEIPTS = ("array<struct<neg_count:bigint,date:string,session_id:string,ordinal:int,source:string,text:string,"
+             "marker:string,count:bigint>>")
 
 
 def _prepared(messages: DataFrame) -> DataFrame:
@@ -120,10 +122,5 @@ def report(messages: DataFrame, found: DataFrame | None = None) -> DataFrame:
     return counted.join(samples, ["owner_id", "finding"], "left").select(
         "owner_id", "finding", "occurrences", flagged.alias("flagged"),
         F.when(F.col("finding") == "corrections", rate).alias("correction_rate"),
-        F.transform(F.coalesce("receipts", F.array().cast(sampled_type())), lambda r: r.dropFields("neg_count")).alias(
+        F.transform(F.coalesce("receipts", F.array().cast(_RECEIPTS)), lambda r: r.dropFields("neg_count")).alias(
             "receipts"))
-
-
-def sampled_type() -> str:
-    return ("array<struct<neg_count:bigint,date:string,session_id:string,ordinal:int,source:string,text:string,"
-            "marker:string,count:bigint>>")
