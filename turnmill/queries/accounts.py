@@ -242,7 +242,7 @@ def advance_heads(spark, folder):
 
 
 # --- review ----------------------------------------------------------------
-# A part is a candidate, its line items are the evidence (at most 64 by contract; parts have about 30), its orders decide.
+# A part is a candidate, its line items are the evidence, the orders of the customer with its number decide.
 
 _RISK = "CASE WHEN p_size % 11 = 0 THEN ['legal'] WHEN p_size % 13 = 0 THEN ['mystery'] ELSE [] END"
 CANDIDATES_SQL = f"""
@@ -251,8 +251,8 @@ candidates AS (
          CASE WHEN p_size % 7 = 0 THEN 'retirement' ELSE 'directive' END AS kind, {_RISK} AS risks,
          CASE WHEN p_size % 5 = 0 THEN 2 ELSE 0 END AS contradictions FROM part
 ),
-evidence AS (SELECT l_partkey AS candidate_id, count(*) AS receipts, count(DISTINCT l_orderkey % 40) AS sessions,
-                    count(DISTINCT strftime(l_shipdate, '%Y')) AS strata FROM lineitem WHERE l_quantity > 44 GROUP BY l_partkey),
+evidence AS (SELECT l_partkey AS candidate_id, count(*) AS receipts, count(DISTINCT l_orderkey % (l_partkey % 5 + 1)) AS sessions,
+                    count(DISTINCT strftime(l_shipdate, '%Y')) AS strata FROM lineitem GROUP BY l_partkey),
 decided AS (
   SELECT o_custkey AS candidate_id, arg_max(CASE WHEN o_orderstatus = 'F' THEN 'approve' ELSE 'reject' END, {{'d': o_orderdate, 'k': o_orderkey}}) AS decision,
          max({{'d': o_orderdate, 'k': o_orderkey}}).k AS decision_id FROM orders GROUP BY o_custkey
@@ -277,9 +277,9 @@ def candidates(spark, folder):
         F.when(size % 11 == 0, F.array(F.lit("legal"))).when(size % 13 == 0, F.array(F.lit("mystery"))).otherwise(none).alias("risk_categories"),
         F.when(size % 5 == 0, 2).otherwise(0).alias("contradiction_count"))
     # One row of evidence per line item; counted, never listed, so a part with very many is no larger than another.
-    rows = table(spark, folder, "lineitem").filter("l_quantity > 44").select(
+    rows = table(spark, folder, "lineitem").select(
         F.concat(F.lit("u"), (F.col("l_partkey") % 4).cast("string")).alias("owner_id"), F.col("l_partkey").alias("candidate_id"),
-        (F.col("l_orderkey") % 40).alias("session_id"), F.date_format("l_shipdate", "yyyy").alias("time_stratum"))
+        (F.col("l_orderkey") % (F.col("l_partkey") % 5 + 1)).alias("session_id"), F.date_format("l_shipdate", "yyyy").alias("time_stratum"))
     return review.with_support(base, rows)
 
 

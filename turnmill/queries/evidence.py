@@ -19,9 +19,9 @@ quotes AS (
   SELECT 'u' || (l_partkey % 3) AS owner_id, 'ev-' || l_partkey AS evidence_id, ['work', 'design', 'write', 'video'][l_partkey % 4 + 1] AS domain,
          CASE WHEN l_partkey % 5 = 0 THEN 'explicit' ELSE 'inferred' END AS kind,
          CASE WHEN l_partkey % 4 = 2 AND l_partkey % 8 <> 6 THEN ['casual', 'shared'][l_partkey % 16 // 8 + 1] END AS register,
-         CASE WHEN l_partkey % 50 = 7 THEN 1 ELSE 0 END AS contradictions, l_suppkey % 20 AS session_id,
+         CASE WHEN l_partkey % 50 = 7 THEN 1 ELSE 0 END AS contradictions, l_suppkey % (l_partkey % 6 + 1) AS session_id,
          l_shipmode_source || ':' || {S.quarter("strftime(l_shipdate, '%Y-%m-%d')")} AS stratum
-  FROM (SELECT *, l_returnflag AS l_shipmode_source FROM lineitem WHERE l_quantity > 40)
+  FROM (SELECT *, l_returnflag AS l_shipmode_source FROM lineitem)
 ),
 flat AS (
   SELECT owner_id, evidence_id, any_value(domain) AS domain, any_value(kind) AS kind, any_value(register) AS register,
@@ -32,13 +32,13 @@ flat AS (
 
 def quote_rows(spark, folder):
     p = F.col("l_partkey")
-    return table(spark, folder, "lineitem").filter("l_quantity > 40").select(
+    return table(spark, folder, "lineitem").select(
         F.concat(F.lit("u"), (p % 3).cast("string")).alias("owner_id"), F.concat(F.lit("ev-"), p.cast("string")).alias("evidence_id"),
         F.element_at(F.array(*[F.lit(d) for d in K.DOMAINS]), (p % 4 + 1).cast("int")).alias("domain"),
         F.when(p % 5 == 0, "explicit").otherwise("inferred").alias("kind"),
         F.when((p % 4 == 2) & (p % 8 != 6), F.when(p % 16 < 8, "casual").otherwise("shared")).alias("register"),
         F.lit("universal").alias("scope"), F.lit("").alias("context"), F.when(p % 50 == 7, 1).otherwise(0).alias("contradictions"),
-        (F.col("l_suppkey") % 20).alias("session_id"),
+        (F.col("l_suppkey") % (p % 6 + 1)).alias("session_id"),
         C.stratum(F.col("l_returnflag"), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("stratum"))
 
 
