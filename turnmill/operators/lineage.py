@@ -15,12 +15,14 @@ def walk(pointers: DataFrame, starts: DataFrame, max_steps: int) -> DataFrame:
     double with every join, so 500 steps take nine joins, not 500. A path longer than ``max_steps`` ends there.
     """
     jump = materialize(pointers.filter("next is not null").select("owner_id", "node", "next"), "jump")
-    reached = starts.select("owner_id", F.col("node").alias("start"), "node", F.lit(0).alias("steps"))
+    reached = materialize(
+        starts.select("owner_id", F.col("node").alias("start"), "node", F.lit(0).alias("steps")), "reached")
     length = 1
     while True:
         ahead = salted_lookup(reached, jump, ["owner_id", "node"], "inner").select(
             "owner_id", "start", F.col("next").alias("node"), (F.col("steps") + length).alias("steps"))
-        reached = materialize(reached.unionByName(ahead), "reached")
+        # Only the new part is written; the parts written before are read as they are.
+        reached = reached.unionByName(materialize(ahead, "reached"))
         length *= 2
         if length > max_steps:
             return reached.filter(F.col("steps") <= max_steps)
