@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm import bpe, covering, crf, mixing, quotient
+from turnmill.llm import bpe, covering, crf, linewindows, mixing, permutation, quotient, surrogates, urlrules, xent
 from turnmill.llm.arrays import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,53 @@ def op5(spark, folder):
     docs = table(spark, folder, "documents")
     found = docs.select("doc_id", crf.held_out(F.col("doc_id")).alias("held_out"), crf.languages(docs, crf.learn(docs)).alias("l"))
     return found.select("doc_id", "held_out", "l.lang_pred", "l.score")
+
+
+#: The rules of the contract, as host, path and verdict.
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+URL_SQL = """
+WITH rules(r_host, r_path, r_verdict) AS (VALUES %s),
+p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), fit AS (
+  SELECT page_id, r_host || r_path AS rule, r_verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(r_host || r_path) DESC, length(r_path) DESC) AS n
+  FROM h JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+)
+SELECT h.page_id, h.host, h.path, fit.rule, coalesce(fit.r_verdict, 'allow') AS verdict
+FROM h LEFT JOIN fit ON fit.page_id = h.page_id AND fit.n = 1
+""" % ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+
+
+@query("op8_url_rules", URL_SQL)
+def op8(spark, folder):
+    rules = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES])))
+    judged = urlrules.judge(table(spark, folder, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_line_windows")
+def op9(spark, folder):
+    clean = linewindows.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "lines", "removed", "text", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op10_surrogates")
+def op10(spark, folder):
+    return surrogates.replace(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op6_permutation_index")
+def op6(spark, folder):
+    return permutation.nearest(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op4_cross_entropy")
+def op4(spark, folder):
+    good = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    return xent.score(table(spark, folder, "documents"), good)
