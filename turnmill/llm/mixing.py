@@ -175,9 +175,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     sizes = document_sizes(docs, id_col, text_col, source_col)
     targets = materialize(source_targets(sizes, weights, share, most), "targets")
+    full = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0).cast("bigint"))
     plan = targets.select(
-        F.col("source").alias("s"), F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).alias("full"),
-        (F.col("target") - F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)) * F.col("source_size")).alias("rest"),
+        F.col("source").alias("s"), full.alias("full"), (F.col("target") - full * F.col("source_size")).alias("rest"),
         (F.pmod(F.col("place") - 1, F.lit(GROUPS))).cast("int").alias("group"))
     planned = sizes.filter("size > 0").join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     per = F.col("size") if block_words is None else F.lit(block_words).cast("bigint")
