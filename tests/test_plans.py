@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -7,6 +8,7 @@ from turnmill.functions.identity import sha256
 from turnmill.plans import corpus, evidence, receipts, segments, trace, usage
 from turnmill.session import materialize
 from turnmill.sinks import corpus as sink, tables
+from turnmill.sources.corpus_text import messages_from_corpus, read_corpus_lines
 
 SHAPE = ("owner_id string, session_id string, source string, file_path string, block_start long, line_id long, part_no long, "
          "date string, text string")
@@ -35,26 +37,39 @@ def test_long_copies_collapse_and_short_ones_stay(spark, rows):
     assert corpus.mine(raw, dedupe=False).count() == 7
 
 
-def test_large_sessions_hash_without_their_text(spark):
-    mined = numbered(spark, *[("big", i, "undated", f"message {i}") for i in range(30)], ("small", 0, "undated", "hi"))
-    whole = {r.session_id: r for r in corpus.roll_up(mined).collect()}
-    split = {r.session_id: r for r in corpus.roll_up(mined, inline_chars=100).collect()}
-    assert whole["small"] == split["small"] and whole["small"].text == "===== session:small source:claude =====\n[undated]\nhi"
-    assert split["big"].text is None and split["big"].content_hash != whole["big"].content_hash
-    changed = mined.withColumn("text", F.when(F.col("ordinal") == 17, "other").otherwise(F.col("text")))
-    again = {r.session_id: r.content_hash for r in corpus.roll_up(changed, inline_chars=100).collect()}
-    assert again["big"] != split["big"].content_hash and again["small"] == split["small"].content_hash
-
-
-def test_corpus_files(spark, tmp_path):
-    sessions = corpus.roll_up(numbered(spark, *[(f"s{i:02d}", 0, f"2026-01-{i + 1:02d}", "words " * 20) for i in range(12)]))
-    sink.write_corpus(sessions, str(tmp_path / "corpus"))
-    sink.write_chunks(sessions, str(tmp_path / "chunks"), 4)
-    names = sorted(p.name for p in (tmp_path / "chunks" / "owner_id=o").iterdir() if p.is_dir())
+def test_sessions_hash_by_one_rule_at_every_size(spark):
+    mined = numbered(spark, *[("big", i, "undated", f"message {i}") for i in range(2100)], ("small", 0, "undated", "hi"))
+    hashes = {r.session_id: r.content_hash for r in corpus.roll_up(mined).collect()}
+
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    for name, texts in (("big", [f"message {i}" for i in range(2100)]), ("small", ["hi"])):
+        level = [digest(f"[undated]\n{t}") for t in texts]
+        for _ in range(4):
+            level = [digest("".join(level[i:i + 1024])) for i in range(0, len(level), 1024)]
+        assert hashes[name] == digest(f"===== session:{name} source:claude =====\n{level[0]}")
+    changed = mined.withColumn("text", F.when(F.col("ordinal") == 1500, "other").otherwise(F.col("text")))
+    again = {r.session_id: r.content_hash for r in corpus.roll_up(changed).collect()}
+    assert again["big"] != hashes["big"] and again["small"] == hashes["small"]
+
+
+def test_corpus_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "PART_MESSAGES", 700)
+    small = [(f"s{i:02d}", 0, f"2026-01-{i + 1:02d}", "words " * 20) for i in range(12)]
+    mined = materialize(numbered(spark, *small, *[("huge", i, "2026-02-01", f"line {i}\nand more") for i in range(3000)]), "messages")
+    sink.write_corpus(mined, str(tmp_path / "corpus"))
+    sink.write_chunks(mined, str(tmp_path / "chunks"), 4)
+    want = sorted((r.session_id, r.date, r.text) for r in mined.collect())
+    for folder in ("corpus", "chunks"):
+        back = messages_from_corpus(read_corpus_lines(spark, str(tmp_path / folder)))
+        assert sorted((r.session_id, r.date, r.text) for r in back.collect()) == want
+    one = numbered(spark, *small)
+    sink.write_chunks(one, str(tmp_path / "even"), 4)
+    names = sorted(p.name for p in (tmp_path / "even" / "owner_id=o").iterdir() if p.is_dir())
     assert names == [f"chunk=chunk-0{n}" for n in range(1, 5)]
-    sink.write_chunks(sessions.limit(2), str(tmp_path / "chunks"), 1)
-    assert [p.name for p in (tmp_path / "chunks" / "owner_id=o").iterdir() if p.is_dir()] == ["chunk=chunk-01"]
-    assert spark.read.text(str(tmp_path / "corpus"), wholetext=True).count() >= 1
+    sink.write_chunks(one.filter("session_id < 's02'"), str(tmp_path / "even"), 1)
+    assert [p.name for p in (tmp_path / "even" / "owner_id=o").iterdir() if p.is_dir()] == ["chunk=chunk-01"]
 
 
 # --- receipts --------------------------------------------------------------------

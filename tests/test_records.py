@@ -81,7 +81,7 @@ def test_rollback_and_pull(spark, rows):
         return spark.createDataFrame([("o", name)], "owner_id string, generation_id string")
 
     targets = spark.createDataFrame([("o", g) for g in ("g1", "g3", "x2")], "owner_id string, generation_id string")
-    assert rows(review.rollback(chain, at("g3"), targets, 8), "generation_id", "is_ancestor") == [("g1", True), ("g3", False), ("x2", False)]
+    assert rows(review.rollback(chain, at("g3"), targets), "generation_id", "is_ancestor") == [("g1", True), ("g3", False), ("x2", False)]
     for local, want in (("g1", "activated"), ("x2", "conflict"), ("g3", "unchanged")):
         assert review.pull_status(chain, at(local), at("g3"), 8).first().status == want
 
@@ -191,7 +191,27 @@ def test_event_outcomes(spark):
 def test_heads(spark, rows):
     data = [("a", "g1", None, 1), ("a", "g2", "g1", 2), ("a", "x2", "g1", 3), ("a", "g4", "g3", 4), ("a", "g3", "g2", 5), ("a", "g2", "g1", 6)]
     uploads = spark.createDataFrame(data, "account_id string, generation_id string, parent_generation_id string, arrival long")
-    moved, tips = accounts.advance_heads(uploads, max_steps=8)
+    moved, tips = accounts.advance_heads(uploads)
     assert rows(moved.filter("head_advanced"), "generation_id") == [("g1",), ("g2",), ("g3",)] and rows(tips) == [("a", "g3")]
     later = spark.createDataFrame([("a", "g5", "g3", 1), ("a", "r", None, 2)], uploads.schema)
-    assert rows(accounts.advance_heads(later, tips, 8)[1]) == [("a", "g5")]
+    assert rows(accounts.advance_heads(later, tips)[1]) == [("a", "g5")]
+
+
+def test_long_chains(spark, rows):
+    chain = materialize(spark.range(800).select(
+        F.lit("a").alias("account_id"), F.format_string("g%04d", "id").alias("generation_id"),
+        F.when(F.col("id") > 0, F.format_string("g%04d", F.col("id") - 1)).alias("parent_generation_id"), F.col("id").alias("arrival")), "chain")
+    moved, tips = accounts.advance_heads(chain)
+    assert rows(tips) == [("a", "g0799")] and moved.filter("head_advanced").count() == 800
+    generations = chain.withColumnRenamed("account_id", "owner_id")
+
+    def at(*names):
+        return spark.createDataFrame([("a", n) for n in names], "owner_id string, generation_id string")
+
+    assert rows(review.rollback(generations, at("g0799"), at("g0001", "g0799", "x")), "generation_id", "is_ancestor") == [
+        ("g0001", True), ("g0799", False), ("x", False)]
+    for local, want in (("g0799", "unchanged"), ("g0400", "activated"), ("g0001", "chain-too-long"), ("x", "chain-too-long")):
+        assert review.pull_status(generations, at(local), at("g0799")).first().status == want
+    assert review.pull_status(generations, at("x"), at("g0300")).first().status == "conflict"
+    accepted = accounts.within_quota(chain, spark.createDataFrame([("a", 20)], "account_id string, generations int"))
+    assert accepted.filter("accepted").count() == 480

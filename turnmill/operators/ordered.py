@@ -10,10 +10,7 @@ rows, and each coarser entry must be a function of the finer one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import AtomicType
 
 CHUNK_ROWS = 4096
 
@@ -161,20 +158,3 @@ def top_rows(df: DataFrame, group: list[str], order: list[Column], k: int) -> Da
     """First ``k`` rows of each group. Spark trims every partition to ``k`` rows per group before the shuffle."""
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(window)).filter(F.col("__n") <= k).drop("__n")
-
-
-def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 8) -> DataFrame:
-    """Join against a table with one row per key, where one key may own much of the left side.
-
-    The left rows of a key spread over ``salts`` buckets and the right row is copied into each.
-    """
-    spread = [f.name for f in left.schema.fields if f.name not in on and isinstance(f.dataType, AtomicType)]
-    # Never null, so that the join adds no null check that would compute the hashed columns a second time.
-    draw = F.coalesce(F.pmod(F.xxhash64(*(spread or on)), F.lit(salts)).cast("int"), F.lit(0))
-    salted = left.withColumn("__salt", draw)
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
-
-
-def union_all(frames) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

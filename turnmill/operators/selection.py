@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from turnmill import constants as K
 from turnmill.functions.calendar import quarter
-from turnmill.operators.ordered import hash_chunks, outside_in, ranked, salted_lookup, top_rows
+from turnmill.operators.ordered import hash_chunks, outside_in, ranked, top_rows
 from turnmill.session import materialize
 
 LANE = ["domain", "source", "quarter", "family"]
@@ -132,7 +132,7 @@ def select_stage(
             "owner_id", "lane", "depth", (F.col("depth") + F.greatest(F.lit(1), F.lit(batch_rows).cast("bigint") / F.col(
                 "lane_count")).cast("bigint")).alias("until"))
         # One state row per lane, and a lane may hold much of the table: copy the state row, spread the lane.
-        queue = salted_lookup(lanes, window, ["owner_id", "lane"], "inner").filter(
+        queue = lanes.join(window, ["owner_id", "lane"]).filter(
             "lane_rank >= depth and lane_rank < until")
         items = queue.selectExpr("owner_id", "0 as kind", "lane", "lane_rank as depth", "0L as size", "receipt_id",
                                  "tokens", "0L as position")
@@ -153,7 +153,7 @@ def select_stage(
     left = scored.select("owner_id", "receipt_id", F.col("tokens").cast("bigint").alias("tokens"),
                          (-F.col("salience")).alias("neg_salience"))
     left = left.join(picked.select("owner_id", "receipt_id"), ["owner_id", "receipt_id"], "left_anti")
-    left = salted_lookup(left, room.filter("room > 0"), ["owner_id"], "inner").filter("tokens <= room")
+    left = left.join(room.filter("room > 0"), ["owner_id"]).filter("tokens <= room")
     near = ranked(left, ["owner_id", "tokens"], ["neg_salience", "receipt_id"],
                   hash_chunks("receipt_id", prefix=("neg_salience",), skip=5), "place")
     near = near.filter(F.expr("place < room div tokens"))
@@ -168,7 +168,7 @@ def temporal_queue(segments: DataFrame) -> DataFrame:
     placed = ranked(segments, keys, ["first_date", "segment_hash"],
                     hash_chunks("segment_hash", prefix=("first_date",), digits=(3, 1)), "__place")
     counts = segments.groupBy(*keys).agg(F.count("*").alias("__count"))
-    return salted_lookup(placed, counts, keys, "inner").withColumn(
+    return placed.join(counts, keys).withColumn(
         "queue_position", outside_in(F.col("__place"), F.col("__count"))).drop("__place", "__count")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnmill import constants as K
 from turnmill.functions import calendar as C
 from turnmill.operators.lineage import walk
-from turnmill.operators.ordered import first_rows, integer_chunks, newest, running, salted_lookup, top_rows
+from turnmill.operators.ordered import first_rows, integer_chunks, newest, ranked, running, top_rows
+from turnmill.session import materialize
 
 PROVIDER_ID = "^[A-Za-z0-9_-]{1,128}$"
 ACCOUNT_ID = "^acct_[a-f0-9]{32}$"
@@ -68,27 +69,27 @@ def event_status(events: DataFrame, accounts: DataFrame | None = None) -> DataFr
     event is stale when an earlier arrival of its account has a later ``(effective_at, event_id)``: the running
     maximum decides, chunk by chunk, so one busy account needs no task of its own.
     """
-    first = events.groupBy("event_id").agg(F.min("arrival").alias("arrival"))
-    marked = events.join(first.select("arrival", F.lit(True).alias("is_first")), "arrival", "left")
+    first = events.groupBy("event_id").agg(F.min("arrival").alias("first_arrival"))
+    marked = events.join(first, "event_id").withColumn("is_first", F.col("arrival") == F.col("first_arrival"))
     if accounts is None:
         marked = marked.withColumn("known", F.lit(True))
     else:
         known = accounts.select("account_id").distinct().withColumn("known", F.lit(True))
-        marked = salted_lookup(marked, known, ["account_id"])
-    fresh = marked.filter("is_first and known")
-    owners = fresh.groupBy("customer_id").agg(F.min_by("account_id", "arrival").alias("customer_owner"))
-    tried = salted_lookup(fresh, owners, ["customer_id"], "inner").withColumn(
-        "conflict", F.col("customer_owner") != F.col("account_id"))
-    counted = running(
-        tried.filter("not conflict").drop("is_first", "known", "customer_owner", "conflict"), ["account_id"], ["arrival"],
-        integer_chunks("arrival"), maxes={"newest_before": F.struct("effective_at", "event_id")})
-    newer = F.col("newest_before").isNull() | (F.struct("effective_at", "event_id") > F.col("newest_before"))
-    columns = [*events.columns, "status"]
-    applied = counted.withColumn("status", F.when(newer, "applied").otherwise("stale")).select(*columns)
-    conflicts = tried.filter("conflict").withColumn("status", F.lit("customer-conflict")).select(*columns)
-    unknown = marked.filter("is_first and known is null").withColumn("status", F.lit("unknown-account")).select(*columns)
-    repeats = marked.filter("is_first is null").withColumn("status", F.lit("duplicate")).select(*columns)
-    return applied.unionByName(conflicts).unionByName(unknown).unionByName(repeats)
+        marked = marked.join(known, "account_id", "left")
+    marked = materialize(marked, "events")
+    fresh = F.col("is_first") & F.col("known").isNotNull()
+    owners = marked.filter(fresh).groupBy("customer_id").agg(F.min_by("account_id", "arrival").alias("customer_owner"))
+    owned = marked.join(owners, "customer_id", "left").withColumn("conflict", F.col("customer_owner") != F.col("account_id"))
+    # Only events that count can make a later one stale; the others take part with nothing to compare.
+    place = F.struct("effective_at", "event_id")
+    counts = fresh & ~F.coalesce("conflict", F.lit(False))
+    placed = running(materialize(owned, "events"), ["account_id"], ["arrival"], integer_chunks("arrival"),
+                     maxes={"newest_before": F.when(counts, place)})
+    status = (
+        F.when(~F.col("is_first"), "duplicate").when(F.col("known").isNull(), "unknown-account")
+        .when(F.col("conflict"), "customer-conflict")
+        .when(F.col("newest_before").isNull() | (place > F.col("newest_before")), "applied").otherwise("stale"))
+    return placed.withColumn("status", status).select(*events.columns, "status")
 
 
 def entitlements(events: DataFrame, order: tuple[str, str] = ("effective_at", "event_id")) -> DataFrame:
@@ -142,14 +143,29 @@ def retain_newest(rows: DataFrame, group: list[str], ident: str, keep: int = K.R
     return top_rows(rows, group, [F.desc(ident)], keep)
 
 
-def advance_heads(uploads: DataFrame, heads: DataFrame | None = None,
-                  max_steps: int = K.MAX_GENERATIONS) -> tuple[DataFrame, DataFrame]:
+def within_quota(uploads: DataFrame, stored: DataFrame | None = None, most: int = K.MAX_GENERATIONS) -> DataFrame:
+    """``uploads`` with ``accepted``: an account takes its first uploads, by arrival, up to ``most`` generations.
+
+    ``stored``: account_id, generations it holds already. An upload that repeats a generation takes no room.
+    """
+    key = ["account_id", "generation_id"]
+    new = first_rows(uploads.select(*key, "arrival"), key, ["arrival"])
+    placed = ranked(new, ["account_id"], ["arrival"], integer_chunks("arrival"), "place")
+    held = F.lit(0)
+    if stored is not None:
+        placed = placed.join(stored.select("account_id", F.col("generations").alias("held")), "account_id", "left")
+        held = F.coalesce("held", F.lit(0))
+    room = placed.select(*key, (F.col("place") + held < most).alias("accepted"))
+    return uploads.join(room, key)
+
+
+def advance_heads(uploads: DataFrame, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Replay uploads against each account's head: an upload moves it only if its parent is the head.
 
     ``uploads``: account_id, generation_id, parent_generation_id, arrival. ``heads``: where accounts stand before
     these uploads. Without a head the first root becomes it. From any head the next one is its first child to arrive
     after it, so each generation points at one successor and the moves are the path from the start. Returns the
-    uploads, without repeats, with ``head_advanced``, and the heads.
+    uploads, without repeats, with ``head_advanced``, and the heads. Uploads over quota are left out before (within_quota).
     """
     key = ["account_id", "generation_id"]
     stored = first_rows(uploads, key, ["arrival"])
@@ -160,13 +176,12 @@ def advance_heads(uploads: DataFrame, heads: DataFrame | None = None,
         parents = parents.join(heads.select(*key), key, "left_anti").unionByName(heads.select(
             *key, F.lit(-1).cast("bigint").alias("since")))
     parents = parents.withColumnRenamed("generation_id", "parent_generation_id")
-    children = salted_lookup(
-        stored.filter("parent_generation_id is not null"), parents, ["account_id", "parent_generation_id"], "inner")
+    children = stored.filter("parent_generation_id is not null").join(parents, ["account_id", "parent_generation_id"])
     following = children.filter("arrival > since").groupBy("account_id", "parent_generation_id").agg(
         F.min_by("generation_id", "arrival").alias("next"))
     pointers = following.select(F.col("account_id").alias("owner_id"), F.col("parent_generation_id").alias("node"), "next")
     starts = roots.select(F.col("account_id").alias("owner_id"), F.col("generation_id").alias("node"))
-    path = walk(pointers, starts, max_steps).select(
+    path = walk(pointers, starts).select(
         F.col("owner_id").alias("account_id"), F.col("node").alias("generation_id"), "steps")
     tips = path.groupBy("account_id").agg(F.max_by("generation_id", "steps").alias("generation_id"))
     moved = stored.join(path.select(*key, F.lit(True).alias("head_advanced")), key, "left").fillna(False, ["head_advanced"])

@@ -10,8 +10,7 @@ from turnmill.operators.ordered import first_rows, ranked
 from turnmill.sources.logs import MESSAGE_ORDER, message_chunks
 
 SESSION = ["owner_id", "session_id"]
-INLINE_CHARS = 64 * 1024 * 1024
-_FOLD = 1024
+_FOLD, _FOLDS = 1024, 4
 
 
 def dedupe_long(messages: DataFrame, min_chars: int = K.DEDUPE_MIN_CHARS) -> DataFrame:
@@ -82,26 +81,24 @@ def session_stats(messages: DataFrame) -> DataFrame:
     ).withColumn("tokens", T.estimate_tokens(F.col("block_chars")))
 
 
-def roll_up(messages: DataFrame, inline_chars: int = INLINE_CHARS) -> DataFrame:
-    """One row per session with its rendered text and the hash of that text.
+def content_hashes(messages: DataFrame) -> DataFrame:
+    """One hash per session over its messages in order, by one rule at every size.
 
-    A session above ``inline_chars`` does not fit one row: its ``text`` is null and its hash is taken over the digests
-    of its messages, folded a thousand at a time in order.
+    Each message is hashed with its date; digests are folded a thousand at a time, four times, and the header is hashed
+    with what is left. No task sees more than a thousand digests of a session at once, and no row holds its text.
     """
-    stats = session_stats(messages)
-    large = stats.filter(F.col("block_chars") > inline_chars).select(*SESSION)
-    small = messages.join(large, SESSION, "left_anti")
-    rendered = small.groupBy(*SESSION, "source").agg(
-        F.sort_array(F.collect_list(F.struct("ordinal", block_text().alias("block")))).alias("blocks"))
-    text = F.concat_ws("\n", header_text(), F.transform("blocks", lambda b: b["block"]))
-    rendered = rendered.select(*SESSION, text.alias("text")).withColumn("content_hash", I.sha256(F.col("text")))
-
-    level = messages.join(large, SESSION, "left_semi").select(
-        *SESSION, "ordinal", I.sha256(block_text()).alias("digest"))
-    for _ in range(4):
-        level = level.groupBy(*SESSION, F.floor(F.col("ordinal") / _FOLD).alias("__up")).agg(
+    level = messages.select(*SESSION, "source", F.col("ordinal").cast("bigint").alias("ordinal"), I.sha256(block_text()).alias("digest"))
+    for _ in range(_FOLDS):
+        level = level.groupBy(*SESSION, "source", F.floor(F.col("ordinal") / _FOLD).alias("__up")).agg(
             F.sort_array(F.collect_list(F.struct("ordinal", "digest"))).alias("parts"))
-        level = level.select(*SESSION, F.col("__up").alias("ordinal"), I.sha256(
+        level = level.select(*SESSION, "source", F.col("__up").alias("ordinal"), I.sha256(
             F.array_join(F.transform("parts", lambda p: p["digest"]), "")).alias("digest"))
-    digests = level.select(*SESSION, F.lit(None).cast("string").alias("text"), F.col("digest").alias("content_hash"))
-    return stats.join(rendered.unionByName(digests), SESSION)
+    return level.select(*SESSION, "source", I.sha256(F.concat_ws("\n", header_text(), F.col("digest"))).alias("content_hash"))
+
+
+def roll_up(messages: DataFrame) -> DataFrame:
+    """One row per session: size, dates and the hash of its content. Its text stays in the messages.
+
+    ``messages`` are numbered; write them first, as they are read twice here.
+    """
+    return session_stats(messages).join(content_hashes(messages), [*SESSION, "source"])

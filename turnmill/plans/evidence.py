@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnmill import constants as K
 from turnmill.functions import calendar as C, identity as I, text as T
-from turnmill.operators.ordered import newest, salted_lookup, top_rows
+from turnmill.operators.ordered import newest, top_rows
 
 _QUOTE = "struct<receipt_id:string,session_id:string,date:string,text:string>"
 _ITEM = (f"struct<evidence_id:string,domain:string,kind:string,register:string,scope:string,context:string,"
@@ -138,7 +138,7 @@ def unverbatim_quotes(reports: DataFrame, messages: DataFrame) -> DataFrame:
         F.coalesce("q.date", F.lit("")).alias("date"), T.strip(F.coalesce("q.text", F.lit(""))).alias("quote"))
     day = ["owner_id", "session_id", "date"]
     wanted = quotes.filter("quote != '' and date != ''").groupBy(*day).agg(F.collect_set("quote").alias("wanted"))
-    near = salted_lookup(messages.select(*day, "text"), wanted, day, "inner")
+    near = messages.select(*day, "text").join(wanted, day)
     found = near.select(*day, F.explode(F.filter("wanted", lambda q: F.contains(F.col("text"), q))).alias("quote")).distinct()
     return quotes.join(found, [*day, "quote"], "left_anti").select(
         "owner_id", "report_id", F.lit(1).alias("phase"), "item", F.lit(9).alias("step"),
@@ -246,7 +246,7 @@ def rule_support(rules: DataFrame, evidence: DataFrame) -> DataFrame:
         "owner_id", "evidence_id", "sessions", "strata", "quote_count", "contradictions", F.col("kind").alias("e_kind"),
         F.col("register").alias("e_register"), F.col("domain").alias("e_domain"), F.col("scope").alias("e_scope"))
     # One id may back much of the rules, so the evidence row is copied rather than the rules gathered.
-    joined = salted_lookup(named, facts, ["owner_id", "evidence_id"], "left")
+    joined = named.join(facts, ["owner_id", "evidence_id"], "left")
     key = ["owner_id", "rule_id"]
     base = joined.groupBy(*key).agg(
         F.count("*").alias("evidence_items"), F.count_if(F.col("e_kind").isNull()).alias("missing"),

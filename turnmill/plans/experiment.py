@@ -8,7 +8,7 @@ from turnmill import constants as K
 from turnmill.functions import identity as I
 from turnmill.functions.stats import wilson
 from turnmill.functions.text import any_of
-from turnmill.operators.ordered import newest, salted_lookup
+from turnmill.operators.ordered import newest
 
 
 def _stable_id(prefix: str, fields: dict[str, Column]) -> Column:
@@ -234,7 +234,7 @@ def attempt_issues(attempts: DataFrame, authorizations: DataFrame, cells: DataFr
             "final"))
     frozen = cells.select("cell_id", *[F.col(c).alias(f"want_{c}") for c in IDENTITY], F.lit(True).alias("known"))
     facts = frozen.join(allowed, "cell_id", "left").join(first.groupBy("cell_id").agg(F.max("final").alias("final")), "cell_id", "left")
-    rows = salted_lookup(attempts, facts, ["cell_id"])
+    rows = attempts.join(facts, ["cell_id"], "left")
     differs = any_of([~F.col(c).eqNullSafe(F.col(f"want_{c}")) for c in IDENTITY])
     second = F.col("attempt_no") == 2
     problem = (

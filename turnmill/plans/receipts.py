@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnmill import constants as K
 from turnmill.functions import calendar as C, identity as I, markers as M, text as T
 from turnmill.operators.digest import set_digest
-from turnmill.operators.ordered import integer_chunks, ranked, salted_lookup
+from turnmill.operators.ordered import integer_chunks, ranked
 from turnmill.operators.packing import pack_greedy
 from turnmill.operators.selection import select_stage
 from turnmill.session import materialize
@@ -53,7 +53,7 @@ def score(receipts: DataFrame, word_boundary: bool = False) -> DataFrame:
     print_key = ["owner_id", "__print_hash"]
     sessions = marked.select(*print_key, "session_id").distinct().groupBy(*print_key).agg(
         F.count("*").cast("int").alias("recurrence_sessions"))
-    joined = salted_lookup(marked, sessions, print_key, "inner")
+    joined = marked.join(sessions, print_key)
     scored = joined.withColumns({
         "salience": M.salience(F.col("__signals"), F.col("recurrence_sessions")),
         "signal_families": M.signal_families(F.col("__signals"), F.col("recurrence_sessions")),
@@ -156,7 +156,7 @@ def next_stage(scored: DataFrame, first_selected: DataFrame, drafts: DataFrame):
     """
     weak = drafts.filter("needs_deepening").groupBy("owner_id").agg(
         F.sort_array(F.collect_set("domain")).alias("planned_domains"))
-    eligible = salted_lookup(scored, weak, ["owner_id"], "inner").filter(
+    eligible = scored.join(weak, ["owner_id"]).filter(
         F.arrays_overlap("domain_hints", "planned_domains"))
     selected, packet_rows = stage_plan(eligible.drop("planned_domains"), "B", first_selected)
     return weak, selected, packet_rows

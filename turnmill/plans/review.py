@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnmill import constants as K
 from turnmill.functions import calendar as C, identity as I, text as T
 from turnmill.operators.lineage import walk
-from turnmill.operators.ordered import newest, salted_lookup, top_rows
+from turnmill.operators.ordered import newest, top_rows
 
 UTC_SECONDS = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 HEX = {n: f"^[a-f0-9]{{{n}}}$" for n in (16, 64)}
@@ -186,7 +186,7 @@ def record_decisions(candidates: DataFrame, verdicts: DataFrame, namespace: str
     An approval is refused where the policy rejects the candidate, and any verdict on an unknown candidate.
     """
     known = with_policy(candidates).select("owner_id", "candidate_id", "policy_class")
-    joined = salted_lookup(verdicts, known, ["owner_id", "candidate_id"]).withColumn(
+    joined = verdicts.join(known, ["owner_id", "candidate_id"], "left").withColumn(
         "schema_version", F.lit(schema_name("decision", namespace)))
     refused = F.coalesce(F.col("policy_class").isNull() | (
         (F.col("decision") == "approve") & (F.col("policy_class") == "reject")), F.lit(True))
@@ -215,30 +215,34 @@ def active_statements(members: DataFrame, chosen: DataFrame, candidates: DataFra
     return ids.join(candidates.select("owner_id", "candidate_id", "domain", "statement"), ["owner_id", "candidate_id"])
 
 
-def rollback(generations: DataFrame, heads: DataFrame, targets: DataFrame, max_steps: int = K.MAX_GENERATIONS) -> DataFrame:
+def rollback(generations: DataFrame, heads: DataFrame, targets: DataFrame) -> DataFrame:
     """Whether each owner may go back to its target: the target must be a strict ancestor of the head."""
     pointers = generations.select("owner_id", F.col("generation_id").alias("node"), F.col("parent_generation_id").alias("next"))
-    reached = walk(pointers, heads.select("owner_id", F.col("generation_id").alias("node")), max_steps)
+    reached = walk(pointers, heads.select("owner_id", F.col("generation_id").alias("node")))
     ancestors = reached.filter("steps > 0").select("owner_id", F.col("node").alias("generation_id")).distinct()
     hit = ancestors.withColumn("is_ancestor", F.lit(True))
     return targets.join(hit, ["owner_id", "generation_id"], "left").fillna(False, ["is_ancestor"])
 
 
 def pull_status(generations: DataFrame, local: DataFrame, remote: DataFrame, max_steps: int = K.MAX_GENERATIONS) -> DataFrame:
-    """Per owner: unchanged, activated when the remote head descends from the local one, or conflict.
+    """Per owner: unchanged, activated when the remote head descends from the local one, conflict, or chain-too-long.
 
-    ``local`` and ``remote``: owner_id, generation_id; an owner without a local head takes any remote one.
+    ``local`` and ``remote``: owner_id, generation_id; an owner without a local head takes any remote one. A local head
+    that is not among the ``max_steps`` nearest ancestors of a longer chain is an error of the chain, not a conflict.
     """
     both = remote.select("owner_id", F.col("generation_id").alias("remote")).join(
         local.select("owner_id", F.col("generation_id").alias("local")), "owner_id", "full_outer")
     pointers = generations.select("owner_id", F.col("generation_id").alias("node"), F.col("parent_generation_id").alias("next"))
-    reached = walk(pointers, remote.select("owner_id", F.col("generation_id").alias("node")), max_steps)
-    on_path = reached.select("owner_id", F.col("node").alias("local")).distinct().withColumn("descends", F.lit(True))
+    reached = walk(pointers, remote.select("owner_id", F.col("generation_id").alias("node")), max_steps + 1)
+    near = F.col("steps") <= max_steps
+    on_path = reached.filter(near).select("owner_id", F.col("node").alias("local")).distinct().withColumn("descends", F.lit(True))
+    long = reached.filter(~near).select("owner_id").distinct().withColumn("long", F.lit(True))
     status = (
         F.when(F.col("remote").isNull() | F.col("remote").eqNullSafe(F.col("local")), "unchanged")
         .when(F.col("local").isNull() | F.col("descends"), "activated")
+        .when(F.col("long"), "chain-too-long")
         .otherwise("conflict"))
-    return both.join(on_path, ["owner_id", "local"], "left").select("owner_id", "local", "remote", status.alias("status"))
+    return both.join(on_path, ["owner_id", "local"], "left").join(long, "owner_id", "left").select("owner_id", "local", "remote", status.alias("status"))
 
 
 # --- contracts -------------------------------------------------------------

@@ -25,7 +25,7 @@ def seal(sessions: DataFrame, target_tokens: int) -> DataFrame:
         narrow, ["owner_id", "source"], ["first_date", "session_id"],
         hash_chunks("session_id", prefix=("first_date",), digits=(3, 1)), "tokens", target_tokens)
     members = packed.select(*SESSION, "bin_start").join(sessions, SESSION)
-    member = F.struct("first_date", "session_id", "content_hash", "text")
+    member = F.struct("first_date", "session_id", "content_hash")
     grouped = members.groupBy("owner_id", "source", "bin_start").agg(
         F.sort_array(F.collect_list(member)).alias("members"), F.sum("tokens").alias("source_tokens"),
         F.coalesce(F.min(C.known(F.col("first_date"))), F.lit(C.UNDATED)).alias("first_date"),
@@ -35,10 +35,8 @@ def seal(sessions: DataFrame, target_tokens: int) -> DataFrame:
     identity = I.canonical_json({
         "schema_version": F.lit(K.SEGMENT_VERSION), "extraction_schema_version": F.lit(K.EXTRACTION_VERSION),
         "target_tokens": F.lit(target_tokens), "sessions": versions})
-    text = F.array_join(F.transform("members", lambda m: m["text"]), "\n")
     single = F.size("members") == 1
-    # The text of a one-session segment is the session's, whose hash is known even where its text fits no row.
-    text_hash = F.when(single, F.element_at("members", 1)["content_hash"]).otherwise(I.sha256(text))
+    text_hash = I.sha256(F.array_join(F.transform("members", lambda m: m["content_hash"]), "\n"))
     return grouped.select(
         "owner_id", I.sha256(identity).alias("segment_hash"), F.lit(True).alias("active"), "source", "first_date",
         "last_date", "source_tokens", text_hash.alias("text_hash"), versions.alias("session_versions"),
@@ -72,14 +70,12 @@ def sync(segments: DataFrame, sessions: DataFrame, target_tokens: int) -> DataFr
 
 def broken_segments(segments: DataFrame, sessions: DataFrame) -> DataFrame:
     """Segments whose sessions or text no longer match what they were sealed from."""
-    current = sessions.select(*SESSION, F.col("content_hash").alias("current_hash"), "text")
+    current = sessions.select(*SESSION, F.col("content_hash").alias("current_hash"))
     rows = versions_of(segments).join(current, SESSION, "left")
-    member = F.struct("place", "text")
     seen = rows.groupBy(*SEGMENT).agg(
         F.bool_or(~F.col("content_hash").eqNullSafe(F.col("current_hash"))).alias("missing"),
-        F.sort_array(F.collect_list(member)).alias("members"), F.max("current_hash").alias("only_hash"))
-    text_hash = F.when(F.size("members") == 1, F.col("only_hash")).otherwise(
-        I.sha256(F.array_join(F.transform("members", lambda m: m["text"]), "\n")))
+        F.sort_array(F.collect_list(F.struct("place", "current_hash"))).alias("members"))
+    text_hash = I.sha256(F.array_join(F.transform("members", lambda m: m["current_hash"]), "\n"))
     problem = F.when(F.col("missing"), "missing-session").when(text_hash != F.col("text_hash"), "text-mismatch")
     return seen.join(segments.select(*SEGMENT, "text_hash"), SEGMENT).select(
         *SEGMENT, problem.alias("problem")).filter("problem is not null")

@@ -198,19 +198,19 @@ def _uploads(spark, folder):
 WITH RECURSIVE {UPLOADS_SQL}, heads AS (SELECT account_id, max(node) AS node FROM uploads GROUP BY account_id),
 chain(account_id, start, node, steps) AS (
   SELECT account_id, node, node, 0 FROM heads
-  UNION ALL SELECT c.account_id, c.start, u.parent, c.steps + 1 FROM chain c JOIN uploads u USING (node) WHERE u.parent IS NOT NULL AND c.steps < 500)
+  UNION ALL SELECT c.account_id, c.start, u.parent, c.steps + 1 FROM chain c JOIN uploads u USING (node) WHERE u.parent IS NOT NULL)
 SELECT CAST(account_id AS VARCHAR) AS owner_id, start, node, CAST(steps AS BIGINT) AS steps FROM chain""")
 def lineage_ancestors(spark, folder):
     pointers = materialize(_uploads(spark, folder), "uploads")
     heads = pointers.groupBy("owner_id").agg(F.max("node").alias("node"))
-    return walk(pointers, heads, K.MAX_GENERATIONS).withColumn("steps", F.col("steps").cast("bigint"))
+    return walk(pointers, heads).withColumn("steps", F.col("steps").cast("bigint"))
 
 
 @query("pull_status", f"""
 WITH RECURSIVE {UPLOADS_SQL}, heads AS (SELECT account_id, max(node) AS node FROM uploads GROUP BY account_id),
 chain(account_id, node, steps) AS (
   SELECT account_id, node, 0 FROM heads
-  UNION ALL SELECT c.account_id, u.parent, c.steps + 1 FROM chain c JOIN uploads u USING (node) WHERE u.parent IS NOT NULL AND c.steps < 500),
+  UNION ALL SELECT c.account_id, u.parent, c.steps + 1 FROM chain c JOIN uploads u USING (node) WHERE u.parent IS NOT NULL),
 local AS (SELECT account_id, max(node) - CASE account_id % 3 WHEN 0 THEN 0 ELSE 300 + account_id % 5 END AS node FROM uploads GROUP BY account_id)
 SELECT CAST(h.account_id AS VARCHAR) AS owner_id, l.node AS local, h.node AS remote,
        CASE WHEN l.node = h.node THEN 'unchanged' WHEN EXISTS (SELECT 1 FROM chain c WHERE c.account_id = h.account_id AND c.node = l.node) THEN 'activated'
@@ -230,7 +230,7 @@ arrived AS (SELECT *, row_number() OVER (ORDER BY moved, node) AS arrival FROM u
 following AS (SELECT p.account_id, p.node, arg_min(c.node, c.arrival) AS next FROM arrived p JOIN arrived c ON c.parent = p.node AND c.arrival > p.arrival GROUP BY ALL),
 path(account_id, node, steps) AS (
   SELECT account_id, arg_min(node, arrival), 0 FROM arrived WHERE parent IS NULL GROUP BY account_id
-  UNION ALL SELECT p.account_id, f.next, p.steps + 1 FROM path p JOIN following f USING (node) WHERE p.steps < 500)
+  UNION ALL SELECT p.account_id, f.next, p.steps + 1 FROM path p JOIN following f USING (node))
 SELECT CAST(a.account_id AS VARCHAR) AS account_id, a.node AS generation_id, p.node IS NOT NULL AS head_advanced FROM arrived a LEFT JOIN path p USING (node)""")
 def advance_heads(spark, folder):
     rows = _uploads(spark, folder).withColumn("all", F.lit(0))
@@ -241,6 +241,19 @@ def advance_heads(spark, folder):
     return moved.select("account_id", "generation_id", "head_advanced")
 
 
+@query("upload_quota", f"""
+WITH {UPLOADS_SQL}, arrived AS (SELECT *, row_number() OVER (ORDER BY moved, node) AS arrival FROM uploads)
+SELECT CAST(account_id AS VARCHAR) AS account_id, node AS generation_id,
+       row_number() OVER (PARTITION BY account_id ORDER BY arrival) - 1 + CASE WHEN account_id % 2 = 0 THEN 100 ELSE 0 END < 200 AS accepted FROM arrived""")
+def upload_quota(spark, folder):
+    rows = _uploads(spark, folder).withColumn("all", F.lit(0))
+    placed = materialize(ranked(rows, ["all"], ["moved", "node"], integer_chunks("moved"), "arrival"), "uploads")
+    uploads = placed.select(F.col("owner_id").alias("account_id"), F.col("node").alias("generation_id"), "arrival")
+    stored = uploads.select("account_id").distinct().withColumn(
+        "generations", F.when(F.col("account_id").cast("int") % 2 == 0, 100).otherwise(0))
+    return accounts.within_quota(uploads, stored, 200).select("account_id", "generation_id", "accepted")
+
+
 # --- review ----------------------------------------------------------------
 # A part is a candidate, its line items are the evidence, the orders of the customer with its number decide.
 

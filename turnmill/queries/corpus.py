@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from turnmill import constants as K
@@ -10,6 +12,9 @@ from turnmill.plans import corpus
 from turnmill.queries import sqltext as S
 from turnmill.queries.inputs import CONV_SQL, DOCS_SQL, conversation_messages, document_messages
 from turnmill.queries.registry import query, table
+from turnmill.session import materialize, run_folder
+from turnmill.sinks import corpus as sink
+from turnmill.sources.corpus_text import messages_from_corpus, read_corpus_lines
 
 # The first copy of a long text stays; sessions are read in order of their number.
 KEPT_SQL = """
@@ -28,14 +33,19 @@ mined AS (
   FROM (SELECT *, {clean} AS clean FROM kept)
 )"""
 MINED = MINED_SQL.format(clean=_CLEAN)
-ROLLED_SQL = """
+_FOLDS_SQL = ",\n".join(
+    f"""fold{n} AS (SELECT owner_id, session_id, source, place // 1024 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest
+  FROM (SELECT owner_id, session_id, source, place AS place, digest FROM fold{n - 1}) GROUP BY owner_id, session_id, source, place // 1024)"""
+    for n in range(1, 5))
+ROLLED_SQL = f"""
+fold0 AS (SELECT owner_id, session_id, source, ordinal AS place, sha256('[' || date || ']' || chr(10) || text) AS digest FROM mined),
+{_FOLDS_SQL},
 rolled AS (
-  SELECT owner_id, session_id, source, coalesce(min(nullif(date, 'undated')), 'undated') AS first_date,
+  SELECT m.owner_id, m.session_id, m.source, coalesce(min(nullif(date, 'undated')), 'undated') AS first_date,
          coalesce(max(nullif(date, 'undated')), 'undated') AS last_date, count(*) AS message_count,
          CAST(greatest(1, sum(length(date) + length(text) + 3) // 4) AS BIGINT) AS tokens,
-         '===== session:' || session_id || ' source:' || source || ' =====' || chr(10) ||
-           string_agg('[' || date || ']' || chr(10) || text, chr(10) ORDER BY ordinal) AS text
-  FROM mined GROUP BY owner_id, session_id, source
+         sha256('===== session:' || m.session_id || ' source:' || m.source || ' =====' || chr(10) || any_value(f.digest)) AS content_hash
+  FROM mined m JOIN fold4 f USING (owner_id, session_id, source) GROUP BY m.owner_id, m.session_id, m.source
 )"""
 
 
@@ -63,12 +73,37 @@ def document_corpus_stats(spark, folder):
 
 @query("session_rollup", f"""
 WITH {CONV_SQL}, {CONV_KEPT}, {MINED}, {ROLLED_SQL}
-SELECT owner_id, session_id, source, first_date, last_date, message_count, tokens, sha256(text) AS content_hash FROM rolled""")
+SELECT owner_id, session_id, source, first_date, last_date, message_count, tokens, content_hash FROM rolled""")
 def session_rollup(spark, folder):
-    return corpus.roll_up(corpus.mine(conversation_messages(spark, folder))).select(
+    mined = materialize(corpus.mine(conversation_messages(spark, folder)), "messages")
+    return corpus.roll_up(mined).select(
         "owner_id", "session_id", "source", "first_date", "last_date", "message_count", "tokens", "content_hash")
 
 
+_BACK = f"""
+WITH {CONV_SQL}, {CONV_KEPT}, {MINED}
+SELECT session_id, source, date, sha256(text) AS text_hash FROM mined"""
+
+
+def _read_back(spark, path):
+    return messages_from_corpus(read_corpus_lines(spark, path)).select("session_id", "source", "date", I.sha256(F.col("text")).alias("text_hash"))
+
+
+@query("corpus_files", _BACK)
+def corpus_files(spark, folder):
+    """The corpus written to files, and the messages read back from them."""
+    path = f"{run_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    sink.write_corpus(materialize(corpus.mine(conversation_messages(spark, folder)), "messages"), path)
+    return _read_back(spark, path)
+
+
+@query("chunk_files", _BACK)
+def chunk_files(spark, folder):
+    path = f"{run_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    sink.write_chunks(materialize(corpus.mine(conversation_messages(spark, folder)), "messages"), path)
+    return _read_back(spark, path)
+
+
 @query("dedupe_long", f"""
 WITH {DOCS_SQL}, {DOCS_KEPT}
 SELECT owner_id, session_id, line_id, sha256(text) AS text_hash FROM kept""")
@@ -90,14 +125,14 @@ def message_ordinals(spark, folder):
 SELECT doc_id, sha256(clean) AS clean_hash, clean <> text AS redacted FROM (SELECT doc_id, text, {_CLEAN} AS clean FROM documents)""")
 def redact_documents(spark, folder):
     clean = T.redact(F.col("text"))
-    return table(spark, folder, "documents", spread=True).withColumn("clean", clean).select(
+    return table(spark, folder, "documents").withColumn("clean", clean).select(
         "doc_id", I.sha256(F.col("clean")).alias("clean_hash"), (F.col("clean") != F.col("text")).alias("redacted"))
 
 
 @query("redact_pages", f"""
 SELECT page_id, sha256(clean) AS clean_hash, clean <> html AS redacted FROM (SELECT page_id, html, {S.redact('html')} AS clean FROM pages)""")
 def redact_pages(spark, folder):
-    return table(spark, folder, "pages", spread=True).withColumn("clean", T.redact(F.col("html"))).select(
+    return table(spark, folder, "pages").withColumn("clean", T.redact(F.col("html"))).select(
         "page_id", I.sha256(F.col("clean")).alias("clean_hash"), (F.col("clean") != F.col("html")).alias("redacted"))
 
 
@@ -112,7 +147,7 @@ _SQL_RULES = [(name, S.PHONE if name.endswith("[PHONE]") else p.replace("(?U)",
 def redaction_rule_hits(spark, folder):
     # One pass: every document lists the rules it meets, and the empty rules come from the same listing.
     hits = F.array(*[F.struct(F.lit(n).alias("rule"), F.col("text").rlike(p).alias("hit")) for n, p in _RULES])
-    rows = table(spark, folder, "documents", spread=True).select(F.length("text").alias("n"), F.inline(hits))
+    rows = table(spark, folder, "documents").select(F.length("text").alias("n"), F.inline(hits))
     return rows.groupBy("rule").agg(
         F.count_if("hit").alias("hits"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).cast("bigint").alias("chars"))
 
@@ -133,7 +168,7 @@ def _noisy(spark, folder):
         F.when(n % 11 == 0, F.concat(F.lit("  <summary>"), text))
         .when(n % 13 == 0, F.replace(text, F.lit(". "), F.lit(".\n    at app.run ")))
         .when(n % 7 == 0, F.replace(text, F.lit(", "), F.lit("\nmain.py:7 "))).otherwise(text))
-    return table(spark, folder, "documents", spread=True).select("doc_id", noisy.alias("text"))
+    return table(spark, folder, "documents").select("doc_id", noisy.alias("text"))
 
 
 @query("noise_flags", f"""
@@ -168,7 +203,7 @@ SELECT conv_id, turn, length(clean) AS chars, sha256(clean) AS clean_hash FROM (
       SELECT *, [{', '.join(S.quote(t) for t in _TAGS)}][turn % {len(_TAGS)} + 1] AS tag FROM conversations)))""")
 def strip_envelopes(spark, folder):
     tag = F.element_at(F.array(*[F.lit(t) for t in _TAGS]), (F.col("turn") % len(_TAGS) + 1).cast("int"))
-    rows = table(spark, folder, "conversations", spread=True).withColumn("tag", tag)
+    rows = table(spark, folder, "conversations").withColumn("tag", tag)
     wrapped = F.format_string('<%s id="1">%s</%s> %s', "tag", "text", "tag", "role")
     image = F.format_string('<image name="a">%s</image> <%s>', "text", "tag")
     clean = T.strip_envelopes(F.when(F.col("conv_id") % 2 == 0, wrapped).otherwise(image))
@@ -191,7 +226,7 @@ SELECT doc_id, CAST({S.tokens('length(text)')} AS BIGINT) AS tokens, len({S.usag
 FROM documents""")
 def text_measures(spark, folder):
     t = F.col("text")
-    return table(spark, folder, "documents", spread=True).select(
+    return table(spark, folder, "documents").select(
         "doc_id", T.estimate_tokens(F.length(t)).alias("tokens"), F.size(T.usage_words(t)).cast("bigint").alias("distinct_words"),
         T.word_count(t).cast("bigint").alias("words"), I.sha256(T.usage_form(t)).alias("usage_hash"),
         I.sha256(F.array_join(T.salience_tokens(t), " ")).alias("fingerprint_hash"),

@@ -35,7 +35,7 @@ def log_lines(spark, folder):
     line = F.when(c == 0, F.to_json(codex)).when(c == 1, F.to_json(claude)).when(c == 2, F.to_json(copilot)).when(
         c == 3, F.to_json(typed)).otherwise(F.to_json(plain))
     folder_name = F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in _PATHS.items()])
-    return table(spark, folder, "conversations", spread=True).select(
+    return table(spark, folder, "conversations").select(
         F.when((F.col("conv_id") + F.col("turn")) % 7 == 4, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line).alias("value"),
         F.concat(folder_name, F.lit("/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file_path"),
         F.lit(0).cast("bigint").alias("block_start"), F.col("turn").alias("line_id"), F.lit(None).cast("timestamp").alias("modified"))
@@ -66,7 +66,7 @@ SELECT 's' || conv_id AS store_session, CAST(row_number() OVER (PARTITION BY con
        strftime(DATE '2026-01-01' + CAST(turn AS INTEGER), '%Y-%m-%d') AS date, sha256(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) AS text_hash
 FROM parts WHERE role = 'user' AND trim(line) <> ''""")
 def store_tables(spark, folder):
-    c = table(spark, folder, "conversations", spread=True).withColumn("id", F.format_string("m%08d-%04d", "conv_id", "turn"))
+    c = table(spark, folder, "conversations").withColumn("id", F.format_string("m%08d-%04d", "conv_id", "turn"))
     start = 1767225600000  # 2026-01-01 in ms
     messages = c.select(
         "id", F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"),

@@ -188,9 +188,9 @@ FROM {rolled} WINDOW g AS (PARTITION BY owner_id, source ORDER BY first_date, se
   SELECT x.owner_id, x.source, count(*) AS sessions, CAST(sum(tokens) AS BIGINT) AS source_tokens,
          coalesce(min(nullif(first_date, 'undated')), 'undated') AS first_date,
          coalesce(max(nullif(last_date, 'undated')), 'undated') AS last_date,
-         sha256(string_agg(text, chr(10) ORDER BY x.n)) AS text_hash,
+         sha256(string_agg(content_hash, chr(10) ORDER BY x.n)) AS text_hash,
          count(*) = 1 AND sum(tokens) > {_TARGET} AS oversize, list(x.session_id ORDER BY x.n) AS members,
-         sha256('{{"extraction_schema_version":"2","schema_version":"1","sessions":[' || string_agg('{{"content_hash":"' || sha256(text) ||
+         sha256('{{"extraction_schema_version":"2","schema_version":"1","sessions":[' || string_agg('{{"content_hash":"' || content_hash ||
            '","session_id":"' || session_id || '"}}', ',' ORDER BY x.n) || '],"target_tokens":{_TARGET}}}') AS segment_hash
   FROM {prefix}rows x ASOF JOIN {prefix}bins b ON x.grp = b.grp AND x.n >= b.start_n GROUP BY x.owner_id, x.source, b.start_n
 )"""
@@ -219,7 +219,7 @@ def segment_seal(spark, folder):
 
 
 # One session in ten is edited, and one in fifteen was not there before.
-_EDITED = "CASE WHEN CAST('0x' || substr(session_id, 1, 4) AS INTEGER) % 10 = 0 THEN text || '!' ELSE text END"
+_EDITED = "CASE WHEN CAST('0x' || substr(session_id, 1, 4) AS INTEGER) % 10 = 0 THEN sha256(content_hash || '!') ELSE content_hash END"
 _NEW = "CAST('0x' || substr(session_id, 1, 4) AS INTEGER) % 15 = 1"
 
 
@@ -229,18 +229,18 @@ def _draw(modulus: int):
 
 def _before_and_after(spark, folder):
     now = materialize(corpus.roll_up(mined_documents(spark, folder)), "sessions")
-    was = now.filter(_draw(15) != 1).withColumn("text", F.when(_draw(10) == 0, F.concat("text", F.lit("!"))).otherwise(
-        F.col("text"))).withColumn("content_hash", sha256(F.col("text")))
+    was = now.filter(_draw(15) != 1).withColumn("content_hash", F.when(
+        _draw(10) == 0, sha256(F.concat("content_hash", F.lit("!")))).otherwise(F.col("content_hash")))
     return was, now
 
 
 _SYNC = f"""
 WITH RECURSIVE {MINED_DOCS}, {ROLLED_SQL},
-was AS (SELECT * EXCLUDE (text), {_EDITED} AS text FROM rolled WHERE NOT ({_NEW})), {_seal_sql('o', 'was')},
+was AS (SELECT * EXCLUDE (content_hash), {_EDITED} AS content_hash FROM rolled WHERE NOT ({_NEW})), {_seal_sql('o', 'was')},
 held AS (SELECT owner_id, segment_hash, unnest(members) AS session_id FROM osegments),
 stale AS (SELECT DISTINCT h.owner_id, h.segment_hash FROM held h
           LEFT JOIN rolled r USING (owner_id, session_id) LEFT JOIN was w USING (owner_id, session_id)
-          WHERE r.text IS DISTINCT FROM w.text),
+          WHERE r.content_hash IS DISTINCT FROM w.content_hash),
 represented AS (SELECT h.owner_id, h.session_id FROM held h ANTI JOIN stale USING (owner_id, segment_hash)),
 todo AS (SELECT * FROM rolled ANTI JOIN represented USING (owner_id, session_id)), {_seal_sql('f', 'todo')}"""
 

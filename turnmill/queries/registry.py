@@ -24,12 +24,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
-    """A driver table. ``spread`` deals its rows out where it has fewer files than the session has cores.
-
-    A single small file is one task, which leaves the other cores idle in front of heavy expressions. A table of many
-    files is read as it is, with no shuffle.
-    """
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if spread and len(rows.inputFiles()) < cores else rows
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A driver table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")

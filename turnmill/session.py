@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.legacy.timeParserPolicy": "CORRECTED",
+    # A table of few files is split among all cores as far as its row groups allow.
+    "spark.sql.files.minPartitionNum": "64",
 }
 
 
@@ -26,21 +27,29 @@ def build_session(app: str = "turnmill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-_LOCAL_DIRS: dict[str, str] = {}
+_RUN_FOLDERS: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or beside the tables of the warehouse.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a temporary folder, one per
-    application, because other hosts cannot read it.
+    Both can be reached from every executor, on a cluster and on one machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _LOCAL_DIRS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="turnmill-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/turnmill-checkpoints"
+    return named.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder for intermediate tables. Spark deletes it when the application ends."""
+    run = spark.sparkContext.applicationId
+    if run not in _RUN_FOLDERS:
+        folder = f"{work_dir(spark)}/turnmill/{run}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _RUN_FOLDERS[run] = folder
+    return _RUN_FOLDERS[run]
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -48,7 +57,7 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
 
     The written table cuts the lineage, survives a lost executor, and later readers prune its columns.
     """
-    path = f"{work_dir(df.sparkSession)}/turnmill/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

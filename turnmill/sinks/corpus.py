@@ -6,24 +6,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from turnmill.operators.ordered import hash_chunks, integer_chunks, ranked
 from turnmill.operators.packing import pack_greedy
+from turnmill.plans.corpus import SESSION, block_text, header_text, session_stats
+from turnmill.session import materialize
 
+#: Messages of a session that stay in one file.
+PART_MESSAGES = 1 << 16
 
-def write_corpus(sessions: DataFrame, path: str) -> None:
-    """One block per session, a folder per owner and source, each session whole in one file."""
-    ordered = sessions.repartitionByRange("owner_id", "source", "first_date", "session_id").sortWithinPartitions(
-        "owner_id", "source", "first_date", "session_id")
-    ordered.select("owner_id", "source", F.col("text").alias("value")).write.mode("overwrite").partitionBy(
-        "owner_id", "source").text(path)
 
+def corpus_lines(messages: DataFrame) -> DataFrame:
+    """Numbered messages with the text they have in a corpus.
+
+    A session is written in parts of ``PART_MESSAGES``, each under the session's header, so that a large one can go on in
+    another file and still be read.
+    """
+    value = F.when(F.col("ordinal") % PART_MESSAGES == 0, F.concat_ws("\n", header_text(), block_text())).otherwise(block_text())
+    return messages.withColumns({"value": value, "part": F.floor(F.col("ordinal") / PART_MESSAGES)})
+
+
+def _write_parts(rows: DataFrame, path: str, folders: list[str], order: list[str]) -> None:
+    """Text files per folder, in order; a session of any size runs on from one file into the next."""
+    keys = [*folders, *order, "part"]
+    rows.select(*keys, "ordinal", "value").repartitionByRange(*keys).sortWithinPartitions(*keys, "ordinal").select(
+        *folders, "value").write.mode("overwrite").partitionBy(*folders).text(path)
 
-def write_corpus_lines(messages: DataFrame, path: str) -> None:
-    """The same text from numbered messages, for corpora with sessions too large for one row."""
-    head = F.concat(F.lit("===== session:"), F.col("session_id"), F.lit(" source:"), F.col("source"), F.lit(" ====="))
-    block = F.concat(F.lit("["), F.col("date"), F.lit("]\n"), F.col("text"))
-    value = F.when(F.col("ordinal") == 0, F.concat_ws("\n", head, block)).otherwise(block)
-    keys = ["owner_id", "session_id", "ordinal"]
-    messages.select(*keys, value.alias("value")).repartitionByRange(*keys).sortWithinPartitions(*keys).select(
-        "value").write.mode("overwrite").text(path)
+
+def write_corpus(messages: DataFrame, path: str) -> None:
+    """One block per session from numbered messages, a folder per owner and source, in order of date and session."""
+    dates = session_stats(messages).select(*SESSION, "source", "first_date")
+    rows = corpus_lines(messages).join(dates, [*SESSION, "source"])
+    _write_parts(rows, path, ["owner_id", "source"], ["first_date", "session_id"])
 
 
 def chunk_sessions(sessions: DataFrame, total_chars: int, chunks: int) -> DataFrame:
@@ -42,15 +53,19 @@ def chunk_sessions(sessions: DataFrame, total_chars: int, chunks: int) -> DataFr
         "chunk", F.format_string("chunk-%02d", F.col("place") + 1)).drop("bin_start", "place")
 
 
-def write_chunks(sessions: DataFrame, path: str, chunks: int = 20) -> None:
-    """About ``chunks`` text files on session boundaries."""
-    sized = sessions.withColumn("chars", F.length("text").cast("bigint"))
+def session_chars(messages: DataFrame) -> DataFrame:
+    """Length of each session's block: header, and a line break before every message."""
+    stats = session_stats(messages)
+    return stats.withColumn("chars", (F.length(header_text()) + F.col("message_count") + F.col("block_chars")).cast("bigint"))
+
+
+def write_chunks(messages: DataFrame, path: str, chunks: int = 20) -> None:
+    """About ``chunks`` folders of text files on session boundaries, from numbered messages."""
+    sized = materialize(session_chars(messages), "session-chars")
     total = sized.agg(F.sum("chars")).first()[0] or 0
-    placed = chunk_sessions(sized, total, chunks)
-    out = placed.select("owner_id", "session_id", "chunk").join(sessions, ["owner_id", "session_id"])
-    keys = ["owner_id", "chunk", "source", "first_date", "session_id"]
-    out.repartitionByRange("owner_id", "chunk").sortWithinPartitions(*keys).select(
-        "owner_id", "chunk", F.col("text").alias("value")).write.mode("overwrite").partitionBy("owner_id", "chunk").text(path)
+    placed = chunk_sessions(sized, total, chunks).select(*SESSION, "source", "first_date", "chunk")
+    rows = corpus_lines(messages).join(placed, [*SESSION, "source"])
+    _write_parts(rows, path, ["owner_id", "chunk"], ["source", "first_date", "session_id"])
 
 
 def write_json(df: DataFrame, path: str) -> None:

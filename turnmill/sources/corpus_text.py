@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.operators.ordered import running, salted_lookup
+from turnmill.operators.ordered import running
 from turnmill.sources.logs import message_chunks
 
 SESSION_HEADER = r"^===== session:([A-Za-z0-9_-]+) source:([a-z0-9_-]+) =====$"
@@ -40,7 +40,7 @@ def messages_from_corpus(lines: DataFrame) -> DataFrame:
         "file_path", "session_no", "message_no",
         F.regexp_extract(first["value"], DATE_HEADER, 1).alias("date"),
         F.array_join(F.transform(F.slice("rows", F.lit(2), F.size("rows")), lambda r: r["value"]), "\n").alias("text"))
-    return salted_lookup(texts, headers, ["file_path", "session_no"], "inner").select(
+    return texts.join(headers, ["file_path", "session_no"]).select(
         F.lit("default").alias("owner_id"), "session_id", "source", "file_path",
         F.lit(0).cast("bigint").alias("block_start"), F.col("message_no").alias("line_id"),
         F.lit(0).cast("bigint").alias("part_no"), "date", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnmill.functions import calendar as C, identity as I, text as T
-from turnmill.operators.ordered import ranked, salted_lookup
+from turnmill.operators.ordered import ranked
 from turnmill.sources.logs import keep_prose
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -46,7 +46,7 @@ def messages_from_tables(messages: DataFrame, parts: DataFrame, store_path: str,
     texts = parts.select(
         "message_id", F.col("id").alias("part_id"), F.col("time_created").alias("part_time"),
         _human_text(F.col("data")).alias("text")).filter("text is not null")
-    rows = salted_lookup(texts, typed, ["message_id"], "inner").withColumn("date", _date(F.col("sent")))
+    rows = texts.join(typed, ["message_id"]).withColumn("date", _date(F.col("sent")))
     chunks = [{"sent_hour": F.floor(F.col("sent") / HOUR)}, {"sent_month": F.floor(F.col("sent") / (30 * DAY))}]
     path = F.concat(F.lit(f"{store_path}::"), F.col("store_session"))
     return _finish(rows, ["sent", "message_id", "part_time", "part_id"], chunks, path, owner)
@@ -75,6 +75,6 @@ def messages_from_tree(spark: SparkSession, root: str, owner: str = "default") -
     texts = _tree(spark, root, "part").select(
         F.col("folder").alias("message_id"), F.col("name").alias("part_name"),
         _human_text(F.col("data")).alias("text")).filter("text is not null")
-    rows = salted_lookup(salted_lookup(texts, sent, ["message_id"], "inner"), sessions, ["store_session"], "inner")
+    rows = texts.join(sent, ["message_id"]).join(sessions, ["store_session"])
     chunks = [{"message_name": F.col("message_name")}, {"message_stem": F.substring("message_name", 1, 12)}]
     return _finish(rows, ["message_name", "part_name"], chunks, F.col("session_path"), owner)
