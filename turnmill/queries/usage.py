@@ -186,7 +186,7 @@ def profiles(spark, folder):
         F.col("doc_id").alias("profile_id"), quoted.alias("text"))
 
 
-QUOTES_SQL = _PROFILE + rf""",
+_SPANS = rf""",
 spans AS (
   SELECT owner_id, profile_id, raw, place FROM (
     SELECT owner_id, profile_id, unnest(all_spans) AS raw, generate_subscripts(all_spans, 1) AS place FROM (
@@ -200,6 +200,9 @@ candidates AS (SELECT owner_id, profile_id, place, {S.strip('raw')} AS quote FRO
 kept AS (SELECT *, {S.quote_form('quote')} AS needle FROM candidates
   WHERE len(string_split({S.collapse('quote')}, ' ')) >= 4 AND regexp_matches(quote, '^[\p{{L}}\p{{N}}''’]') AND NOT contains(quote, '**') AND NOT contains(quote, '`')),
 quotes AS (SELECT owner_id, profile_id, needle, arg_min(quote, place) AS quote FROM kept GROUP BY ALL)"""
+QUOTES_SQL = _PROFILE + _SPANS
+# In every seventh profile the title quote was never said.
+_GARBLED = _PROFILE.replace("'“\\1”'", "CASE WHEN doc_id % 7 = 0 THEN '“\\1 zzqx”' ELSE '“\\1”' END")
 
 
 @query("extract_quotes", f"WITH {QUOTES_SQL} SELECT owner_id, profile_id, quote, sha256(needle) AS needle_hash FROM quotes")
@@ -211,9 +214,15 @@ def extract_quotes(spark, folder):
 _HAY = S.quote_form("'[' || date || '] ' || text")
 
 
-@query("quote_trace")
+@query("quote_trace", f"""
+WITH {DOCS_SQL}, {_GARBLED}{_SPANS}, hay AS (SELECT owner_id, session_id, {_HAY} AS t FROM docs),
+found AS (SELECT q.owner_id, q.profile_id, q.needle, count(DISTINCT h.session_id) AS sessions
+          FROM quotes q LEFT JOIN hay h ON h.owner_id = q.owner_id AND contains(h.t, q.needle) GROUP BY ALL)
+SELECT owner_id, profile_id, count(*) AS quotes_checked, count(*) FILTER (sessions = 0) AS unsupported, count(*) FILTER (sessions = 1) AS single_session
+FROM found GROUP BY owner_id, profile_id""")
 def quote_trace(spark, folder):
-    quotes = materialize(trace.extract_quotes(profiles(spark, folder)), "quotes")
+    garbled = F.when(F.col("profile_id") % 7 == 0, F.regexp_replace("text", "^“([^”]*)”", "“$1 zzqx”")).otherwise(F.col("text"))
+    quotes = materialize(trace.extract_quotes(profiles(spark, folder).withColumn("text", garbled)), "quotes")
     found = trace.trace(quotes, document_messages(spark, folder).withColumnRenamed("line_id", "ordinal"))
     return trace.trace_summary(trace.trace_results(quotes, found))
 
