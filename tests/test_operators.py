@@ -58,8 +58,6 @@ def test_helpers(spark, rows):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], "k string, n int, v string")
     assert rows(O.newest(df, ["k"], ["n"])) == [("a", 3, "y"), ("b", 2, "z")]
     assert rows(O.first_rows(df, ["k"], ["n"])) == [("a", 1, "x"), ("b", 2, "z")]
-    right = spark.createDataFrame([("a", 10)], "k string, r int")
-    assert rows(O.salted_lookup(df, right, ["k"]), "k", "n", "r") == [("a", 1, 10), ("a", 3, 10), ("b", 2, None)]
     order = spark.range(5).select("id", O.outside_in(F.col("id"), F.lit(5)).alias("p")).orderBy("p").collect()
     assert [r[0] for r in order] == [0, 4, 1, 3, 2]
 

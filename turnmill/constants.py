@@ -7,8 +7,6 @@
 EXTRACTION_VERSION = "2"
 SEGMENT_VERSION = "1"
 REPORT_VERSION = "2"
-PROMPT_VERSION = "2"
-REDUCER_VERSION = "2"
 RECEIPT_VERSION = "1"
 SALIENCE_VERSION = "1"
 PACKET_VERSION = "1"
@@ -31,8 +29,6 @@ STARTER_CANDIDATES = (
     {"segments": 8, "segment_tokens": 25_000},
 )
 STARTER_MAX_TOKENS = 160_000
-STARTER_MAX_CALLS = 9
-DEEP_SEGMENT_TOKENS = 20_000
 
 # Log sources, domains, evidence vocabulary.
 SOURCES = ("codex", "claude", "copilot", "opencode", "antigravity", "custom")
@@ -44,12 +40,6 @@ REGISTER_HEADINGS = (
     ("casual", "## Casual register"),
     ("professional", "## Professional register"),
 )
-DOMAIN_FILES = {
-    "work": "you.md",
-    "design": "you-designer.md",
-    "write": "you-writer.md",
-    "video": "you-video.md",
-}
 SIGNAL_FAMILIES = (
     "directive", "correction", "rejection", "preference", "recurrence", "exploration", "verification",
 )
@@ -138,7 +128,7 @@ DOMAIN_MARKERS = {
               "lowercase", "em dash", "wording", "כתיבה", "פוסט", "שיווק"),
     "video": ("video", "remotion", "hyperframes", "render", "footage", "caption", "subtitle", "scene", "timeline",
               "gsap", "keyframe", "mp4", "shorts", "trailer", "storyboard", "voiceover", "chatterbox", "musicgen",
-              "sfx", "biosrios", "youtube", "thumbnail", "composition", "וידאו", "סרטון"),
+              "sfx", "youtube", "thumbnail", "composition", "וידאו", "סרטון"),
 }
 
 # Thresholds and phrases of the usage report.

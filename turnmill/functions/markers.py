@@ -42,9 +42,11 @@ def salience(signals: Column, recurrence: Column) -> Column:
     return (score + F.when(recurrence > 1, bonus).otherwise(0)).cast("int")
 
 
-def domain_hints(fingerprint: Column, given: Column | None = None, word_boundary: bool = False) -> Column:
+def domain_hints(fingerprint: Column, given: Column | None = None, word_boundary: bool = False,
+                 extra: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Domains whose markers the text holds; ``extra`` adds a caller's own markers (names, tools) per domain."""
     padded = F.concat(F.lit(" "), fingerprint, F.lit(" "))
-    found = _labels({d: _marked(padded, words, word_boundary) for d, words in K.DOMAIN_MARKERS.items()})
+    found = _labels({d: _marked(padded, words + (extra or {}).get(d, ()), word_boundary) for d, words in K.DOMAIN_MARKERS.items()})
     if given is not None:
         found = F.array_union(found, F.coalesce(given, F.array().cast("array<string>")))
     return F.when(F.size(found) == 0, F.array(F.lit("work"))).otherwise(F.sort_array(found))

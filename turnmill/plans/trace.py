@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnmill import constants as K
 from turnmill.functions import text as T
 from turnmill.operators.ordered import first_rows
+from turnmill.session import materialize
 
 GRAM_MAX = 4
+#: Needles that are sent to all tasks, and short ones that share an array.
+FEW_NEEDLES, ARRAY_NEEDLES = 200_000, 500
 
 
 def _curly(text: Column) -> Column:
@@ -30,10 +33,8 @@ def _straight(text: Column) -> Column:
 def extract_quotes(profiles: DataFrame, min_words: int = K.TRACE_MIN_WORDS) -> DataFrame:
     """Every quoted span long enough to be a receipt, first spelling per normal form.
 
-    ``profiles``: owner_id, profile_id, text. Spans under three words have no inner word to look them up by.
+    ``profiles``: owner_id, profile_id, text.
     """
-    if min_words < 3:
-        raise ValueError("quotes of fewer than three words cannot be traced")
     spans = profiles.select(
         "owner_id", "profile_id", F.posexplode(F.concat(_curly(F.col("text")), _straight(F.col("text")))).alias("place", "raw"))
     quote = T.strip(F.col("raw"))
@@ -77,25 +78,40 @@ def _hashes(words: Column, sizes: list[int]) -> Column:
     return F.flatten(F.array(*[of(size) for size in sizes]))
 
 
-def find_spans(needles: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
+def find_spans(needles: DataFrame, texts: DataFrame, key: list[str], few: int = FEW_NEEDLES) -> DataFrame:
     """Pairs of needle and text where the text contains the needle.
 
-    ``needles``: owner_id, needle (at least three words). ``texts``: owner_id, ``key`` columns, haystack. Both in
-    ``quote_form``. A needle is found by one run of its inner words, an equality that Spark can shuffle on, and each
-    hit is then checked in full; no needle meets a text it shares no such run with.
+    ``needles``: owner_id, needle. ``texts``: owner_id, ``key`` columns, haystack. Both in ``quote_form``; empty needles
+    match nothing. A needle of three words or more is found by one run of its inner words, an equality, and each hit is
+    then checked in full. While there are at most ``few`` needles the runs of the texts meet them without a shuffle; with
+    more they are shuffled. Shorter needles have no whole inner word: they travel in arrays to the texts of their owner.
     """
     words = F.split("needle", " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
-    anchored = needles.select("owner_id", "needle").distinct().withColumn("inner", inner).withColumn(
-        "size", F.least(F.lit(GRAM_MAX), F.size("inner"))).filter("size > 0")
-    anchored = anchored.withColumn("gram", F.xxhash64("size", _anchor(F.col("inner"), F.col("size"))))
-    sizes = sorted(r[0] for r in anchored.select("size").distinct().collect())
-    if not sizes:
-        return texts.select("owner_id", *key).join(needles.select("owner_id", "needle").limit(0), "owner_id")
-    tokens = texts.select("owner_id", *key, F.split("haystack", " ").alias("__words"))
-    grams = tokens.select("owner_id", *key, F.explode(_hashes(F.col("__words"), sizes)).alias("gram"))
-    hits = grams.join(anchored.select("owner_id", "gram", "needle"), ["owner_id", "gram"]).drop("gram").distinct()
-    return hits.join(texts, ["owner_id", *key]).filter(F.contains("haystack", "needle")).drop("haystack")
+    known = materialize(needles.filter("needle != ''").select("owner_id", "needle").distinct().withColumn("inner", inner).withColumn(
+        "size", F.least(F.lit(GRAM_MAX), F.size("inner"))), "needles")
+    texts = materialize(texts.select("owner_id", *key, "haystack"), "haystacks")
+    counts = known.groupBy("size").agg(F.count("*").alias("n")).collect()
+    sizes, total = sorted(r["size"] for r in counts if r["size"]), sum(r["n"] for r in counts)
+    found = texts.select("owner_id", *key, F.lit("").alias("needle")).limit(0)
+    if any(not r["size"] for r in counts):
+        parts = -(-sum(r["n"] for r in counts if not r["size"]) // ARRAY_NEEDLES)
+        arrays = known.filter("size = 0").groupBy("owner_id", F.pmod(F.xxhash64("needle"), F.lit(parts)).alias("part")).agg(
+            F.collect_set("needle").alias("wanted"))
+        arrays = F.broadcast(arrays) if total <= few else arrays
+        hits = texts.join(arrays, "owner_id").select(
+            "owner_id", *key, F.explode(F.filter("wanted", lambda n: F.contains(F.col("haystack"), n))).alias("needle"))
+        found = found.unionByName(hits)
+    if sizes:
+        anchored = known.filter("size > 0").select(
+            "owner_id", "needle", F.xxhash64("size", _anchor(F.col("inner"), F.col("size"))).alias("gram"))
+        anchored = F.broadcast(anchored) if total <= few else anchored
+        tokens = texts.select("owner_id", *key, F.split("haystack", " ").alias("__words"))
+        grams = tokens.select("owner_id", *key, F.explode(_hashes(F.col("__words"), sizes)).alias("gram"))
+        hits = grams.join(anchored, ["owner_id", "gram"]).drop("gram").distinct()
+        hits = hits.join(texts, ["owner_id", *key]).filter(F.contains("haystack", "needle")).drop("haystack")
+        found = found.unionByName(hits)
+    return found
 
 
 def trace(quotes: DataFrame, messages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from turnmill import constants as K
 from turnmill.functions.identity import sha256
 from turnmill.operators.ordered import hash_chunks, ranked, running
 from turnmill.operators.packing import pack_greedy
-from turnmill.operators.selection import lane_rank, select_segments, temporal_queue
+from turnmill.operators.selection import lane_rank, select_segments, select_stage as select_stage_rows, temporal_queue
 from turnmill.plans import corpus, receipts, segments
 from turnmill.queries import sqltext as S
 from turnmill.queries.corpus import DOCS_KEPT, MINED, ROLLED_SQL
@@ -121,6 +121,54 @@ def stage_packets(spark, folder):
         F.to_json("domain_counts").alias("domain_counts"), F.to_json("signal_counts").alias("signal_counts"))
 
 
+# A budget so small that rounds stop, large receipts are skipped and smaller ones fill what is left.
+_BUDGET, _PACKET, _PACKETS = 9_000, 1_500, 4
+_SMALL_STAGE = f"""
+WITH RECURSIVE {MINED_DOCS}, {LEDGER_SQL}, {SCORED_SQL},
+fitting AS (SELECT * FROM scored WHERE tokens <= {_PACKET}),
+lane_rows AS (
+  SELECT owner_id, d.domain, source, CASE WHEN date = 'undated' THEN 'unknown' ELSE {S.quarter('date')} END AS quarter, f.family,
+         receipt_id, tokens, salience FROM fitting, unnest(domains) d(domain), unnest(families) f(family)),
+lanes AS (
+  SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY domain, source, quarter, family) AS lane, ids, sizes FROM (
+    SELECT owner_id, domain, source, quarter, family, list(receipt_id ORDER BY salience DESC, receipt_id) AS ids,
+           list(tokens ORDER BY salience DESC, receipt_id) AS sizes FROM lane_rows GROUP BY ALL)),
+owners AS (SELECT owner_id, count(*) AS n FROM lanes GROUP BY owner_id),
+visit(owner_id, lane, heads, taken, spent, moved, done) AS (
+  SELECT owner_id, CAST(1 AS BIGINT), list_transform(range(0, n), lambda x: CAST(1 AS BIGINT)), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), false, false FROM owners
+  UNION ALL
+  SELECT owner_id, CASE WHEN lane = n THEN 1 ELSE lane + 1 END, list_concat(list_concat(heads[1:lane - 1], [coalesce(spot, len(ids)) + 1]), heads[lane + 1:n]),
+         CASE WHEN picks THEN list_append(taken, ids[spot]) ELSE taken END, CASE WHEN picks THEN spent + sizes[spot] ELSE spent END,
+         CASE WHEN lane = n THEN false ELSE moved OR picks END, lane = n AND NOT (moved OR picks)
+  FROM (SELECT *, spot IS NOT NULL AND spent + sizes[spot] <= {_BUDGET} AS picks FROM (
+    SELECT v.*, o.n, l.ids, l.sizes, list_filter(range(v.heads[v.lane], len(l.ids) + 1), lambda x: NOT list_contains(v.taken, l.ids[x]))[1] AS spot
+    FROM visit v JOIN owners o USING (owner_id) JOIN lanes l ON l.owner_id = v.owner_id AND l.lane = v.lane WHERE NOT v.done))
+),
+rounds AS (SELECT owner_id, taken, spent FROM visit WHERE done),
+waiting AS (SELECT f.owner_id, f.receipt_id, f.tokens, row_number() OVER (PARTITION BY f.owner_id ORDER BY salience DESC, receipt_id) AS k
+            FROM fitting f JOIN rounds r USING (owner_id) WHERE NOT list_contains(r.taken, f.receipt_id)),
+fill(owner_id, k, taken, spent) AS (
+  SELECT owner_id, CAST(0 AS BIGINT), taken, spent FROM rounds
+  UNION ALL
+  SELECT f.owner_id, w.k, CASE WHEN f.spent + w.tokens <= {_BUDGET} THEN list_append(f.taken, w.receipt_id) ELSE f.taken END,
+         CASE WHEN f.spent + w.tokens <= {_BUDGET} THEN f.spent + w.tokens ELSE f.spent END
+  FROM fill f JOIN waiting w ON w.owner_id = f.owner_id AND w.k = f.k + 1
+),
+chosen AS (SELECT owner_id, unnest(taken) AS receipt_id, generate_subscripts(taken, 1) - 1 AS position FROM (
+  SELECT owner_id, arg_max(taken, k) AS taken FROM fill GROUP BY owner_id)),
+picked AS (SELECT c.owner_id, c.receipt_id, f.tokens, CAST(c.position AS BIGINT) AS position, f.content_hash, f.date, f.source FROM chosen c JOIN fitting f USING (owner_id, receipt_id))"""
+
+
+def _small_stage(spark, folder):
+    scored = scored_documents(spark, folder)
+    return scored, select_stage_rows(scored, _BUDGET, _PACKET)
+
+
+@query("select_small_stage", f"{_SMALL_STAGE} SELECT owner_id, receipt_id, tokens, position FROM picked")
+def select_small_stage(spark, folder):
+    return _small_stage(spark, folder)[1]
+
+
 def _pack_sql(rows: str, limit: int, reach: bool = False) -> str:
     """Bins of ``rows(grp, n, c, p)``: place, running weight with and without the row. One step per bin, all groups at once."""
     edge = f"x.p >= b.start_p + {limit}" if reach else f"x.c > b.start_p + {limit}"
@@ -134,6 +182,23 @@ bins(grp, start_n, start_p) AS (
 )"""
 
 
+@query("small_stage_packets", f"""{_SMALL_STAGE},
+{_pack_sql(f"""SELECT owner_id AS grp, receipt_id, content_hash, date, source, tokens, position AS n,
+  CAST(sum(tokens) OVER g AS BIGINT) AS c, CAST(sum(tokens) OVER g - tokens AS BIGINT) AS p FROM picked WINDOW g AS (PARTITION BY owner_id ORDER BY position)""", _PACKET)},
+numbered AS (SELECT grp, start_n, row_number() OVER (PARTITION BY grp ORDER BY start_n) - 1 AS packet_no FROM bins)
+SELECT x.grp AS owner_id, CAST(b.packet_no AS BIGINT) AS packet_no, CAST(sum(x.tokens) AS BIGINT) AS source_tokens, count(*) AS receipts, min(date) AS first_date, max(date) AS last_date,
+       array_to_string(list_sort(list_distinct(list(source))), ',') AS sources,
+       sha256('{{"content_hashes":[' || string_agg('"' || content_hash || '"', ',' ORDER BY n) || '],"receipt_ids":[' || string_agg('"' || receipt_id || '"', ',' ORDER BY n) || '],"schema_version":"1"}}') AS packet_hash
+FROM packrows x ASOF JOIN numbered b ON x.grp = b.grp AND x.n >= b.start_n WHERE b.packet_no < {_PACKETS} GROUP BY x.grp, b.packet_no""")
+def small_stage_packets(spark, folder):
+    scored, picked = _small_stage(spark, folder)
+    picked = materialize(picked, "picked")
+    selected = scored.join(picked.select("owner_id", "receipt_id", "position"), ["owner_id", "receipt_id"])
+    return receipts.packets(selected, _PACKETS, _PACKET).select(
+        "owner_id", F.col("packet_no").cast("bigint").alias("packet_no"), "source_tokens", F.size("receipt_ids").cast("bigint").alias("receipts"),
+        "first_date", "last_date", F.array_join("sources", ",").alias("sources"), "packet_hash")
+
+
 _BY_ORDER = """
 SELECT l_returnflag || l_linestatus AS grp, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS w,
        row_number() OVER g - 1 AS n, CAST(sum(CAST(l_quantity AS BIGINT)) OVER g AS BIGINT) AS c,
@@ -298,6 +363,38 @@ def select_preview(spark, folder):
         "owner_id", "source", "first_date", "segment_hash", "source_tokens")
 
 
+_PREVIEW, _PREVIEW_TOKENS = 6, 20_000
+
+
+@query("preview_segments", f"""
+{_SEAL},
+usable AS (SELECT * FROM ssegments WHERE NOT oversize AND source_tokens <= {_PREVIEW_TOKENS}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY owner_id, source ORDER BY first_date, segment_hash) - 1 AS r, count(*) OVER (PARTITION BY owner_id, source) AS n FROM usable),
+lines AS (
+  SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY source) AS line, names, sizes FROM (
+    SELECT owner_id, source, list(segment_hash ORDER BY q) AS names, list(source_tokens ORDER BY q) AS sizes
+    FROM (SELECT *, CASE WHEN r * 2 < n THEN r * 2 ELSE (n - 1 - r) * 2 + 1 END AS q FROM placed) GROUP BY owner_id, source)),
+owners AS (SELECT owner_id, count(*) AS n FROM lines GROUP BY owner_id),
+visit(owner_id, line, heads, taken, spent, moved, done) AS (
+  SELECT owner_id, CAST(1 AS BIGINT), list_transform(range(0, n), lambda x: CAST(1 AS BIGINT)), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), false, false FROM owners
+  UNION ALL
+  SELECT owner_id, CASE WHEN line = n THEN 1 ELSE line + 1 END, list_concat(list_concat(heads[1:line - 1], [coalesce(spot, len(names)) + 1]), heads[line + 1:n]),
+         CASE WHEN spot IS NULL THEN taken ELSE list_append(taken, names[spot]) END, CASE WHEN spot IS NULL THEN spent ELSE CAST(spent + sizes[spot] AS BIGINT) END,
+         CASE WHEN line = n THEN false ELSE moved OR spot IS NOT NULL END,
+         len(taken) + CASE WHEN spot IS NULL THEN 0 ELSE 1 END >= {_PREVIEW} OR (line = n AND NOT (moved OR spot IS NOT NULL))
+  FROM (SELECT v.*, o.n, l.names, l.sizes, list_filter(range(v.heads[v.line], len(l.names) + 1), lambda x: v.spent + l.sizes[x] <= {_PREVIEW_TOKENS})[1] AS spot
+    FROM visit v JOIN owners o USING (owner_id) JOIN lines l ON l.owner_id = v.owner_id AND l.line = v.line WHERE NOT v.done)
+)
+SELECT s.owner_id, s.source, s.first_date, s.segment_hash, s.source_tokens FROM ssegments s
+JOIN visit v ON v.done AND v.owner_id = s.owner_id AND list_contains(v.taken, s.segment_hash)""")
+def preview_segments(spark, folder):
+    """A preview whose budget leaves most segments out."""
+    _, sealed = sealed_documents(spark, folder)
+    sealed = materialize(sealed, "segments")
+    return select_segments(sealed, _PREVIEW, _PREVIEW_TOKENS).select(
+        "owner_id", "source", "first_date", "segment_hash", "source_tokens")
+
+
 @query("ranked_by_hash", """
 SELECT o_orderpriority, sha256('o' || o_orderkey) AS id, CAST(row_number() OVER (
   PARTITION BY o_orderpriority ORDER BY o_orderstatus, sha256('o' || o_orderkey)) - 1 AS BIGINT) AS place FROM orders""")

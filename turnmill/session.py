@@ -39,6 +39,13 @@ def work_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern names anything. Other errors of a path are not hidden."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
+
+
 def run_folder(spark: SparkSession) -> str:
     """This application's own folder for intermediate tables. Spark deletes it when the application ends."""
     run = spark.sparkContext.applicationId

@@ -2,68 +2,89 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.functions.identity import canonical_json, sha256
 from turnmill.operators.digest import set_digest
-from turnmill.session import materialize
+from turnmill.session import exists, materialize
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """A stored table, or None where nothing was written yet."""
+    return spark.read.parquet(path) if exists(spark, f"{path}/[!_.]*") else None
 
 
 def append_once(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
     """Append rows whose key is new; return those that differ from the stored row of their key.
 
-    Conflicting rows are not written: a content-addressed row never changes.
+    Conflicting rows are not written: a content-addressed row never changes. Rows lie in 256 folders by a hash of their
+    key, and only the folders that the new rows fall into are read.
     """
     content = sha256(canonical_json({c: F.col(c) for c in rows.columns}))
-    hashed = rows.withColumn("content_sha256", content).dropDuplicates([*key, "content_sha256"])
+    bucket = F.substring(sha256(F.concat_ws("\x1f", *key)), 1, 2)
+    hashed = materialize(
+        rows.withColumns({"content_sha256": content, "bucket": bucket}).dropDuplicates([*key, "content_sha256"]), "append")
     stored = read_table(rows.sparkSession, path)
     if stored is None:
         stored = hashed.limit(0)
+    else:
+        touched = [r["bucket"] for r in hashed.select("bucket").distinct().collect()]
+        stored = stored.filter(F.col("bucket").isin(touched))
     old = stored.select(*key, F.col("content_sha256").alias("stored_sha256")).distinct()
-    both = hashed.join(old, key, "left")
-    twice = hashed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
-    fresh = both.filter("stored_sha256 is null").drop("stored_sha256").join(twice, key, "left_anti")
-    clash = both.filter("stored_sha256 != content_sha256").drop("stored_sha256").unionByName(
-        both.filter("stored_sha256 is null").drop("stored_sha256").join(twice, key, "left_semi"))
-    clash = materialize(clash, "clash")
-    fresh.write.mode("append").parquet(path)
-    return clash
+    twice = hashed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key, F.lit(True).alias("twice"))
+    both = materialize(hashed.join(old, key, "left").join(twice, key, "left"), "append")
+    both.filter("stored_sha256 is null and twice is null").drop("stored_sha256", "twice").write.mode("append").partitionBy(
+        "bucket").parquet(path)
+    return both.filter("stored_sha256 != content_sha256 or (stored_sha256 is null and twice)").drop("stored_sha256", "twice", "bucket")
 
 
 def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    """Write a table under the digest of its content, then point ``current`` at it.
+    """Write a table as a new version, then point readers at it; returns the digest of its content.
 
-    The pointer is one small file written last, so readers see the old version or the new one, never a mix, and a
-    smaller rerun leaves no stale file behind.
+    A pointer is one more row of a small table, so readers see the old version or the new one, at every moment, and a
+    smaller rerun leaves no stale file behind. The table is written first and its digest taken from what was written.
     """
-    entry = canonical_json({c: F.col(c) for c in df.columns})
-    version = set_digest(df, [], entry, "version").first()
-    name = version["version"] if version else "empty"
-    writer = df.write.mode("overwrite")
+    spark = df.sparkSession
+    folder = uuid.uuid4().hex
+    writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{root}/version={name}")
-    pointer = df.sparkSession.createDataFrame([(json.dumps({"version": name}),)], "value string")
-    pointer.coalesce(1).write.mode("overwrite").text(f"{root}/current")
-    return name
+    writer.parquet(f"{root}/versions/{folder}")
+    written = spark.read.schema(df.schema).parquet(f"{root}/versions/{folder}")
+    found = set_digest(written, [], canonical_json({c: F.col(c) for c in df.columns}), "digest").first()
+    digest = found["digest"] if found else "empty"
+    pointers = read_table(spark, f"{root}/pointers")
+    last = pointers.agg(F.max("number")).first()[0] if pointers is not None else 0
+    row = spark.range(1).select(F.lit(last + 1).cast("bigint").alias("number"), F.lit(folder).alias("folder"), F.lit(digest).alias("digest"))
+    row.coalesce(1).write.mode("append").parquet(f"{root}/pointers")
+    return digest
 
 
 def current(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        pointer = spark.read.text(f"{root}/current").first()
-    except AnalysisException:
+    """The newest published version."""
+    pointers = read_table(spark, f"{root}/pointers")
+    if pointers is None:
         return None
-    return spark.read.parquet(f"{root}/version={json.loads(pointer[0])['version']}")
+    return spark.read.parquet(f"{root}/versions/{pointers.agg(F.max_by('folder', 'number')).first()[0]}")
+
+
+def write_run(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
+    """The tables of one run (ledger, packets, plan, selected segments and so on), each under the run's id."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{root}/{name}/run_id={run_id}")
+
+
+def read_runs(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """All runs of a table, with the column ``run_id``."""
+    return read_table(spark, f"{root}/{name}")
+
+
+def quarantine(rows: DataFrame, bad: DataFrame, key: list[str], root: str, batch: str) -> DataFrame:
+    """The sound rows; the bad ones, with what ``bad`` says about them, are set aside in a table of their own."""
+    rows.join(bad, key).write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch}")
+    return rows.join(bad.select(*key).distinct(), key, "left_anti")
 
 
 def write_delta(df: DataFrame, root: str, batch_id: int) -> None:

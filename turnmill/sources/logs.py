@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnmill import constants as K
 from turnmill.functions import calendar as C, identity as I, text as T
+from turnmill.session import exists
 
 MESSAGE_ORDER = ["block_start", "line_id", "part_no"]
 MESSAGE_COLUMNS = ["owner_id", "session_id", "source", "file_path", *MESSAGE_ORDER, "date", "text"]
@@ -28,10 +28,9 @@ def _scan(spark: SparkSession, path: str, recursive: bool) -> DataFrame | None:
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
-    try:
-        lines = reader.text(path)
-    except AnalysisException:
+    if not exists(spark, path):
         return None
+    lines = reader.text(path)
     return lines.select(
         F.col("value"), F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),

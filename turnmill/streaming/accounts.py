@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.operators.ordered import newest
 from turnmill.plans.accounts import advance_heads
-from turnmill.sinks.tables import read_deltas, write_delta
+from turnmill.sinks.tables import compact, read_deltas, write_delta
 
 ENTITLEMENT = ["account_id", "event_id", "state", "effective_at"]
 ORDER = ["effective_at", "event_id"]
+COMPACT_EVERY = 50
 
 
 def latest_entitlements(events: DataFrame) -> DataFrame:
@@ -25,9 +26,10 @@ def current_entitlements(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def start_entitlements(events: DataFrame, root: str, checkpoint: str, **trigger):
-    """Log the newest event per account of every micro-batch. A batch costs its own size, not the table's."""
+    """Log the newest event per account of every micro-batch; every COMPACT_EVERY batches the log is made one table."""
     def write(batch: DataFrame, batch_id: int) -> None:
         write_delta(newest(batch.select(*ENTITLEMENT), ["account_id"], ORDER), root, batch_id)
+        _compact(batch.sparkSession, root, batch_id, ENTITLEMENT, ORDER)
 
     return _start(events, write, checkpoint, trigger)
 
@@ -46,10 +48,19 @@ def start_heads(uploads: DataFrame, root: str, checkpoint: str, **trigger):
     def write(batch: DataFrame, batch_id: int) -> None:
         _, tips = advance_heads(batch, current_heads(batch.sparkSession, root, batch_id))
         write_delta(tips, root, batch_id)
+        _compact(batch.sparkSession, root, batch_id, ["account_id", "generation_id"], ["batch"])
 
     return _start(uploads, write, checkpoint, trigger)
 
 
+def _compact(spark: SparkSession, root: str, batch_id: int, columns: list[str], order: list[str]) -> None:
+    """Now and then fold all batches before this one; this one may be repeated and stays as it is."""
+    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        log = read_deltas(spark, root).filter(F.col("batch") < batch_id)
+        kept = newest(log.select(*columns, "batch"), ["account_id"], order)
+        compact(kept.withColumn("batch", F.lit(batch_id - 1).cast("int")), root)
+
+
 def _start(stream: DataFrame, write, checkpoint: str, trigger):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()
