@@ -2,6 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from turnmill.sinks.tables import append_once, read_table
+from turnmill.sources.growing import file_states, file_status, read_growing
 from turnmill.sources.logs import extract_messages
 from turnmill.streaming import accounts, sessions
 
@@ -73,3 +75,27 @@ def test_log_stream_reads_lines_in_order(spark, tmp_path):
         availableNow=True).option("checkpointLocation", str(tmp_path / "check")).start().awaitTermination()
     got = spark.table("asked").orderBy("line_id").select(F.col("text"), "source").collect()
     assert [tuple(r) for r in got] == [(f"ask {i}", "claude") for i in range(5)]
+
+
+def test_a_growing_file_is_read_again(spark, tmp_path):
+    logs, state, store = tmp_path / ".claude" / "projects", str(tmp_path / "state"), str(tmp_path / "store")
+
+    def ask(*numbers):
+        return [{"type": "user", "timestamp": "2026-01-01", "message": {"role": "user", "content": f"ask {i}"}} for i in numbers]
+
+    def run():
+        lines, done = read_growing(spark, [str(logs)], state)
+        if lines is not None:
+            append_once(extract_messages(lines).select("session_id", "line_id", "text"), store, ["session_id", "line_id"])
+        done()
+        return 0 if lines is None else lines.count()
+
+    put(logs, "a.jsonl", *ask(1, 2))
+    put(logs, "b.jsonl", *ask(3))
+    assert run() == 3 and run() == 0
+    put(logs, "a.jsonl", *ask(1, 2, 4))
+    before = file_states(spark, [str(logs)])
+    assert run() == 3 and run() == 0
+    assert sorted(r.text for r in read_table(spark, store).collect()) == ["ask 1", "ask 2", "ask 3", "ask 4"]
+    gone = file_status(before.filter("file_path like '%a.jsonl'"), before)
+    assert sorted(r.status for r in gone.collect()) == ["gone", "processed"]

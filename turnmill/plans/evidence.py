@@ -211,21 +211,24 @@ def quarantine(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 def evidence_quotes(reports: DataFrame) -> DataFrame:
     """One row per evidence item and quote, with its stratum.
 
-    Takes the report's source; a scout report has none, so join the receipts for it first.
+    Takes the report's source; a scout report has none, so join the receipts for it first. An id that more than one item
+    carries names none of them: its rows are left out, and ``repeated_evidence`` lists it.
     """
     source = F.element_at("coverage.sources", 1)
-    return reports.select("owner_id", source.alias("source"), F.explode("evidence").alias("e")).select(
+    refused = repeated_evidence(reports).select("owner_id", "evidence_id")
+    items = reports.select("owner_id", source.alias("source"), F.explode("evidence").alias("e")).select(
         "owner_id", "source", "e.evidence_id", "e.domain", "e.kind", "e.register",
         F.coalesce("e.scope", F.lit("universal")).alias("scope"), F.coalesce("e.context", F.lit("")).alias("context"),
         F.coalesce(F.size("e.contradictions"), F.lit(0)).alias("contradictions"), F.explode("e.quotes").alias("q")).select(
         "*", "q.session_id", "q.date", C.stratum(F.col("source"), F.col("q.date")).alias("stratum")).drop("q", "source")
+    return items.join(refused, ["owner_id", "evidence_id"], "left_anti")
 
 
 def flatten_evidence(quote_rows: DataFrame) -> DataFrame:
     """One row per evidence id: its sessions, strata and number of quotes."""
     first = ["domain", "kind", "register", "scope", "context", "contradictions"]
     return quote_rows.groupBy("owner_id", "evidence_id").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in first],
+        *[F.min(c).alias(c) for c in first],
         F.sort_array(F.collect_set("session_id")).alias("sessions"), F.sort_array(F.collect_set("stratum")).alias("strata"),
         F.count("*").alias("quote_count"))
 
