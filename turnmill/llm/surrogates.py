@@ -35,10 +35,10 @@ PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[\w+-](?:[\w.+-]*[\w+-])?@[\w-]+(?:\.[\w-]+)+"),
     "key": re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?:sk|ghp|xox[bp])[-_][A-Za-z0-9]{16,}(?!\w)|(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    "card": re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"),
+    "card": re.compile(r"(?<![\w+-])(?:\d{13,19}|\d{4}(?P<mark>[ -])\d{4}(?P=mark)\d{4}(?P=mark)\d{1,7}|\d{4}(?P<gap>[ -])\d{6}(?P=gap)\d{5})(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    "phone": re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w.-])\+\d{8,14}(?![\w-])"),
+    "phone": re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w.-])\+\d{8,14}(?![\w-])"),
     "name": re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.?[ ]({_NAME}(?: {_NAME})?)"),
 }
 _HAS_DIGIT, _HAS_TITLE = re.compile(r"\d"), re.compile("|".join(TITLES))
