@@ -8,7 +8,7 @@ from turnmill import constants as K
 from turnmill.functions.identity import sha256
 from turnmill.operators.ordered import hash_chunks, ranked, running
 from turnmill.operators.packing import pack_greedy
-from turnmill.operators.selection import lane_rank, select_segments, select_stage as select_stage_rows, temporal_queue
+from turnmill.operators.selection import lane_rank, select_run_segments, select_segments, select_stage as select_stage_rows, temporal_queue
 from turnmill.plans import corpus, receipts, segments
 from turnmill.queries import sqltext as S
 from turnmill.queries.corpus import DOCS_KEPT, MINED, ROLLED_SQL
@@ -199,6 +199,48 @@ def small_stage_packets(spark, folder):
         "first_date", "last_date", F.array_join("sources", ",").alias("sources"), "packet_hash")
 
 
+_PACKED = f"""{_SMALL_STAGE},
+{_pack_sql(f"""SELECT owner_id AS grp, receipt_id, content_hash, date, source, tokens, position AS n,
+  CAST(sum(tokens) OVER g AS BIGINT) AS c, CAST(sum(tokens) OVER g - tokens AS BIGINT) AS p FROM picked WINDOW g AS (PARTITION BY owner_id ORDER BY position)""", _PACKET)},
+numbered AS (SELECT grp, start_n, row_number() OVER (PARTITION BY grp ORDER BY start_n) - 1 AS packet_no FROM bins),
+placed AS (SELECT x.grp AS owner_id, b.packet_no, x.receipt_id, x.n - b.start_n AS place FROM packrows x ASOF JOIN numbered b ON x.grp = b.grp AND x.n >= b.start_n
+           WHERE b.packet_no < {_PACKETS}),
+hydrated AS (SELECT p.owner_id, p.packet_no, p.place, r.receipt_id, r.session_id, r.source, r.date, r.text FROM placed p JOIN receipts r USING (owner_id, receipt_id))"""
+
+
+def _packed(spark, folder):
+    scored, picked = _small_stage(spark, folder)
+    picked = materialize(picked, "picked")
+    selected = scored.join(picked.select("owner_id", "receipt_id", "position"), ["owner_id", "receipt_id"])
+    return materialize(receipts.packets(selected, _PACKETS, _PACKET), "packets"), receipts.ledger(mined_documents(spark, folder))
+
+
+@query("hydrated_packets", f"""{_PACKED}
+SELECT owner_id, CAST(place AS BIGINT) AS place, receipt_id, session_id, sha256(text) AS text_hash FROM hydrated""")
+def hydrated_packets(spark, folder):
+    rows, ledger = _packed(spark, folder)
+    return receipts.hydrate_packets(rows, ledger).select(
+        "owner_id", F.col("place").cast("bigint").alias("place"), "receipt_id", "session_id", sha256(F.col("text")).alias("text_hash"))
+
+
+@query("packet_texts", f"""{_PACKED}
+SELECT owner_id, sha256(string_agg('===== receipt:' || receipt_id || ' session:' || session_id || ' source:' || source || ' date:' || date || ' =====' || chr(10) || text,
+       chr(10) || chr(10) ORDER BY place) || chr(10)) AS text_hash FROM hydrated GROUP BY owner_id, packet_no""")
+def packet_texts(spark, folder):
+    rows, ledger = _packed(spark, folder)
+    return receipts.render_packets(rows, ledger).select("owner_id", sha256(F.col("text")).alias("text_hash"))
+
+
+@query("needs_deepening", """
+SELECT p_partkey, (CASE WHEN p_size % 4 = 0 THEN 'no-signal' ELSE 'active' END <> 'active') OR p_size % 5 < 1 OR p_size % 6 < 2 OR p_size % 7 < 2 OR p_size % 11 < 2
+       OR p_size % 13 = 5 AS weak FROM part""")
+def needs_deepening(spark, folder):
+    size = F.col("p_size")
+    weak = receipts.needs_deepening(
+        F.when(size % 4 == 0, "no-signal").otherwise("active"), size % 5, size % 6, size % 7, size % 11, F.when(size % 13 == 5, 2))
+    return table(spark, folder, "part").select("p_partkey", weak.alias("weak"))
+
+
 _BY_ORDER = """
 SELECT l_returnflag || l_linestatus AS grp, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS w,
        row_number() OVER g - 1 AS n, CAST(sum(CAST(l_quantity AS BIGINT)) OVER g AS BIGINT) AS c,
@@ -395,6 +437,44 @@ def preview_segments(spark, folder):
         "owner_id", "source", "first_date", "segment_hash", "source_tokens")
 
 
+@query("run_segments", f"""
+{_SEAL},
+fresh AS (SELECT * FROM ssegments WHERE NOT oversize AND substr(segment_hash, 1, 1) >= '4'),
+usable AS (SELECT * FROM fresh WHERE NOT oversize AND source_tokens <= {_PREVIEW_TOKENS}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY owner_id, source ORDER BY first_date, segment_hash) - 1 AS r, count(*) OVER (PARTITION BY owner_id, source) AS n FROM usable),
+lines AS (
+  SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY source) AS line, names, sizes FROM (
+    SELECT owner_id, source, list(segment_hash ORDER BY q) AS names, list(source_tokens ORDER BY q) AS sizes
+    FROM (SELECT *, CASE WHEN r * 2 < n THEN r * 2 ELSE (n - 1 - r) * 2 + 1 END AS q FROM placed) GROUP BY owner_id, source)),
+owners AS (SELECT owner_id, count(*) AS n FROM lines GROUP BY owner_id),
+visit(owner_id, line, heads, taken, spent, moved, done) AS (
+  SELECT owner_id, CAST(1 AS BIGINT), list_transform(range(0, n), lambda x: CAST(1 AS BIGINT)), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), false, false FROM owners
+  UNION ALL
+  SELECT owner_id, CASE WHEN line = n THEN 1 ELSE line + 1 END, list_concat(list_concat(heads[1:line - 1], [coalesce(spot, len(names)) + 1]), heads[line + 1:n]),
+         CASE WHEN spot IS NULL THEN taken ELSE list_append(taken, names[spot]) END, CASE WHEN spot IS NULL THEN spent ELSE CAST(spent + sizes[spot] AS BIGINT) END,
+         CASE WHEN line = n THEN false ELSE moved OR spot IS NOT NULL END,
+         len(taken) + CASE WHEN spot IS NULL THEN 0 ELSE 1 END >= {_PREVIEW} OR (line = n AND NOT (moved OR spot IS NOT NULL))
+  FROM (SELECT v.*, o.n, l.names, l.sizes, list_filter(range(v.heads[v.line], len(l.names) + 1), lambda x: v.spent + l.sizes[x] <= {_PREVIEW_TOKENS})[1] AS spot
+    FROM visit v JOIN owners o USING (owner_id) JOIN lines l ON l.owner_id = v.owner_id AND l.line = v.line WHERE NOT v.done)
+)
+SELECT owner_id, segment_hash, 'retained' AS state FROM ssegments WHERE NOT oversize AND substr(segment_hash, 1, 1) < '4'
+UNION ALL
+SELECT f.owner_id, f.segment_hash, CASE WHEN v.owner_id IS NULL THEN 'waiting' ELSE 'work' END FROM fresh f
+LEFT JOIN (SELECT owner_id, unnest(taken) AS segment_hash FROM visit WHERE done) v USING (owner_id, segment_hash)""")
+def run_segments(spark, folder):
+    """Segments with a report stay, some of the others are worked on now, the rest wait."""
+    _, sealed = sealed_documents(spark, folder)
+    sealed = materialize(sealed, "segments")
+    known = sealed.filter(F.substring("segment_hash", 1, 1) < "4")
+    chosen, work, _ = select_run_segments(sealed, known, _PREVIEW, _PREVIEW_TOKENS)
+    key = ["owner_id", "segment_hash"]
+    work = materialize(work.select(*key, F.lit("work").alias("state")), "work")
+    retained = chosen.select(*key).join(work.select(*key), key, "left_anti").withColumn("state", F.lit("retained"))
+    taken = materialize(retained.unionByName(work), "taken")
+    rest = sealed.filter("not oversize").select(*key).join(taken.select(*key), key, "left_anti").withColumn("state", F.lit("waiting"))
+    return taken.unionByName(rest)
+
+
 @query("ranked_by_hash", """
 SELECT o_orderpriority, sha256('o' || o_orderkey) AS id, CAST(row_number() OVER (
   PARTITION BY o_orderpriority ORDER BY o_orderstatus, sha256('o' || o_orderkey)) - 1 AS BIGINT) AS place FROM orders""")
