@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from turnmill.llm.arrays import slices
+from turnmill.llm.arrays import frequent, slices
+from turnmill.session import materialize
 
 BUCKETS = 8192
 HEAD_WORDS = 1 << 17
 HEAD_BYTES = 48
 MEMO_WORDS = 1 << 18
+SHORT_BYTES = 64
+NO_RANK = 1 << 40
 SPACE = r"[ \t\n\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
@@ -49,28 +52,31 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def rank_lookup(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
-    """Rank of a byte string given as upper-case hex, or null, from a literal map in buckets."""
+def rank_table(ranks: dict[bytes, int]) -> Column:
+    """The ranks as a literal array of maps from upper-case hex to rank, one map per hash bucket."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for word, rank in ranks.items():
         text = word.hex().upper()
         buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-    literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
-    def look(text: Column) -> Column:
-        bucket = (F.crc32(text.cast("binary")) % BUCKETS + 1).cast("int")
-        return F.element_at(F.element_at(literal, bucket), text)
 
-    return look
+def rank_of(table: Column, text: Column) -> Column:
+    """Rank of a byte string given as upper-case hex, or null."""
+    return F.element_at(F.element_at(table, (F.crc32(text.cast("binary")) % BUCKETS + 1).cast("int")), text)
 
 
 def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def merge_fold(word: Column, look: Callable[[Column], Column]) -> Column:
+def merge_fold(word: Column, ranks: dict[bytes, int]) -> Column:
     """Ids of a word (a string): start from its bytes, merge the leftmost pair of lowest rank until none has a rank."""
-    text = F.hex(word.cast("binary"))
+    # The table is bound once: a plan with many copies of it is a burden for the driver.
+    return _let(rank_table(ranks), lambda table: _fold(F.hex(word.cast("binary")), lambda text: rank_of(table, text)))
+
+
+def _fold(text: Column, look: Callable[[Column], Column]) -> Column:
     none = F.array().cast("array<int>")
 
     def step(state, _):
@@ -101,9 +107,30 @@ def merge_fold(word: Column, look: Callable[[Column], Column]) -> Column:
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges with a heap, in time that grows hardly faster than the word."""
+    """The same merges outside Spark's expressions, for words that are not in the dictionary."""
     if word in ranks:
         return [ranks[word]]
+    return _merge_short(word, ranks) if len(word) <= SHORT_BYTES else _merge_long(word, ranks)
+
+
+def _merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    get = ranks.get
+    cuts, pairs = list(range(len(word) + 1)), [get(word[i:i + 2], NO_RANK) for i in range(len(word) - 1)]
+    while pairs:
+        lowest = min(pairs)
+        if lowest == NO_RANK:
+            break
+        at = pairs.index(lowest)
+        del cuts[at + 1], pairs[at]
+        if at < len(pairs):
+            pairs[at] = get(word[cuts[at]:cuts[at + 2]], NO_RANK)
+        if at:
+            pairs[at - 1] = get(word[cuts[at - 1]:cuts[at + 1]], NO_RANK)
+    return [ranks[word[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """With a heap, in time that grows hardly faster than the word."""
     size = len(word)
     after, before = list(range(1, size + 1)), list(range(-1, size - 1))
     pieces: list[bytes | None] = [word[i:i + 1] for i in range(size)]
@@ -139,13 +166,14 @@ def head_dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pat
     """
     words = docs.select(F.explode(words_of(F.col(text_col), pattern)).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.octet_length("word") <= HEAD_BYTES)
-    head = counted.orderBy(F.desc("n"), "word").limit(head_words).select("word")
-    encoded = head.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "word").select("word", merge_fold(F.col("word"), rank_lookup(ranks)).alias("ids")).toArrow()
+    head = frequent(materialize(counted, "words"), head_words).select("word")
+    encoded = head.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "word").select(
+        "word", merge_fold(F.col("word"), ranks).alias("ids")).toArrow()
     ids = encoded.column("ids").combine_chunks()
     if isinstance(ids, pa.ChunkedArray):
         ids = pa.concat_arrays(ids.chunks)
     flat, cuts = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-    table = {w: flat[a:b].tobytes() for w, a, b in zip(encoded.column("word").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist())}
+    table = {w: flat[a:b].tobytes() for w, a, b in zip(encoded.column("word").to_numpy().tolist(), cuts[:-1].tolist(), cuts[1:].tolist())}
     return docs.sparkSession.sparkContext.broadcast(table)
 
 
@@ -175,7 +203,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
             cuts, chunks = [0], []
             for part in slices(batch):
                 starts = part.offsets.to_numpy()
-                words = part.values.slice(starts[0], starts[-1] - starts[0]).to_pylist()
+                words = part.values.slice(starts[0], starts[-1] - starts[0]).to_numpy(zero_copy_only=False).tolist()
                 coded = list(map(known, words))
                 if None in coded:
                     coded = [rare(w) if c is None else c for c, w in zip(coded, words)]
@@ -190,7 +218,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
 
 def decode(ids: Column, ranks: dict[bytes, int], spark) -> Column:
-    """The bytes that an array of ids stands for."""
+    """The bytes that an array of ids stands for; the array must not be null."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for word, rank in ranks.items():
         pieces[rank] = word
@@ -198,9 +226,13 @@ def decode(ids: Column, ranks: dict[bytes, int], spark) -> Column:
 
     @F.arrow_udf("binary")
     def run(batches: pa.Array) -> pa.Array:
-        piece = shared.value.__getitem__
-        return pa.array([b"".join(map(piece, row.values.to_pylist())) if row.is_valid else None
-                         for part in slices(batches) for row in part], pa.binary())
+        piece, done = shared.value.__getitem__, []
+        for part in slices(batches):
+            starts = part.offsets.to_numpy()
+            pieces = list(map(piece, part.values.slice(starts[0], starts[-1] - starts[0]).to_numpy().tolist()))
+            edges = (starts - starts[0]).tolist()
+            done += [b"".join(pieces[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        return pa.array(done, pa.binary())
 
     return run(ids)
 
@@ -209,6 +241,7 @@ def ids_digest(ids: Column) -> Column:
     """SHA-256, as hex, of ids as little-endian unsigned 32-bit integers."""
     @F.arrow_udf("string")
     def run(batches: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(row.values.to_numpy().astype("<u4").tobytes()).hexdigest() for row in batches], pa.string())
+        starts, values = batches.offsets.to_numpy().tolist(), batches.values.to_numpy().astype("<u4")
+        return pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(starts[:-1], starts[1:])], pa.string())
 
     return run(ids)
