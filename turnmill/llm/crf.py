@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,11 +24,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnmill.llm.arrays import slices
 
-PER_LABEL = 250
+PER_LABEL = 150
 LEXICON_WORDS = 300
 HASH_BITS = 17
 SEQUENCE = 96
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 17
+FIT_SEQUENCES = 512
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -41,18 +43,16 @@ class Model:
 
 
 def features(word: str, lexicons: dict[str, list[int]]) -> list[int]:
-    """Hashed features of a lower-case word; the first ones are a bias and the lexicons."""
+    """Hashed features of a lower-case word, from its bytes; the first ones are a bias and the lexicons."""
+    data, mask, crc, base = b"^" + word.encode("utf-8", "surrogatepass") + b"$", (1 << HASH_BITS) - 1, zlib.crc32, 64
+    size = len(data)
     found = [0, *[1 + i for i in lexicons.get(word, ())]]
-    data = b"^" + word.encode("utf-8", "surrogatepass") + b"$"
-    marked, size, mask = f"^{word}$", len(word) + 2, (1 << HASH_BITS) - 1
-    crc = zlib.crc32
-    named = [f"p{n}{marked[:n + 1]}" for n in (1, 2, 3) if n < size] + [f"s{n}{marked[-n - 1:]}" for n in (1, 2, 3, 4) if n < size]
-    grams = [marked[i:i + 2] for i in range(size - 1)] + [marked[i:i + 3] for i in range(size - 2)]
-    if len(data) < 40:
-        named.append(f"w{marked}")
-    base = 64
-    found += [base + (crc(x.encode("utf-8", "surrogatepass")) & mask) for x in named]
-    found += [base + (crc(x.encode("utf-8", "surrogatepass")) & mask) for x in grams]
+    found += [base + (crc(data[:n], 1) & mask) for n in (2, 3, 4) if n < size]
+    found += [base + (crc(data[-n:], 2) & mask) for n in (2, 3, 4, 5) if n < size]
+    found += [base + (crc(data[i:i + 3], 3) & mask) for i in range(size - 2)]
+    found += [base + (crc(data[i:i + 4], 4) & mask) for i in range(size - 3)]
+    if size < 40:
+        found.append(base + (crc(data, 5) & mask))
     return found
 
 
@@ -106,7 +106,7 @@ def _pad(rows: list[np.ndarray], fill: int) -> tuple[np.ndarray, np.ndarray, np.
     return table, lengths, order
 
 
-def fit(samples: list[tuple[str, str]], rounds: int = 60, seed: int = 5, l2: float = 1e-6) -> Model:
+def fit(samples: list[tuple[str, str]], rounds: int = 50, seed: int = 5, l2: float = 1e-6) -> Model:
     """Learn from (text, label) pairs by maximum likelihood."""
     labels = sorted({label for _, label in samples})
     place = {label: i for i, label in enumerate(labels)}
@@ -141,29 +141,39 @@ def fit(samples: list[tuple[str, str]], rounds: int = 60, seed: int = 5, l2: flo
         else:
             spliced.append(coded)
             gold.append([label] * len(words))
-    listed = [features(w, lexicons) for w in index]
-    flat = np.concatenate([np.array(f) for f in listed])
-    used, flat = np.unique(flat, return_inverse=True)
-    cuts = np.r_[0, np.cumsum([len(f) for f in listed])]
-    owner = np.repeat(np.arange(len(index)), np.diff(cuts))
-    table, lengths, order = _pad([np.array(s) for s in spliced], len(index))
-    answers, _, _ = _pad([np.array(gold[i]) for i in range(len(gold))], 0)
-    known = np.arange(table.shape[0])[:, None] < lengths[None, :]
-    truth = np.zeros((*table.shape, len(labels)))
-    np.put_along_axis(truth, answers[:, :, None], 1.0, axis=2)
-    truth *= known[:, :, None]
-    observed = np.einsum("tni,tnj->ij", truth[:-1], truth[1:])
+    every, sizes = array("i"), []
+    for word in index:
+        found = features(word, lexicons)
+        every.extend(found)
+        sizes.append(len(found))
+    cuts = np.r_[0, np.cumsum(sizes)]
+    used, flat = np.unique(np.frombuffer(every, dtype=np.int32), return_inverse=True)
+    flat, owner = flat.astype(np.int32), np.repeat(np.arange(len(index), dtype=np.int32), np.diff(cuts))
+    order = sorted(range(len(spliced)), key=lambda i: -len(spliced[i]))
+    # Some sequences at a time, so that the arrays of forward-backward stay small.
+    groups = [order[at:at + FIT_SEQUENCES] for at in range(0, len(order), FIT_SEQUENCES)]
     weights, moves = np.zeros((len(used), len(labels))), np.zeros((len(labels), len(labels)))
-    size = known.sum()
     first, second = [np.zeros_like(weights), np.zeros_like(moves)], [np.zeros_like(weights), np.zeros_like(moves)]
     for t in range(1, rounds + 1):
         scores = np.zeros((len(index) + 1, len(labels)))
-        scores[:-1] = np.add.reduceat(weights[flat], cuts[:-1])
-        marginals, _, pairs = forward_backward(scores[table], lengths, moves)
-        error = (marginals - truth).reshape(-1, len(labels))
-        per_word = np.stack([np.bincount(table.ravel(), error[:, k], len(index) + 1)[:-1] for k in range(len(labels))], axis=1)
+        for k in range(len(labels)):
+            scores[:-1, k] = np.add.reduceat(weights[flat, k], cuts[:-1])
+        per_word, pair_slope, size = np.zeros((len(index) + 1, len(labels))), np.zeros_like(moves), 0
+        for group in groups:
+            table, lengths, _ = _pad([np.array(spliced[i]) for i in group], len(index))
+            answers, _, _ = _pad([np.array(gold[i]) for i in group], 0)
+            error, _, pairs = forward_backward(scores[table], lengths, moves)
+            known = np.arange(table.shape[0])[:, None] < lengths[None, :]
+            both = known[1:]
+            observed = np.bincount(answers[:-1][both] * len(labels) + answers[1:][both], minlength=len(labels) ** 2)
+            pair_slope += pairs - observed.reshape(moves.shape)
+            at, column = np.nonzero(known)
+            error[at, column, answers[known]] -= 1.0
+            for k in range(len(labels)):
+                per_word[:, k] += np.bincount(table.ravel(), error[:, :, k].ravel(), len(index) + 1)
+            size += int(lengths.sum())
         slope = np.stack([np.bincount(flat, per_word[owner, k], len(used)) for k in range(len(labels))], axis=1)
-        for i, (value, gradient) in enumerate(((weights, slope / size + l2 * weights), (moves, (pairs - observed) / size + l2 * moves))):
+        for i, (value, gradient) in enumerate(((weights, slope / size + l2 * weights), (moves, pair_slope / size + l2 * moves))):
             first[i] = 0.9 * first[i] + 0.1 * gradient
             second[i] = 0.99 * second[i] + 0.01 * gradient ** 2
             value -= 0.1 * (first[i] / (1 - 0.9 ** t)) / (np.sqrt(second[i] / (1 - 0.99 ** t)) + 1e-8)
@@ -229,8 +239,8 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     counted = labelled.groupBy(lang_col).agg(F.count("*").alias("n")).collect()
     picked = []
     for row in counted:
-        # A keyed share of about twice as many, of which the first stay: no sort of all documents.
-        share = min(1.0, (2 * per_label + 50) / row["n"])
+        # A keyed share of about half as many more, of which the first stay: no sort of all documents.
+        share = min(1.0, (1.5 * per_label + 50) / row["n"])
         key = F.xxhash64(F.col(id_col).cast("string"), F.lit("train"))
         some = labelled.filter((F.col(lang_col) == row[lang_col]) & (F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20))))
         picked.append(some.select(key.alias("k"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")))
