@@ -198,7 +198,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = shard_quotas(row, levels, seed)
     places = dealt.select("shard", "group", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("blocks") - 1)).alias("at"))
     ordered = _before(drawn, "group", F.lit(1), "at")
-    placed = ordered.join(places, ["group", "at"])
+    # There is a place for every drawn block; Spark sees only the few rows they unfold from and would broadcast them.
+    placed = ordered.join(places.hint("merge"), ["group", "at"])
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "draw"), *KEY, "block", "pass")
     shuffled = placed.withColumn("place", F.row_number().over(local))
     return sizes, targets, shuffled.select(*KEY, "block", "pass", "words", "shard", "place")
