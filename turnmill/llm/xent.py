@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnmill.llm.arrays import slices
+from turnmill.llm.arrays import frequent, slices
 from turnmill.session import materialize
 
 #: Entries of the vocabulary, the one for all other words (number 0) included.
@@ -53,7 +53,8 @@ def vocabulary(docs: DataFrame, text_col: str, size: int = VOCABULARY) -> dict[b
             yield rows()
 
     words = docs.select(text_col).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(size - 1).select("word").collect()
+    some = frequent(materialize(words, "words"), size - 1, at_least=True)
+    top = some.orderBy(F.desc("n"), "word").limit(size - 1).select("word").collect()
     return {bytes(r.word): i for i, r in enumerate(top, 1)}
 
 
