@@ -137,7 +137,7 @@ def nearest(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str =
 
     first = materialize(search(asked, ordered, F.slice("tops", 1, probe), F.slice("tops", 1, post)), "met").distinct()
     enough = first.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, usual["rows"] - 1))
-    short = asked.join(enough, asked["id"] == enough["query_id"], "left_anti")
+    short = materialize(asked.join(enough, asked["id"] == enough["query_id"], "left_anti"), "short")
     found = first
     if usual["rows"] > 1 and not short.isEmpty():
         # Every vector once, in the file of its first pivot, against the queries that are left.
