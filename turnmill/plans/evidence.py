@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from turnmill import constants as K
 from turnmill.functions import calendar as C, identity as I, text as T
 from turnmill.operators.ordered import newest, top_rows
+from turnmill.session import materialize
 
 _QUOTE = "struct<receipt_id:string,session_id:string,date:string,text:string>"
 _ITEM = (f"struct<evidence_id:string,domain:string,kind:string,register:string,scope:string,context:string,"
@@ -248,8 +249,8 @@ def rule_support(rules: DataFrame, evidence: DataFrame) -> DataFrame:
     facts = evidence.select(
         "owner_id", "evidence_id", "sessions", "strata", "quote_count", "contradictions", F.col("kind").alias("e_kind"),
         F.col("register").alias("e_register"), F.col("domain").alias("e_domain"), F.col("scope").alias("e_scope"))
-    # One id may back much of the rules, so the evidence row is copied rather than the rules gathered.
-    joined = named.join(facts, ["owner_id", "evidence_id"], "left")
+    # Written once, as the totals and both distinct counts read it.
+    joined = materialize(named.join(facts, ["owner_id", "evidence_id"], "left"), "rule-facts")
     key = ["owner_id", "rule_id"]
     base = joined.groupBy(*key).agg(
         F.count("*").alias("evidence_items"), F.count_if(F.col("e_kind").isNull()).alias("missing"),
