@@ -221,3 +221,38 @@ def test_cross_entropy_against_brute_force(spark):
         assert g[2] is None or all(abs(x - y) < 1e-5 for x, y in zip(g[2:], w[2:]))
     assert xent.score(frame(spark, []), targets).count() == 0
     assert xent.score(frame(spark, rows), targets.limit(0)).filter("score is null").count() == sum(not xent.words_of(r[1]) for r in rows)
+
+
+def test_cross_entropy_counts_every_word(spark):
+    # With a fixed vocabulary the rare words would be one entry and the two documents at the end would score the same.
+    rows = documents(80) + [(500, "the quokka sleeps", "en", "a", 0, "x", "y", 1, "z"), (501, "the wombat sleeps", "en", "a", 0, "x", "y", 1, "z"),
+                            (502, "quokka quokka sleeps", "en", "a", 0, "x", "y", 1, "z")]
+    chosen = {*range(0, 40, 2), 502}
+    targets = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+    pairs = lambda text: list(zip([None, *xent.words_of(text)], xent.words_of(text)))
+    all_pairs, target_pairs = Counter(p for r in rows for p in pairs(r[1])), Counter(p for r in rows if r[0] in chosen for p in pairs(r[1]))
+    ratio, types = sum(target_pairs.values()) / sum(all_pairs.values()), len({w for _, w in all_pairs})
+
+    def model(counts, scale):
+        after, before = Counter(), Counter()
+        for (v, w), n in counts.items():
+            after[w] += n * scale
+            before[v] += n * scale
+        total = sum(after.values()) + types
+        return lambda v, w: -math.log((counts[v, w] * scale + xent.PRIOR * (after[w] + 1) / total) / (before[v] + xent.PRIOR))
+
+    own, other = model(target_pairs, 1), model(all_pairs, ratio)
+    want = []
+    for r in rows:
+        mine = pairs(r[1])
+        a, b = (sum(m(*p) for p in mine) / len(mine) if mine else None for m in (own, other))
+        want.append((r[0], len(mine), a, b))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    for dense, hot in ((3, 10), (5, 5), (2047, 1 << 17)):
+        got = values(xent.score(frame(spark, rows), targets, dense=dense, hot=hot), "doc_id", "tokens", "target_loss", "background_loss", "score")
+        assert len(got) == len(want)
+        for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+            assert g[:2] == w[:2] and (g[2] is None) == (w[2] is None)
+            assert g[2] is None or all(abs(x - y) < 1e-9 for x, y in zip(g[2:], (w[2], w[3], w[2] - w[3])))
+        scores = {g[0]: g[4] for g in got}
+        assert scores[500] < scores[501] - 1e-6

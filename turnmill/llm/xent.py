@@ -1,13 +1,17 @@
 """Scoring documents by cross-entropy difference between a target and a background language model.
 
-Both models are bigram models over one vocabulary, the most frequent words of all documents; other words share one entry.
-The background is learned from every document, the target from the documents named as such. The models are matched: same
-order, vocabulary and smoothing, and background counts are scaled to as many words as the target has, so that a word seen
-once weighs the same in both. A document's score is the mean over its words of target loss minus background loss, so the
-lowest scores are most like the target.
-
-Counts cover all documents and combine per task before the shuffle. What tasks need to score is two tables of
-(vocabulary + 1) x vocabulary numbers, whatever the size of the corpus.
+Both models are bigram models over all words of all documents. The background is learned from every document, the target
+from the documents named as such. The models are matched: same order, vocabulary and smoothing, and background counts are
+scaled to as many words as the target has, so that a word seen once weighs the same in both. A document's score is the mean
+over its words of target loss minus background loss, so the lowest scores are most like the target.
+
+Counts cover all words and all documents. The loss of a pair is -log(pair + prior * word) + log(word before + prior), and
+each of the counts it needs is found in one of two ways. Pairs of two of the DENSE most frequent words are counted per task
+into a table of fixed size, and the HOT most frequent words have their own counts: tasks know these and add up their
+losses per document. Every other occurrence of a pair is one row, dealt out by the pair, or by the word where that is not
+hot, so that the counts of pair and word are those of the rows that meet; the same holds for a word before that is not hot.
+A pair that is dealt out has a word outside of the DENSE most frequent, so no key has more than 1 / DENSE of all rows.
+Words outside of the HOT are told apart by 62 bits of their XXH64.
 """
 
 from __future__ import annotations
@@ -16,17 +20,22 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from turnmill.llm.arrays import frequent, slices
 from turnmill.session import materialize
 
-#: Entries of the vocabulary, the one for all other words (number 0) included.
-VOCABULARY = 2048
+#: How many of the most frequent words are counted pair by pair in a table, and how many have their counts in every task.
+DENSE = 2047
+HOT = 1 << 17
 PRIOR = 50.0
 FLUSH_WORDS = 400_000
 FLUSH_TOKENS = 1 << 21
 SHARED_IDS = 100_000
+#: Marks the row of a document among those of its pairs.
+WHOLE = -2
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -34,104 +43,199 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def vocabulary(docs: DataFrame, text_col: str, size: int = VOCABULARY) -> dict[bytes, int]:
-    """Numbers of the most frequent words of all documents, from 1; ties by the word's bytes."""
+def word_counts(marked: DataFrame) -> DataFrame:
+    """``word, n, t, last, last_t``: how often each word is in all and in target documents, and ends one.
+
+    ``marked``: id, text, whether the document is a target.
+    """
+    names = ["n", "t", "last", "last_t"]
+
     def count(batches):
-        counts = Counter()
+        held = [Counter() for _ in names]
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            words = list(held[0])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in held)], names=["word", *names])
 
         for batch in batches:
             for part in slices(batch):
-                for text in part.column(0).to_pylist():
-                    counts.update(words_of(text))
-                if len(counts) > FLUSH_WORDS:
+                for text, target in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    words = words_of(text)
+                    for counts, some in zip(held, (words, words * target, words[-1:], words[-1:] * target)):
+                        counts.update(some)
+                if len(held[0]) > FLUSH_WORDS:
                     yield rows()
-                    counts.clear()
-        if counts:
+                    held = [Counter() for _ in names]
+        if held[0]:
             yield rows()
 
-    words = docs.select(text_col).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    some = frequent(materialize(words, "words"), size - 1, at_least=True)
-    top = some.orderBy(F.desc("n"), "word").limit(size - 1).select("word").collect()
-    return {bytes(r.word): i for i, r in enumerate(top, 1)}
+    counted = marked.mapInArrow(count, "word binary, n bigint, t bigint, last bigint, last_t bigint")
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+
+
+class _Numbers:
+    """Words as numbers: hot ones by frequency from 0, others a negative hash, or ``other`` where there is such an entry."""
+
+    def __init__(self, hot: dict[bytes, int], other: int | None):
+        self.hot, self.other, self.memo = hot, other, {}
+
+    def __call__(self, words: list[bytes]) -> list[int]:
+        if len(self.memo) > FLUSH_WORDS:
+            self.memo = {}
+        memo, out = self.memo, []
+        for w in words:
+            number = memo.get(w)
+            if number is None:
+                number = self.hot.get(w, self.other)
+                if number is None:
+                    number = ((xxhash.xxh64_intdigest(w) | 1 << 63) & ~1) - (1 << 64)
+                memo[w] = number
+            out.append(number)
+        return out
+
 
+def _pairs(texts: list[str | None], numbers: _Numbers, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words per text, and of all their words in turn the word before (``start`` for the first) and the word."""
+    lengths, flat = [], []
+    for text in texts:
+        words = numbers(words_of(text))
+        lengths.append(len(words))
+        flat += words
+    lengths, after = np.array(lengths, dtype=np.int64), np.array(flat, dtype=np.int64)
+    before = np.r_[start, after[:-1]] if len(after) else after
+    stops = np.cumsum(lengths)
+    before[(stops - lengths)[lengths > 0]] = start
+    return lengths, before, after
 
-def _codes(text: str | None, known: dict[bytes, int], size: int) -> np.ndarray:
-    """One number per word: that of the word before (``size`` at the start) times ``size`` plus its own."""
-    get = known.get
-    numbers = np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
-    return np.r_[size, numbers[:-1]] * size + numbers if len(numbers) else numbers
 
+def _dense_codes(before: np.ndarray, after: np.ndarray, start: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are in the table, and their places: rows are words before, the last one the start."""
+    row = np.where(before == start, dense, before)
+    inside = (row >= 0) & ((row < dense) | (before == start)) & (after >= 0) & (after < dense)
+    return inside, row[inside] * dense + after[inside]
+
+
+def dense_counts(marked: DataFrame, shared, start: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the pairs of the ``dense`` most frequent words in all and in target documents, as flat tables."""
+    size = (dense + 1) * dense
 
-def bigrams(docs: DataFrame, text_col: str, shared, size: int) -> np.ndarray:
-    """Counts of all bigrams of all documents as a (size + 1) x size table."""
     def count(batches):
-        held, tokens, total = [], 0, np.zeros((size + 1) * size, dtype=np.int64)
+        total, chosen, held, tokens, numbers = np.zeros(size, np.int64), np.zeros(size, np.int64), [], 0, _Numbers(*shared.value[:2])
+
+        def add():
+            codes, marks = (np.concatenate(c) for c in zip(*held))
+            np.add(total, np.bincount(codes, minlength=size), out=total)
+            np.add(chosen, np.bincount(codes[marks], minlength=size), out=chosen)
+
         for batch in batches:
             for part in slices(batch):
-                for text in part.column(0).to_pylist():
-                    held.append(_codes(text, shared.value, size))
-                    tokens += len(held[-1])
-                    if tokens > FLUSH_TOKENS:
-                        total += np.bincount(np.concatenate(held), minlength=len(total))
-                        held, tokens = [], 0
+                lengths, before, after = _pairs(part.column(1).to_pylist(), numbers, start)
+                inside, codes = _dense_codes(before, after, start, dense)
+                marks = np.repeat(np.array(part.column(2).to_pylist(), dtype=bool), lengths)[inside]
+                held.append((codes, marks))
+                tokens += len(codes)
+                if tokens > FLUSH_TOKENS:
+                    add()
+                    held, tokens = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
+            add()
         seen = np.flatnonzero(total)
         for at in range(0, len(seen), 1 << 16):
             some = seen[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some]), pa.array(chosen[some])], names=["code", "n", "t"])
 
-    counted = docs.select(text_col).mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = marked.mapInArrow(count, "code bigint, n bigint, t bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     found = counted.toArrow()
-    table = np.zeros((size + 1) * size)
-    table[found.column("code").to_numpy()] = found.column("n").to_numpy()
-    return table.reshape(size + 1, size)
+    tables = np.zeros(size), np.zeros(size)
+    for table, name in zip(tables, ("n", "t")):
+        table[found.column("code").to_numpy()] = found.column(name).to_numpy()
+    return tables
 
 
-def losses(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """-log P(word | word before): counts smoothed by ``prior`` words of the model's unigrams, those by one word each."""
-    single = counts.sum(axis=0) + 1.0
-    single /= single.sum()
-    return -np.log((counts + prior * single) / (counts.sum(axis=1, keepdims=True) + prior))
-
-
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY,
-          prior: float = PRIOR) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None,
+          prior: float = PRIOR, dense: int = DENSE, hot: int = HOT) -> DataFrame:
     """``id_col, tokens, target_loss, background_loss, score`` for every row; losses are means per word in nats.
 
     ``targets``: the ids (a column named ``id_col``) of documents that are like what is wanted; null and unknown ids name
     none. Null, empty and wordless texts have 0 tokens and null losses. Without targets the target model knows nothing and
     gives every word the same loss. Repeated rows count and are scored each; an empty table gives no rows; extra columns
-    are not read.
+    are not read. With ``size`` the models have that many entries only: the most frequent words (ties by the word's bytes)
+    and one for all others. ``dense`` and ``hot`` say how the work is done and change no result.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col), F.col(text_col))
-    known = vocabulary(texts, text_col, size)
-    shared = spark.sparkContext.broadcast(known)
-    named = materialize(targets.select(id_col).filter(F.col(id_col).isNotNull()).distinct(), "targets")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named = materialize(targets.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull()).distinct(), "targets")
     few = named.limit(SHARED_IDS + 1).count() <= SHARED_IDS
-    wanted = texts.join(F.broadcast(named) if few else named, id_col, "left_semi")
-    target, background = bigrams(wanted, text_col, shared, size), bigrams(texts, text_col, shared, size)
-    background *= target.sum() / max(background.sum(), 1.0)
-    tables = spark.sparkContext.broadcast((losses(target, prior).astype(np.float32).ravel(), losses(background, prior).astype(np.float32).ravel()))
-
-    @F.arrow_udf("struct<tokens bigint, target_loss double, background_loss double, score double>")
-    def run(batches: pa.Array) -> pa.Array:
-        wanted_loss, other_loss = tables.value
-        rows = []
-        for part in slices(batches):
-            for text in part.to_pylist():
-                codes = _codes(text, shared.value, size)
-                if not len(codes):
-                    rows.append((0, None, None, None))
-                    continue
-                own, other = wanted_loss[codes].astype(np.float64), other_loss[codes].astype(np.float64)
-                rows.append((len(codes), float(own.mean()), float(other.mean()), float((own - other).mean())))
-        kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        columns = list(zip(*rows)) or [()] * 4
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["tokens", "target_loss", "background_loss", "score"])
-
-    return texts.select(id_col, run(F.col(text_col)).alias("s")).select(id_col, "s.*")
+    named = named.withColumn("target", F.lit(True))
+    marked = texts.join(F.broadcast(named) if few else named, "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    if not few:
+        marked = materialize(marked, "marked")  # rows are numbered below, so their order must not change
+
+    words = materialize(word_counts(marked), "words")
+    sums = words.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "t", "last", "last_t")]).first()
+    types, every, wanted, ends, target_ends = (int(x) for x in sums)
+    keep = hot if size is None else size - 1
+    top = frequent(words, keep, at_least=True).orderBy(F.desc("n"), "word").limit(keep).toArrow()
+    counts = np.array([top.column(c).to_numpy() for c in ("n", "t", "last", "last_t")], dtype=np.float64).reshape(4, -1)
+    known, other = {w: i for i, w in enumerate(top.column("word").to_pylist())}, None
+    if size is not None:
+        types, other = size, len(known)
+        counts = np.c_[counts, np.array([every, wanted, ends, target_ends]) - counts.sum(axis=1)]
+    start, dense = counts.shape[1], min(dense, counts.shape[1])
+    ratio = wanted / max(every, 1)
+    # Per hot word: what smoothing adds to its pairs; and the logarithm of its row as the word before, then that of the start.
+    added = prior * (counts[1] + 1) / (wanted + types or 1), prior * (ratio * counts[0] + 1) / (ratio * every + types or 1)
+    rows = np.log(np.r_[counts[1] - counts[3], target_ends] + prior), np.log(ratio * np.r_[counts[0] - counts[2], ends] + prior)
+    shared = spark.sparkContext.broadcast((known, other))
+    pairs, target_pairs = dense_counts(marked, shared, start, dense)
+    cells = [(-np.log(c.reshape(dense + 1, dense) + a[:dense])).ravel() for c, a in zip((target_pairs, ratio * pairs), added)]
+    tables = spark.sparkContext.broadcast((cells, rows))
+
+    def deal(batches):
+        numbers, (cells, rows) = _Numbers(*shared.value), tables.value
+        seen = TaskContext.get().partitionId() << 34
+        for batch in batches:
+            for part in slices(batch):
+                lengths, before, after = _pairs(part.column(1).to_pylist(), numbers, start)
+                docs = 2 * np.arange(seen, seen + len(lengths)) + np.array(part.column(2).to_pylist(), dtype=np.int64)
+                seen += len(lengths)
+                place = np.repeat(np.arange(len(lengths)), lengths)
+                inside, codes = _dense_codes(before, after, start, dense)
+                common = before >= 0
+                own = [np.bincount(place[inside], c[codes], len(lengths)) + np.bincount(place[common], r[before[common]], len(lengths)) for c, r in zip(cells, rows)]
+                # Pairs: by the pair and with the word's number, or by the word where it is not hot and with the word before.
+                at, v, w = place[~inside], before[~inside], after[~inside]
+                mixed = (v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)) >> np.uint64(1)
+                p = np.where(w < 0, w, np.where(v < 0, mixed.view(np.int64), v * (start + 1) + w))
+                rare = ~common
+                n = len(docs)
+                ones = [np.r_[docs, docs[at], docs[place[rare]]], np.r_[docs, p, before[rare] + 1],
+                        np.r_[np.full(n, WHOLE), np.where(w < 0, v, w), np.zeros(int(rare.sum()), np.int64)]]
+                more = len(ones[0]) - n
+                ids = pa.concat_arrays([part.column(0), pa.nulls(more, part.column(0).type)])
+                rest = [pa.concat_arrays([pa.array(x), pa.nulls(more, pa.array(x).type)]) for x in (lengths, *own)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, ones), ids, *rest], names=["d", "p", "k", "id", "tokens", "own_t", "own_b"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    dealt = marked.mapInArrow(deal, f"d bigint, p bigint, k bigint, id {kind}, tokens bigint, own_t double, own_b double")
+    placed = dealt.repartition("p").sortWithinPartitions("p", "k")
+    word, pair, target = Window.partitionBy("p"), Window.partitionBy("p", "k"), F.col("d").bitwiseAND(F.lit(1))
+    met = placed.withColumns({"word_n": F.count("*").over(word), "word_t": F.sum(target).over(word)}).withColumns(
+        {"pair_n": F.count("*").over(pair), "pair_t": F.sum(target).over(pair)})
+    hot_words = materialize(spark.createDataFrame(pa.table({
+        "w": pa.array(np.arange(start)), "hot_t": pa.array(added[0]), "hot_b": pa.array(added[1])})), "hot-words")
+    met = met.withColumn("w", F.when(F.col("p") >= 0, F.col("k"))).join(F.broadcast(hot_words), "w", "left")
+    whole, first = (F.col("p") >= 0) & (F.col("k") == WHOLE), (F.col("p") < 0) & (F.col("p").bitwiseAND(F.lit(1)) == 1)
+
+    def loss(side: str, scale: float):
+        total = F.lit(float(scale * every + types or 1) if side == "b" else float(wanted + types or 1))
+        n = "n" if side == "b" else "t"
+        smooth = F.coalesce(f"hot_{side}", prior * (scale * F.col(f"word_{n}") + 1) / total)
+        return F.when(whole, F.col(f"own_{side}")).when(first, F.log(scale * F.col(f"word_{n}") + prior)).otherwise(-F.log(scale * F.col(f"pair_{n}") + smooth))
+
+    losses = met.select("d", "id", "tokens", loss("t", 1.0).alias("t"), loss("b", float(ratio)).alias("b"))
+    summed = losses.groupBy("d").agg(F.max("id").alias("id"), F.max("tokens").alias("tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    some = F.col("tokens") > 0
+    return summed.select(
+        F.col("id").alias(id_col), "tokens", F.when(some, F.col("t") / F.col("tokens")).alias("target_loss"),
+        F.when(some, F.col("b") / F.col("tokens")).alias("background_loss"), F.when(some, (F.col("t") - F.col("b")) / F.col("tokens")).alias("score"))
