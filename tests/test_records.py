@@ -215,3 +215,25 @@ def test_long_chains(spark, rows):
     assert review.pull_status(generations, at("x"), at("g0300")).first().status == "conflict"
     accepted = accounts.within_quota(chain, spark.createDataFrame([("a", 20)], "account_id string, generations int"))
     assert accepted.filter("accepted").count() == 480
+
+
+def test_quota_refuses_bytes_as_well_as_generations(spark, rows):
+    import random
+
+    rng, sent = random.Random(4), [("b", "x", 1, 60), ("b", "y", 2, 50), ("b", "x", 3, 60), ("b", "z", 4, 40), ("b", "w", 5, 1)]
+    for account in ("c", "d", "e"):
+        sent += [(account, f"g{i}", i, rng.choice([0, 1, 5, 9, 30])) for i in range(40)]
+    held = {"c": (3, 20), "e": (0, 101)}
+    want, seen, used = [], {}, {}
+    for a, g, n, size in sent:
+        if (a, g) not in seen:
+            count, stored = used.get(a, held.get(a, (0, 0)))
+            seen[a, g] = count < 12 and stored + size <= 100
+            if seen[a, g]:
+                used[a] = count + 1, stored + size
+        want.append((a, g, n, seen[a, g]))
+    uploads = spark.createDataFrame(sent, "account_id string, generation_id string, arrival long, bytes long")
+    stored = spark.createDataFrame([(a, *x) for a, x in held.items()], "account_id string, generations int, bytes long")
+    got = accounts.within_quota(uploads, stored, 12, 100)
+    assert rows(got, "account_id", "generation_id", "arrival", "accepted") == sorted(want, key=str)
+    assert ("b", "y", 2, False) in want and ("b", "z", 4, True) in want and not any(r[3] for r in want if r[0] == "e")

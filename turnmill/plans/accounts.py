@@ -143,12 +143,16 @@ def retain_newest(rows: DataFrame, group: list[str], ident: str, keep: int = K.R
     return top_rows(rows, group, [F.desc(ident)], keep)
 
 
-def within_quota(uploads: DataFrame, stored: DataFrame | None = None, most: int = K.MAX_GENERATIONS) -> DataFrame:
-    """``uploads`` with ``accepted``: an account takes its first uploads, by arrival, up to ``most`` generations.
+def within_quota(uploads: DataFrame, stored: DataFrame | None = None, most: int = K.MAX_GENERATIONS,
+                 most_bytes: int = K.MAX_ACCOUNT_BYTES) -> DataFrame:
+    """``uploads`` with ``accepted``: an account takes uploads, by arrival, while ``most`` generations and ``most_bytes`` hold.
 
-    ``stored``: account_id, generations it holds already. An upload that repeats a generation takes no room.
+    ``uploads`` have a column bytes; without it only generations are counted. ``stored``: account_id, generations and,
+    where uploads have sizes, bytes it holds already. Refused uploads, and those that repeat a generation, take no room.
     """
     key = ["account_id", "generation_id"]
+    if "bytes" in uploads.columns:
+        return uploads.join(_fitting(uploads, stored, most, most_bytes), key)
     new = first_rows(uploads.select(*key, "arrival"), key, ["arrival"])
     placed = ranked(new, ["account_id"], ["arrival"], integer_chunks("arrival"), "place")
     held = F.lit(0)
@@ -159,6 +163,42 @@ def within_quota(uploads: DataFrame, stored: DataFrame | None = None, most: int
     return uploads.join(room, key)
 
 
+def _fitting(uploads: DataFrame, stored: DataFrame | None, most: int, most_bytes: int) -> DataFrame:
+    """``account_id, generation_id, accepted`` under both bounds.
+
+    A round accepts uploads up to the first that does not fit. Room only falls, so uploads larger than what is left are
+    refused at once, and the next round sees what comes after. Every round accepts one upload of each account still open.
+    """
+    key = ["account_id", "generation_id"]
+    new = materialize(first_rows(uploads.select(*key, "arrival", F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes")), key, ["arrival"]), "uploads")
+    room = new.select("account_id").distinct()
+    held, held_bytes = F.lit(0), F.lit(0)
+    if stored is not None:
+        room = room.join(stored.select("account_id", F.col("generations").alias("held"), F.col("bytes").alias("held_bytes")), "account_id", "left")
+        held, held_bytes = F.coalesce("held", F.lit(0)), F.coalesce("held_bytes", F.lit(0))
+    room = room.select("account_id", (most - held).cast("bigint").alias("places"), (most_bytes - held_bytes).cast("bigint").alias("room"))
+    rest, accepted = new, None
+    while True:
+        open_rows = rest.join(room, "account_id").filter("places > 0 AND bytes <= room")
+        placed = materialize(running(materialize(open_rows, "open"), ["account_id"], ["arrival"], integer_chunks("arrival"),
+                                     sums={"before": F.lit(1), "bytes_before": F.col("bytes")}), "placed")
+        if placed.isEmpty():
+            break
+        fits = (F.col("before") < F.col("places")) & (F.col("bytes_before") + F.col("bytes") <= F.col("room"))
+        taken = placed.filter(fits)
+        accepted = taken.select(*key) if accepted is None else accepted.unionByName(taken.select(*key))
+        ends = placed.groupBy("account_id").agg(
+            (F.first("places") - F.count_if(fits)).alias("places"), (F.first("room") - F.coalesce(F.sum(F.when(fits, F.col("bytes"))), F.lit(0))).alias("room"),
+            F.min(F.when(~fits, F.col("arrival"))).alias("since"))
+        room = materialize(ends.filter("since IS NOT NULL"), "room")
+        rest = placed.select(*key, "arrival", "bytes").join(room.select("account_id", "since"), "account_id").filter("arrival > since").drop("since")
+        room = room.drop("since")
+    if accepted is None:
+        return new.select(*key, F.lit(False).alias("accepted"))
+    marks = accepted.withColumn("accepted", F.lit(True))
+    return new.select(*key).join(marks, key, "left").fillna(False, ["accepted"])
+
+
 def advance_heads(uploads: DataFrame, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Replay uploads against each account's head: an upload moves it only if its parent is the head.
 
