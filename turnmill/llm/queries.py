@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnmill.llm import bpe, covering, crf, linewindows, mixing, permutation, quotient, surrogates, urlrules, xent
+from turnmill.llm import alignment, bpe, covering, crf, linewindows, mixing, permutation, quotient, surrogates, urlrules, xent
 from turnmill.llm.arrays import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def op6(spark, folder):
 def op4(spark, folder):
     good = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
     return xent.score(table(spark, folder, "documents"), good)
+
+
+@query("op11_alignment")
+def op11(spark, folder):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return alignment.Alignment(table(spark, folder, "documents"), a.read(), b.read()).documents()
