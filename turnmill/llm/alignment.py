@@ -26,23 +26,25 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from turnmill.llm.arrays import slices
+from turnmill.llm.arrays import pack, slices, unpack
 from turnmill.session import materialize
 
 #: A chunk ends at so many links or documents; a task's memory of units is emptied at so many links of its own.
-CHUNK_LINKS, CHUNK_DOCS, STORE_LINKS = 1 << 22, 1 << 16, 1 << 21
+CHUNK_LINKS, CHUNK_DOCS, STORE_LINKS = 1 << 22, 1 << 16, 1 << 22
 BLOCK_PAIRS, FAN = 8192, 64
 #: Bytes of text per partition of pairs, and the parts an id's pairs are split into.
 RADIX_BYTES, RADIX_LEAST, RADIX_MOST, SPLITS = 1 << 25, 8, 1 << 14, 16
 #: A space after a character that is white space in no engine's view; no match of a byte-level pattern reaches over it.
 UNIT_END = re.compile(r" (?<=[!-~\w] )")
+CLOSED = re.compile(r"[!-~\w]\Z")
+JOINED_CHARS = 1 << 14
 SPACE = "▁"
 
 
@@ -95,53 +97,86 @@ class Units:
         self.a_bytes = [byte_level(self.a.id_to_token(i) or "") for i in range(size)]
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.a_size, self.b_size = np.array([len(t) for t in self.a_bytes]), np.array([len(t) for t in self.b_bytes])
+        # An id's text inside a group and at its end, for A and then for B.
+        self.shown = [f"{i}{tail}".encode() for sizes, tails in ((self.a_size, ",|"), (self.b_size, ",;")) for i in range(len(sizes)) for tail in tails]
         self.keyed = keyed
         self.clear()
 
     def clear(self) -> None:
         self.places, self.groups, self.counts, self.sizes, self.keys, self.links = {}, [], [], [], [], 0
 
-    def add(self, units: list[str]) -> None:
-        """Encode units that are not known yet. One whose bytes do not agree with the text has no tokens and no groups."""
-        if not units:
+    def known(self, units: list[str], by_unit: bool) -> list[int]:
+        """Places of units, encoding those that are new."""
+        found = list(map(self.places.get, units))
+        if None in found:
+            new = list({u: None for u, at in zip(units, found) if at is None})
+            if by_unit:
+                self._add_joined([u for u in new if CLOSED.search(u)])
+                new = [u for u in new if u not in self.places]
+            for at in range(0, len(new), 1024):
+                self._add(new[at:at + 1024], [[u] for u in new[at:at + 1024]])
+            found = list(map(self.places.get, units))
+        return found
+
+    def _add_joined(self, units: list[str]) -> None:
+        """Encode units many at a time as one text, in which their ends are ends of tokens."""
+        held, size = [[]], 0
+        for unit in units:
+            if size > JOINED_CHARS:
+                held.append([])
+                size = 0
+            held[-1].append(unit)
+            size += len(unit) + 1
+        self._add([" ".join(group) for group in held if group], [group for group in held if group])
+
+    def _add(self, texts: list[str], units: list[list[str]]) -> None:
+        """Encode texts and cut what comes of them at the ends of their units.
+
+        A text of one unit whose bytes do not agree has no tokens and no groups; one of several is left to be encoded unit
+        by unit.
+        """
+        if not texts:
             return
-        wanted = [(" " + u).encode() for u in units]
-        coded = [(e.ids, b) for e, b in zip(self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False), self.b.encode(units, num_threads=1))]
+        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b_ids = self.b.encode(texts, num_threads=1)
         a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        coded = [(a, b) if b"".join(map(a_bytes, a)) == w and b"".join(map(b_bytes, b)) == w else ([], []) for (a, b), w in zip(coded, wanted)]
-        a_count, b_count = np.array([len(a) for a, _ in coded]), np.array([len(b) for _, b in coded])
-        a, b = np.array([i for x, _ in coded for i in x], dtype=np.int64), np.array([i for _, x in coded for i in x], dtype=np.int64)
+        agree = [b"".join(map(a_bytes, x)) == (w := (" " + t).encode()) == b"".join(map(b_bytes, y)) for t, x, y in zip(texts, a_ids, b_ids)]
+        for own, good in zip(units, agree):
+            if not good and len(own) == 1:
+                self._keep(own, [b""], np.zeros((1, 4), dtype=np.int64), np.zeros(0, dtype=np.uint64))
+        a = np.fromiter(chain.from_iterable(x for x, good in zip(a_ids, agree) if good), dtype=np.int64)
+        b = np.fromiter(chain.from_iterable(x for x, good in zip(b_ids, agree) if good), dtype=np.int64)
+        cut = [u for own, good in zip(units, agree) if good for u in own]
+        if not cut:
+            return
+        # Both sides have the same bytes, so ends are compared over all texts at once.
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        # Both sides of a unit have the same bytes, so ends are compared over all units at once.
-        marks = np.zeros((2, int(a_end[-1]) + 1 if len(a) else 1), dtype=bool)
+        borders = np.cumsum([len(u.encode()) + 1 for u in cut])
+        marks = np.zeros((2, int(borders[-1]) + 1), dtype=bool)
         marks[0, a_end], marks[1, b_end] = True, True
+        both = marks.all(axis=0)
+        if not both[borders].all():
+            raise ValueError("a token reaches over the end of a unit")
         before = np.cumsum(marks, axis=1) - marks
         ends = np.flatnonzero(marks.any(axis=0))
-        both = marks.all(axis=0)
         group = np.cumsum(both) - both
         a_at, b_at = before[0, ends], before[1, ends]
-        unit_of = np.repeat(np.arange(len(units)), a_count)
-        link_count = np.bincount(unit_of[a_at], minlength=len(units))
-        group_count = np.bincount(unit_of[both[a_end]], minlength=len(units))
+        counts = np.diff(np.stack([
+            np.searchsorted(a_end, borders, "right"), np.searchsorted(b_end, borders, "right"),
+            group[borders] + 1, np.searchsorted(ends, borders, "right")], axis=1), axis=0, prepend=0)
         order = np.argsort(np.concatenate([group[a_end] * 2, group[b_end] * 2 + 1]), kind="stable")
-        tails = np.concatenate([np.where(both[a_end], "|", ","), np.where(both[b_end], ";", ",")])[order].tolist()
-        texts = [f"{i}{t}" for i, t in zip(np.concatenate([a, b])[order].tolist(), tails)]
-        cuts = np.concatenate([[0], np.cumsum(a_count + b_count)]).tolist()
-        for n, unit in enumerate(units):
-            self.places[unit] = len(self.groups)
-            self.groups.append("".join(texts[cuts[n]:cuts[n + 1]]).encode())
-        self.sizes.append(np.stack([a_count, b_count, group_count, link_count], axis=1))
-        self.keys.append(self.keyed(a[a_at], b[b_at]))
-        self.counts += link_count.tolist()
-        self.links += len(ends)
-
-    def known(self, units: list[str]) -> list[int]:
-        """Places of units, encoding those that are new."""
-        found = list(map(self.places.get, units))
-        if None in found:
-            self.add(list({u: None for u, at in zip(units, found) if at is None}))
-            found = list(map(self.places.get, units))
-        return found
+        shown = np.concatenate([a * 2 + both[a_end], (b + len(self.a_size)) * 2 + both[b_end]])[order]
+        pieces = list(map(self.shown.__getitem__, shown.tolist()))
+        cuts = [0, *np.cumsum(counts[:, 0] + counts[:, 1]).tolist()]
+        self._keep(cut, [b"".join(pieces[lo:hi]) for lo, hi in zip(cuts, cuts[1:])], counts, self.keyed(a[a_at], b[b_at]))
+
+    def _keep(self, units: list[str], groups: list[bytes], counts: np.ndarray, keys: np.ndarray) -> None:
+        self.places.update(zip(units, range(len(self.groups), len(self.groups) + len(units))))
+        self.groups += groups
+        self.counts += counts[:, 3].tolist()
+        self.sizes.append(counts)
+        self.keys.append(keys)
+        self.links += len(keys)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Counts of all units, and the keys of their links one unit after the other."""
@@ -150,24 +185,6 @@ class Units:
         return self.sizes[0], self.keys[0]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as zstd-compressed byte planes: first the planes of the lowest bytes."""
-    parts = [np.array([len(arrays)] + [x for a in arrays for x in (len(a), a.itemsize)], dtype="<u8").tobytes()]
-    parts += [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    count = int(np.frombuffer(raw, "<u8", 1)[0])
-    shapes, at, found = np.frombuffer(raw, "<u8", 2 * count, 8).astype(int).reshape(-1, 2).tolist(), 8 + 16 * count, []
-    for size, width in shapes:
-        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
-        found.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(size))
-        at += size * width
-    return found
-
-
 class Layout:
     """Where the parts of a record's 64-bit key lie: partition, B id, A id, document, from the highest bits down."""
 
@@ -371,12 +388,15 @@ def _encode(shared, layout: Layout, keep_groups: bool, chunk_links: int):
         units = Units(a_json, b_model, layout.keys)
         chunk, ids, coded, digests, groups, links = TaskContext.get().partitionId() << 32, [], [], [], [], 0
 
-        def encode(text):
-            if not text:
-                return []
-            found = units.known(UNIT_END.split(text)) if by_unit else units.known([text])
-            if by_unit and not all(map(units.groups.__getitem__, found)):
-                found = units.known([text])
+        def encode(texts):
+            """Places of the units of each text."""
+            cut = [(UNIT_END.split(t) if by_unit else [t]) if t else [] for t in texts]
+            flat = units.known(list(chain.from_iterable(cut)), by_unit)
+            edges = [0, *accumulate(map(len, cut))]
+            found = [flat[lo:hi] for lo, hi in zip(edges, edges[1:])]
+            for n, own in enumerate(found):
+                if by_unit and not all(map(units.groups.__getitem__, own)):
+                    found[n] = units.known([texts[n]], False)
             return found
 
         def finished():
@@ -399,19 +419,21 @@ def _encode(shared, layout: Layout, keep_groups: bool, chunk_links: int):
         names = ["chunk", "place", "id", "n_a", "n_b", "n_groups", "n_links", "sha", "groups", "part", "pairs", "holders"]
         for batch in batches:
             for part in slices(batch):
-                for n, text in enumerate(part.column(1)):
-                    found = encode(text.as_py())
+                for n, found in enumerate(encode(part.column(1).to_pylist())):
                     joined = b"".join(map(units.groups.__getitem__, found))[:-1]
                     ids.append(part.column(0).slice(n, 1))
                     coded.append(found)
                     digests.append(hashlib.sha256(joined).hexdigest() if joined else "")
                     groups.append(joined.decode() if keep_groups else None)
                     links += sum(map(units.counts.__getitem__, found))
-                    if links >= chunk_links or len(coded) == 1 << layout.doc_bits or units.links >= STORE_LINKS:
+                    if links >= chunk_links or len(coded) == 1 << layout.doc_bits:
+                        yield from finished()
+                        chunk, ids, coded, digests, groups, links = chunk + 1, [], [], [], [], 0
+                if units.links >= STORE_LINKS:
+                    if coded:
                         yield from finished()
                         chunk, ids, coded, digests, groups, links = chunk + 1, [], [], [], [], 0
-                        if units.links >= STORE_LINKS // 2:
-                            units.clear()
+                    units.clear()
         if coded:
             yield from finished()
 
