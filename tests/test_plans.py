@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,6 +207,36 @@ def test_trace(spark, rows, profile, want):
     assert rows(results, "quote", "sessions") == want
 
 
+def test_trace_over_the_borders_of_messages(spark, rows):
+    long = " ".join(f"w{n}" for n in range(4000))
+    said = [("s1", n, "2026-01-0%d" % (n % 9 + 1), t) for n, t in enumerate(["we start here", "ok", long, "then stop", long + " end of it"])]
+    said += [("s2", n, "undated", "ok") for n in range(3000)] + [("s3", 0, "undated", "then stop"), ("s3", 7, "undated", "and go on")]
+    quotes = ["start here [2026-01-02] ok [2026-01-03] w0 w1 w2", "w3998 w3999 [2026-01-04] then stop", "then stop [2026-01-05] w0", "w3999 end of it",
+              "ok [undated] ok [undated] ok [undated] ok", "stop [undated] and go", "then stop [2026-01-01] w0", "w5 w6 w7 w9", "w2000 w2001 w2002 w2003"]
+    profile = "\n".join(f"“{q}”" for q in quotes)
+    sessions = {}
+    for session, _, date, text in said:
+        sessions[session] = sessions.get(session, "") + f"[{date}] {text} "
+    wanted = sorted((q, sum(q in t for t in sessions.values())) for q in quotes)
+    found = trace.extract_quotes(spark.createDataFrame([("o", 1, profile)], "owner_id string, profile_id int, text string"))
+    messages = spark.createDataFrame([("o", *m) for m in said], "owner_id string, session_id string, ordinal int, date string, text string").repartition(5)
+    assert rows(trace.trace_results(found, trace.trace(found, messages)), "quote", "sessions") == wanted
+    assert [n for _, n in wanted] != [0] * len(quotes)
+
+
+def test_spans_by_automaton_and_by_word_runs(spark, rows):
+    rng = random.Random(8)
+    word = lambda: rng.choice("the cat sat on a mat by door ß é x".split())
+    texts = [(rng.choice("pq"), n, " ".join(word() for _ in range(rng.randint(0, 40)))) for n in range(120)]
+    needles = {(rng.choice("pq"), " ".join(word() for _ in range(rng.randint(1, 6)))) for _ in range(60)} | {("p", "at on"), ("q", "t s"), ("p", "a"), ("q", "")}
+    wanted = sorted((o, n, needle) for o, n, t in texts for own, needle in needles if own == o and needle and needle in t)
+    hay = spark.createDataFrame(texts, "owner_id string, n int, haystack string").repartition(3)
+    sought = spark.createDataFrame(sorted(needles) * 2, "owner_id string, needle string")
+    for options in ({}, {"shard_chars": 60}, {"shard_chars": 60, "most_passes": 2}):
+        assert rows(trace.find_spans(sought, hay, ["n"], **options), "owner_id", "n", "needle") == sorted(wanted, key=str)
+    assert trace.find_spans(sought.limit(0), hay, ["n"]).count() == 0
+
+
 # --- evidence ------------------------------------------------------------------------------
 
 def report_case(spark):

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from turnmill import constants as K
 from turnmill.functions import text as T
-from turnmill.operators.ordered import first_rows
+from turnmill.operators.ordered import first_rows, integer_chunks, running
 from turnmill.session import materialize
 
+#: Characters of needles, with their owners, that one pass over the texts looks for.
+SHARD_CHARS = 2_000_000
+#: Passes over the texts; with more needles than they hold, texts are met by shuffled runs of words instead.
+MOST_PASSES = 32
 GRAM_MAX = 4
-#: Needles that are sent to all tasks, and short ones that share an array.
-FEW_NEEDLES, ARRAY_NEEDLES = 200_000, 500
+WINDOW_CHARS = 8192
 
 
 def _curly(text: Column) -> Column:
@@ -78,47 +86,133 @@ def _hashes(words: Column, sizes: list[int]) -> Column:
     return F.flatten(F.array(*[of(size) for size in sizes]))
 
 
-def find_spans(needles: DataFrame, texts: DataFrame, key: list[str], few: int = FEW_NEEDLES) -> DataFrame:
-    """Pairs of needle and text where the text contains the needle.
+_BUILT: dict[str, tuple] = {}
+
+
+def _automaton(shard: str, needles: list[tuple[str, str]]) -> tuple:
+    """The needles of a shard as an Aho-Corasick automaton, and the owners of each; a Python worker keeps its last one."""
+    if shard not in _BUILT:
+        import ahocorasick
+
+        owners: dict[str, set[str]] = {}
+        for owner, needle in needles:
+            owners.setdefault(needle, set()).add(owner)
+        found = ahocorasick.Automaton()
+        for needle, own in owners.items():
+            found.add_word(needle, (needle, own))
+        found.make_automaton()
+        _BUILT.clear()
+        _BUILT[shard] = found
+    return _BUILT[shard]
+
+
+def _search(shard: str, shared):
+    """Over owner_id, key columns, haystack: the owner, the key and each needle of the owner that the text contains."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(shard, shared.value)
+        for batch in batches:
+            rows, needles = [], []
+            for n, (owner, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1))):
+                met = {needle for _, (needle, owners) in automaton.iter(text.as_py() or "") if owner in owners}
+                rows += [n] * len(met)
+                needles += met
+            if rows:
+                at = pa.array(rows, pa.int64())
+                kept = [batch.column(c).take(at) for c in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(needles, pa.string())], names=[*batch.schema.names[:-1], "needle"])
+
+    return run
+
+
+def find_spans(needles: DataFrame, texts: DataFrame, key: list[str], shard_chars: int = SHARD_CHARS, most_passes: int = MOST_PASSES) -> DataFrame:
+    """``owner_id``, ``key``, ``needle``: once for each text that contains a needle of its owner.
 
     ``needles``: owner_id, needle. ``texts``: owner_id, ``key`` columns, haystack. Both in ``quote_form``; empty needles
-    match nothing. A needle of three words or more is found by one run of its inner words, an equality, and each hit is
-    then checked in full. While there are at most ``few`` needles the runs of the texts meet them without a shuffle; with
-    more they are shuffled. Shorter needles have no whole inner word: they travel in arrays to the texts of their owner.
+    match nothing. Needles are cut into shards of ``shard_chars``; for each an automaton is sent out and every text is read
+    once, where it lies. Where that would take more than ``most_passes`` passes, texts are met by equality of word runs.
+    """
+    spark = texts.sparkSession
+    known = materialize(needles.filter("needle != ''").select("owner_id", "needle").distinct(), "needles")
+    chars = known.agg(F.sum(F.length("needle") + F.length("owner_id")).alias("n")).first()["n"] or 0
+    passes = -(-chars // shard_chars)
+    if passes > most_passes:
+        return _met_by_runs(known, texts, key)
+    schema = StructType([*[texts.schema[c] for c in ("owner_id", *key)], StructField("needle", StringType())])
+    found = texts.select("owner_id", *key, F.lit("").alias("needle")).limit(0)
+    if passes > 1:
+        texts = materialize(texts.select("owner_id", *key, "haystack"), "haystacks")
+    for n in range(passes):
+        rows = known.filter(F.pmod(F.xxhash64("owner_id", "needle"), F.lit(passes)) == n).toArrow()
+        shared = spark.sparkContext.broadcast(list(zip(rows.column("owner_id").to_pylist(), rows.column("needle").to_pylist())))
+        found = found.unionByName(texts.select("owner_id", *key, "haystack").mapInArrow(_search(uuid.uuid4().hex, shared), schema))
+    return found
+
+
+def _met_by_runs(known: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
+    """``find_spans`` for needles of any number.
+
+    A needle of three words or more is found by one run of its inner words, an equality, and each hit is then checked in
+    full. Shorter needles have no whole inner word; they are met by every stretch of characters of their length.
     """
     words = F.split("needle", " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
-    known = materialize(needles.filter("needle != ''").select("owner_id", "needle").distinct().withColumn("inner", inner).withColumn(
-        "size", F.least(F.lit(GRAM_MAX), F.size("inner"))), "needles")
+    known = materialize(known.withColumn("inner", inner).withColumn("size", F.least(F.lit(GRAM_MAX), F.size("inner"))), "inner-words")
     texts = materialize(texts.select("owner_id", *key, "haystack"), "haystacks")
-    counts = known.groupBy("size").agg(F.count("*").alias("n")).collect()
-    sizes, total = sorted(r["size"] for r in counts if r["size"]), sum(r["n"] for r in counts)
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
     found = texts.select("owner_id", *key, F.lit("").alias("needle")).limit(0)
-    if any(not r["size"] for r in counts):
-        parts = -(-sum(r["n"] for r in counts if not r["size"]) // ARRAY_NEEDLES)
-        arrays = known.filter("size = 0").groupBy("owner_id", F.pmod(F.xxhash64("needle"), F.lit(parts)).alias("part")).agg(
-            F.collect_set("needle").alias("wanted"))
-        arrays = F.broadcast(arrays) if total <= few else arrays
-        hits = texts.join(arrays, "owner_id").select(
-            "owner_id", *key, F.explode(F.filter("wanted", lambda n: F.contains(F.col("haystack"), n))).alias("needle"))
-        found = found.unionByName(hits)
-    if sizes:
+    if 0 in sizes:
+        # Lengths are few, as the needles are of one or two words.
+        short = known.filter("size = 0").select("owner_id", "needle", F.length("needle").alias("chars"))
+        lengths = sorted(r["chars"] for r in short.select("chars").distinct().collect())
+
+        def stretches(chars: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("haystack") - (chars - 1)))
+            return F.transform(starts, lambda at: F.substring("haystack", at, F.lit(chars)))
+
+        cuts = F.flatten(F.array(*map(stretches, lengths)))
+        parts = texts.select("owner_id", *key, F.explode(F.array_distinct(cuts)).alias("needle"))
+        found = found.unionByName(parts.join(short.drop("chars"), ["owner_id", "needle"]).select("owner_id", *key, "needle"))
+    if any(sizes):
         anchored = known.filter("size > 0").select(
             "owner_id", "needle", F.xxhash64("size", _anchor(F.col("inner"), F.col("size"))).alias("gram"))
-        anchored = F.broadcast(anchored) if total <= few else anchored
         tokens = texts.select("owner_id", *key, F.split("haystack", " ").alias("__words"))
-        grams = tokens.select("owner_id", *key, F.explode(_hashes(F.col("__words"), sizes)).alias("gram"))
+        grams = tokens.select("owner_id", *key, F.explode(_hashes(F.col("__words"), [s for s in sizes if s])).alias("gram"))
         hits = grams.join(anchored, ["owner_id", "gram"]).drop("gram").distinct()
         hits = hits.join(texts, ["owner_id", *key]).filter(F.contains("haystack", "needle")).drop("haystack")
-        found = found.unionByName(hits)
+        found = found.unionByName(hits.select("owner_id", *key, "needle"))
     return found
 
 
+def border_windows(messages: DataFrame, reach: int, window_chars: int = WINDOW_CHARS) -> DataFrame:
+    """``owner_id, session_id, haystack``: the text around the borders of a session's messages, in overlapping windows.
+
+    ``messages``: owner_id, session_id, ordinal (a whole number that orders a session), haystack. Any stretch of at most
+    ``reach`` characters that crosses a border lies whole in one window. Of a long message only both ends are kept, apart
+    from each other, so a window is of bounded size and a session of any length is as many windows as its borders need.
+    """
+    apart = F.concat(F.left("haystack", F.lit(reach)), F.lit("\n"), F.right("haystack", F.lit(reach)))
+    pieces = messages.select("owner_id", "session_id", "ordinal", F.when(
+        F.length("haystack") > 2 * reach, apart).otherwise(F.col("haystack")).alias("piece"))
+    placed = running(materialize(pieces, "pieces"), ["owner_id", "session_id"], ["ordinal"], integer_chunks("ordinal"),
+                     sums={"start": (F.length("piece") + 1).cast("bigint")})
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("start") - reach) / window_chars))
+    last = F.floor((F.col("start") + F.length("piece")) / window_chars)
+    dealt = placed.withColumn("window", F.explode(F.sequence(first, last)))
+    grouped = dealt.groupBy("owner_id", "session_id", "window").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("pieces"))
+    return grouped.filter(F.size("pieces") > 1).select(
+        "owner_id", "session_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), " ").alias("haystack"))
+
+
 def trace(quotes: DataFrame, messages: DataFrame) -> DataFrame:
-    """One row per quote and session that contains it."""
+    """One row per quote and session that contains it, its messages following each other with their dates.
+
+    ``messages``: owner_id, session_id, ordinal, date, text.
+    """
     shown = F.concat(F.lit("["), F.col("date"), F.lit("] "), F.col("text"))
-    texts = messages.select("owner_id", "session_id", "ordinal", T.quote_form(shown).alias("haystack"))
-    found = find_spans(quotes, texts, ["session_id", "ordinal"]).select("owner_id", "needle", "session_id").distinct()
+    texts = materialize(messages.select("owner_id", "session_id", "ordinal", T.quote_form(shown).alias("haystack")), "haystacks")
+    reach = quotes.agg(F.max(F.length("needle")).alias("n")).first()["n"] or 1
+    searched = texts.drop("ordinal").unionByName(border_windows(texts, reach, max(WINDOW_CHARS, 4 * reach)))
+    found = find_spans(quotes, searched, ["session_id"]).select("owner_id", "needle", "session_id").distinct()
     return quotes.join(found, ["owner_id", "needle"])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from turnmill import constants as K
 from turnmill.functions import identity as I, markers as M, text as T
@@ -212,18 +212,39 @@ def extract_quotes(spark, folder):
 
 
 _HAY = S.quote_form("'[' || date || '] ' || text")
+# A session is searched as one text, and every eleventh profile quotes the end of a document and the start of the next.
+_HAY_SQL = f"hay AS (SELECT owner_id, session_id, string_agg({_HAY}, ' ' ORDER BY line_id) AS t FROM docs GROUP BY owner_id, session_id)"
+_CROSSING = f"""
+crossing AS (
+  SELECT owner_id, doc_id AS profile_id, '“' || left(right(h, 30) || ' ' || lead(h) OVER (PARTITION BY session_id ORDER BY line_id), 90) || ' ”' AS text
+  FROM (SELECT *, regexp_replace({_HAY}, '[“”"*`]', '', 'g') AS h FROM docs)
+)"""
+
+
+def crossing(messages):
+    """Quotes of the last 30 characters of a message and the first of the next one in its session, in normal form."""
+    shown = T.quote_form(F.concat(F.lit("["), F.col("date"), F.lit("] "), F.col("text")))
+    rows = messages.withColumn("h", F.regexp_replace(shown, '[“”"*`]', ""))
+    # Sessions of the documents are five messages long.
+    following = F.lead("h").over(Window.partitionBy("owner_id", "session_id").orderBy("ordinal"))
+    text = F.concat(F.lit("“"), F.left(F.concat(F.right("h", F.lit(30)), F.lit(" "), following), F.lit(90)), F.lit(" ”"))
+    return rows.select("owner_id", (F.col("file_path").cast("bigint") * 5 + F.col("ordinal")).alias("profile_id"), text.alias("text"))
 
 
 @query("quote_trace", f"""
-WITH {DOCS_SQL}, {_GARBLED}{_SPANS}, hay AS (SELECT owner_id, session_id, {_HAY} AS t FROM docs),
+WITH {DOCS_SQL}, {_GARBLED.replace('profiles AS', 'titles AS')}, {_CROSSING},
+profiles AS (SELECT * FROM titles UNION ALL SELECT * FROM crossing WHERE profile_id % 11 = 0 AND text IS NOT NULL){_SPANS}, {_HAY_SQL},
 found AS (SELECT q.owner_id, q.profile_id, q.needle, count(DISTINCT h.session_id) AS sessions
           FROM quotes q LEFT JOIN hay h ON h.owner_id = q.owner_id AND contains(h.t, q.needle) GROUP BY ALL)
 SELECT owner_id, profile_id, count(*) AS quotes_checked, count(*) FILTER (sessions = 0) AS unsupported, count(*) FILTER (sessions = 1) AS single_session
 FROM found GROUP BY owner_id, profile_id""")
 def quote_trace(spark, folder):
     garbled = F.when(F.col("profile_id") % 7 == 0, F.regexp_replace("text", "^“([^”]*)”", "“$1 zzqx”")).otherwise(F.col("text"))
-    quotes = materialize(trace.extract_quotes(profiles(spark, folder).withColumn("text", garbled)), "quotes")
-    found = trace.trace(quotes, document_messages(spark, folder).withColumnRenamed("line_id", "ordinal"))
+    messages = document_messages(spark, folder).withColumnRenamed("line_id", "ordinal")
+    across = crossing(messages).filter((F.col("profile_id") % 11 == 0) & F.col("text").isNotNull())
+    texts = profiles(spark, folder).withColumn("text", garbled).unionByName(across)
+    quotes = materialize(trace.extract_quotes(texts), "quotes")
+    found = trace.trace(quotes, messages)
     return trace.trace_summary(trace.trace_results(quotes, found))
 
 
@@ -239,7 +260,7 @@ def benchmark_spans(spark, folder):
 
 
 @query("benchmark_trace_summary", f"""
-WITH {DOCS_SQL}, hay AS (SELECT owner_id, session_id, {_HAY} AS t FROM docs),
+WITH {DOCS_SQL}, {_HAY_SQL},
 owners AS (SELECT DISTINCT owner_id FROM docs),
 q AS (SELECT 'u' || (item_id % 3) AS owner_id, item_id, {S.quote_form('text')} AS needle FROM benchmark),
 found AS (SELECT q.owner_id, q.item_id, count(DISTINCT h.session_id) AS sessions
