@@ -1,7 +1,11 @@
 import json
+import random
+from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from turnmill.plans import accounts as plans
 from turnmill.sinks.tables import append_once, read_table
 from turnmill.sources.growing import file_states, file_status, read_growing
 from turnmill.sources.logs import extract_messages
@@ -33,21 +37,67 @@ def test_quiet_sessions(spark, tmp_path):
     assert run() == {("a", 2), ("b", 2)}
 
 
-def test_entitlements_survive_late_and_repeated_events(spark, rows, tmp_path):
+@pytest.fixture
+def one_partition(spark):
+    """State of one partition: each one has a Python worker of its own, which a small test only waits for."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def account_events(n=120, seed=6):
+    """Events with repeated ids, unknown accounts, customers that change hands and times out of order."""
+    rng = random.Random(seed)
+    events = []
+    for arrival in range(n):
+        account = f"a{rng.randint(0, 9)}"
+        events.append({"arrival": arrival, "event_id": f"e{rng.randint(0, n)}", "account_id": account,
+                       "customer_id": rng.choice([f"c{account}", f"c{account}", f"ca{rng.randint(0, 9)}", None]),
+                       "effective_at": f"2026-01-{rng.randint(1, 28):02d}", "state": rng.choice(["active", "ended", "past_due"])})
+    return events
+
+
+def test_stream_and_batch_give_events_one_status(spark, rows, tmp_path, one_partition):
+    src, root, events = tmp_path / "in", str(tmp_path / "state"), account_events()
+    known = spark.createDataFrame([(f"a{n}",) for n in range(8)], "account_id string")
+    schema = "arrival long, event_id string, account_id string, customer_id string, effective_at string, state string"
+
+    def run():
+        stream = spark.readStream.schema(schema).json(str(src))
+        accounts.start_entitlements(stream, root, str(tmp_path / "check"), known).awaitTermination()
+
+    shuffled = random.Random(1)
+    for n, at in enumerate(range(0, len(events), 60)):
+        some = events[at:at + 60]
+        shuffled.shuffle(some)
+        put(src, f"{n}-a.json", *some[:30])
+        put(src, f"{n}-b.json", *some[30:])
+        run()
+    wanted = plans.event_status(spark.createDataFrame([tuple(e.values()) for e in events], schema), known)
+    assert rows(accounts.event_log(spark, root), "arrival", "event_id", "account_id", "status") == rows(wanted, "arrival", "event_id", "account_id", "status")
+    assert {r.status for r in wanted.collect()} == {"applied", "stale", "duplicate", "unknown-account", "customer-conflict"}
+    current = plans.entitlements(wanted.filter("status = 'applied'"))
+    assert rows(accounts.current_entitlements(spark, root), "account_id", "event_id", "state") == rows(current, "account_id", "event_id", "state")
+
+
+def test_entitlements_survive_a_repeated_batch(spark, rows, tmp_path, one_partition):
     src, root = tmp_path / "in", str(tmp_path / "state")
 
     def run(check="check"):
-        stream = spark.readStream.schema("account_id string, event_id string, state string, effective_at string").json(str(src))
-        accounts.start_entitlements(stream, root, str(tmp_path / check)).awaitTermination()
+        stream = spark.readStream.schema(
+            "arrival long, event_id string, account_id string, customer_id string, effective_at string, state string").json(str(src))
+        accounts.start_entitlements(stream, root, str(tmp_path / check), keep_ids=timedelta(days=30)).awaitTermination()
         return rows(accounts.current_entitlements(spark, root), "account_id", "state")
 
-    def event(account, ident, state, at):
-        return {"account_id": account, "event_id": ident, "state": state, "effective_at": at}
+    def event(n, account, ident, state, at):
+        return {"arrival": n, "account_id": account, "event_id": ident, "customer_id": account, "state": state, "effective_at": at}
 
-    put(src, "1.json", event("a", "e1", "active", "2026-01-02"), event("b", "e2", "trialing", "2026-01-01"))
+    put(src, "1.json", event(1, "a", "e1", "active", "2026-01-02"), event(2, "b", "e2", "trialing", "2026-01-01"))
     assert run() == [("a", "active"), ("b", "trialing")]
-    put(src, "2.json", event("a", "e0", "ended", "2026-01-01"), event("b", "e3", "ended", "2026-01-05"))
+    put(src, "2.json", event(3, "a", "e0", "ended", "2026-01-01"), event(4, "b", "e3", "ended", "2026-01-05"), event(5, "a", "e1", "ended", "2026-01-09"))
     assert run() == [("a", "active"), ("b", "ended")]
+    assert rows(accounts.event_log(spark, root), "arrival", "status") == [(1, "applied"), (2, "applied"), (3, "stale"), (4, "applied"), (5, "duplicate")]
     assert run("again") == [("a", "active"), ("b", "ended")]
 
 
