@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnmill.functions.identity import sha256
 from turnmill.plans import corpus, evidence, receipts, segments, trace, usage
 from turnmill.session import materialize
-from turnmill.sinks import corpus as sink, tables
+from turnmill.sinks import corpus as sink, keyindex, tables
 from turnmill.sources.corpus_text import messages_from_corpus, read_corpus_lines
 
 SHAPE = ("owner_id string, session_id string, source string, file_path string, block_start long, line_id long, part_no long, "
@@ -346,6 +346,22 @@ def test_rules_and_drafts(spark, rows):
 
 # --- sinks ------------------------------------------------------------------------------------
 
+def test_a_batch_opens_only_files_with_its_keys(spark, tmp_path):
+    path, batch = str(tmp_path / "log"), lambda lo, hi: spark.range(lo, hi).select("id", (F.col("id") * 2).alias("v"))
+    for n in range(6):
+        tables.append_once(batch(n * 1000, n * 1000 + 1000), path, ["id"])
+    opened = lambda df: len(tables.files_for(spark, path, df.withColumn("key_hash", keyindex.key_hash(["id"]))))
+    assert opened(batch(2100, 2300)) == 1 and opened(batch(2900, 3100)) == 2
+    # Strangers open a file once in twenty thousand times.
+    assert opened(batch(10_000, 10_200)) <= 1 and opened(batch(0, 6000)) == 6
+    before = spark.read.parquet(f"{path}/rows").count()
+    # An interrupted batch: rows without an index do not count, and sending it again stores them.
+    batch(9000, 9010).withColumn("content_sha256", F.lit("x")).withColumn("key_hash", keyindex.key_hash(["id"])).write.parquet(
+        f"{path}/rows/appended_batch={'0' * 32}")
+    assert tables.read_appended(spark, path).count() == before == 6000
+    assert tables.append_once(batch(9000, 9010), path, ["id"]).isEmpty() and tables.read_appended(spark, path).count() == 6010
+
+
 def test_append_once_and_publish(spark, rows, tmp_path):
     def table(*items):
         return spark.createDataFrame(items, "id string, v int")
@@ -354,7 +370,10 @@ def test_append_once_and_publish(spark, rows, tmp_path):
     assert tables.append_once(table(("a", 1), ("b", 2)), path, ["id"]).isEmpty()
     clash = tables.append_once(table(("a", 1), ("b", 3), ("c", 4)), path, ["id"])
     assert rows(clash, "id", "v") == [("b", 3)]
-    assert rows(tables.read_table(spark, path), "id", "v") == [("a", 1), ("b", 2), ("c", 4)]
+    assert rows(tables.read_appended(spark, path), "id", "v") == [("a", 1), ("b", 2), ("c", 4)]
+    assert rows(tables.append_once(table(("d", 1), ("d", 2), ("e", 1), ("e", 1), (None, 5)), path, ["id"]), "id", "v") == [("d", 1), ("d", 2)]
+    assert rows(tables.append_once(table((None, 5), ("e", 2)), path, ["id"]), "id", "v") == [("e", 2)]
+    assert rows(tables.read_appended(spark, path), "id", "v") == sorted([("a", 1), ("b", 2), ("c", 4), ("e", 1), (None, 5)], key=str)
     root = str(tmp_path / "versions")
     first = tables.publish(table(("a", 1), ("b", 2)), root)
     assert tables.publish(table(("b", 2), ("a", 1)).repartition(3), root) == first

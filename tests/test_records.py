@@ -223,6 +223,10 @@ def test_quota_refuses_bytes_as_well_as_generations(spark, rows):
     rng, sent = random.Random(4), [("b", "x", 1, 60), ("b", "y", 2, 50), ("b", "x", 3, 60), ("b", "z", 4, 40), ("b", "w", 5, 1)]
     for account in ("c", "d", "e"):
         sent += [(account, f"g{i}", i, rng.choice([0, 1, 5, 9, 30])) for i in range(40)]
+    # Sizes that fall and rise inside one class, where what fits comes late.
+    sent += [("f", f"g{i}", i, size) for i, size in enumerate([40, 50, 63, 62, 35, 61, 60, 35, 34, 3, 2, 2, 2, 33, 1, 1, 1, 1, 1])]
+    for account in range(40):
+        sent += [(f"r{account}", f"g{i}", i, rng.randint(0, rng.choice([3, 20, 60, 120]))) for i in range(rng.randint(1, 60))]
     held = {"c": (3, 20), "e": (0, 101)}
     want, seen, used = [], {}, {}
     for a, g, n, size in sent:
@@ -236,4 +240,7 @@ def test_quota_refuses_bytes_as_well_as_generations(spark, rows):
     stored = spark.createDataFrame([(a, *x) for a, x in held.items()], "account_id string, generations int, bytes long")
     got = accounts.within_quota(uploads, stored, 12, 100)
     assert rows(got, "account_id", "generation_id", "arrival", "accepted") == sorted(want, key=str)
+    moved, _ = accounts.advance_heads(uploads.withColumn("parent_generation_id", F.lit(None).cast("string")), None, stored, 12, 100)
+    first = {a: min(n for b, _, n, taken in want if taken and a == b) for a, _, _, taken in want if taken}
+    assert sorted(tuple(r) for r in moved.filter("head_advanced").select("account_id", "arrival").collect()) == sorted(first.items())
     assert ("b", "y", 2, False) in want and ("b", "z", 4, True) in want and not any(r[3] for r in want if r[0] == "e")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnmill.plans import accounts as plans
-from turnmill.sinks.tables import append_once, read_table
+from turnmill.sinks.tables import append_once, read_appended
 from turnmill.sources.growing import file_states, file_status, read_growing
 from turnmill.sources.logs import extract_messages
 from turnmill.streaming import accounts, sessions
@@ -146,6 +146,6 @@ def test_a_growing_file_is_read_again(spark, tmp_path):
     put(logs, "a.jsonl", *ask(1, 2, 4))
     before = file_states(spark, [str(logs)])
     assert run() == 3 and run() == 0
-    assert sorted(r.text for r in read_table(spark, store).collect()) == ["ask 1", "ask 2", "ask 3", "ask 4"]
+    assert sorted(r.text for r in read_appended(spark, store).collect()) == ["ask 1", "ask 2", "ask 3", "ask 4"]
     gone = file_status(before.filter("file_path like '%a.jsonl'"), before)
     assert sorted(r.status for r in gone.collect()) == ["gone", "processed"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from turnmill import constants as K
 from turnmill.functions import calendar as C
@@ -163,52 +165,69 @@ def within_quota(uploads: DataFrame, stored: DataFrame | None = None, most: int
     return uploads.join(room, key)
 
 
+def _admit(most: int, most_bytes: int):
+    """Take the uploads of one account in order while both bounds hold. They are few: ``_fitting`` leaves out what cannot fit."""
+    def run(rows: pa.Table) -> pa.Table:
+        count, used = rows.column("held")[0].as_py(), rows.column("held_bytes")[0].as_py()
+        taken = []
+        order = sorted(zip(rows.column("arrival").to_pylist(), rows.column("bytes").to_pylist(), range(rows.num_rows)))
+        for _, size, n in order:
+            if count < most and used + size <= most_bytes:
+                count, used = count + 1, used + size
+                taken.append(n)
+        return rows.select(["account_id", "generation_id"]).take(pa.array(taken, pa.int64()))
+
+    return run
+
+
 def _fitting(uploads: DataFrame, stored: DataFrame | None, most: int, most_bytes: int) -> DataFrame:
     """``account_id, generation_id, accepted`` under both bounds.
 
-    A round accepts uploads up to the first that does not fit. Room only falls, so uploads larger than what is left are
-    refused at once, and the next round sees what comes after. Every round accepts one upload of each account still open.
+    Uploads of an account are put into classes by powers of two of their size. Of a class no more can fit than the places and
+    the room allow; once one more has come, one of them was refused, so less than twice the class's least size is left, and
+    at most one further upload fits. From there on an upload that is not smaller than all since is refused: whether the
+    smaller one was refused or taken, there is no room for it. What remains is a bounded number of uploads per class, and
+    falling sizes, and is taken in order by one replay per account.
     """
     key = ["account_id", "generation_id"]
     new = materialize(first_rows(uploads.select(*key, "arrival", F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes")), key, ["arrival"]), "uploads")
-    room = new.select("account_id").distinct()
-    held, held_bytes = F.lit(0), F.lit(0)
+    room = new.withColumns({"held": F.lit(0).cast("bigint"), "held_bytes": F.lit(0).cast("bigint")})
     if stored is not None:
-        room = room.join(stored.select("account_id", F.col("generations").alias("held"), F.col("bytes").alias("held_bytes")), "account_id", "left")
-        held, held_bytes = F.coalesce("held", F.lit(0)), F.coalesce("held_bytes", F.lit(0))
-    room = room.select("account_id", (most - held).cast("bigint").alias("places"), (most_bytes - held_bytes).cast("bigint").alias("room"))
-    rest, accepted = new, None
-    while True:
-        open_rows = rest.join(room, "account_id").filter("places > 0 AND bytes <= room")
-        placed = materialize(running(materialize(open_rows, "open"), ["account_id"], ["arrival"], integer_chunks("arrival"),
-                                     sums={"before": F.lit(1), "bytes_before": F.col("bytes")}), "placed")
-        if placed.isEmpty():
-            break
-        fits = (F.col("before") < F.col("places")) & (F.col("bytes_before") + F.col("bytes") <= F.col("room"))
-        taken = placed.filter(fits)
-        accepted = taken.select(*key) if accepted is None else accepted.unionByName(taken.select(*key))
-        ends = placed.groupBy("account_id").agg(
-            (F.first("places") - F.count_if(fits)).alias("places"), (F.first("room") - F.coalesce(F.sum(F.when(fits, F.col("bytes"))), F.lit(0))).alias("room"),
-            F.min(F.when(~fits, F.col("arrival"))).alias("since"))
-        room = materialize(ends.filter("since IS NOT NULL"), "room")
-        rest = placed.select(*key, "arrival", "bytes").join(room.select("account_id", "since"), "account_id").filter("arrival > since").drop("since")
-        room = room.drop("since")
-    if accepted is None:
-        return new.select(*key, F.lit(False).alias("accepted"))
-    marks = accepted.withColumn("accepted", F.lit(True))
-    return new.select(*key).join(marks, key, "left").fillna(False, ["accepted"])
-
-
-def advance_heads(uploads: DataFrame, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        held = stored.select("account_id", F.col("generations").cast("bigint").alias("held"), F.col("bytes").cast("bigint").alias("held_bytes"))
+        room = new.join(held, "account_id", "left").fillna(0, ["held", "held_bytes"])
+    left, places = F.lit(most_bytes) - F.col("held_bytes"), F.lit(most) - F.col("held")
+    size_class = F.when(F.col("bytes") > 0, F.length(F.conv(F.col("bytes").cast("string"), 10, 2))).otherwise(0)
+    least = F.when(F.col("size_class") > 0, F.expr("shiftleft(1L, size_class - 1)"))
+    fitting = room.filter((places > 0) & (F.col("bytes") <= left)).withColumn("size_class", size_class).withColumn(
+        "enough", 1 + F.least(places, F.coalesce(F.floor(left / least), places)))
+    placed = materialize(ranked(fitting, ["account_id", "size_class"], ["arrival"], integer_chunks("arrival"), "place"), "placed")
+    early, late = placed.filter("place < enough"), placed.filter("place >= enough AND size_class > 0")
+    falling = running(late, ["account_id", "size_class"], ["arrival"], integer_chunks("arrival"), maxes={"smallest": -F.col("bytes")})
+    falling = falling.filter(F.col("smallest").isNull() | (-F.col("bytes") > F.col("smallest")))
+    names = [*key, "arrival", "bytes", "held", "held_bytes"]
+    tried = early.select(*names).unionByName(falling.select(*names))
+    schema = StructType([tried.schema[c] for c in key])
+    taken = tried.groupBy("account_id").applyInArrow(_admit(most, most_bytes), schema).withColumn("accepted", F.lit(True))
+    return new.select(*key).join(taken, key, "left").fillna(False, ["accepted"])
+
+
+def advance_heads(uploads: DataFrame, heads: DataFrame | None = None, stored: DataFrame | None = None,
+                  most: int = K.MAX_GENERATIONS, most_bytes: int = K.MAX_ACCOUNT_BYTES) -> tuple[DataFrame, DataFrame]:
     """Replay uploads against each account's head: an upload moves it only if its parent is the head.
 
     ``uploads``: account_id, generation_id, parent_generation_id, arrival. ``heads``: where accounts stand before
     these uploads. Without a head the first root becomes it. From any head the next one is its first child to arrive
     after it, so each generation points at one successor and the moves are the path from the start. Returns the
-    uploads, without repeats, with ``head_advanced``, and the heads. Uploads over quota are left out before (within_quota).
+    uploads, without repeats, with ``head_advanced``, and the heads. Uploads with a column bytes are admitted first
+    (``within_quota`` with ``stored`` and the bounds); refused ones move nothing and come back with ``accepted`` false.
     """
     key = ["account_id", "generation_id"]
-    stored = first_rows(uploads, key, ["arrival"])
+    everything = first_rows(uploads, key, ["arrival"])
+    if "bytes" in uploads.columns:
+        everything = materialize(within_quota(everything, stored, most, most_bytes), "admitted")
+        stored = everything.filter("accepted")
+    else:
+        stored = everything
     roots = first_rows(stored.filter("parent_generation_id is null"), ["account_id"], ["arrival"]).select(*key)
     parents = stored.select(*key, F.col("arrival").alias("since"))
     if heads is not None:
@@ -224,5 +243,5 @@ def advance_heads(uploads: DataFrame, heads: DataFrame | None = None) -> tuple[D
     path = walk(pointers, starts).select(
         F.col("owner_id").alias("account_id"), F.col("node").alias("generation_id"), "steps")
     tips = path.groupBy("account_id").agg(F.max_by("generation_id", "steps").alias("generation_id"))
-    moved = stored.join(path.select(*key, F.lit(True).alias("head_advanced")), key, "left").fillna(False, ["head_advanced"])
+    moved = everything.join(path.select(*key, F.lit(True).alias("head_advanced")), key, "left").fillna(False, ["head_advanced"])
     return moved, tips

@@ -224,34 +224,59 @@ def pull_status(spark, folder):
     return review.pull_status(generations, local, remote)
 
 
+# Uploads are as large as their orders' totals; a quota of 150 of them and 15 million bytes binds in some accounts by
+# number, in others by size. Accounts of even number hold something already.
+_MOST, _MOST_BYTES = 150, 15_000_000
+ADMITTED_SQL = f"""
+{UPLOADS_SQL},
+arrived AS (
+  SELECT u.*, CAST(floor(o_totalprice) AS BIGINT) * (1 + account_id % 3) AS bytes, row_number() OVER (ORDER BY moved, node) AS arrival,
+         row_number() OVER (PARTITION BY account_id ORDER BY moved, node) AS place FROM uploads u JOIN orders ON o_orderkey = node
+),
+replay(account_id, place, node, accepted, held, held_bytes) AS (
+  SELECT account_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CASE WHEN account_id % 2 = 0 THEN 60 ELSE 0 END,
+         CASE WHEN account_id % 2 = 0 THEN CAST(1000000 AS HUGEINT) ELSE 0 END FROM (SELECT DISTINCT account_id FROM arrived)
+  UNION ALL
+  SELECT r.account_id, a.place, a.node, r.held < {_MOST} AND r.held_bytes + a.bytes <= {_MOST_BYTES},
+         r.held + CASE WHEN r.held < {_MOST} AND r.held_bytes + a.bytes <= {_MOST_BYTES} THEN 1 ELSE 0 END,
+         r.held_bytes + CASE WHEN r.held < {_MOST} AND r.held_bytes + a.bytes <= {_MOST_BYTES} THEN a.bytes ELSE 0 END
+  FROM replay r JOIN arrived a ON a.account_id = r.account_id AND a.place = r.place + 1
+),
+admitted AS (SELECT a.*, r.accepted FROM arrived a JOIN replay r USING (account_id, place))"""
+
+
+def _arriving(spark, folder):
+    """Uploads with their sizes in order of arrival, and what accounts hold before."""
+    sizes = table(spark, folder, "orders").select(F.col("o_orderkey").alias("node"), F.floor("o_totalprice").alias("total"))
+    rows = _uploads(spark, folder).join(sizes, "node").withColumn("all", F.lit(0))
+    placed = materialize(ranked(rows, ["all"], ["moved", "node"], integer_chunks("moved"), "arrival"), "uploads")
+    account = F.col("owner_id").cast("bigint")
+    uploads = placed.select(
+        F.col("owner_id").alias("account_id"), F.col("node").alias("generation_id"), F.col("next").alias("parent_generation_id"), "arrival",
+        (F.col("total") * (1 + account % 3)).alias("bytes"))
+    even = uploads.select("account_id").distinct().filter(F.col("account_id").cast("bigint") % 2 == 0)
+    return uploads, even.select("account_id", F.lit(60).alias("generations"), F.lit(1_000_000).alias("bytes"))
+
+
 @query("advance_heads", f"""
-WITH RECURSIVE {UPLOADS_SQL},
-arrived AS (SELECT *, row_number() OVER (ORDER BY moved, node) AS arrival FROM uploads),
-following AS (SELECT p.account_id, p.node, arg_min(c.node, c.arrival) AS next FROM arrived p JOIN arrived c ON c.parent = p.node AND c.arrival > p.arrival GROUP BY ALL),
+WITH RECURSIVE {ADMITTED_SQL}, taken AS (SELECT * FROM admitted WHERE accepted),
+following AS (SELECT p.account_id, p.node, arg_min(c.node, c.arrival) AS next FROM taken p JOIN taken c ON c.parent = p.node AND c.arrival > p.arrival GROUP BY ALL),
 path(account_id, node, steps) AS (
-  SELECT account_id, arg_min(node, arrival), 0 FROM arrived WHERE parent IS NULL GROUP BY account_id
+  SELECT account_id, arg_min(node, arrival), 0 FROM taken WHERE parent IS NULL GROUP BY account_id
   UNION ALL SELECT p.account_id, f.next, p.steps + 1 FROM path p JOIN following f USING (node))
-SELECT CAST(a.account_id AS VARCHAR) AS account_id, a.node AS generation_id, p.node IS NOT NULL AS head_advanced FROM arrived a LEFT JOIN path p USING (node)""")
+SELECT CAST(a.account_id AS VARCHAR) AS account_id, a.node AS generation_id, a.accepted, p.node IS NOT NULL AS head_advanced
+FROM admitted a LEFT JOIN path p USING (node)""")
 def advance_heads(spark, folder):
-    rows = _uploads(spark, folder).withColumn("all", F.lit(0))
-    chunks = integer_chunks("moved")
-    placed = materialize(ranked(rows, ["all"], ["moved", "node"], chunks, "arrival"), "uploads")
-    moved, _ = accounts.advance_heads(placed.select(
-        F.col("owner_id").alias("account_id"), F.col("node").alias("generation_id"), F.col("next").alias("parent_generation_id"), "arrival"))
-    return moved.select("account_id", "generation_id", "head_advanced")
+    uploads, held = _arriving(spark, folder)
+    moved, _ = accounts.advance_heads(uploads, None, held, _MOST, _MOST_BYTES)
+    return moved.select("account_id", "generation_id", "accepted", "head_advanced")
 
 
 @query("upload_quota", f"""
-WITH {UPLOADS_SQL}, arrived AS (SELECT *, row_number() OVER (ORDER BY moved, node) AS arrival FROM uploads)
-SELECT CAST(account_id AS VARCHAR) AS account_id, node AS generation_id,
-       row_number() OVER (PARTITION BY account_id ORDER BY arrival) - 1 + CASE WHEN account_id % 2 = 0 THEN 100 ELSE 0 END < 200 AS accepted FROM arrived""")
+WITH RECURSIVE {ADMITTED_SQL} SELECT CAST(account_id AS VARCHAR) AS account_id, node AS generation_id, bytes, accepted FROM admitted""")
 def upload_quota(spark, folder):
-    rows = _uploads(spark, folder).withColumn("all", F.lit(0))
-    placed = materialize(ranked(rows, ["all"], ["moved", "node"], integer_chunks("moved"), "arrival"), "uploads")
-    uploads = placed.select(F.col("owner_id").alias("account_id"), F.col("node").alias("generation_id"), "arrival")
-    stored = uploads.select("account_id").distinct().withColumn(
-        "generations", F.when(F.col("account_id").cast("int") % 2 == 0, 100).otherwise(0))
-    return accounts.within_quota(uploads, stored, 200).select("account_id", "generation_id", "accepted")
+    uploads, held = _arriving(spark, folder)
+    return accounts.within_quota(uploads, held, _MOST, _MOST_BYTES).select("account_id", "generation_id", "bytes", "accepted")
 
 
 # --- review ----------------------------------------------------------------

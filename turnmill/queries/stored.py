@@ -33,7 +33,19 @@ def appended_rows(spark, folder):
     rows, path = _orders(spark, folder), _folder(spark)
     tables.append_once(rows.filter("id % 2 = 0"), path, ["id"])
     tables.append_once(rows.withColumn("v", F.when(F.col("id") % 9 == 0, F.col("v") + 1).otherwise(F.col("v"))), path, ["id"])
-    return tables.read_table(spark, path).select("id", "v")
+    return tables.read_appended(spark, path).select("id", "v")
+
+
+@query("repeated_batch", """
+SELECT o_orderkey % 3 AS batch, count(*) AS stored, CAST(ceil(count(*) / 1000000) AS INTEGER) AS files FROM orders GROUP BY 1""")
+def repeated_batch(spark, folder):
+    """Three batches, each sent twice: no row and no file is stored a second time."""
+    rows, path = _orders(spark, folder).withColumn("batch", F.col("id") % 3), _folder(spark)
+    for n in (0, 1, 2, 1, 0, 2):
+        tables.append_once(rows.filter(F.col("batch") == n), path, ["id"])
+    stored = spark.read.parquet(f"{path}/rows").groupBy("batch").agg(
+        F.count("*").alias("stored"), F.countDistinct("_metadata.file_path").cast("int").alias("files"))
+    return stored
 
 
 @query("published_version", "SELECT o_orderkey AS id, o_custkey AS v FROM orders WHERE o_orderkey % 3 = 0")

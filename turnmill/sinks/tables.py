@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnmill.functions.identity import canonical_json, sha256
 from turnmill.operators.digest import set_digest
 from turnmill.session import exists, materialize
+from turnmill.sinks import keyindex
+
+#: Rows of a file that ``append_once`` writes.
+FILE_ROWS = 1_000_000
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -19,25 +23,51 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 def append_once(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
     """Append rows whose key is new; return those that differ from the stored row of their key.
 
-    Conflicting rows are not written: a content-addressed row never changes. Rows lie in 256 folders by a hash of their
-    key, and only the folders that the new rows fall into are read.
+    Conflicting rows are not written: a content-addressed row never changes. Rows are written sorted into files by a hash of
+    their key, and an index tells which files may hold a key, so a batch opens only those with keys of its own. The index is
+    written last: rows count from then on, and what an interrupted batch left behind does not.
     """
+    spark = rows.sparkSession
     content = sha256(canonical_json({c: F.col(c) for c in rows.columns}))
-    bucket = F.substring(sha256(F.concat_ws("\x1f", *key)), 1, 2)
     hashed = materialize(
-        rows.withColumns({"content_sha256": content, "bucket": bucket}).dropDuplicates([*key, "content_sha256"]), "append")
-    stored = read_table(rows.sparkSession, path)
-    if stored is None:
-        stored = hashed.limit(0)
-    else:
-        touched = [r["bucket"] for r in hashed.select("bucket").distinct().collect()]
-        stored = stored.filter(F.col("bucket").isin(touched))
-    old = stored.select(*key, F.col("content_sha256").alias("stored_sha256")).distinct()
-    twice = hashed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key, F.lit(True).alias("twice"))
-    both = materialize(hashed.join(old, key, "left").join(twice, key, "left"), "append")
-    both.filter("stored_sha256 is null and twice is null").drop("stored_sha256", "twice").write.mode("append").partitionBy(
-        "bucket").parquet(path)
-    return both.filter("stored_sha256 != content_sha256 or (stored_sha256 is null and twice)").drop("stored_sha256", "twice", "bucket")
+        rows.withColumns({"content_sha256": content, "key_hash": keyindex.key_hash(key)}).dropDuplicates([*key, "content_sha256"]), "append")
+    stored = stored_for(spark, path, hashed)
+    stored = hashed.limit(0) if stored is None else stored
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("key_hash", *key)]
+    old = stored.select("key_hash", *key, F.col("content_sha256").alias("stored_sha256")).distinct()
+    twice = hashed.groupBy("key_hash", *key).agg(F.count("*").alias("n")).filter("n > 1").withColumn("twice", F.lit(True))
+    both = hashed.alias("n").join(old.alias("o"), same, "left").select("n.*", "stored_sha256")
+    both = materialize(both.alias("n").join(twice.alias("o"), same, "left").select("n.*", "twice"), "append")
+    new = both.filter("stored_sha256 is null and twice is null").drop("stored_sha256", "twice")
+    count = new.count()
+    if count:
+        folder = f"{path}/rows/appended_batch={uuid.uuid4().hex}"
+        new.repartitionByRange(-(-count // FILE_ROWS), "key_hash").sortWithinPartitions("key_hash").write.parquet(folder)
+        keyindex.index_files(spark.read.parquet(folder)).write.mode("append").parquet(f"{path}/index")
+    return both.filter("stored_sha256 != content_sha256 or (stored_sha256 is null and twice)").drop("stored_sha256", "twice", "key_hash")
+
+
+def files_for(spark: SparkSession, path: str, keys: DataFrame) -> list[str]:
+    """The files of a table of ``append_once`` that may hold keys of ``keys`` (with their key_hash)."""
+    index = read_table(spark, f"{path}/index")
+    return [] if index is None else keyindex.files_for(index, keys.select("key_hash"))
+
+
+def stored_for(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame | None:
+    """The stored rows that may have a key of ``keys``, or None where there are none."""
+    files = files_for(spark, path, keys)
+    return spark.read.parquet(*files) if files else None
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows of a table of ``append_once``, with their content_sha256."""
+    index = read_table(spark, f"{path}/index")
+    if index is None:
+        return None
+    # A batch that was interrupted before its index was written has rows, but no name in the index.
+    batches = index.select(F.regexp_extract("file", "/appended_batch=([0-9a-f]{32})/", 1).alias("appended_batch")).distinct()
+    stored = spark.read.parquet(f"{path}/rows")
+    return stored.join(batches, "appended_batch", "left_semi").drop("appended_batch", "key_hash")
 
 
 def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
