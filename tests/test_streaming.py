@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnmill.plans import accounts as plans
 from turnmill.sinks.tables import append_once, read_appended
+from turnmill.sources import tail
 from turnmill.sources.growing import file_states, file_status, read_growing
 from turnmill.sources.logs import extract_messages
 from turnmill.streaming import accounts, sessions
@@ -149,3 +150,60 @@ def test_a_growing_file_is_read_again(spark, tmp_path):
     assert sorted(r.text for r in read_appended(spark, store).collect()) == ["ask 1", "ask 2", "ask 3", "ask 4"]
     gone = file_status(before.filter("file_path like '%a.jsonl'"), before)
     assert sorted(r.status for r in gone.collect()) == ["gone", "processed"]
+
+
+def test_a_tail_reads_only_what_files_have_grown_by(spark, tmp_path):
+    logs, state, out = tmp_path / ".claude" / "projects", str(tmp_path / "state"), str(tmp_path / "out")
+
+    def ask(*numbers):
+        return "".join(json.dumps({"type": "user", "timestamp": "2026-01-01", "message": {"role": "user", "content": f"ask {i}"}}) + "\n" for i in numbers)
+
+    def add(name, text, mode="a"):
+        path = logs / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with open(path, mode, newline="") as file:
+            file.write(text)
+
+    def run():
+        before = spark.read.parquet(out).count() if (tmp_path / "out").exists() else 0
+        lines = tail.tail_lines(spark, [str(logs)], state, shards=3)
+        lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(
+            availableNow=True).start().awaitTermination()
+        stored = spark.read.parquet(out)
+        got = extract_messages(stored.withColumn("file_size", F.lit(0)))
+        return stored.count() - before, sorted(r.text for r in got.collect())
+
+    add("p/a.jsonl", ask(1, 2))
+    add("q/deep/b.jsonl", ask(3) + ask(4)[:-9])
+    add("c.jsonl", ask(5).replace("\n", "\r\n"))
+    add("p/subagents/x.jsonl", ask(99))
+    assert run() == (4, ["ask 1", "ask 2", "ask 3", "ask 5"])
+    assert run()[0] == 0
+    add("q/deep/b.jsonl", ask(4)[-9:] + ask(6))
+    add("r/new.jsonl", ask(7))
+    assert run() == (3, [f"ask {n}" for n in range(1, 8)])
+    # A shorter file, and one of the same length that begins differently, are read from their start.
+    add("p/a.jsonl", ask(8), "w")
+    add("c.jsonl", ask(9).replace("\n", "\r\n"), "w")
+    assert run() == (2, [f"ask {n}" for n in range(1, 10)])
+    assert len(list((tmp_path / "state").iterdir())) <= 3
+
+
+def test_a_tail_reads_a_batch_again_as_it_was(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "BLOCK_BYTES", 7)
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.jsonl").write_text("one\ntwo\n\nlonger than a block\nopen")
+    reader = tail.TailReader({"roots": json.dumps([str(logs)]), "state": str(tmp_path / "state"), "shards": "2"})
+
+    def read(start, end):
+        found = [b for n in range(2) for b in reader.read(tail.Shard(start, end, n))]
+        return [(v, n) for b in found for v, n in zip(b.column("value").to_pylist(), b.column("line_id").to_pylist())]
+
+    assert reader.latestOffset() == {"scan": 1}
+    first = read(0, 1)
+    assert first == [("one", 0), ("two", 4), ("", 8), ("longer than a block", 9)]
+    with open(logs / "a.jsonl", "a") as file:
+        file.write(" now\nnext\n")
+    assert read(0, 1) == first and reader.latestOffset() == {"scan": 2}
+    assert read(1, 2) == [("open now", 29), ("next", 38)]

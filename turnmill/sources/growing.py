@@ -32,11 +32,16 @@ def read_growing(spark: SparkSession, roots: list[str], state: str):
     """Lines of the files that are new or have changed, each file whole, and a function that marks them as read.
 
     Call the function once the lines are stored; until then the same files are offered again. Whole files are read again,
-    so store what comes of them under the identity of its content, as ``append_once`` does.
+    so store what comes of them under the identity of its content, as ``append_once`` does; ``tail.tail_lines`` reads only
+    what files have grown by. Files that did not change since the oldest changed one are not opened.
     """
     now = materialize(file_states(spark, roots), "file-states")
     before = current(spark, state)
-    due = file_status(now, spark.createDataFrame([], STATE) if before is None else before).filter("status in ('pending', 'changed')")
-    paths = [r["file_path"] for r in due.select("file_path").collect()]
-    lines = read_lines(spark, paths) if paths else None
+    status = file_status(now, spark.createDataFrame([], STATE) if before is None else before)
+    due = materialize(status.filter("status in ('pending', 'changed')").select("file_path", "modified"), "due-files")
+    since = due.agg(F.min("modified")).first()[0]
+    if since is None:
+        return None, lambda: publish(now, state)
+    changed = read_lines(spark, roots).filter(F.col("modified") >= F.lit(since))
+    lines = changed.join(due.select("file_path"), "file_path", "left_semi").select(*changed.columns)
     return lines, lambda: publish(now, state)
