@@ -37,7 +37,7 @@ from turnmill.llm.arrays import pack, slices, unpack
 from turnmill.session import materialize
 
 #: A chunk ends at so many links or documents; a task's memory of units is emptied at so many links of its own.
-CHUNK_LINKS, CHUNK_DOCS, STORE_LINKS = 1 << 22, 1 << 16, 1 << 22
+CHUNK_LINKS, CHUNK_DOCS, STORE_LINKS = 1 << 20, 1 << 16, 1 << 20
 BLOCK_PAIRS, FAN = 8192, 64
 #: Bytes of text per partition of pairs, and the parts an id's pairs are split into.
 RADIX_BYTES, RADIX_LEAST, RADIX_MOST, SPLITS = 1 << 25, 8, 1 << 14, 16
@@ -86,7 +86,7 @@ def unit_wise(a_json: str, b_model: bytes) -> bool:
 class Units:
     """Encoded units of one task: counts, group texts and links of each, appended as they are met."""
 
-    def __init__(self, a_json: str, b_model: bytes, keyed):
+    def __init__(self, a_json: str, b_model: bytes):
         import sentencepiece
         import tokenizers
 
@@ -99,7 +99,6 @@ class Units:
         self.a_size, self.b_size = np.array([len(t) for t in self.a_bytes]), np.array([len(t) for t in self.b_bytes])
         # An id's text inside a group and at its end, for A and then for B.
         self.shown = [f"{i}{tail}".encode() for sizes, tails in ((self.a_size, ",|"), (self.b_size, ",;")) for i in range(len(sizes)) for tail in tails]
-        self.keyed = keyed
         self.clear()
 
     def clear(self) -> None:
@@ -185,6 +184,21 @@ class Units:
         return self.sizes[0], self.keys[0]
 
 
+_LOADED: dict[str, Units] = {}
+
+
+def _units(a_json: str, b_model: bytes, keyed) -> Units:
+    """The vocabularies of a task, without units. A Python worker loads them once and keeps its last ones."""
+    name = hashlib.sha256(a_json.encode() + b_model).hexdigest()
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = Units(a_json, b_model)
+    units = _LOADED[name]
+    units.clear()
+    units.keyed = keyed
+    return units
+
+
 class Layout:
     """Where the parts of a record's 64-bit key lie: partition, B id, A id, document, from the highest bits down."""
 
@@ -215,8 +229,8 @@ def _starts(values: np.ndarray) -> np.ndarray:
 
 
 def build_runs(keys: np.ndarray, layout: Layout) -> Iterator[tuple[int, bytes, bytes]]:
-    """Partition, pairs and documents of each run of a chunk. ``keys`` has one key with its document per link."""
-    keys = np.sort(keys)
+    """Partition, pairs and documents of each run of a chunk. ``keys`` has one key with its document per link; it is sorted."""
+    keys.sort()
     at = _starts(keys)
     records, times = keys[at], np.diff(np.append(at, len(keys)))
     head = records >> np.uint64(layout.doc_bits)
@@ -385,7 +399,7 @@ def _reply(chunks, part, counts, sides, best) -> pa.RecordBatch:
 def _encode(shared, layout: Layout, keep_groups: bool, chunk_links: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_json, b_model, by_unit = shared.value
-        units = Units(a_json, b_model, layout.keys)
+        units = _units(a_json, b_model, layout.keys)
         chunk, ids, coded, digests, groups, links = TaskContext.get().partitionId() << 32, [], [], [], [], 0
 
         def encode(texts):
@@ -410,8 +424,12 @@ def _encode(shared, layout: Layout, keep_groups: bool, chunk_links: int):
                 *[pa.array(totals[:, n]) for n in range(4)], pa.array(digests, pa.string()), pa.array(groups, pa.string()),
                 pa.nulls(len(coded), pa.int32()), pa.nulls(len(coded), pa.binary()), pa.nulls(len(coded), pa.binary())], names=names)
             start, count = np.cumsum(sizes[:, 3]) - sizes[:, 3], sizes[flat, 3]
-            place = np.arange(int(count.sum())) + np.repeat(start[flat] - (np.cumsum(count) - count), count)
-            for part, pairs, holders in build_runs(keys[place] | np.repeat(doc, count).astype(np.uint64), layout):
+            place = np.repeat(start[flat] - (np.cumsum(count) - count), count)
+            place += np.arange(len(place))
+            links_of = keys[place]
+            del place
+            links_of |= np.repeat(doc.astype(np.uint64), count)
+            for part, pairs, holders in build_runs(links_of, layout):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([chunk], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, ids[0].type), *[pa.nulls(1, pa.int64())] * 4,
                     pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([part], pa.int32()), pa.array([pairs]), pa.array([holders])], names=names)
@@ -436,6 +454,7 @@ def _encode(shared, layout: Layout, keep_groups: bool, chunk_links: int):
                     units.clear()
         if coded:
             yield from finished()
+        units.clear()
 
     return run
 
