@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnmill import constants as K
 from turnmill.functions import calendar as C, identity as I, text as T
 from turnmill.operators.lineage import walk
-from turnmill.operators.ordered import newest, top_rows
+from turnmill.operators.ordered import integer_chunks, newest, previous, ranked, runs, top_rows
+from turnmill.session import materialize
 
 UTC_SECONDS = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 HEX = {n: f"^[a-f0-9]{{{n}}}$" for n in (16, 64)}
@@ -22,11 +23,23 @@ def schema_name(kind: str, namespace: str = "turnmill") -> str:
 # --- inbox -----------------------------------------------------------------
 
 def quiet_sessions(events: DataFrame, keys: list[str], time: str, gap_seconds: int = K.QUIET_SECONDS) -> DataFrame:
-    """Stretches of activity that end in at least ``gap_seconds`` of silence, batch form."""
-    return events.groupBy(*keys, F.session_window(time, f"{gap_seconds} seconds").alias("w")).agg(
-        F.count("*").alias("events")).select(
-        *keys, F.col("w.start").alias("first_at"), (F.col("w.end") - F.make_dt_interval(secs=F.lit(gap_seconds))).alias(
-            "last_at"), "events")
+    """Stretches of activity that end in at least ``gap_seconds`` of silence, batch form. Keys must not be null.
+
+    Events of one key in one slot of ``gap_seconds`` follow each other in less than that, whatever their number: they are one
+    summary (first, last, count), added up before the shuffle. Summaries of neighbouring slots are one stretch where less than
+    the gap lies between them; they are put together in chunks, so a key that never falls quiet is many tasks.
+    """
+    gap = gap_seconds * 1_000_000
+    micros = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
+    slots = events.filter(F.col(time).isNotNull()).groupBy(*keys, F.floor(micros(time) / gap).alias("slot")).agg(
+        F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.count("*").alias("events"))
+    # Slots before 1970 have negative numbers; chunks only need to follow their order.
+    placed = ranked(materialize(slots, "slots"), keys, ["slot"], integer_chunks("slot"), "place")
+    paired = previous(materialize(placed, "slots"), keys, "place", {"before": "last_at"})
+    opens = F.col("before").isNull() | (micros("first_at") - micros("before") >= gap)
+    numbered = runs(materialize(paired, "slots"), keys, "place", {"stretch": opens})
+    return numbered.groupBy(*keys, "stretch").agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("events").alias("events")).drop("stretch")
 
 
 def _bounded_candidates(messages: DataFrame) -> DataFrame:

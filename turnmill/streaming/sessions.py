@@ -12,8 +12,10 @@ def quiet_sessions(messages: DataFrame, time: str = "ts", gap_seconds: int = K.Q
                    late: str = "0 seconds", keys: tuple[str, ...] = ("owner_id", "session_id")) -> DataFrame:
     """Emit a session once ``gap_seconds`` pass without a message; a new message before that starts the wait again.
 
-    The window state of a session is a count and two times, so it is small however long the session.
+    The window state of a session is a count and two times, so it is small however long the session. Each task merges the
+    messages of a session that it has read before they are shuffled, so a busy session is a row of each task.
     """
+    messages.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     windowed = messages.withWatermark(time, late).groupBy(*keys, F.session_window(time, f"{gap_seconds} seconds").alias("w"))
     return windowed.agg(F.count("*").alias("events")).select(
         *keys, F.col("w.start").alias("first_at"), F.col("w.end").alias("quiet_since"), "events")
