@@ -344,6 +344,20 @@ def test_rules_and_drafts(spark, rows):
     assert error([], "inactive", "video", "run turnmill and deepen video") is None and error([], "inactive", "video") == "deepen-instruction"
 
 
+def test_many_quotes_of_one_day(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice("keep it small and plain or ask".split())
+    said = [("s", n, rng.choice(["2026-01-01", "2026-01-02"]), " ".join(word() for _ in range(30)) + rng.choice(["", "\n tail"])) for n in range(40)]
+    quotes = [("s", rng.choice(["2026-01-01", "2026-01-02", "2026-01-03", None]), " ".join(word() for _ in range(rng.randint(1, 5)))) for _ in range(400)]
+    quotes += [("s", "2026-01-01", " "), ("t", "2026-01-01", "keep"), (None, "2026-01-01", "keep"), ("s", "2026-01-01", None)]
+    rows = [("o", n, 100, [([(None, *q)], [])]) for n, q in enumerate(quotes)]
+    kind = "array<struct<receipt_id:string,session_id:string,date:string,text:string>>"
+    reports = spark.createDataFrame(rows, f"owner_id string, report_id int, bytes int, evidence array<struct<quotes:{kind},contradictions:{kind}>>")
+    bad = {r.report_id for r in evidence.unverbatim_quotes(reports, numbered(spark, *said)).collect()}
+    good = {n for n, (s, d, q) in enumerate(quotes) if q and q.strip() and any(s == w and d == day and q.strip() in t for w, _, day, t in said)}
+    assert bad == set(range(len(quotes))) - good and good
+
+
 # --- sinks ------------------------------------------------------------------------------------
 
 def test_a_batch_opens_only_files_with_its_keys(spark, tmp_path):

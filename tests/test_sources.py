@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -100,3 +101,16 @@ def test_files(spark, rows, tmp_path):
     first = files.tree_digest(before).first()[0]
     put(tmp_path / "t" / "a.txt", "onf")
     assert files.tree_digest(files.file_digests(spark, str(tmp_path / "t"))).first()[0] != first
+
+
+def test_a_file_over_two_gigabytes_is_digested_in_blocks(spark, tmp_path):
+    (tmp_path / "big files").mkdir()
+    with open(tmp_path / "big files" / "large one.bin", "wb") as file:
+        file.truncate((1 << 31) + 5)
+    (tmp_path / "big files" / "small.bin").write_bytes(b"x")
+    want = hashlib.sha256()
+    for _ in range(1 << 11):
+        want.update(bytes(1 << 20))
+    want.update(bytes(5))
+    got = {r.path: (r.size, r.sha256) for r in files.file_digests(spark, str(tmp_path / "big files")).collect()}
+    assert got == {"large one.bin": ((1 << 31) + 5, want.hexdigest()), "small.bin": (1, hashlib.sha256(b"x").hexdigest())}

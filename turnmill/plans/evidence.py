@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from turnmill import constants as K
 from turnmill.functions import calendar as C, identity as I, text as T
 from turnmill.operators.ordered import newest, top_rows
+from turnmill.plans.trace import find_spans
 from turnmill.session import materialize
 
 _QUOTE = "struct<receipt_id:string,session_id:string,date:string,text:string>"
@@ -129,19 +130,25 @@ def report_issues(reports: DataFrame, segments: DataFrame, messages: DataFrame)
 def unverbatim_quotes(reports: DataFrame, messages: DataFrame) -> DataFrame:
     """Quotes that stand in no message of their session on their date.
 
-    The quotes of a session and day come from small reports, so they travel to the messages as one array, and a message
-    tests them in place: no pair of message and quote is ever a row unless it matches.
+    Quotes and messages of a day are told apart by its key; the quotes are looked for by an automaton that every task has, in
+    shards of bounded size, so a day may have any number of quotes and messages, and no list of its quotes is ever a row.
     """
     sized = reports.filter(F.col("bytes") <= K.REPORT_MAX_BYTES)
     quotes = sized.select("owner_id", "report_id", F.posexplode("evidence").alias("item", "e")).select(
         "owner_id", "report_id", "item", F.explode(_quotes(F.col("e"))).alias("q")).select(
         "owner_id", "report_id", "item", F.col("q.session_id").alias("session_id"),
         F.coalesce("q.date", F.lit("")).alias("date"), T.strip(F.coalesce("q.text", F.lit(""))).alias("quote"))
+    quotes = materialize(quotes, "quotes")
     day = ["owner_id", "session_id", "date"]
-    wanted = quotes.filter("quote != '' and date != ''").groupBy(*day).agg(F.collect_set("quote").alias("wanted"))
-    near = messages.select(*day, "text").join(wanted, day)
-    found = near.select(*day, F.explode(F.filter("wanted", lambda q: F.contains(F.col("text"), q))).alias("quote")).distinct()
-    return quotes.join(found, [*day, "quote"], "left_anti").select(
+    # Lengths keep different keys from running together.
+    day_key = F.concat(*[x for c in day for x in (F.length(c).cast("string"), F.lit(":"), F.col(c))])
+    wanted = quotes.filter("quote != '' and date != '' and session_id is not null").select(*day, "quote").distinct()
+    near = messages.select(*day, "text").join(wanted.select(*day).distinct(), day, "left_semi")
+    found = find_spans(
+        wanted.select(day_key.alias("owner_id"), F.col("quote").alias("needle")),
+        near.select(day_key.alias("owner_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("haystack")), ["text_key"])
+    found = found.select("owner_id", "needle").distinct().select(F.col("owner_id").alias("day"), F.col("needle").alias("quote"))
+    return quotes.withColumn("day", day_key).join(found, ["day", "quote"], "left_anti").select(
         "owner_id", "report_id", F.lit(1).alias("phase"), "item", F.lit(9).alias("step"),
         F.lit("not-verbatim").alias("code")).distinct()
 

@@ -14,7 +14,7 @@ from turnmill.functions import text as T
 from turnmill.operators.ordered import first_rows, integer_chunks, running
 from turnmill.session import materialize
 
-#: Characters of needles, with their owners, that one pass over the texts looks for.
+#: Characters of needles that one pass over the texts looks for.
 SHARD_CHARS = 2_000_000
 #: Passes over the texts; with more needles than they hold, texts are met by shuffled runs of words instead.
 MOST_PASSES = 32
@@ -133,7 +133,7 @@ def find_spans(needles: DataFrame, texts: DataFrame, key: list[str], shard_chars
     """
     spark = texts.sparkSession
     known = materialize(needles.filter("needle != ''").select("owner_id", "needle").distinct(), "needles")
-    chars = known.agg(F.sum(F.length("needle") + F.length("owner_id")).alias("n")).first()["n"] or 0
+    chars = known.agg(F.sum(F.length("needle") + 8).alias("n")).first()["n"] or 0
     passes = -(-chars // shard_chars)
     if passes > most_passes:
         return _met_by_runs(known, texts, key)
@@ -143,7 +143,11 @@ def find_spans(needles: DataFrame, texts: DataFrame, key: list[str], shard_chars
         texts = materialize(texts.select("owner_id", *key, "haystack"), "haystacks")
     for n in range(passes):
         rows = known.filter(F.pmod(F.xxhash64("owner_id", "needle"), F.lit(passes)) == n).toArrow()
-        shared = spark.sparkContext.broadcast(list(zip(rows.column("owner_id").to_pylist(), rows.column("needle").to_pylist())))
+        # Needles of one owner share its name.
+        owners = rows.column("owner_id").combine_chunks().dictionary_encode()
+        owners = owners.combine_chunks() if isinstance(owners, pa.ChunkedArray) else owners
+        named = list(map(owners.dictionary.to_pylist().__getitem__, owners.indices.to_pylist()))
+        shared = spark.sparkContext.broadcast(list(zip(named, rows.column("needle").to_pylist())))
         found = found.unionByName(texts.select("owner_id", *key, "haystack").mapInArrow(_search(uuid.uuid4().hex, shared), schema))
     return found
 

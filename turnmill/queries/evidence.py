@@ -174,10 +174,14 @@ reports AS (
 )"""
 
 
+# Ten more quotes of every document are said to be from one session on one day: that of documents 5 to 9.
 @query("verbatim_quotes", f"""
-WITH {DOCS_SQL}, {_REPORTS}
-SELECT owner_id, doc_id, EXISTS (SELECT 1 FROM docs d WHERE d.owner_id = r.owner_id AND d.session_id = r.session_id AND d.date = r.date
-  AND contains(d.text, r.quote)) AS verbatim FROM reports r""")
+WITH {DOCS_SQL}, {_REPORTS}, busy AS (SELECT owner_id, session_id, date FROM docs WHERE doc_id BETWEEN 5 AND 9 LIMIT 1),
+crowd AS (SELECT b.owner_id, 1000000000 + d.doc_id * 10 + i AS doc_id, b.session_id, b.date, {S.strip('substr(d.text, 1 + 7 * CAST(i AS INTEGER), 40)')} AS quote
+          FROM docs d, busy b, range(10) t(i)),
+every AS (SELECT * FROM reports UNION ALL SELECT * FROM crowd)
+SELECT owner_id, doc_id, quote <> '' AND EXISTS (SELECT 1 FROM docs d WHERE d.owner_id = r.owner_id AND d.session_id = r.session_id AND d.date = r.date
+  AND contains(d.text, r.quote)) AS verbatim FROM every r""")
 def verbatim_quotes(spark, folder):
     messages = document_messages(spark, folder)
     doc = (F.col("file_path").cast("bigint") * 5 + F.col("line_id")).alias("doc_id")
@@ -186,9 +190,19 @@ def verbatim_quotes(spark, folder):
         F.lit(None).cast("string").alias("receipt_id"), "session_id", F.when(F.col("doc_id") % 5 == 0, "2020-01-01").otherwise(F.col("date")).alias("date"),
         F.when(F.col("doc_id") % 3 == 0, F.reverse(head)).otherwise(head).alias("text"))
     none = F.array().cast("array<struct<receipt_id:string,session_id:string,date:string,text:string>>")
-    reports = messages.select("*", doc).select(
-        "owner_id", F.col("doc_id").alias("report_id"), F.lit(100).alias("bytes"),
-        F.array(F.struct(F.array(quote).alias("quotes"), none.alias("contradictions"))).alias("evidence"))
+
+    def reported(rows, ident, said):
+        return rows.select("owner_id", ident.alias("report_id"), F.lit(100).alias("bytes"),
+                           F.array(F.struct(F.array(said).alias("quotes"), none.alias("contradictions"))).alias("evidence"))
+
+    rows = messages.select("*", doc)
+    busy = rows.filter("doc_id BETWEEN 5 AND 9").agg(*[F.first(c).alias(f"busy_{c}") for c in ("owner_id", "session_id", "date")])
+    # One row: the day that all are said to be from.
+    crowd = rows.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).crossJoin(F.broadcast(busy))
+    placed = F.struct(F.lit(None).cast("string").alias("receipt_id"), F.col("busy_session_id").alias("session_id"), F.col("busy_date").alias("date"),
+                      F.substring("text", 1 + 7 * F.col("i"), F.lit(40)).alias("text"))
+    crowd = reported(crowd.withColumn("owner_id", F.col("busy_owner_id")), 1_000_000_000 + F.col("doc_id") * 10 + F.col("i"), placed)
+    reports = reported(rows, F.col("doc_id"), quote).unionByName(crowd)
     bad = evidence.unverbatim_quotes(reports, messages).select("owner_id", "report_id").withColumn("verbatim", F.lit(False))
     return reports.select("owner_id", "report_id").join(bad, ["owner_id", "report_id"], "left").fillna(True, ["verbatim"]).select(
         "owner_id", F.col("report_id").alias("doc_id"), "verbatim")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from turnmill.queries.registry import query, table
 from turnmill.session import run_folder
 from turnmill.sinks import tables
+from turnmill.sources import files
 
 
 def _folder(spark):
@@ -75,3 +76,37 @@ def quarantined_rows(spark, folder):
     sound = tables.quarantine(rows, bad, ["id"], root, "1")
     aside = tables.read_table(spark, f"{root}/quarantine").select("id", "error")
     return sound.select("id", F.lit(None).cast("string").alias("error")).unionByName(aside)
+
+
+_NATION_FILES = "SELECT c_nationkey AS n, string_agg(CAST(c_custkey AS VARCHAR), chr(10) ORDER BY c_custkey) || chr(10) AS content FROM customer GROUP BY 1"
+
+
+def _nation_files(spark, folder, root):
+    """One text file a nation, the numbers of its customers line by line."""
+    rows = table(spark, folder, "customer").select(F.col("c_nationkey").alias("n"), "c_custkey")
+    dealt = rows.repartition("n").sortWithinPartitions("n", "c_custkey")
+    dealt.select("n", F.col("c_custkey").cast("string").alias("value")).write.partitionBy("n").text(root)
+
+
+@query("file_digests", f"WITH f AS ({_NATION_FILES}) SELECT 'n=' || n AS folder, strlen(content) AS size, sha256(content) AS sha256 FROM f")
+def file_digests(spark, folder):
+    """Files above a kilobyte are read block by block, smaller ones whole."""
+    root = _folder(spark)
+    _nation_files(spark, folder, root)
+    found = files.file_digests(spark, root, "*.txt", 1024)
+    return found.select(F.substring_index("path", "/", 1).alias("folder"), "size", "sha256")
+
+
+@query("manifest_problems", """
+SELECT n, CASE WHEN n % 5 = 0 THEN 'unlisted' WHEN n % 5 = 1 THEN 'changed' ELSE 'missing' END AS problem FROM (
+  SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_nationkey % 5 < 2 UNION ALL SELECT DISTINCT c_nationkey + 1002 FROM customer WHERE c_nationkey % 5 = 0)""")
+def manifest_problems(spark, folder):
+    """A manifest that leaves out every fifth file, has another digest for the next, and names files that are not there."""
+    root, n = _folder(spark), F.col("n")
+    _nation_files(spark, folder, root)
+    found = files.file_digests(spark, root, "*.txt").withColumn("path", F.substring_index("path", "/", 1))
+    rows = found.withColumn("n", F.substring("path", 3, 9).cast("bigint"))
+    listed = rows.filter(n % 5 != 0).select("path", F.when(n % 5 == 1, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    gone = rows.filter(n % 5 == 0).select(F.concat(F.lit("n="), (n + 1002).cast("string")).alias("path"), "sha256")
+    problems = files.check_manifest(found, listed.unionByName(gone))
+    return problems.select(F.substring("path", 3, 9).cast("bigint").alias("n"), "problem")
