@@ -185,6 +185,20 @@ def test_report(spark, rows):
     assert (totals.messages, totals.median_words, totals.short_prompts) == (6, 5, 5)
 
 
+def test_hashes_of_growing_sessions(spark, rows, monkeypatch):
+    monkeypatch.setattr(corpus, "_FOLD", 3)
+    every = numbered(spark, *[(s, n, "undated", f"{s} says {n}") for s, n in [("a", n) for n in range(70)] + [("b", n) for n in range(9)] + [("c", 0)]])
+    every = materialize(every, "messages")
+    stored, latest = None, {}
+    for lo, hi in ((0, 1), (1, 4), (4, 9), (9, 27), (27, 69), (69, 70)):
+        hashes, stored = corpus.extend_hashes(every.filter(F.col("ordinal").between(lo, hi - 1)), stored)
+        latest.update({r.session_id: r.content_hash for r in hashes.collect()})
+        scratch = {r.session_id: r.content_hash for r in corpus.content_hashes(every.filter(F.col("ordinal") < hi)).collect()}
+        assert latest == scratch
+        # Two of three children a level at most are open.
+        assert stored.groupBy("session_id").count().agg(F.max("count")).first()[0] <= 2 * corpus._FOLDS
+
+
 # --- trace ------------------------------------------------------------------------------
 
 CORPUS = [("aaa111", 0, "2026-01-01", "always run the full test suite first"), ("aaa111", 1, "2026-01-02", "keep the commit small and plain"),

@@ -8,6 +8,7 @@ from turnmill import constants as K
 from turnmill.functions import calendar as C, identity as I, text as T
 from turnmill.operators.ordered import first_rows, ranked
 from turnmill.sources.logs import MESSAGE_ORDER, message_chunks
+from turnmill.session import materialize
 
 SESSION = ["owner_id", "session_id"]
 _FOLD, _FOLDS = 1024, 4
@@ -96,6 +97,39 @@ def content_hashes(messages: DataFrame) -> DataFrame:
     return level.select(*SESSION, "source", I.sha256(F.concat_ws("\n", header_text(), F.col("digest"))).alias("content_hash"))
 
 
+HASH_STATE = "level int, ordinal bigint, digest string"
+
+
+def extend_hashes(messages: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hashes of the sessions that have new messages, as ``content_hashes`` gives them for all of their messages.
+
+    ``messages`` are the new ones, numbered on from those before without gaps. ``stored`` is what an earlier call returned
+    beside the hashes: per session and level of the fold the digests whose thousand is not full yet, at most a few thousand
+    short rows however long the session. Of a session with an append only these are read and its new messages hashed; other
+    sessions' rows pass through. Returns the hashes and the rows to store.
+    """
+    key = [*SESSION, "source"]
+    new = messages.select(*key, F.lit(0).alias("level"), F.col("ordinal").cast("bigint").alias("ordinal"), I.sha256(block_text()).alias("digest"))
+    new = materialize(new, "digests")
+    changed = new.select(*key).distinct()
+    held = new.limit(0) if stored is None else materialize(stored.join(changed, key, "left_semi"), "open-digests")
+    rows = new.drop("level").withColumn("full", F.lit(True))
+    kept = new.limit(0) if stored is None else stored.join(changed, key, "left_anti").select(*new.columns)
+    for level in range(_FOLDS):
+        before = held.filter(F.col("level") == level).select(*key, "ordinal", "digest", F.lit(True).alias("full"))
+        rows = rows.unionByName(before).withColumn("up", F.floor(F.col("ordinal") / _FOLD))
+        folded = rows.groupBy(*key, "up").agg(F.sort_array(F.collect_list(F.struct("ordinal", "digest"))).alias("parts"), F.bool_and("full").alias("full"))
+        # A node is full when all its children are there and full themselves; it never changes again.
+        folded = folded.select(*key, "up", (F.col("full") & (F.size("parts") == _FOLD)).alias("full"), I.sha256(
+            F.array_join(F.transform("parts", lambda p: p["digest"]), "")).alias("digest"))
+        folded = materialize(folded, "folded")
+        opened = folded.filter("not full").select(*key, "up")
+        kept = kept.unionByName(rows.filter("full").join(opened, [*key, "up"], "left_semi").select(*key, F.lit(level).alias("level"), "ordinal", "digest"))
+        rows = folded.withColumnRenamed("up", "ordinal").select(*key, "ordinal", "digest", "full")
+    hashes = rows.select(*key, I.sha256(F.concat_ws("\n", header_text(), F.col("digest"))).alias("content_hash"))
+    return hashes, materialize(kept, "open-digests")
+
+
 def roll_up(messages: DataFrame) -> DataFrame:
     """One row per session: size, dates and the hash of its content. Its text stays in the messages.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnmill import constants as K
 from turnmill.functions import calendar as C, identity as I, stats, text as T
+from turnmill.operators.ordered import newest
 from turnmill.plans import corpus
 from turnmill.queries import sqltext as S
 from turnmill.queries.inputs import CONV_SQL, DOCS_SQL, conversation_messages, document_messages
@@ -80,6 +81,20 @@ def session_rollup(spark, folder):
         "owner_id", "session_id", "source", "first_date", "last_date", "message_count", "tokens", "content_hash")
 
 
+@query("extended_hashes", f"""
+WITH {CONV_SQL}, {CONV_KEPT}, {MINED}, {ROLLED_SQL}
+SELECT owner_id, session_id, source, content_hash FROM rolled""")
+def extended_hashes(spark, folder):
+    """Sessions hashed in three appends: every message is hashed once, and the last append of a session gives its hash."""
+    mined = materialize(corpus.mine(conversation_messages(spark, folder)), "messages")
+    stored, latest = None, None
+    for n, part in enumerate((F.col("ordinal") < 1, (F.col("ordinal") >= 1) & (F.col("ordinal") < 3), F.col("ordinal") >= 3)):
+        hashes, stored = corpus.extend_hashes(mined.filter(part), stored)
+        marked = hashes.withColumn("append", F.lit(n))
+        latest = marked if latest is None else latest.unionByName(marked)
+    return newest(latest, ["owner_id", "session_id", "source"], ["append"]).drop("append")
+
+
 _BACK = f"""
 WITH {CONV_SQL}, {CONV_KEPT}, {MINED}
 SELECT session_id, source, date, sha256(text) AS text_hash FROM mined"""
