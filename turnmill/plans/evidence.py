@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnmill import constants as K
 from turnmill.functions import calendar as C, identity as I, text as T
+from turnmill.operators.digest import set_digest
 from turnmill.operators.ordered import newest, top_rows
 from turnmill.plans.trace import find_spans
 from turnmill.session import materialize
@@ -303,8 +304,6 @@ def rule_issues(rules: DataFrame, evidence: DataFrame, require_strata: bool = Tr
 
 def domain_evidence_hash(evidence: DataFrame) -> DataFrame:
     """Digest per owner and domain of the evidence a draft was written from."""
-    from turnmill.operators.digest import set_digest
-
     fields = [c for c in evidence.columns if c != "owner_id"]
     entry = I.canonical_json({c: F.col(c) for c in fields})
     return set_digest(evidence, ["owner_id", "domain"], entry, "evidence_set_hash")
@@ -404,6 +403,23 @@ def appendix_lines(evidence_ids: DataFrame, quote_rows: DataFrame) -> DataFrame:
                  F.lit(": "), T.escape_markdown(F.col("text"))).alias("line"))
 
 
+def appendix_issues(appendix: DataFrame, referenced: DataFrame, quote_rows: DataFrame) -> DataFrame:
+    """Referenced evidence that an appendix does not show: its id (missing-id), or the date or text of a quote (missing-quote).
+
+    ``appendix``: owner_id, line, the blocks of its text in any cut that leaves no quote apart. ``referenced``: owner_id,
+    evidence_id. ``quote_rows``: owner_id, evidence_id, date, text; both are looked for as the appendix writes them.
+    """
+    ids = referenced.select("owner_id", "evidence_id").distinct()
+    shown = {c: T.escape_markdown(F.coalesce(c, F.lit(""))) for c in ("date", "text")}
+    quotes = materialize(ids.join(quote_rows, ["owner_id", "evidence_id"]).select(
+        "owner_id", "evidence_id", F.explode(F.array(*shown.values())).alias("needle")).distinct(), "appendix-quotes")
+    wanted = ids.select("owner_id", "evidence_id", F.col("evidence_id").alias("needle"), F.lit("missing-id").alias("problem")).unionByName(
+        quotes.filter("needle != ''").withColumn("problem", F.lit("missing-quote")))
+    blocks = appendix.select("owner_id", F.xxhash64("line").alias("line_key"), F.col("line").alias("haystack"))
+    found = find_spans(wanted.select("owner_id", "needle"), blocks, ["line_key"]).select("owner_id", "needle").distinct()
+    return wanted.join(found, ["owner_id", "needle"], "left_anti").select("owner_id", "evidence_id", "problem").distinct()
+
+
 def coverage_recall(required: DataFrame, recovered: DataFrame) -> DataFrame:
     """Recovered over required per domain; both hold owner_id, domain, requirement."""
     key = ["owner_id", "domain", "requirement"]
