@@ -207,3 +207,26 @@ def test_a_tail_reads_a_batch_again_as_it_was(tmp_path, monkeypatch):
         file.write(" now\nnext\n")
     assert read(0, 1) == first and reader.latestOffset() == {"scan": 2}
     assert read(1, 2) == [("open now", 29), ("next", 38)]
+
+
+def test_an_inbox_takes_every_item_once(spark, rows, tmp_path, one_partition):
+    src, root = tmp_path / "in", str(tmp_path / "inbox")
+
+    def run(check):
+        stream = spark.readStream.schema("session_id string, size long, ts timestamp").json(str(src))
+        sessions.start_inbox(sessions.emit_once(stream, "ts", "session_id"), build, root, str(tmp_path / check)).awaitTermination()
+        return rows(read_appended(spark, f"{root}/items"), "inbox_id", "size")
+
+    def build(batch):
+        return batch.select(F.concat(F.lit("inbox_"), "session_id").alias("inbox_id"), "size")
+
+    def quiet(session, size):
+        return {"session_id": session, "size": size, "ts": "2026-01-01T10:00:00Z"}
+
+    put(src, "1.json", quiet("a", 1), quiet("a", 1), quiet("b", 2))
+    assert run("check") == [("inbox_a", 1), ("inbox_b", 2)]
+    put(src, "2.json", quiet("b", 2), quiet("c", 3))
+    assert run("check") == [("inbox_a", 1), ("inbox_b", 2), ("inbox_c", 3)]
+    # All batches again, as after a lost checkpoint: nothing is stored twice.
+    assert run("again") == [("inbox_a", 1), ("inbox_b", 2), ("inbox_c", 3)]
+    assert spark.read.parquet(f"{root}/items/rows").count() == 3

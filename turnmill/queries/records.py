@@ -222,3 +222,82 @@ def stats_report(spark, folder):
     stats = corpus.corpus_stats(corpus.mine(conversation_messages(spark, folder)))
     sink.write_json(stats, path)
     return spark.read.schema(stats.schema).json(path).select("owner_id", "sessions", "messages", "chars")
+
+
+# --- record contracts --------------------------------------------------------------
+
+# Every event is a record; its number modulo the number of faults says which clause it breaks.
+_CHECKPOINT_FAULTS = ["schema", "path-hash", "source", "identity", "unchanged-since", "fingerprint"]
+
+
+def _expected(faults, number):
+    return f"CASE {number} % {len(faults) + 3} " + " ".join(f"WHEN {n} THEN '{f}'" for n, f in enumerate(faults)) + " END"
+
+
+@query("checkpoint_errors", f"SELECT event_id, {_expected(_CHECKPOINT_FAULTS, 'event_id')} AS error FROM events")
+def checkpoint_errors(spark, folder):
+    n = F.col("event_id") % (len(_CHECKPOINT_FAULTS) + 3)
+
+    def bent(code, other, usual):
+        return F.when(n == _CHECKPOINT_FAULTS.index(code), other).otherwise(usual)
+
+    rows = table(spark, folder, "events").select(
+        "event_id", bent("schema", F.lit("other/v1"), F.lit(review.schema_name("checkpoint"))).alias("schema_version"),
+        bent("path-hash", F.lit("abc"), sha256(F.col("event_id").cast("string"))).alias("path_hash"),
+        bent("source", F.lit("pigeon"), F.lit("codex")).alias("source"),
+        F.struct(F.col("event_id").alias("size"), bent("identity", F.lit(-1), F.lit(5)).cast("bigint").alias("mtime_ns")).alias("identity"),
+        bent("unchanged-since", F.lit(-1), F.lit(0)).alias("unchanged_since"),
+        bent("fingerprint", F.lit("abc"), F.when(n == 7, sha256(F.lit("f")))).alias("processed_fingerprint"))
+    return rows.select("event_id", review.checkpoint_error().alias("error"))
+
+
+_DECISION_FAULTS = ["schema", "decision-id", "candidate-id", "decision", "reason", "policy-class", "decided-at", "identity"]
+
+
+@query("decision_errors", f"SELECT event_id, {_expected(_DECISION_FAULTS, 'event_id')} AS error FROM events")
+def decision_errors(spark, folder):
+    n = F.col("event_id") % (len(_DECISION_FAULTS) + 3)
+
+    def bent(code, other, usual):
+        return F.when(n == _DECISION_FAULTS.index(code), F.lit(other)).otherwise(usual)
+
+    named = table(spark, folder, "events").select(
+        "event_id", bent("schema", "other/v1", F.lit(review.schema_name("decision"))).alias("schema_version"),
+        bent("candidate-id", "cand_x", F.concat(F.lit("cand_"), F.substring(sha256(F.col("event_id").cast("string")), 1, 20))).alias("candidate_id"),
+        bent("decision", "maybe", F.lit("approve")).alias("decision"), bent("reason", "Because!", F.lit("because")).alias("reason"),
+        bent("policy-class", "wild", F.lit("safe")).alias("policy_class"), bent("decided-at", "2026-02-30T00:00:00Z", F.lit("2026-02-03T00:00:00Z")).alias("decided_at"))
+    # Written by hand, so that the rule under test does not name the records it tests.
+    text = F.concat(*[x for c in ("candidate_id", "decided_at", "decision", "policy_class", "reason", "schema_version")
+                      for x in (F.lit(("{" if c == "candidate_id" else ",") + f'"{c}":"'), F.col(c), F.lit('"'))], F.lit("}"))
+    ident = F.concat(F.lit("dec_"), F.substring(sha256(text), 1, 20))
+    rows = named.withColumn("decision_id", bent("decision-id", "dec_1", F.when(n == _DECISION_FAULTS.index("identity"), F.lit("dec_" + "0" * 20)).otherwise(ident)))
+    return rows.select("event_id", review.decision_error().alias("error"))
+
+
+_GENERATION_FAULTS = ["schema", "generation-id", "parent-id", "operation", "candidate-order", "candidate-ids", "domains", "created-at", "identity"]
+
+
+@query("generation_errors", f"SELECT event_id, {_expected(_GENERATION_FAULTS, 'event_id')} AS error FROM events")
+def generation_errors(spark, folder):
+    n = F.col("event_id") % (len(_GENERATION_FAULTS) + 3)
+
+    def bent(code, other, usual):
+        return F.when(n == _GENERATION_FAULTS.index(code), other).otherwise(usual)
+
+    names = F.sort_array(F.array(*[F.concat(F.lit("cand_"), F.substring(sha256(F.concat(F.col("event_id").cast("string"), F.lit(x))), 1, 20)) for x in "ab"]))
+    rows = table(spark, folder, "events").select(
+        "event_id", bent("schema", F.lit("other/v1"), F.lit(review.schema_name("generation"))).alias("schema_version"),
+        bent("parent-id", F.lit("gen_x"), F.when(n == 10, F.concat(F.lit("gen_"), F.lit("a" * 20)))).alias("parent_generation_id"),
+        bent("operation", F.lit("undo"), F.lit("activate")).alias("operation"),
+        bent("candidate-order", F.reverse(names), bent("candidate-ids", F.array(F.lit("cand_1")), names)).alias("candidate_ids"),
+        bent("created-at", F.lit("soon"), F.lit("2026-02-03T00:00:00Z")).alias("created_at"),
+        F.array(F.struct(bent("domains", F.lit("notes"), F.lit("work.md")).alias("artifact"), F.lit("work").alias("domain"), sha256(F.lit("w")).alias("sha256"))).alias("domains"))
+    parent = F.coalesce(F.concat(F.lit('"'), F.col("parent_generation_id"), F.lit('"')), F.lit("null"))
+    text = F.concat(
+        F.lit('{"candidate_ids":["'), F.array_join("candidate_ids", '","'), F.lit('"],"created_at":"'), F.col("created_at"), F.lit('","domains":{"work":{"artifact":"'),
+        F.col("domains")[0]["artifact"], F.lit('","sha256":"'), F.col("domains")[0]["sha256"], F.lit('"}},"operation":"'), F.col("operation"),
+        F.lit('","parent_generation_id":'), parent, F.lit(',"schema_version":"'), F.col("schema_version"), F.lit('"}'))
+    ident = F.concat(F.lit("gen_"), F.substring(sha256(text), 1, 20))
+    named = rows.withColumn("generation_id", bent("generation-id", F.lit("gen_1"), F.when(
+        n == _GENERATION_FAULTS.index("identity"), F.lit("gen_" + "0" * 20)).otherwise(ident)))
+    return named.select("event_id", review.generation_error().alias("error"))
