@@ -19,18 +19,22 @@ def test_encoding_equals_the_library(spark, head):
     rows = documents()
     df = frame(spark, rows)
     ids = df.select("doc_id", "text", bpe.encode(df, RANKS, public_tokenizers.PATTERN, head_words=head).alias("ids"))
+    trip = values(df.select("doc_id", bpe.round_trip(df, RANKS, public_tokenizers.PATTERN, head_words=head).alias("t")).select("doc_id", "t.*"))
     done = ids.select("*", bpe.ids_digest(F.col("ids")).alias("sha"), bpe.decode(F.col("ids"), RANKS, spark).alias("back")).collect()
     assert len(done) == len(rows)
+    assert len(trip) == len(rows)
     for r in done:
         want = REFERENCE.encode_ordinary(r["text"] or "")
         assert r["ids"] == want
         assert bytes(r["back"]) == (r["text"] or "").encode()
+        assert (r["doc_id"], len(want), r["sha"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) in trip
         assert r["sha"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
 
 
 def test_empty_table(spark):
     df = frame(spark, [])
     assert df.select(bpe.encode(df, RANKS, public_tokenizers.PATTERN).alias("ids")).count() == 0
+    assert df.select(bpe.round_trip(df, RANKS, public_tokenizers.PATTERN).alias("t")).count() == 0
 
 
 def test_fold_equals_the_library(spark):

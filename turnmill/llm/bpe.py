@@ -29,7 +29,7 @@ from turnmill.session import materialize
 BUCKETS = 8192
 HEAD_WORDS = 1 << 17
 HEAD_BYTES = 48
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 16
 SHORT_BYTES = 64
 NO_RANK = 1 << 40
 SPACE = r"[ \t\n\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -189,34 +189,69 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, table, memo = head.value.get, shared.value, {}
-
-        def rare(word):
-            found = memo.get(word)
-            if found is None:
-                found = np.array(merge_word(word.encode(), table), dtype="<u4").tobytes()
-                if len(memo) < MEMO_WORDS and len(word) <= HEAD_BYTES:
-                    memo[word] = found
-            return found
-
+        coded = _coder(head.value, shared.value)
         for batch in batches:
             cuts, chunks = [0], []
             for part in slices(batch):
-                starts = part.offsets.to_numpy()
-                words = part.values.slice(starts[0], starts[-1] - starts[0]).to_numpy(zero_copy_only=False).tolist()
-                coded = list(map(known, words))
-                if None in coded:
-                    coded = [rare(w) if c is None else c for c, w in zip(coded, words)]
-                edges = (starts - starts[0]).tolist()
-                for a, b in zip(edges[:-1], edges[1:]):
-                    chunks.append(b"".join(coded[a:b]))
-                    cuts.append(cuts[-1] + len(chunks[-1]) // 4)
+                for ids in coded(part):
+                    chunks.append(ids)
+                    cuts.append(cuts[-1] + len(ids) // 4)
             flat = np.frombuffer(b"".join(chunks), dtype="<i4")
             yield pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))
 
     return run(words_of(F.col(text_col), pattern))
 
 
+def _coder(known: dict[str, bytes], ranks: dict[bytes, int]):
+    """A function from lists of words to the ids of each list, as 32-bit little-endian bytes."""
+    look, memo = known.get, {}
+
+    def rare(word):
+        found = memo.get(word)
+        if found is None:
+            found = np.array(merge_word(word.encode(), ranks), dtype="<u4").tobytes()
+            if len(memo) < MEMO_WORDS and len(word) <= HEAD_BYTES:
+                memo[word] = found
+        return found
+
+    def code(part: pa.ListArray) -> list[bytes]:
+        starts = part.offsets.to_numpy()
+        words = part.values.slice(starts[0], starts[-1] - starts[0]).to_numpy(zero_copy_only=False).tolist()
+        coded = list(map(look, words))
+        if None in coded:
+            coded = [rare(w) if c is None else c for c, w in zip(coded, words)]
+        edges = (starts - starts[0]).tolist()
+        return [b"".join(coded[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+
+    return code
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", head_words: int = HEAD_WORDS) -> Column:
+    """struct(n_tokens, ids_sha256, decoded_sha256) of each whole text: encoded as by ``encode``, and decoded, in one task.
+
+    Ids do not leave the task, so a long text is no long array of a row. Null and empty texts have no ids.
+    """
+    head = head_dictionary(docs, text_col, ranks, pattern, head_words)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.arrow_udf("struct<n_tokens bigint, ids_sha256 string, decoded_sha256 string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        code = _coder(head.value, shared.value)
+        piece = {rank: word for word, rank in shared.value.items()}.__getitem__
+        for batch in batches:
+            rows = [], [], []
+            for part in slices(batch):
+                for ids in code(part):
+                    decoded = b"".join(map(piece, np.frombuffer(ids, dtype="<u4").tolist()))
+                    for kept, value in zip(rows, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())):
+                        kept.append(value)
+            yield pa.StructArray.from_arrays(
+                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())],
+                names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run(words_of(F.col(text_col), pattern))
+
+
 def decode(ids: Column, ranks: dict[bytes, int], spark) -> Column:
     """The bytes that an array of ids stands for; the array must not be null."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)

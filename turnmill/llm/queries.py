@@ -40,12 +40,9 @@ def op1(spark, folder):
 
 def tokenized(docs: DataFrame) -> DataFrame:
     """Digests of the ids and of the bytes decoded from them, one row per document."""
-    spark = docs.sparkSession
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
-    ids = docs.select("doc_id", bpe.encode(docs, ranks, public_tokenizers.PATTERN).alias("ids"))
-    return ids.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), ranks, spark), 256).alias("decoded_sha256"))
+    done = docs.select("doc_id", bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).alias("t"))
+    return done.select("doc_id", "t.n_tokens", "t.ids_sha256", "t.decoded_sha256")
 
 
 @query("op2_mixing")
