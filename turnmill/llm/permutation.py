@@ -81,7 +81,8 @@ def _meet(k: int, keep_share: float, keep_least: int):
                 footrule = (np.maximum(places, own) - np.minimum(places, own)).sum(axis=1, dtype=np.uint32)[rows]
                 # Of equal distances the smaller ids stay.
                 rows = rows[np.lexsort((ids[rows], footrule))[:keep]]
-            scores = vectors[rows] @ vector
+            # Row by row in one order of its components, so equal vectors have one score wherever they lie.
+            scores = (vectors[rows] * vector).sum(axis=1)
             best = np.lexsort((ids[rows], -scores))[:k]
             found[0].append(np.full(len(best), query))
             found[1].append(ids[rows][best])
