@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnmill.llm import crf, permutation, surrogates, urlrules, xent
 
+KEY = b"test"
 WORDS = {"en": "the and of to house river".split(), "fr": "le la des et maison rivière".split(), "ru": "и в на дом река что".split()}
 
 
@@ -23,12 +24,13 @@ def language_rows(n=240, seed=3):
 
 def test_language_of_held_out_documents(spark):
     rows = language_rows() + [(900, None, "en", "a", 0, "x", "y", 1, "z"), (901, "123 !!", "en", "a", 0, "x", "y", 1, "z"),
-                              (902, "", None, "a", 0, "x", "y", 1, "z"), (903, "q" * 50000, None, "a", 0, "x", "y", 1, "z")]
+                              (902, "", None, "a", 0, "x", "y", 1, "z"), (903, "q" * 50000, None, "a", 0, "x", "y", 1, "z"),
+                              (904, "² ½ ① Ⅳ"[:5], "en", "a", 0, "x", "y", 1, "z")]
     df = frame(spark, rows)
     model = crf.learn(df)
     got = {r["doc_id"]: r for r in df.select("doc_id", "lang", crf.held_out(F.col("doc_id")).alias("held"), crf.languages(df, model).alias("l")).collect()}
     assert len(got) == len(rows)
-    assert all(got[i]["l"]["lang_pred"] == "und" and got[i]["l"]["score"] == 0 for i in (900, 901, 902))
+    assert all(got[i]["l"]["lang_pred"] == "und" and got[i]["l"]["score"] == 0 for i in (900, 901, 902, 904))
     assert all(0 <= r["l"]["score"] <= 1 for r in got.values())
     held = [r for i, r in got.items() if r["held"] and i < 900]
     assert held and sum(r["l"]["lang_pred"] == r["lang"] for r in held) / len(held) > 0.98
@@ -145,7 +147,7 @@ def test_surrogates(spark):
     ]
     rows = [(i, t, "en", "a", 0, "x", "y", 1, "z") for i, t in enumerate(texts)] + [(0, texts[0], "en", "a", 0, "x", "y", 1, "z")]
     df = frame(spark, rows)
-    out = surrogates.replace(df)
+    out = surrogates.replace(df, KEY)
     got = {r["doc_id"]: r for r in out.collect()}
     assert out.columns == [*df.columns, "replaced"] and out.count() == len(rows)
     assert [got[i]["text"] for i in (4, 5, 6, 7)] == texts[4:] and all(got[i]["replaced"] == 0 for i in (4, 5, 6, 7))
@@ -160,21 +162,21 @@ def test_surrogates(spark):
     names = [m[2].split() for m in surrogates.PATTERNS["name"].finditer(got[2]["text"])]
     assert names[0][1] == names[1][1] == names[2][0] and names[0][0][-1] == "a" and names[1][0][-1] != "a"
     assert all("А" <= c <= "я" for n in names[3:] for part in n for c in part)
-    assert values(surrogates.replace(df, most_shared=-1)) == values(out)
-    assert surrogates.replace(frame(spark, [])).count() == 0
+    assert values(surrogates.replace(df, KEY, most_shared=-1)) == values(out)
+    assert surrogates.replace(frame(spark, []), KEY).count() == 0
 
 
 def test_surrogates_stay_distinct(spark):
     # Short names with this ending have about 1,100 surrogates, so many collide at first.
     names = sorted(a + b + "a" for a in "BCDFGHKLMNPRST" for b in "bcdfghklmnprstuvwxyz")
     df = spark.createDataFrame([(f"Dr. {n}",) for n in names], "text string").repartition(4)
-    settled = surrogates.attempts(surrogates.entities(df)).collect()
+    settled = surrogates.attempts(surrogates.entities(df), KEY).collect()
     assert len({r["surrogate"] for r in settled}) == len(settled) == len(names)
     assert not {r["surrogate"] for r in settled} & {n.lower() for n in names}
     assert any(r["attempt"] for r in settled)
-    done = [r["text"] for r in surrogates.replace(df).collect()]
+    done = [r["text"] for r in surrogates.replace(df, KEY).collect()]
     assert len(set(done)) == len(names) and done
-    assert sorted(done) == sorted(r["text"] for r in surrogates.replace(df, most_shared=0).collect())
+    assert sorted(done) == sorted(r["text"] for r in surrogates.replace(df, KEY, most_shared=0).collect())
 
 
 def test_cross_entropy_against_brute_force(spark):
@@ -256,3 +258,53 @@ def test_cross_entropy_counts_every_word(spark):
             assert g[2] is None or all(abs(x - y) < 1e-9 for x, y in zip(g[2:], (w[2], w[3], w[2] - w[3])))
         scores = {g[0]: g[4] for g in got}
         assert scores[500] < scores[501] - 1e-6
+
+
+def test_more_entities_than_their_shape_has_places(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{c}@example.com" for c in letters] + [f"{a}{b}@example.org" for a in letters for b in letters[:9]]
+    df = frame(spark, [(i, t, "en", "a", 0, "x", "y", 1, "z") for i, t in enumerate(texts)])
+    settled = surrogates.attempts(surrogates.entities(df), KEY).collect()
+    assert len({r["surrogate"] for r in settled}) == len(settled) == len(texts)
+    assert not {r["surrogate"] for r in settled} & set(texts)
+    done = [r["text"] for r in surrogates.replace(df, KEY).collect()]
+    assert len(set(done)) == len(texts) and not set(done) & set(texts)
+    cards = surrogates.surrogate(KEY, "card", "4111111111111111", "", 20)
+    assert surrogates.render("card", "4111 1111 1111 1111", cards).replace(" ", "") == cards and surrogates.luhn(cards) == 0
+
+
+def test_names_and_their_later_mentions(spark):
+    texts = ["Mrs. Anna Maria Smith called. Later Smith said no, and SMITH's friend Anna left. anna stays.",
+             "Mr J. K. Smith met Smith. He is no smith, nor Smithson.", "Smith without a title", "Herr Müller’s Hund, Müller und Frau Müller-Lüdenscheidt"]
+    df = frame(spark, [(i, t, "en", "a", 0, "x", "y", 1, "z") for i, t in enumerate(texts)])
+    got = [r["text"] for r in sorted(surrogates.replace(df, KEY).collect(), key=lambda r: r["doc_id"])]
+    attempts = {(r["entity"], r["gender"]): r["surrogate"].capitalize() for r in surrogates.attempts(surrogates.entities(df), KEY).collect()}
+    anna, maria, smith = attempts["anna", "f"], attempts["maria", "f"], attempts["smith", ""]
+    assert got[0] == f"Mrs. {anna} {maria} {smith} called. Later {smith} said no, and {smith.upper()}'s friend {anna} left. anna stays."
+    first = [surrogates.surrogate(KEY, "initial", c, "", 0).upper() for c in "jk"]
+    assert got[1] == f"Mr {first[0]}. {first[1]}. {smith} met {smith}. He is no smith, nor Smithson."
+    assert got[2] == texts[2]
+    muller, double = attempts["müller", ""], attempts["müller-lüdenscheidt", ""]
+    assert got[3] == f"Herr {muller}’s Hund, {muller} und Frau {double}"
+
+
+def test_equal_vectors_have_one_score_and_smaller_ids_first(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 64))
+    vectors = [(i, base[i].tolist()) for i in range(300)]
+    # Copies of a query's neighbours, spread over all blocks.
+    vectors += [(1000 + 37 * n, base[150 + n % 6].tolist()) for n in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
+    got = values(permutation.nearest(df, F.col("id") % 50 == 0, pivots=12, post=12, probe=12, keep_share=1.0, block_rows=64), "query_id", "rank", "vec_id", "score")
+    held = {}
+    for query, rank, vec, score in sorted(got):
+        held.setdefault(query, []).append((vec, score))
+    by_id = dict(vectors)
+    for query, found in held.items():
+        scores = sorted(((-np.dot(by_id[query], v) / np.linalg.norm(by_id[query]) / np.linalg.norm(v), i) for i, v in vectors if i != query))
+        # Exactly equal vectors tie; their order must be that of their ids.
+        wanted = sorted(((round(s, 10), i) for s, i in scores))[:5]
+        assert [v for v, _ in found] == [i for _, i in wanted]
+        for (a, s), (b, t) in zip(found, found[1:]):
+            if by_id[a] == by_id[b]:
+                assert s == t and a < b

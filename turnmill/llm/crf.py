@@ -56,11 +56,19 @@ def features(word: str, lexicons: dict[str, list[int]]) -> list[int]:
     return found
 
 
+def words_of(line: str) -> list[str]:
+    """Runs of letters. Numbers that are no digits, such as superscripts and fractions, are no letters either."""
+    found = WORD.findall(line)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for word in found for w in "".join(c if c.isalpha() else " " for c in word).split()]
+
+
 def sequences(text: str | None) -> list[list[str]]:
     """The lower-case words of each line, in runs of at most SEQUENCE words."""
     found = []
     for line in (text or "").lower().split("\n"):
-        words = WORD.findall(line)
+        words = words_of(line)
         found += [words[i:i + SEQUENCE] for i in range(0, len(words), SEQUENCE)]
     return found
 
@@ -242,7 +250,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
         # A keyed share of about half as many more, of which the first stay: no sort of all documents.
         share = min(1.0, (1.5 * per_label + 50) / row["n"])
         key = F.xxhash64(F.col(id_col).cast("string"), F.lit("train"))
-        some = labelled.filter((F.col(lang_col) == row[lang_col]) & (F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20))))
+        some = labelled.filter((F.col(lang_col) == row[lang_col]) & (F.shiftrightunsigned(key, 2) < int(share * (1 << 62))))
         picked.append(some.select(key.alias("k"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")))
     if not picked:
         return []
