@@ -14,8 +14,8 @@ from turnmill.functions import text as T
 from turnmill.operators.ordered import first_rows, integer_chunks, running
 from turnmill.session import materialize
 
-#: Characters of needles that one pass over the texts looks for.
-SHARD_CHARS = 2_000_000
+#: Characters of needles' heads that one pass over the texts looks for, and of a head; the rest is compared where a head is met.
+SHARD_CHARS, HEAD_CHARS = 2_000_000, 32
 #: Passes over the texts; with more needles than they hold, texts are met by shuffled runs of words instead.
 MOST_PASSES = 32
 GRAM_MAX = 4
@@ -90,16 +90,19 @@ _BUILT: dict[str, tuple] = {}
 
 
 def _automaton(shard: str, needles: list[tuple[str, str]]) -> tuple:
-    """The needles of a shard as an Aho-Corasick automaton, and the owners of each; a Python worker keeps its last one."""
+    """The heads of a shard's needles as an Aho-Corasick automaton, each with the needles that begin so and their owners.
+
+    A Python worker keeps its last one.
+    """
     if shard not in _BUILT:
         import ahocorasick
 
-        owners: dict[str, set[str]] = {}
+        begun: dict[str, dict[str, set[str]]] = {}
         for owner, needle in needles:
-            owners.setdefault(needle, set()).add(owner)
+            begun.setdefault(needle[:HEAD_CHARS], {}).setdefault(needle, set()).add(owner)
         found = ahocorasick.Automaton()
-        for needle, own in owners.items():
-            found.add_word(needle, (needle, own))
+        for head, own in begun.items():
+            found.add_word(head, (len(head), list(own.items())))
         found.make_automaton()
         _BUILT.clear()
         _BUILT[shard] = found
@@ -112,8 +115,10 @@ def _search(shard: str, shared):
         automaton = _automaton(shard, shared.value)
         for batch in batches:
             rows, needles = [], []
-            for n, (owner, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1))):
-                met = {needle for _, (needle, owners) in automaton.iter(text.as_py() or "") if owner in owners}
+            for n, (owner, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1))):
+                text = value.as_py() or ""
+                met = {needle for end, (size, begun) in automaton.iter(text) for needle, owners in begun
+                       if owner in owners and text.startswith(needle, end - size + 1)}
                 rows += [n] * len(met)
                 needles += met
             if rows:
@@ -133,7 +138,8 @@ def find_spans(needles: DataFrame, texts: DataFrame, key: list[str], shard_chars
     """
     spark = texts.sparkSession
     known = materialize(needles.filter("needle != ''").select("owner_id", "needle").distinct(), "needles")
-    chars = known.agg(F.sum(F.length("needle") + 8).alias("n")).first()["n"] or 0
+    # What goes out counts as well, at an eighth: automata take more room than texts.
+    chars = known.agg(F.sum(F.least(F.length("needle"), F.lit(HEAD_CHARS)) + F.floor(F.length("needle") / 8)).alias("n")).first()["n"] or 0
     passes = -(-chars // shard_chars)
     if passes > most_passes:
         return _met_by_runs(known, texts, key)
