@@ -205,24 +205,26 @@ def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col:
     reached = meet(chunks).mapInArrow(_reach(wanted), packed).groupBy("size", "place").applyInArrow(_threshold(wanted), packed)
     reached = materialize(reached.select("size", F.col("place").alias("chunk"), F.col("data").alias("reach")), "reach")
     found = meet(chunks.join(reached, ["size", "chunk"])).mapInArrow(_candidates, "query bigint, id bigint, upper double")
-    in_order = Window.partitionBy("query").orderBy(F.desc("upper"), "id")
-    waiting = materialize(found.withColumn("place", F.row_number().over(in_order)), "candidates")
+    waiting = materialize(found, "candidates")
 
+    in_order = Window.partitionBy("query").orderBy(F.desc("upper"), "id")
     best_first = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     vectors = query_vectors.select(F.col("id").alias("query"), F.col("vec").alias("query_vec"))
-    best, start, length = None, 0, first_read * wanted
+    place = F.struct("upper", (-F.col("id")).alias("negative_id"))
+    best, length = None, first_read * wanted
     while best is None or not waiting.isEmpty():
-        stretch = waiting.filter((F.col("place") > start) & (F.col("place") <= start + length))
+        # Each task keeps the first of a query before they are shuffled, so a query of many candidates is no larger a task.
+        stretch = materialize(waiting.withColumn("n", F.row_number().over(in_order)).filter(F.col("n") <= length).drop("n"), "stretch")
         read = stretch.join(classes.select("id", "vec", "ids"), "id").join(vectors, "query").select("query", "query_vec", "vec", "ids")
         scores = read.mapInArrow(_products, "query bigint, ids array<bigint>, score bigint").select("query", F.explode("ids").alias("vec_id"), "score")
         scores = scores if best is None else scores.unionByName(best)
         best = materialize(scores.withColumn("n", F.row_number().over(best_first)).filter(F.col("n") <= wanted).drop("n"), "best")
-        start, length = start + length, length * READ_GROWTH
+        length *= READ_GROWTH
         # A candidate of the same bound as the last result may still be a tie with a smaller id.
         last = best.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("last"))
-        waiting = waiting.filter(F.col("place") > start).join(last, "query", "left").filter(
-            F.col("last").isNull() | (F.col("n") < wanted) | (F.col("upper") >= F.col("last").cast("double"))).select("query", "id", "upper", "place")
-        waiting = materialize(waiting, "waiting")
+        read_to = stretch.groupBy("query").agg(F.min(place).alias("read_to")).join(last, "query")
+        waiting = materialize(waiting.join(read_to, "query").filter(
+            (place < F.col("read_to")) & ((F.col("n") < wanted) | (F.col("upper") >= F.col("last").cast("double")))).select("query", "id", "upper"), "waiting")
     own = asked.join(best, "query").filter("vec_id != query_id")
     ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return own.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
