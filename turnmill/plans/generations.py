@@ -6,8 +6,8 @@ nothing new is blocked, a rollback if its target is a generation before the head
 What is stored is one row per stretch in which a candidate is active, and a generation is named by the sum of its members'
 hashes, which an operation changes by what it adds and takes away.
 
-Candidates are replayed in shards, each with the rollbacks of its owner, for a given guess of which operations made a
-generation; the guess is then renewed from what was found, until it stays. Operations before the first wrong guess are right
+Owners of few operations are replayed whole, many in a task. The candidates of the others are replayed in shards, each with
+the rollbacks of its owner, for a given guess of which operations made a generation; the guess is then renewed from what was found, until it stays. Operations before the first wrong guess are right
 and stay so, therefore the last guess is the sequential result, whatever order owners and shards are worked in.
 """
 
@@ -23,6 +23,8 @@ from turnmill.operators.ordered import integer_chunks, previous, running
 from turnmill.session import materialize
 
 SHARD_CHOICES = 20_000
+#: Steps of small owners that one task replays at a time.
+GROUP_STEPS = 100_000
 HASH_DIGITS = 15
 HASH = "decimal(38,0)"
 
@@ -83,6 +85,58 @@ def _replay(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[n] for r in found], kind) for n, kind in enumerate(kinds)], names=names)
 
 
+def _in_order(rows: pa.Table) -> pa.Table:
+    """Whole owners, one operation after the other: the generations (with a place) and the stretches of their members."""
+    rows = rows.sort_by([("owner_id", "ascending"), ("op", "ascending"), ("candidate_id", "ascending")])
+    owners = rows.column("owner_id").combine_chunks().dictionary_encode()
+    owners = owners.combine_chunks() if isinstance(owners, pa.ChunkedArray) else owners
+    at, ops, until, place = [], [], [], []
+    members: dict[str, tuple[int, _Member]] = {}
+    places: dict[int, int] = {}
+    last, head, picked, picks = None, None, None, []
+
+    def close():
+        for n, member in members.values():
+            for start in range(0, len(member.turns), 2):
+                at.append(n)
+                ops.append(member.turns[start])
+                until.append(member.turns[start + 1] if start + 1 < len(member.turns) else None)
+                place.append(None)
+
+    columns = [rows.column(n).to_pylist() for n in ("op", "target", "candidate_id", "allowed", "operation")]
+    # The row of an operation follows those of its choices, as nulls come last.
+    for n, (owner, op, target, candidate, allowed, operation) in enumerate(zip(owners.indices.to_pylist(), *columns)):
+        if owner != last:
+            close()
+            members, places, last, head, picked = {}, {}, owner, None, None
+        if candidate is not None:
+            if op != picked:
+                picked, picks = op, []
+            picks.append((n, candidate, allowed))
+            continue
+        made = False
+        if operation == "activate" and picked == op:
+            new = [(i, c, ok) for i, c, ok in picks if c not in members or len(members[c][1].turns) % 2 == 0]
+            made = bool(new) and all(ok for _, _, ok in new)
+            for i, c, _ in new if made else ():
+                members.setdefault(c, (i, _Member()))[1].turn(op, True)
+        elif operation == "rollback" and target in places and target != head:
+            made = True
+            for _, member in members.values():
+                member.turn(op, member.active(target))
+        if made:
+            at.append(n)
+            ops.append(op)
+            until.append(None)
+            place.append(len(places))
+            places[op], head = len(places), op
+    close()
+    found = rows.select(["owner_id", "operation", "created_at", "candidate_id"]).take(pa.array(at, pa.int64()))
+    for name, values in (("op", ops), ("until", until), ("place", place)):
+        found = found.append_column(name, pa.array(values, pa.int64()))
+    return found
+
+
 def replay(ops: DataFrame, chosen: DataFrame, shard_choices: int = SHARD_CHOICES) -> tuple[DataFrame, DataFrame]:
     """Generations and memberships that operations lead to.
 
@@ -90,11 +144,35 @@ def replay(ops: DataFrame, chosen: DataFrame, shard_choices: int = SHARD_CHOICES
     op of the generation to go back to) and created_at. ``chosen``: owner_id, op, candidate_id, allowed, for activations.
     Returns generations (owner_id, op, place, operation, created_at, members, generation_id, parent_generation_id) and
     memberships (owner_id, candidate_id, since and until: the ops of the generations, until null while active).
+    An owner of at most ``shard_choices`` operations and choices is replayed by one task, many such owners at a time.
     """
     key = ["owner_id", "op"]
-    ops = materialize(ops.select("owner_id", F.col("op").cast("bigint").alias("op"), "operation", F.col("target").cast("bigint").alias("target"), "created_at"), "ops")
+    ops = materialize(ops.select(
+        "owner_id", F.col("op").cast("bigint").alias("op"), "operation", F.col("target").cast("bigint").alias("target"), "created_at").dropna(
+        subset=key), "ops")
     wanted = chosen.select("owner_id", F.col("op").cast("bigint").alias("op"), F.col("candidate_id").cast("string").alias("candidate_id"), "allowed")
-    wanted = wanted.groupBy(*key, "candidate_id").agg(F.bool_and("allowed").alias("allowed"))
+    wanted = materialize(wanted.dropna(subset=[*key, "candidate_id"]).groupBy(*key, "candidate_id").agg(F.bool_and("allowed").alias("allowed")), "choices")
+    steps = ops.unionByName(wanted, allowMissingColumns=True)
+    sizes = materialize(steps.groupBy("owner_id").agg(F.count("*").alias("steps")), "sizes")
+    # At most one owner in ``shard_choices`` rows.
+    large = F.broadcast(sizes.filter(F.col("steps") > shard_choices).select("owner_id"))
+    groups = -(-(sizes.agg(F.sum("steps").alias("n")).first()["n"] or 1) // GROUP_STEPS)
+    small = steps.join(large, "owner_id", "left_anti").withColumn("group", F.pmod(F.xxhash64("owner_id"), F.lit(groups)))
+    kinds = ops.schema["owner_id"].dataType.simpleString(), ops.schema["created_at"].dataType.simpleString()
+    found = materialize(small.groupBy("group").applyInArrow(
+        _in_order, f"owner_id {kinds[0]}, operation string, created_at {kinds[1]}, candidate_id string, op bigint, until bigint, place bigint"), "replayed")
+    generations = found.filter("place is not null").select(*key, "operation", "created_at", F.col("place").alias("before"))
+    memberships = found.filter("place is null").select("owner_id", "candidate_id", F.col("op").alias("since"), "until")
+    if not sizes.filter(F.col("steps") > shard_choices).isEmpty():
+        made, spans = _replay_large(ops.join(large, "owner_id", "left_semi"), wanted.join(large, "owner_id", "left_semi"), shard_choices)
+        generations, memberships = generations.unionByName(made), memberships.unionByName(spans)
+    return _named(generations, memberships), memberships
+
+
+def _replay_large(ops: DataFrame, wanted: DataFrame, shard_choices: int) -> tuple[DataFrame, DataFrame]:
+    """Generations and memberships of owners of any size, by renewed guesses."""
+    key = ["owner_id", "op"]
+    ops = materialize(ops, "ops")
     wanted = wanted.join(ops.filter("operation = 'activate'").select(*key), key)
     shards = wanted.groupBy("owner_id").agg(F.ceil(F.count("*") / shard_choices).cast("int").alias("shards"))
     wanted = wanted.join(shards, "owner_id").withColumn("shard", F.pmod(F.xxhash64("candidate_id"), F.col("shards")).cast("int")).drop("shards")
@@ -119,7 +197,7 @@ def replay(ops: DataFrame, chosen: DataFrame, shard_choices: int = SHARD_CHOICES
             break
     memberships = found.filter("until is not null").select(
         "owner_id", "candidate_id", F.col("op").alias("since"), F.when(F.col("until") >= 0, F.col("until")).alias("until"))
-    return _named(counted.filter("made"), memberships), memberships
+    return counted.filter("made").select(*key, "operation", "created_at", "before"), memberships
 
 
 def member_hash(candidate: Column) -> Column:
