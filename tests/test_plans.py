@@ -325,6 +325,25 @@ def test_scout_report(spark):
     assert error(lambda b: b["evidence"][0].update(signal_family="luck")) == "signal-family"
 
 
+def test_rule_support_counts_sessions_once(spark, rows, monkeypatch):
+    def written(df, label):
+        assert not {"sessions", "strata"} & set(df.columns), "lists of sessions are not written once more for every rule"
+        return df
+
+    monkeypatch.setattr(evidence, "materialize", written)
+    facts = spark.createDataFrame([
+        ("o", "e1", "work", "inferred", None, "universal", 0, ["a", "b"], ["x:1", "x:2"], 2), ("o", "e2", "work", "inferred", None, "universal", 0, ["b", "c"], ["x:1"], 3),
+        ("o", "e3", "work", "inferred", None, "universal", 0, [], [], 0)],
+        "owner_id string, evidence_id string, domain string, kind string, register string, scope string, contradictions int, sessions array<string>, "
+        "strata array<string>, quote_count long")
+    named = [("o", 1, ["e1"]), ("o", 2, ["e1", "e2", "e3"]), ("o", 3, ["e1", "e1", None]), ("o", 4, ["zz"]), ("o", 4, ["e2"]), ("o", 5, ["zz"]), ("o", 6, ["e3"])]
+    rules = spark.createDataFrame([(o, r, "work", ids) for o, r, ids in named], "owner_id string, rule_id int, domain string, evidence_ids array<string>")
+    for most in (10_000, 2):
+        monkeypatch.setattr(evidence, "LISTED_ITEMS", most)
+        assert rows(evidence.rule_support(rules, facts), "rule_id", "evidence_items", "missing", "quotes", "sessions", "strata") == [
+            (1, 1, 0, 2, 2, 2), (2, 3, 0, 5, 3, 2), (3, 3, 1, 4, 2, 2), (4, 2, 1, 3, 2, 1), (5, 1, 1, 0, 0, 0), (6, 1, 0, 0, 0, 0)]
+
+
 def test_rules_and_drafts(spark, rows):
     shape = ("owner_id string, evidence_id string, domain string, kind string, register string, scope string, context string, contradictions int, "
              "sessions array<string>, strata array<string>, quote_count long")

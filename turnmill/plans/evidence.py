@@ -16,6 +16,9 @@ from turnmill.operators.ordered import newest, top_rows
 from turnmill.plans.trace import find_spans
 from turnmill.session import materialize
 
+#: A rule's items with more sessions and strata than this are counted as rows, not in one list.
+LISTED_ITEMS = 10_000
+
 _QUOTE = "struct<receipt_id:string,session_id:string,date:string,text:string>"
 _ITEM = (f"struct<evidence_id:string,domain:string,kind:string,register:string,scope:string,context:string,"
          f"signal_family:string,instruction:string,implication:string,quotes:array<{_QUOTE}>,contradictions:array<{_QUOTE}>>")
@@ -255,12 +258,13 @@ def rule_support(rules: DataFrame, evidence: DataFrame) -> DataFrame:
     """
     named = rules.select("owner_id", "rule_id", "domain", F.explode("evidence_ids").alias("evidence_id"))
     facts = evidence.select(
-        "owner_id", "evidence_id", "sessions", "strata", "quote_count", "contradictions", F.col("kind").alias("e_kind"),
-        F.col("register").alias("e_register"), F.col("domain").alias("e_domain"), F.col("scope").alias("e_scope"))
-    # Written once, as the totals and both distinct counts read it.
-    joined = materialize(named.join(facts, ["owner_id", "evidence_id"], "left"), "rule-facts")
+        "owner_id", "evidence_id", "quote_count", "contradictions", F.col("kind").alias("e_kind"), F.col("register").alias("e_register"),
+        F.col("domain").alias("e_domain"), F.col("scope").alias("e_scope"),
+        *[F.size(F.array_distinct(c)).alias(f"{c}_n") for c in ("sessions", "strata")])
+    joined = named.join(facts, ["owner_id", "evidence_id"], "left")
     key = ["owner_id", "rule_id"]
-    base = joined.groupBy(*key).agg(
+    # No row carries a list of sessions; totals, and for how many a rule of one item has, need only their number.
+    base = materialize(joined.groupBy(*key).agg(
         F.count("*").alias("evidence_items"), F.count_if(F.col("e_kind").isNull()).alias("missing"),
         F.coalesce(F.sum("quote_count"), F.lit(0)).alias("quotes"),
         F.coalesce(F.sum("contradictions"), F.lit(0)).alias("contradictions"),
@@ -268,12 +272,27 @@ def rule_support(rules: DataFrame, evidence: DataFrame) -> DataFrame:
         F.count_if(F.coalesce(F.col("e_kind") != "explicit", F.lit(True))).alias("not_explicit"),
         F.count_if(F.col("e_register").isNull()).alias("no_register"),
         F.collect_set("e_register").alias("e_registers"), F.collect_set("e_scope").alias("e_scopes"),
-        F.count_if(~F.coalesce(F.col("e_domain") == F.col("domain"), F.lit(True))).alias("other_domain"))
-    for plural, single in (("sessions", "session"), ("strata", "stratum")):
-        counts = joined.select(*key, F.explode(plural).alias(single)).distinct().groupBy(*key).agg(
-            F.count("*").alias(plural))
-        base = base.join(counts, key, "left")
-    return base.fillna(0, ["sessions", "strata"])
+        F.count_if(~F.coalesce(F.col("e_domain") == F.col("domain"), F.lit(True))).alias("other_domain"),
+        (F.min("evidence_id") != F.max("evidence_id")).alias("several"),
+        F.coalesce(F.sum(F.coalesce("sessions_n", F.lit(0)) + F.coalesce("strata_n", F.lit(0))), F.lit(0)).alias("listed"),
+        *[F.max(f"{c}_n").cast("bigint").alias(f"{c}_one") for c in ("sessions", "strata")]), "rule-totals")
+    # A rule without an id counts no sessions.
+    known = F.col("owner_id").isNotNull() & F.col("rule_id").isNotNull()
+    several = base.filter(F.coalesce("several", F.lit(False)) & known)
+    lists = named.select(*key, "evidence_id").join(several.select(*key, "listed"), key).join(
+        evidence.select("owner_id", "evidence_id", "sessions", "strata"), ["owner_id", "evidence_id"])
+    short = lists.filter(F.col("listed") <= LISTED_ITEMS).groupBy(*key).agg(
+        *[F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("bigint").alias(f"{c}_all") for c in ("sessions", "strata")])
+    counted = base.join(short, key, "left")
+    long = several.filter(F.col("listed") > LISTED_ITEMS)
+    if not long.isEmpty():
+        for c in ("sessions", "strata"):
+            counts = lists.filter(F.col("listed") > LISTED_ITEMS).select(*key, F.explode(c).alias("one")).distinct().groupBy(*key).agg(
+                F.count("*").alias(f"{c}_long"))
+            counted = counted.join(counts, key, "left").withColumn(f"{c}_all", F.coalesce(f"{c}_long", f"{c}_all")).drop(f"{c}_long")
+    found = [F.when(F.coalesce("several", F.lit(False)), F.col(f"{c}_all")).when(known, F.col(f"{c}_one")).alias(c) for c in ("sessions", "strata")]
+    kept = [c for c in base.columns if c not in ("several", "listed", "sessions_one", "strata_one")]
+    return counted.select(*kept, *found).fillna(0, ["sessions", "strata"])
 
 
 def rule_issues(rules: DataFrame, evidence: DataFrame, require_strata: bool = True) -> DataFrame:
