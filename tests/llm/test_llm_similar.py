@@ -40,3 +40,16 @@ def test_near_dedup_links_documents_of_similarity_080(spark):
     assert {r["doc_id"] for r in kept.collect()} == {*least.values(), None}
     assert len({i for i in least.values() if i >= 1000}) < 70
     assert corpus_pipeline.near_dedup(spark, frame(spark, []), "").count() == 0
+
+
+def test_no_link_is_lost_between_texts_of_one_fingerprint(spark, monkeypatch):
+    # Fingerprints and bands are the same for all, so only a few pairs of texts are met by them.
+    monkeypatch.setattr(similar, "bands", lambda hashes: similar.np.zeros(similar.BANDS, dtype=similar.np.int64))
+    monkeypatch.setattr(similar, "simhash", lambda text, width: 5)
+    rng, rows = random.Random(8), []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        rows.append((2 * i, " ".join(words), "en", "a", 0, "x", "y", 1, "z"))
+        rows.append((2 * i + 1, " ".join(words[:96] + ["other"] * 4), "en", "a", 0, "x", "y", 1, "z"))
+    got = {r["doc_id"]: r["component_id"] for r in similar.classes(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}

@@ -5,10 +5,16 @@ little at a similarity of 0.8, where about ten of 64 bits differ; the other sear
 into bands, and texts of similarity s share a band with a chance of 1 - (1 - s^ROWS)^BANDS, 0.998 at 0.8. Texts that share
 a band are compared with two of them, drawn anew for each band, so a group of n texts costs 2 n comparisons a band and
 all pairs of up to three are met. Only pairs whose sets of shingle hashes reach the similarity are linked.
+
+What both searches leave out is found by a third one, which is exact. Shingles are ordered, rare ones first. If a text of n
+shingles is as similar to another as asked for, they share one among the first n - ceil(least * n) + 1 of each, and from the
+first they share on enough are left in both. Texts that are linked already are not compared again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +25,8 @@ from turnmill.llm.graph import components
 from turnmill.session import materialize
 
 BANDS, ROWS = 16, 5
+#: Shingles are ordered by how many fall into each of 2^CELL_BITS cells; bounds leave some room for rounding.
+CELL_BITS, SLACK = 18, 1e-6
 _DRAWN = np.random.default_rng(11).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64)
 FACTORS, MASKS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
 
@@ -62,6 +70,91 @@ def candidates(nodes: DataFrame, radius: int) -> DataFrame:
     return every.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _cells(width: int):
+    """Over texts: how many shingles, counted per text, fall into each cell of hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                for text in part.column(0).to_pylist():
+                    np.add.at(counts, (shingles(text, width) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], names=["cell", "n"])
+
+    return run
+
+
+def _first_shingles(width: int, least: float, levels: np.ndarray):
+    """Over node, root, text: the shingles that a similar text shares one of, with the text's size and their places in its order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                nodes, roots, tokens, sizes = part.column(0).to_numpy(), part.column(1).to_numpy(), [], []
+                for text in part.column(2).to_pylist():
+                    hashes = shingles(text, width)
+                    level = levels[(hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                    first = len(hashes) - int(np.ceil(least * len(hashes) - SLACK)) + 1
+                    tokens.append(hashes[np.argsort(level, kind="stable")[:first]])
+                    sizes.append(len(hashes))
+                taken = [len(t) for t in tokens]
+                places = np.concatenate([np.arange(n, dtype=np.int32) for n in taken])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(nodes, taken)), pa.array(np.repeat(roots, taken)),
+                     pa.array(np.repeat(np.array(sizes, dtype=np.int32), taken)), pa.array(places)], names=["token", "node", "root", "size", "place"])
+
+    return run
+
+
+def _sharing(least: float):
+    """Over rows sorted by token and size: pairs of nodes of different roots that share a token and may be similar."""
+    def pairs(token, node, root, size, place):
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        one_root = np.minimum.reduceat(root, starts) == np.maximum.reduceat(root, starts)
+        at, step = np.flatnonzero(~np.repeat(one_root, np.diff(np.r_[starts, len(token)]))), 1
+        while len(at):
+            at = at[at + step < len(token)]
+            other = at + step
+            # Sizes grow, so what is too large now ends the search from here.
+            on = (token[at] == token[other]) & (size[at] >= least * size[other] - SLACK)
+            at, other = at[on], other[on]
+            most = np.minimum(size[at] - place[at], size[other] - place[other])
+            met = (root[at] != root[other]) & (most >= least / (1 + least) * (size[at] + size[other]) - SLACK)
+            if met.any():
+                a, b = node[at[met]], node[other[met]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            step += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            if held and (last or held[0][0][0] != columns[0][0]):
+                yield from pairs(*[np.concatenate(c) for c in zip(*held, [c[:last] for c in columns])])
+                held = []
+            elif last:
+                yield from pairs(*[c[:last] for c in columns])
+            held.append([c[last:].copy() for c in columns])
+        if held:
+            yield from pairs(*[np.concatenate(c) for c in zip(*held)])
+
+    return run
+
+
+def missed(nodes: DataFrame, width: int, least: float) -> DataFrame:
+    """All pairs ``a, b`` of different roots that may reach the similarity. ``nodes``: node, root, text, one row per node."""
+    counted = nodes.select("text").mapInArrow(_cells(width), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    # The order only has to be the same for all texts; a rough one, of a byte per cell, meets few pairs in vain.
+    levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)
+    levels[counted.column("cell").to_numpy()] = np.minimum(255, np.log2(counted.column("n").to_numpy()) * 8).astype(np.uint8)
+    posted = nodes.select("node", "root", "text").mapInArrow(
+        _first_shingles(width, least, levels), "token bigint, node bigint, root bigint, size int, place int")
+    sorted_by_token = posted.repartition("token").sortWithinPartitions("token", "size")
+    return sorted_by_token.mapInArrow(_sharing(least), "a bigint, b bigint").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The ``pairs`` whose shingle sets have at least that similarity. ``texts``: node, text, one row per node."""
     @F.arrow_udf("binary")
@@ -102,8 +195,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     known = materialize(named.withColumn("p", prints("text")).select("id", "node", "p.*"), "prints")
     nodes = known.select("node", "fp", "bands").dropDuplicates(["node"])
     pairs = materialize(candidates(nodes, radius), "pairs")
-    links = confirmed(pairs, named.select("node", "text").dropDuplicates(["node"]), width, least)
+    texts = named.select("node", "text").dropDuplicates(["node"])
+    links = materialize(confirmed(pairs, texts, width, least), "similar")
     roots = materialize(components(links), "roots")
+    rooted = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = materialize(confirmed(materialize(missed(rooted, width, least), "pairs"), texts, width, least), "similar")
+    if not more.isEmpty():
+        roots = materialize(components(links.unionByName(more)), "roots")
     firsts = known.groupBy("node").agg(F.min("id").alias("first_id"))
     placed = materialize(firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
