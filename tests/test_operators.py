@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from turnmill.operators import ordered as O, packing as P, selection as S
+from turnmill.operators import ordered as O, packing as P, prints, selection as S
 from turnmill.operators.digest import set_digest
 from turnmill.operators.lineage import broken_chains, walk
 
@@ -157,3 +157,18 @@ def test_walk_finds_ancestors_and_cycles(spark, rows):
     assert rows(reached.filter("owner_id = 'a'"), "node", "steps") == sorted([(f"n{i}", 19 - i) for i in range(20)], key=str)
     assert ("b", "x", "cycle") in rows(broken_chains(pointers, reached, 30)) and ("c", "p", "missing") in rows(
         broken_chains(pointers, reached, 30))
+
+
+def test_stretches_are_rows_only_where_needles_are(spark, rows):
+    rng = random.Random(4)
+    letters = lambda most: "".join(rng.choice("abß😀 .") for _ in range(rng.randint(1, most)))
+    texts = [(rng.choice("pq"), n, letters(90)) for n in range(200)] + [("p", 900, ""), ("q", 901, None), ("q", 902, "xyz" * 20_000)]
+    needles = sorted({(rng.choice("pq"), letters(12)) for _ in range(400)} | {("q", "zx" + "yzx" * 700), ("p", "xyz")})
+    wanted = sorted({(o, n, needle) for o, n, t in texts for own, needle in needles if own == o and needle in (t or "")}, key=str)
+    hay = spark.createDataFrame(texts, "owner_id string, n int, haystack string").repartition(3)
+    sought = spark.createDataFrame(needles, "owner_id string, needle string")
+    for bits in (1 << 29, 1 << 12):
+        found = rows(prints.stretches(sought, hay, ["n"], bits), "owner_id", "n", "needle")
+        assert set(wanted) <= set(found) and len(found) == len(set(found)) <= 1.1 * len(wanted)
+    either = set(rows(prints.stretches(sought, hay, []), "owner_id", "needle"))
+    assert {(o, needle) for o, _, needle in wanted} <= either

@@ -134,8 +134,8 @@ def report_issues(reports: DataFrame, segments: DataFrame, messages: DataFrame)
 def unverbatim_quotes(reports: DataFrame, messages: DataFrame) -> DataFrame:
     """Quotes that stand in no message of their session on their date.
 
-    Quotes and messages of a day are told apart by its key; the quotes are looked for by an automaton that every task has, in
-    shards of bounded size, so a day may have any number of quotes and messages, and no list of its quotes is ever a row.
+    Quotes and messages of a day are told apart by its key; the quotes are looked for by what every task has of them, of bounded
+    size, so a day may have any number of quotes and messages, and no list of its quotes is ever a row.
     """
     sized = reports.filter(F.col("bytes") <= K.REPORT_MAX_BYTES)
     quotes = sized.select("owner_id", "report_id", F.posexplode("evidence").alias("item", "e")).select(
@@ -150,7 +150,7 @@ def unverbatim_quotes(reports: DataFrame, messages: DataFrame) -> DataFrame:
     near = messages.select(*day, "text").join(wanted.select(*day).distinct(), day, "left_semi")
     found = find_spans(
         wanted.select(day_key.alias("owner_id"), F.col("quote").alias("needle")),
-        near.select(day_key.alias("owner_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("haystack")), ["text_key"])
+        near.select(day_key.alias("owner_id"), F.col("text").alias("haystack")), [])
     found = found.select("owner_id", "needle").distinct().select(F.col("owner_id").alias("day"), F.col("needle").alias("quote"))
     return quotes.withColumn("day", day_key).join(found, ["day", "quote"], "left_anti").select(
         "owner_id", "report_id", F.lit(1).alias("phase"), "item", F.lit(9).alias("step"),
@@ -434,8 +434,8 @@ def appendix_issues(appendix: DataFrame, referenced: DataFrame, quote_rows: Data
         "owner_id", "evidence_id", F.explode(F.array(*shown.values())).alias("needle")).distinct(), "appendix-quotes")
     wanted = ids.select("owner_id", "evidence_id", F.col("evidence_id").alias("needle"), F.lit("missing-id").alias("problem")).unionByName(
         quotes.filter("needle != ''").withColumn("problem", F.lit("missing-quote")))
-    blocks = appendix.select("owner_id", F.xxhash64("line").alias("line_key"), F.col("line").alias("haystack"))
-    found = find_spans(wanted.select("owner_id", "needle"), blocks, ["line_key"]).select("owner_id", "needle").distinct()
+    blocks = appendix.select("owner_id", F.col("line").alias("haystack"))
+    found = find_spans(wanted.select("owner_id", "needle"), blocks, []).distinct()
     return wanted.join(found, ["owner_id", "needle"], "left_anti").select("owner_id", "evidence_id", "problem").distinct()
 
 

@@ -12,13 +12,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 from turnmill import constants as K
 from turnmill.functions import text as T
 from turnmill.operators.ordered import first_rows, integer_chunks, running
+from turnmill.operators.prints import stretches
 from turnmill.session import materialize
 
 #: Characters of needles' heads that one pass over the texts looks for, and of a head; the rest is compared where a head is met.
 SHARD_CHARS, HEAD_CHARS = 2_000_000, 32
-#: Passes over the texts; with more needles than they hold, texts are met by shuffled runs of words instead.
-MOST_PASSES = 32
-GRAM_MAX = 4
+#: Passes over the texts with automata; with more needles than they hold, texts are searched by prints of characters instead.
+MOST_PASSES = 2
 WINDOW_CHARS = 8192
 
 
@@ -54,38 +54,6 @@ def extract_quotes(profiles: DataFrame, min_words: int = K.TRACE_MIN_WORDS) -> D
     return first_rows(kept, ["owner_id", "profile_id", "needle"], ["place"])
 
 
-def _beside(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b))
-
-
-def _grams(words: Column, size: int) -> Column:
-    """Runs of ``size`` words, from whole arrays laid side by side; the last few come out short and match nothing."""
-    def shifted(values: Column, by: int) -> Column:
-        return F.slice(values, F.lit(by + 1), F.greatest(F.lit(0), F.size(words) - by))
-
-    if size == 1:
-        return words
-    pairs = _beside(words, shifted(words, 1))
-    if size == 2:
-        return pairs
-    return _beside(pairs, shifted(words if size == 3 else pairs, 2))
-
-
-def _anchor(inner: Column, size: Column) -> Column:
-    """Longest run of ``size`` inner words: those appear in any text that contains the span, whole."""
-    at = F.sequence(F.lit(1), F.size(inner) - size + 1)
-    grams = F.transform(at, lambda i: F.array_join(F.slice(inner, i, size), " "))
-    return F.element_at(F.array_sort(F.transform(
-        grams, lambda g: F.struct((-F.length(g)).alias("rank"), g.alias("gram")))), 1)["gram"]
-
-
-def _hashes(words: Column, sizes: list[int]) -> Column:
-    def of(size: int) -> Column:
-        return F.transform(F.array_distinct(_grams(words, size)), lambda gram: F.xxhash64(F.lit(size), gram))
-
-    return F.flatten(F.array(*[of(size) for size in sizes]))
-
-
 _BUILT: dict[str, tuple] = {}
 
 
@@ -133,8 +101,9 @@ def find_spans(needles: DataFrame, texts: DataFrame, key: list[str], shard_chars
     """``owner_id``, ``key``, ``needle``: once for each text that contains a needle of its owner.
 
     ``needles``: owner_id, needle. ``texts``: owner_id, ``key`` columns, haystack. Both in ``quote_form``; empty needles
-    match nothing. Needles are cut into shards of ``shard_chars``; for each an automaton is sent out and every text is read
-    once, where it lies. Where that would take more than ``most_passes`` passes, texts are met by equality of word runs.
+    match nothing. Without ``key`` a needle comes once or more for each owner. Needles are cut into shards of ``shard_chars``;
+    for each an automaton is sent out and every text is read once, where it lies. Where that would take more than
+    ``most_passes`` passes, stretches of the texts whose prints are those of needles are joined with these by equality.
     """
     spark = texts.sparkSession
     known = materialize(needles.filter("needle != ''").select("owner_id", "needle").distinct(), "needles")
@@ -142,7 +111,7 @@ def find_spans(needles: DataFrame, texts: DataFrame, key: list[str], shard_chars
     chars = known.agg(F.sum(F.least(F.length("needle"), F.lit(HEAD_CHARS)) + F.floor(F.length("needle") / 8)).alias("n")).first()["n"] or 0
     passes = -(-chars // shard_chars)
     if passes > most_passes:
-        return _met_by_runs(known, texts, key)
+        return stretches(known, texts, key).join(known, ["owner_id", "needle"], "left_semi").select("owner_id", *key, "needle")
     schema = StructType([*[texts.schema[c] for c in ("owner_id", *key)], StructField("needle", StringType())])
     found = texts.select("owner_id", *key, F.lit("").alias("needle")).limit(0)
     if passes > 1:
@@ -158,41 +127,6 @@ def find_spans(needles: DataFrame, texts: DataFrame, key: list[str], shard_chars
     return found
 
 
-def _met_by_runs(known: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
-    """``find_spans`` for needles of any number.
-
-    A needle of three words or more is found by one run of its inner words, an equality, and each hit is then checked in
-    full. Shorter needles have no whole inner word; they are met by every stretch of characters of their length.
-    """
-    words = F.split("needle", " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
-    known = materialize(known.withColumn("inner", inner).withColumn("size", F.least(F.lit(GRAM_MAX), F.size("inner"))), "inner-words")
-    texts = materialize(texts.select("owner_id", *key, "haystack"), "haystacks")
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
-    found = texts.select("owner_id", *key, F.lit("").alias("needle")).limit(0)
-    if 0 in sizes:
-        # Lengths are few, as the needles are of one or two words.
-        short = known.filter("size = 0").select("owner_id", "needle", F.length("needle").alias("chars"))
-        lengths = sorted(r["chars"] for r in short.select("chars").distinct().collect())
-
-        def stretches(chars: int) -> Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("haystack") - (chars - 1)))
-            return F.transform(starts, lambda at: F.substring("haystack", at, F.lit(chars)))
-
-        cuts = F.flatten(F.array(*map(stretches, lengths)))
-        parts = texts.select("owner_id", *key, F.explode(F.array_distinct(cuts)).alias("needle"))
-        found = found.unionByName(parts.join(short.drop("chars"), ["owner_id", "needle"]).select("owner_id", *key, "needle"))
-    if any(sizes):
-        anchored = known.filter("size > 0").select(
-            "owner_id", "needle", F.xxhash64("size", _anchor(F.col("inner"), F.col("size"))).alias("gram"))
-        tokens = texts.select("owner_id", *key, F.split("haystack", " ").alias("__words"))
-        grams = tokens.select("owner_id", *key, F.explode(_hashes(F.col("__words"), [s for s in sizes if s])).alias("gram"))
-        hits = grams.join(anchored, ["owner_id", "gram"]).drop("gram").distinct()
-        hits = hits.join(texts, ["owner_id", *key]).filter(F.contains("haystack", "needle")).drop("haystack")
-        found = found.unionByName(hits.select("owner_id", *key, "needle"))
-    return found
-
-
 def border_windows(messages: DataFrame, reach: int, window_chars: int = WINDOW_CHARS) -> DataFrame:
     """``owner_id, session_id, haystack``: the text around the borders of a session's messages, in overlapping windows.
 
