@@ -50,6 +50,9 @@ def _bounded_candidates(messages: DataFrame) -> DataFrame:
     """
     keys = ["owner_id", "session_id"]
     first_char = F.octet_length(F.substring("head", 1, 1))
+    # Of each size of a first character so many that the first 256 of all and three later ones are among them, read once.
+    likely = top_rows(messages.withColumn("first_char", first_char), [*keys, "first_char"], [F.col("ordinal")], K.INBOX_MAX_RECEIPTS + 3)
+    messages = materialize(likely.drop("first_char"), "likely")
     early = top_rows(messages, keys, [F.col("ordinal")], K.INBOX_MAX_RECEIPTS)
     spare = messages.filter(first_char <= 3).join(early.select(*keys, "ordinal"), [*keys, "ordinal"], "left_anti")
     spare = top_rows(spare.withColumn("first_char", first_char), [*keys, "first_char"], [F.col("ordinal")], 3)

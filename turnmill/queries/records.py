@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from turnmill import constants as K
 from turnmill.functions.identity import sha256
+from turnmill.operators.ordered import integer_chunks, ranked
 from turnmill.plans import corpus, evidence, experiment, review, segments
 from turnmill.queries import sqltext as S
 from turnmill.queries.corpus import CONV_KEPT, MINED
@@ -172,10 +173,10 @@ spent(source, ordinal, part, cut, room, taken) AS (
 WITH RECURSIVE {_HEADS}
 SELECT source AS session_id, CAST(ordinal AS BIGINT) AS ordinal, sha256(part) AS message_sha256, cut FROM spent WHERE part <> ''""")
 def inbox_receipts(spark, folder):
-    docs = table(spark, folder, "documents").select("source", "doc_id", "text")
-    clean = docs.filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    messages = clean.select(
+    docs = table(spark, folder, "documents").filter("source is not null").select("source", "doc_id", "text")
+    clean = docs.filter(F.col("text").rlike(r"\S")).withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 62))))
+    place = F.col("place")
+    messages = ranked(clean, ["source"], ["at"], integer_chunks("at"), "place").select(
         F.lit("o").alias("owner_id"), F.col("source").alias("session_id"), F.lit("custom").alias("source"), F.lit("undated").alias("date"),
         F.lit("2026-01-01").cast("timestamp").alias("modified"), place.cast("bigint").alias("ordinal"), "text")
     receipts, _ = review.inbox_receipts(messages)
