@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from turnmill import constants as K
 from turnmill.functions import identity as I
 from turnmill.plans import accounts, experiment, privacy, review
 from turnmill.session import materialize
+from turnmill.sinks import tables
 
 CANDIDATE = ("owner_id string, candidate_id string, schema_version string, kind string, domain string, statement string, scope array<string>, "
              "evidence array<struct<observed_at:string,receipt_id:string,session_id:string,time_stratum:string>>, contradiction_count int, "
@@ -244,3 +247,25 @@ def test_quota_refuses_bytes_as_well_as_generations(spark, rows):
     first = {a: min(n for b, _, n, taken in want if taken and a == b) for a, _, _, taken in want if taken}
     assert sorted(tuple(r) for r in moved.filter("head_advanced").select("account_id", "arrival").collect()) == sorted(first.items())
     assert ("b", "y", 2, False) in want and ("b", "z", 4, True) in want and not any(r[3] for r in want if r[0] == "e")
+
+
+def test_inbox_reads_and_redacts_its_messages_once(spark):
+    said = [("o", "s", "custom", "undated", n, f"say {n} password: hunter2hunter2") for n in range(300)]
+    messages = spark.createDataFrame(said, "owner_id string, session_id string, source string, date string, ordinal bigint, text string").withColumn(
+        "modified", F.lit("2026-02-01").cast("timestamp"))
+    receipts, truncated = review.inbox_receipts(messages)
+    assert "REDACTED" not in receipts._jdf.queryExecution().optimizedPlan().toString()
+    assert receipts.count() == 256 and truncated.first().truncated_message_count == 44
+
+
+def test_appended_digests_travel_as_bytes(spark, tmp_path, monkeypatch):
+    kinds, write = [], tables.materialize
+    monkeypatch.setattr(tables, "materialize", lambda df, *rest: kinds.append(dict(df.dtypes)["content_sha256"]) or write(df, *rest))
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    assert tables.append_once(first, f"{tmp_path}/t", ["id"]).count() == 0
+    clash = tables.append_once(spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], "id int, v string"), f"{tmp_path}/t", ["id"])
+    assert kinds == ["binary"] * 4
+    stored = {r.id: r.content_sha256 for r in tables.read_appended(spark, f"{tmp_path}/t").collect()}
+    digest = lambda n, v: hashlib.sha256(f'{{"id":{n},"v":"{v}"}}'.encode()).hexdigest()
+    assert stored == {1: digest(1, "a"), 2: digest(2, "b"), 3: digest(3, "d")}
+    assert [tuple(r) for r in clash.collect()] == [(2, "c", digest(2, "c"))]

@@ -28,11 +28,13 @@ def append_once(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
     written last: rows count from then on, and what an interrupted batch left behind does not.
     """
     spark = rows.sparkSession
-    content = sha256(canonical_json({c: F.col(c) for c in rows.columns}))
-    hashed = materialize(
-        rows.withColumns({"content_sha256": content, "key_hash": keyindex.key_hash(key)}).dropDuplicates([*key, "content_sha256"]), "append")
+    # Digests are half as long in bytes as in digits, which they become where they are stored.
+    content = F.unhex(sha256(canonical_json({c: F.col(c) for c in rows.columns})))
+    digits = F.lower(F.hex("content_sha256"))
+    dealt = rows.withColumns({"content_sha256": content, "key_hash": keyindex.key_hash(key)}).dropDuplicates([*key, "content_sha256"])
+    hashed = materialize(dealt, "append")
     stored = stored_for(spark, path, hashed)
-    stored = hashed.limit(0) if stored is None else stored
+    stored = hashed.limit(0) if stored is None else stored.withColumn("content_sha256", F.unhex("content_sha256"))
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("key_hash", *key)]
     old = stored.select("key_hash", *key, F.col("content_sha256").alias("stored_sha256")).distinct()
     twice = hashed.groupBy("key_hash", *key).agg(F.count("*").alias("n")).filter("n > 1").withColumn("twice", F.lit(True))
@@ -42,9 +44,11 @@ def append_once(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
     count = new.count()
     if count:
         folder = f"{path}/rows/appended_batch={uuid.uuid4().hex}"
-        new.repartitionByRange(-(-count // FILE_ROWS), "key_hash").sortWithinPartitions("key_hash").write.parquet(folder)
+        ordered = new.repartitionByRange(-(-count // FILE_ROWS), "key_hash").sortWithinPartitions("key_hash")
+        ordered.withColumn("content_sha256", digits).write.parquet(folder)
         keyindex.index_files(spark.read.parquet(folder)).write.mode("append").parquet(f"{path}/index")
-    return both.filter("stored_sha256 != content_sha256 or (stored_sha256 is null and twice)").drop("stored_sha256", "twice", "key_hash")
+    found = both.filter("stored_sha256 != content_sha256 or (stored_sha256 is null and twice)").withColumn("content_sha256", digits)
+    return found.drop("stored_sha256", "twice", "key_hash")
 
 
 def files_for(spark: SparkSession, path: str, keys: DataFrame) -> list[str]:
