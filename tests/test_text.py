@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -107,3 +108,16 @@ def test_markers(spark):
     assert {r[0]: r[1] for r in got} == flags
     assert one(spark, [M.restated_marker(F.col("t"))], t="well as i said before") == ("as i said",)
     assert one(spark, [M.domain_hints(F.col("t")), M.domain_hints(F.col("t"), None, True)], t="build it") == (["design"], ["work"])
+
+
+def test_white_space_of_every_kind_is_collapsed(spark):
+    """As by the Unicode property, and without looking it up for every character."""
+    kinds = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    others = "a.\x1c\x1f\u180e\u200b\ufeffé"
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(kinds if rng.random() < 0.5 else others + " ") for _ in range(rng.randint(0, 30))) for _ in range(300)] + [*kinds, "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    flat, ends = T.collapse_space(F.col("text")), T.strip(F.col("text"))
+    wide = F.regexp_replace(F.regexp_replace("text", r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
+    assert df.filter(~flat.eqNullSafe(wide) | ~ends.eqNullSafe(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert "(?U)" not in str(flat) + str(ends)

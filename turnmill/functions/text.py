@@ -11,7 +11,11 @@ from pyspark.sql.types import StringType
 
 from turnmill import constants as K
 
-STRIP = r"(?U)^\s+|\s+$"
+# White space as (?U)\s has it, spelled out, which matches in a fraction of the time.
+_SPACES = r"\t-\r\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+STRIP = rf"^[ {_SPACES}]+|[ {_SPACES}]+$"
+# Runs of white space that are not one blank already.
+SPREAD = rf"[ {_SPACES}]{{2,}}|[{_SPACES}]"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -41,7 +45,7 @@ def strip(text: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, SPREAD, " "))
 
 
 def lines(text: Column) -> Column:
