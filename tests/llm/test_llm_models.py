@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from llm_cases import documents, frame, values
 from pyspark.sql import functions as F
 
@@ -308,3 +309,24 @@ def test_equal_vectors_have_one_score_and_smaller_ids_first(spark):
         for (a, s), (b, t) in zip(found, found[1:]):
             if by_id[a] == by_id[b]:
                 assert s == t and a < b
+
+
+def test_cross_entropy_names_a_pair_once_a_chunk(spark, monkeypatch):
+    # Every occurrence used to be a row of its own; now what travels holds an entry per chunk and distinct pair.
+    rows = documents(40) + [(600 + i, "quokka wombat " * 50, "en", "a", 0, "x", "y", 1, "z") for i in range(40)]
+    names = ["doc_id", "tokens", "target_loss", "background_loss", "score"]
+    targets = spark.createDataFrame([(i,) for i in [*range(0, 40, 2), 601]], "doc_id long")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    whole = sorted(values(xent.score(frame(spark, rows), targets), *names), key=key)
+    monkeypatch.setattr(xent, "CHUNK_WORDS", 60)
+    cut = sorted(values(xent.score(frame(spark, rows), targets), *names), key=key)
+    assert len(cut) == len(whole) == len(rows)
+    for a, b in zip(cut, whole):
+        assert a[:2] == b[:2] and all(x == y or abs(x - y) < 1e-9 for x, y in zip(a[2:], b[2:]))
+    texts = [r[1] for r in rows if r[0] is not None and r[0] >= 600]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts), pa.array([True] + [False] * 39)], names=["id", "text", "target"])
+    monkeypatch.setattr(xent.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    (row,) = [r for made in xent._chunks(None, 1 << 20)([batch]) for r in made.to_pylist()]
+    read = xent._Chunk(row["data"])
+    assert row["words"] == 4000 and len(read.pairs[1][0]) == 3 and sorted(read.pairs[1][1].tolist()) == [40, 1960, 2000]
+    assert sorted(read.pairs[1][2].tolist()) == [1, 49, 50] and read.words[1][1].tolist() == [2000, 2000]

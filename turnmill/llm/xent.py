@@ -5,37 +5,36 @@ from the documents named as such. The models are matched: same order, vocabulary
 scaled to as many words as the target has, so that a word seen once weighs the same in both. A document's score is the mean
 over its words of target loss minus background loss, so the lowest scores are most like the target.
 
-Counts cover all words and all documents. The loss of a pair is -log(pair + prior * word) + log(word before + prior), and
-each of the counts it needs is found in one of two ways. Pairs of two of the DENSE most frequent words are counted per task
-into a table of fixed size, and the HOT most frequent words have their own counts: tasks know these and add up their
-losses per document. Every other occurrence of a pair is one row, dealt out by the pair, or by the word where that is not
-hot, so that the counts of pair and word are those of the rows that meet; the same holds for a word before that is not hot.
-A pair that is dealt out has a word outside of the DENSE most frequent, so no key has more than 1 / DENSE of all rows.
-Words outside of the HOT are told apart by 62 bits of their XXH64.
+Counts cover all words and all documents. The loss of a pair is -log(pair + prior * word) + log(word before + prior). Texts
+are read once and kept in chunks, as numbers of the chunk's own words. A chunk names each of its words and pairs once, with
+its counts there, in runs that are dealt out by ranges of hashes; the runs of a range are added up and each chunk is told the
+totals of what it named, in its own order. So what travels is one entry per chunk and distinct pair, whether a pair stands
+there once or a million times, and no key gathers more entries than there are chunks. Words and pairs are told apart by 64
+bits: a word by its XXH64, a pair by a mix of those of its words.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from turnmill.llm.arrays import frequent, slices
+from turnmill.llm.arrays import frequent, pack, slices, unpack
 from turnmill.session import materialize
 
-#: How many of the most frequent words are counted pair by pair in a table, and how many have their counts in every task.
-DENSE = 2047
-HOT = 1 << 17
 PRIOR = 50.0
 FLUSH_WORDS = 400_000
-FLUSH_TOKENS = 1 << 21
 SHARED_IDS = 100_000
-#: Marks the row of a document among those of its pairs.
-WHOLE = -2
+#: Words of a chunk, and ranges of hashes that the entries of each task of the input are dealt to.
+CHUNK_WORDS = 1 << 20
+PARTS_PER_TASK, LEAST_PARTS, MOST_PARTS = 8, 64, 4096
+#: Stand for the place before a text's first word and for all words outside of a fixed vocabulary; no word has a blank.
+START, OTHER = (xxhash.xxh64_intdigest(name) for name in (b"start of text", b"other word"))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -73,94 +72,184 @@ def word_counts(marked: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
 
 
-class _Numbers:
-    """Words as numbers: hot ones by frequency from 0, others a negative hash, or ``other`` where there is such an entry."""
-
-    def __init__(self, hot: dict[bytes, int], other: int | None):
-        self.hot, self.other, self.memo = hot, other, {}
-
-    def __call__(self, words: list[bytes]) -> list[int]:
-        if len(self.memo) > FLUSH_WORDS:
-            self.memo = {}
-        memo, out = self.memo, []
-        for w in words:
-            number = memo.get(w)
-            if number is None:
-                number = self.hot.get(w, self.other)
-                if number is None:
-                    number = ((xxhash.xxh64_intdigest(w) | 1 << 63) & ~1) - (1 << 64)
-                memo[w] = number
-            out.append(number)
-        return out
-
-
-def _pairs(texts: list[str | None], numbers: _Numbers, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words per text, and of all their words in turn the word before (``start`` for the first) and the word."""
-    lengths, flat = [], []
-    for text in texts:
-        words = numbers(words_of(text))
-        lengths.append(len(words))
-        flat += words
-    lengths, after = np.array(lengths, dtype=np.int64), np.array(flat, dtype=np.int64)
-    before = np.r_[start, after[:-1]] if len(after) else after
-    stops = np.cumsum(lengths)
-    before[(stops - lengths)[lengths > 0]] = start
-    return lengths, before, after
-
-
-def _dense_codes(before: np.ndarray, after: np.ndarray, start: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs are in the table, and their places: rows are words before, the last one the start."""
-    row = np.where(before == start, dense, before)
-    inside = (row >= 0) & ((row < dense) | (before == start)) & (after >= 0) & (after < dense)
-    return inside, row[inside] * dense + after[inside]
-
-
-def dense_counts(marked: DataFrame, shared, start: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the pairs of the ``dense`` most frequent words in all and in target documents, as flat tables."""
-    size = (dense + 1) * dense
-
-    def count(batches):
-        total, chosen, held, tokens, numbers = np.zeros(size, np.int64), np.zeros(size, np.int64), [], 0, _Numbers(*shared.value[:2])
-
-        def add():
-            codes, marks = (np.concatenate(c) for c in zip(*held))
-            np.add(total, np.bincount(codes, minlength=size), out=total)
-            np.add(chosen, np.bincount(codes[marks], minlength=size), out=chosen)
+class _Numbers(dict):
+    """Words numbered from 0 in the order in which they are met; all outside of ``known``, where given, have one number."""
+
+    def __init__(self, known: frozenset[bytes] | None):
+        super().__init__()
+        self.known, self.hashes, self.other = known, [], None
+
+    def __missing__(self, word: bytes) -> int:
+        if self.known is None or word in self.known:
+            number = len(self.hashes)
+            self.hashes.append(xxhash.xxh64_intdigest(word))
+        elif self.other is None:
+            number = self.other = len(self.hashes)
+            self.hashes.append(OTHER)
+        else:
+            number = self.other
+        self[word] = number
+        return number
+
+
+def _chunks(known, chunk_words: int):
+    """Over id, text, target: texts as numbers of words, a row per chunk."""
+    names = ["chunk", "ids", "data", "words", "wanted", "texts", "wanted_texts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = known.value if known is not None else None
+        chunk = TaskContext.get().partitionId() << 32
+        numbers, flat, lengths, marks, ids = _Numbers(vocabulary), [], [], [], []
+        held = 0
+
+        def row():
+            sizes, wanted = np.array(lengths, dtype=np.int64), np.array(marks, dtype=bool)
+            words = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+            data = pack(np.array(numbers.hashes, dtype=np.uint64), words.astype(np.int32), sizes, wanted.astype(np.uint8))
+            all_ids = pa.concat_arrays(ids)
+            sums = len(words), int(sizes[wanted].sum()), int((sizes > 0).sum()), int((sizes[wanted] > 0).sum())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), pa.array([data], pa.binary()),
+                 *(pa.array([x], pa.int64()) for x in sums)], names=names)
 
         for batch in batches:
             for part in slices(batch):
-                lengths, before, after = _pairs(part.column(1).to_pylist(), numbers, start)
-                inside, codes = _dense_codes(before, after, start, dense)
-                marks = np.repeat(np.array(part.column(2).to_pylist(), dtype=bool), lengths)[inside]
-                held.append((codes, marks))
-                tokens += len(codes)
-                if tokens > FLUSH_TOKENS:
-                    add()
-                    held, tokens = [], 0
-        if held:
-            add()
-        seen = np.flatnonzero(total)
-        for at in range(0, len(seen), 1 << 16):
-            some = seen[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some]), pa.array(chosen[some])], names=["code", "n", "t"])
-
-    counted = marked.mapInArrow(count, "code bigint, n bigint, t bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    found = counted.toArrow()
-    tables = np.zeros(size), np.zeros(size)
-    for table, name in zip(tables, ("n", "t")):
-        table[found.column("code").to_numpy()] = found.column(name).to_numpy()
-    return tables
+                ids.append(part.column(0))
+                marks += part.column(2).to_pylist()
+                for text in part.column(1).to_pylist():
+                    words = words_of(text)
+                    lengths.append(len(words))
+                    held += len(words)
+                    flat.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+                if held > chunk_words or len(lengths) > chunk_words:
+                    yield row()
+                    chunk += 1
+                    numbers, flat, lengths, marks, ids, held = _Numbers(vocabulary), [], [], [], [], 0
+        if lengths:
+            yield row()
+
+    return run
+
+
+class _Chunk:
+    """The words and pairs of a chunk, each named once and in the order of its hash, with its counts."""
+
+    def __init__(self, data: bytes):
+        hashes, *rest = unpack(data)
+        flat, self.lengths, marks = (a.astype(np.int64) for a in rest)
+        start, stops, self.marks = len(hashes), np.cumsum(self.lengths), marks.astype(bool)
+        some = self.lengths > 0
+        target = np.repeat(self.marks, self.lengths)
+        before = np.empty_like(flat)
+        before[1:] = flat[:-1]
+        before[(stops - self.lengths)[some]] = start
+        codes, self.pair_of = np.unique(before * (start + 1) + flat, return_inverse=True)
+        self.before, self.after = codes // (start + 1), codes % (start + 1)
+        named = np.r_[hashes, np.uint64(START)]
+        keys = named[self.before] * np.uint64(0x9E3779B97F4A7C15) + named[self.after]
+        keys ^= keys >> np.uint64(32)
+        keys *= np.uint64(0xD6E8FEB86659FD93)
+        self.pairs = self._run(keys, self.pair_of, self.pair_of[target])
+        ends = stops[some] - 1
+        self.words = self._run(hashes, flat, flat[target], flat[ends], flat[ends][self.marks[some]])
+
+    @staticmethod
+    def _run(keys: np.ndarray, *occurrences: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The order of the keys, and in that order keys and counts."""
+        order = np.argsort(keys, kind="stable")
+        return order, [keys[order], *(np.bincount(o, minlength=len(keys))[order].astype(np.uint32) for o in occurrences)]
+
+
+def _runs(parts: int):
+    """Over chunk, data: runs as ``chunk, part, data``; those of pairs are in the first ``parts``, those of words in as many more."""
+    bounds = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                read = _Chunk(data.as_py())
+                for first, (_, arrays) in ((0, read.pairs), (parts, read.words)):
+                    cuts = np.r_[0, np.searchsorted(arrays[0], bounds), len(arrays[0])]
+                    held = np.flatnonzero(np.diff(cuts))
+                    blobs = [pack(*(a[cuts[i]:cuts[i + 1]] for a in arrays)) for i in held.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(held), chunk, np.int64)), pa.array((held + first).astype(np.int32)), pa.array(blobs, pa.binary())],
+                        names=["chunk", "part", "data"])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
+    """Rows in a row with one value in ``column``, as plain values."""
+    held: list[tuple] = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = tuple(c[i].as_py() if c.type == pa.binary() or pa.types.is_integer(c.type) else c[i] for c in batch.columns)
+            if held and held[0][column] != row[column]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _totals(parts: int):
+    """Over runs sorted by part: to each the totals of its keys. ``types`` adds up to the number of distinct words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 1):
+            runs = [unpack(data) for _, _, data in rows]
+            keys, place = np.unique(np.concatenate([r[0] for r in runs]), return_inverse=True)
+            stops = np.cumsum([len(r[0]) for r in runs])
+            sums = [np.bincount(place, np.concatenate(c), len(keys)).astype(np.int64) for c in list(zip(*runs))[1:]]
+            small = [s.astype(np.uint32) if s.max() < 1 << 32 else s for s in sums]
+            types = len(keys) if rows[0][1] >= parts else 0
+            for i, (chunk, part, _) in enumerate(rows):
+                own = place[stops[i] - len(runs[i][0]):stops[i]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([pack(*(s[own] for s in small))], pa.binary()),
+                     pa.array([types if i == 0 else 0], pa.int64())], names=["chunk", "part", "data", "types"])
+
+    return run
+
+
+def _losses(parts: int, prior: float, types: int, every: int, wanted: int, ends: int, target_ends: int):
+    """Over chunk, part, data, ids sorted by chunk and part (-1: the chunk itself): words and summed losses of each text."""
+    ratio = wanted / max(every, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 0):
+            read, ids = _Chunk(rows[0][2]), rows[0][3].values
+            n = len(read.lengths)
+            told = []
+            for order, low, columns in ((read.pairs[0], 0, 2), (read.words[0], parts, 4)):
+                replies = [unpack(data) for _, part, data, _ in rows[1:] if low <= part < low + parts]
+                sums = [np.empty(len(order), dtype=np.float64) for _ in range(columns)]
+                for i, total in enumerate(sums):
+                    if replies:
+                        total[order] = np.concatenate([r[i] for r in replies])
+                told.append(sums)
+            (pair_n, pair_t), (word_n, word_t, last_n, last_t) = told
+            sides = []
+            for pair, word, last, scale, total, first in ((pair_t, word_t, last_t, 1.0, wanted, target_ends), (pair_n, word_n, last_n, ratio, ratio * every, ends)):
+                smooth = prior * (scale * word + 1) / (total + types or 1)
+                row = np.log(scale * np.r_[word - last, first] + prior)
+                loss = row[read.before] - np.log(scale * pair + smooth[read.after])
+                sides.append(np.bincount(np.repeat(np.arange(n), read.lengths), loss[read.pair_of], n))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(read.lengths), *map(pa.array, sides)], names=["id", "tokens", "t", "b"])
+
+    return run
 
 
 def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None,
-          prior: float = PRIOR, dense: int = DENSE, hot: int = HOT) -> DataFrame:
+          prior: float = PRIOR, dense: int | None = None, hot: int | None = None) -> DataFrame:
     """``id_col, tokens, target_loss, background_loss, score`` for every row; losses are means per word in nats.
 
     ``targets``: the ids (a column named ``id_col``) of documents that are like what is wanted; null and unknown ids name
     none. Null, empty and wordless texts have 0 tokens and null losses. Without targets the target model knows nothing and
     gives every word the same loss. Repeated rows count and are scored each; an empty table gives no rows; extra columns
     are not read. With ``size`` the models have that many entries only: the most frequent words (ties by the word's bytes)
-    and one for all others. ``dense`` and ``hot`` say how the work is done and change no result.
+    and one for all others. ``dense`` and ``hot`` are taken for older callers and change nothing: all words
+    and pairs are counted one way.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -168,73 +257,27 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     few = named.limit(SHARED_IDS + 1).count() <= SHARED_IDS
     named = named.withColumn("target", F.lit(True))
     marked = texts.join(F.broadcast(named) if few else named, "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    if not few:
-        marked = materialize(marked, "marked")  # rows are numbered below, so their order must not change
-
-    words = materialize(word_counts(marked), "words")
-    sums = words.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "t", "last", "last_t")]).first()
-    types, every, wanted, ends, target_ends = (int(x) for x in sums)
-    keep = hot if size is None else size - 1
-    top = frequent(words, keep, at_least=True).orderBy(F.desc("n"), "word").limit(keep).toArrow()
-    counts = np.array([top.column(c).to_numpy() for c in ("n", "t", "last", "last_t")], dtype=np.float64).reshape(4, -1)
-    known, other = {w: i for i, w in enumerate(top.column("word").to_pylist())}, None
-    if size is not None:
-        types, other = size, len(known)
-        counts = np.c_[counts, np.array([every, wanted, ends, target_ends]) - counts.sum(axis=1)]
-    start, dense = counts.shape[1], min(dense, counts.shape[1])
-    ratio = wanted / max(every, 1)
-    # Per hot word: what smoothing adds to its pairs; and the logarithm of its row as the word before, then that of the start.
-    added = prior * (counts[1] + 1) / (wanted + types or 1), prior * (ratio * counts[0] + 1) / (ratio * every + types or 1)
-    rows = np.log(np.r_[counts[1] - counts[3], target_ends] + prior), np.log(ratio * np.r_[counts[0] - counts[2], ends] + prior)
-    shared = spark.sparkContext.broadcast((known, other))
-    pairs, target_pairs = dense_counts(marked, shared, start, dense)
-    cells = [(-np.log(c.reshape(dense + 1, dense) + a[:dense])).ravel() for c, a in zip((target_pairs, ratio * pairs), added)]
-    tables = spark.sparkContext.broadcast((cells, rows))
-
-    def deal(batches):
-        numbers, (cells, rows) = _Numbers(*shared.value), tables.value
-        seen = TaskContext.get().partitionId() << 34
-        for batch in batches:
-            for part in slices(batch):
-                lengths, before, after = _pairs(part.column(1).to_pylist(), numbers, start)
-                docs = 2 * np.arange(seen, seen + len(lengths)) + np.array(part.column(2).to_pylist(), dtype=np.int64)
-                seen += len(lengths)
-                place = np.repeat(np.arange(len(lengths)), lengths)
-                inside, codes = _dense_codes(before, after, start, dense)
-                common = before >= 0
-                own = [np.bincount(place[inside], c[codes], len(lengths)) + np.bincount(place[common], r[before[common]], len(lengths)) for c, r in zip(cells, rows)]
-                # Pairs: by the pair and with the word's number, or by the word where it is not hot and with the word before.
-                at, v, w = place[~inside], before[~inside], after[~inside]
-                mixed = (v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)) >> np.uint64(1)
-                p = np.where(w < 0, w, np.where(v < 0, mixed.view(np.int64), v * (start + 1) + w))
-                rare = ~common
-                n = len(docs)
-                ones = [np.r_[docs, docs[at], docs[place[rare]]], np.r_[docs, p, before[rare] + 1],
-                        np.r_[np.full(n, WHOLE), np.where(w < 0, v, w), np.zeros(int(rare.sum()), np.int64)]]
-                more = len(ones[0]) - n
-                ids = pa.concat_arrays([part.column(0), pa.nulls(more, part.column(0).type)])
-                rest = [pa.concat_arrays([pa.array(x), pa.nulls(more, pa.array(x).type)]) for x in (lengths, *own)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, ones), ids, *rest], names=["d", "p", "k", "id", "tokens", "own_t", "own_b"])
 
+    known = None
+    if size is not None:
+        words = materialize(word_counts(marked), "words")
+        top = frequent(words, size - 1, at_least=True).orderBy(F.desc("n"), "word").limit(size - 1).toArrow()
+        known = spark.sparkContext.broadcast(frozenset(top.column("word").to_pylist()))
     kind = texts.schema["id"].dataType.simpleString()
-    dealt = marked.mapInArrow(deal, f"d bigint, p bigint, k bigint, id {kind}, tokens bigint, own_t double, own_b double")
-    placed = dealt.repartition("p").sortWithinPartitions("p", "k")
-    word, pair, target = Window.partitionBy("p"), Window.partitionBy("p", "k"), F.col("d").bitwiseAND(F.lit(1))
-    met = placed.withColumns({"word_n": F.count("*").over(word), "word_t": F.sum(target).over(word)}).withColumns(
-        {"pair_n": F.count("*").over(pair), "pair_t": F.sum(target).over(pair)})
-    hot_words = materialize(spark.createDataFrame(pa.table({
-        "w": pa.array(np.arange(start)), "hot_t": pa.array(added[0]), "hot_b": pa.array(added[1])})), "hot-words")
-    met = met.withColumn("w", F.when(F.col("p") >= 0, F.col("k"))).join(F.broadcast(hot_words), "w", "left")
-    whole, first = (F.col("p") >= 0) & (F.col("k") == WHOLE), (F.col("p") < 0) & (F.col("p").bitwiseAND(F.lit(1)) == 1)
-
-    def loss(side: str, scale: float):
-        total = F.lit(float(scale * every + types or 1) if side == "b" else float(wanted + types or 1))
-        n = "n" if side == "b" else "t"
-        smooth = F.coalesce(f"hot_{side}", prior * (scale * F.col(f"word_{n}") + 1) / total)
-        return F.when(whole, F.col(f"own_{side}")).when(first, F.log(scale * F.col(f"word_{n}") + prior)).otherwise(-F.log(scale * F.col(f"pair_{n}") + smooth))
-
-    losses = met.select("d", "id", "tokens", loss("t", 1.0).alias("t"), loss("b", float(ratio)).alias("b"))
-    summed = losses.groupBy("d").agg(F.max("id").alias("id"), F.max("tokens").alias("tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    sums = ["words", "wanted", "texts", "wanted_texts"]
+    chunks = materialize(marked.mapInArrow(
+        _chunks(known, CHUNK_WORDS), f"chunk bigint, ids array<{kind}>, data binary, " + ", ".join(f"{c} bigint" for c in sums)), "chunks")
+    every, wanted, ends, target_ends = (int(x) for x in chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in sums]).first())
+    # Tasks grow with the input, and so do ranges: one range holds few of the distinct pairs.
+    parts = min(MOST_PARTS, max(LEAST_PARTS, PARTS_PER_TASK * marked.rdd.getNumPartitions()))
+    runs = chunks.select("chunk", "data").mapInArrow(_runs(parts), "chunk bigint, part int, data binary")
+    totals = materialize(runs.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(
+        _totals(parts), "chunk bigint, part int, data binary, types bigint"), "totals")
+    types = size if size is not None else int(totals.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0])
+    own = chunks.select("chunk", F.lit(-1).alias("part"), "data", "ids")
+    told = own.unionByName(totals.select("chunk", "part", "data", F.lit(None).cast(f"array<{kind}>").alias("ids")))
+    summed = told.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(
+        _losses(parts, prior, types, every, wanted, ends, target_ends), f"id {kind}, tokens bigint, t double, b double")
     some = F.col("tokens") > 0
     return summed.select(
         F.col("id").alias(id_col), "tokens", F.when(some, F.col("t") / F.col("tokens")).alias("target_loss"),
