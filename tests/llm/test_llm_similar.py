@@ -53,3 +53,18 @@ def test_no_link_is_lost_between_texts_of_one_fingerprint(spark, monkeypatch):
         rows.append((2 * i + 1, " ".join(words[:96] + ["other"] * 4), "en", "a", 0, "x", "y", 1, "z"))
     got = {r["doc_id"]: r["component_id"] for r in similar.classes(frame(spark, rows)).collect()}
     assert got == {i: i - i % 2 for i in range(120)}
+
+
+def test_sketches_rule_out_pairs_but_no_similar_one(spark):
+    # A phrase that all texts hold makes pairs of them all; before, each pair was sent the whole sets of both.
+    rng, texts = random.Random(4), []
+    for i in range(30):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(200)] + "one phrase that is in all of them".split()
+        texts += [" ".join(words), " ".join(words[:190] + ["other"] * 3 + words[193:])]
+    sets = [similar.shingles(t, 5) for t in texts]
+    prints = spark.createDataFrame([(i, len(h), similar.sketch(h)) for i, h in enumerate(sets)], "node bigint, size int, sketch binary")
+    pairs = spark.createDataFrame([(a, b) for b in range(60) for a in range(b)], "a bigint, b bigint")
+    got = {tuple(r) for r in similar.possible(pairs, prints, 0.8).collect()}
+    wanted = {(2 * i, 2 * i + 1) for i in range(30)}
+    assert all(len(sets_of(texts[a]) & sets_of(texts[b])) >= 0.8 * len(sets_of(texts[a]) | sets_of(texts[b])) for a, b in wanted)
+    assert got >= wanted and len(got) < 60

@@ -9,6 +9,10 @@ all pairs of up to three are met. Only pairs whose sets of shingle hashes reach
 What both searches leave out is found by a third one, which is exact. Shingles are ordered, rare ones first. If a text of n
 shingles is as similar to another as asked for, they share one among the first n - ceil(least * n) + 1 of each, and from the
 first they share on enough are left in both. Texts that are linked already are not compared again.
+
+A pair is first judged by two prints of a fixed size, which hold the parity of how many shingles fall into each of SKETCH_BITS
+cells. Each cell where they differ is a shingle that only one text has, so a pair with too many such cells is not similar
+enough, whatever the shingles are. Only for pairs that pass are whole sets of shingles sent and compared.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from turnmill.session import materialize
 BANDS, ROWS = 16, 5
 #: Shingles are ordered by how many fall into each of 2^CELL_BITS cells; bounds leave some room for rounding.
 CELL_BITS, SLACK = 18, 1e-6
+SKETCH_BITS = 2048
 _DRAWN = np.random.default_rng(11).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64)
 FACTORS, MASKS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
 
@@ -40,10 +45,12 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 def bands(hashes: np.ndarray) -> np.ndarray:
     """One key per band."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 4096):
-        mixed = (hashes[at:at + 4096, None] ^ MASKS) * FACTORS
+    for at in range(0, len(hashes), 512):
+        mixed = hashes[at:at + 512, None] ^ MASKS
+        mixed *= FACTORS
         mixed ^= mixed >> np.uint64(32)
-        np.minimum(least, (mixed * FACTORS).min(axis=0), out=least)
+        mixed *= FACTORS
+        np.minimum(least, mixed.min(axis=0), out=least)
     keys = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -51,6 +58,12 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parity of the number of shingles in each cell."""
+    counts = np.bincount((hashes >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def node_of(text: Column) -> Column:
     """What stands for a text; equal texts are one node."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -70,18 +83,8 @@ def candidates(nodes: DataFrame, radius: int) -> DataFrame:
     return every.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _cells(width: int):
-    """Over texts: how many shingles, counted per text, fall into each cell of hashes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                for text in part.column(0).to_pylist():
-                    np.add.at(counts, (shingles(text, width) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], names=["cell", "n"])
-
-    return run
+_PRINTS = pa.schema([("id", pa.null()), ("node", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("size", pa.int32()),
+                     ("sketch", pa.binary()), ("cells", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
 
 def _first_shingles(width: int, least: float, levels: np.ndarray):
@@ -143,9 +146,12 @@ def _sharing(least: float):
     return run
 
 
-def missed(nodes: DataFrame, width: int, least: float) -> DataFrame:
-    """All pairs ``a, b`` of different roots that may reach the similarity. ``nodes``: node, root, text, one row per node."""
-    counted = nodes.select("text").mapInArrow(_cells(width), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+def missed(nodes: DataFrame, cells: DataFrame, width: int, least: float) -> DataFrame:
+    """All pairs ``a, b`` of different roots that may reach the similarity.
+
+    ``nodes``: node, root, text, one row per node. ``cells``: cell, n, how many shingles, counted per text, fall into each.
+    """
+    counted = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     # The order only has to be the same for all texts; a rough one, of a byte per cell, meets few pairs in vain.
     levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)
     levels[counted.column("cell").to_numpy()] = np.minimum(255, np.log2(counted.column("n").to_numpy()) * 8).astype(np.uint8)
@@ -155,7 +161,19 @@ def missed(nodes: DataFrame, width: int, least: float) -> DataFrame:
     return sorted_by_token.mapInArrow(_sharing(least), "a bigint, b bigint").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+def possible(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` whose sketches do not rule the similarity out. ``prints``: node, size, sketch, one row per node."""
+    @F.arrow_udf("boolean")
+    def may_be(left: pa.Array, right: pa.Array, sizes: pa.Array) -> pa.Array:
+        bits = [np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), SKETCH_BITS // 64) for x in (left, right)]
+        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+        return pa.array(apart <= (1 - least) / (1 + least) * sizes.to_numpy(zero_copy_only=False) + SLACK)
+
+    left, right = (prints.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").filter(may_be("a_sketch", "b_sketch", F.col("a_size") + F.col("b_size"))).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, prints: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The ``pairs`` whose shingle sets have at least that similarity. ``texts``: node, text, one row per node."""
     @F.arrow_udf("binary")
     def packed(values: pa.Array) -> pa.Array:
@@ -171,6 +189,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
                 out.append(both >= least * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
+    pairs = materialize(possible(pairs, prints, least), "possible")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(texts.join(wanted, "node", "left_semi").select("node", packed("text").alias("hashes")), "shingles")
     left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_hashes")) for n in ("a", "b"))
@@ -182,24 +201,47 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     Links carry on through further rows. Texts without words are alike. A null id is never the smallest one.
     """
-    @F.arrow_udf("struct<fp bigint, bands array<bigint>>")
-    def prints(values: pa.Array) -> pa.Array:
-        fps, keys = [], []
-        for part in slices(values):
-            for text in part.to_pylist():
-                fps.append(simhash(text, width))
-                keys.append(bands(shingles(text, width)))
-        return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "bands"])
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per text, and in the end one of how many shingles fell into each cell."""
+        counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        kinds = None
+        for batch in batches:
+            for part in slices(batch):
+                fps, keys, sizes, sketches = [], [], [], []
+                for text in part.column(2).to_pylist():
+                    hashes = shingles(text, width)
+                    fps.append(simhash(text, width))
+                    keys.append(bands(hashes))
+                    sizes.append(len(hashes))
+                    sketches.append(sketch(hashes))
+                    np.add.at(counts, (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                kinds = _PRINTS.set(0, pa.field("id", part.column(0).type))
+                values = [part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32()),
+                          pa.array(sketches, pa.binary()), *(pa.nulls(len(fps), f.type) for f in list(_PRINTS)[6:])]
+                yield pa.RecordBatch.from_arrays(values, schema=kinds)
+        if kinds is not None:
+            held = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(kinds)[:6]), pa.array([held.tolist()], pa.list_(pa.int32())),
+                                              pa.array([counts[held].tolist()], pa.list_(pa.int64()))], schema=kinds)
 
     named = docs.select(F.col(id_col).alias("id"), node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
-    known = materialize(named.withColumn("p", prints("text")).select("id", "node", "p.*"), "prints")
+    kind = named.schema["id"].dataType.simpleString()
+    read = materialize(named.mapInArrow(
+        prints, f"id {kind}, node bigint, fp bigint, bands array<bigint>, size int, sketch binary, cells array<int>, counts array<bigint>"), "prints")
+    known = read.filter("cells is null")
+    cells = read.filter("cells is not null").select(F.explode(F.arrays_zip("cells", "counts")).alias("c")).select(
+        F.col("c.cells").alias("cell"), F.col("c.counts").alias("n"))
     nodes = known.select("node", "fp", "bands").dropDuplicates(["node"])
+    sketches = known.select("node", "size", "sketch").dropDuplicates(["node"])
     pairs = materialize(candidates(nodes, radius), "pairs")
-    texts = named.select("node", "text").dropDuplicates(["node"])
-    links = materialize(confirmed(pairs, texts, width, least), "similar")
+    # Texts are long, so only those of several rows are gathered; the others are read where they lie.
+    repeated = materialize(known.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), "repeated")
+    several = named.join(repeated, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
+    texts = named.join(repeated, "node", "left_anti").select("node", "text").unionByName(several)
+    links = materialize(confirmed(pairs, sketches, texts, width, least), "similar")
     roots = materialize(components(links), "roots")
     rooted = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = materialize(confirmed(materialize(missed(rooted, width, least), "pairs"), texts, width, least), "similar")
+    more = materialize(confirmed(materialize(missed(rooted, cells, width, least), "pairs"), sketches, texts, width, least), "similar")
     if not more.isEmpty():
         roots = materialize(components(links.unionByName(more)), "roots")
     firsts = known.groupBy("node").agg(F.min("id").alias("first_id"))
@@ -217,8 +259,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     node, = free_names(docs, "node")
     seen = materialize(classes(docs, id_col, text_col, width, least, radius), "near-classes")
     stay = seen.filter(F.col(id_col) == F.col("component_id"))
-    repeated = seen.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col)
-    single = docs.join(stay.join(repeated, id_col, "left_anti").select(id_col), id_col, "left_semi")
+    repeated = materialize(seen.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col), "repeated")
+    # Fewer go than stay, and a short list of them leaves texts where they lie.
+    gone = materialize(seen.filter(F.col(id_col) != F.col("component_id")).select(id_col).unionByName(repeated).distinct(), "gone")
+    single = docs.filter(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
     several = docs.join(repeated, id_col, "left_semi").withColumn(node, node_of(F.col(text_col))).join(
         stay.select(id_col, F.col("node").alias(node)).distinct(), [id_col, node], "left_semi").dropDuplicates([id_col, node])
     unnamed = docs.filter(F.col(id_col).isNull())
