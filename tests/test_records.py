@@ -269,3 +269,16 @@ def test_appended_digests_travel_as_bytes(spark, tmp_path, monkeypatch):
     digest = lambda n, v: hashlib.sha256(f'{{"id":{n},"v":"{v}"}}'.encode()).hexdigest()
     assert stored == {1: digest(1, "a"), 2: digest(2, "b"), 3: digest(3, "d")}
     assert [tuple(r) for r in clash.collect()] == [(2, "c", digest(2, "c"))]
+
+
+def test_packet_texts_mines_messages_once(spark, tmp_path, monkeypatch):
+    # The ledger of the packets used to be mined, and so redacted, a second time.
+    from turnmill.plans import corpus
+    from turnmill.queries import QUERIES
+
+    texts = [(i, f"please fix the failing build of part {i} and tell me why it broke again", "en", "a") for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    mine, calls = corpus.mine, []
+    monkeypatch.setattr(corpus, "mine", lambda *args, **more: calls.append(1) or mine(*args, **more))
+    found = QUERIES["packet_texts"](spark, str(tmp_path))
+    assert found.count() >= 3 and len(calls) == 1

@@ -48,7 +48,13 @@ def mined_documents(spark, folder):
 
 
 def scored_documents(spark, folder):
-    return materialize(receipts.score(receipts.ledger(mined_documents(spark, folder))), "scored")
+    return _ledger_and_scored(spark, folder)[1]
+
+
+def _ledger_and_scored(spark, folder):
+    """Receipts and their scores, from messages that are mined once."""
+    ledger = receipts.ledger(mined_documents(spark, folder))
+    return ledger, materialize(receipts.score(ledger), "scored")
 
 
 @query("receipt_ledger", f"""
@@ -209,10 +215,10 @@ hydrated AS (SELECT p.owner_id, p.packet_no, p.place, r.receipt_id, r.session_id
 
 
 def _packed(spark, folder):
-    scored, picked = _small_stage(spark, folder)
-    picked = materialize(picked, "picked")
+    ledger, scored = _ledger_and_scored(spark, folder)
+    picked = materialize(select_stage_rows(scored, _BUDGET, _PACKET), "picked")
     selected = scored.join(picked.select("owner_id", "receipt_id", "position"), ["owner_id", "receipt_id"])
-    return materialize(receipts.packets(selected, _PACKETS, _PACKET), "packets"), receipts.ledger(mined_documents(spark, folder))
+    return materialize(receipts.packets(selected, _PACKETS, _PACKET), "packets"), ledger
 
 
 @query("hydrated_packets", f"""{_PACKED}
