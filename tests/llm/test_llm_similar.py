@@ -68,3 +68,41 @@ def test_sketches_rule_out_pairs_but_no_similar_one(spark):
     wanted = {(2 * i, 2 * i + 1) for i in range(30)}
     assert all(len(sets_of(texts[a]) & sets_of(texts[b])) >= 0.8 * len(sets_of(texts[a]) | sets_of(texts[b])) for a, b in wanted)
     assert got >= wanted and len(got) < 60
+
+
+def test_pairs_that_share_a_rare_phrase_become_rows_only_if_sketches_pass(spark):
+    # The phrase counts as the rarest, so all texts meet by it; before, each pair of them was a row.
+    rng, texts, phrase = random.Random(6), [], "one phrase that all have"
+    for i in range(30):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(200)]
+        texts += [" ".join([phrase, *words]), " ".join([phrase, *words[:190], *["other"] * 3, *words[193:]])]
+    sets = [similar.shingles(t, 5) for t in texts]
+    cell = lambda h: int(h >> similar.np.uint64(64 - similar.CELL_BITS))
+    met = {cell(h) for h in similar.shingles(phrase, 5)}
+    cells = spark.createDataFrame([(c, 1000) for c in {cell(h) for s in sets for h in s} - met], "cell int, n bigint")
+    nodes = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node bigint, root bigint, text string")
+    prints = spark.createDataFrame([(i, len(h), similar.sketch(h)) for i, h in enumerate(sets)], "node bigint, size int, sketch binary")
+    got = {tuple(r) for r in similar.missed(nodes, cells, prints, 5, 0.8).collect()}
+    wanted = {(2 * i, 2 * i + 1) for i in range(30)}
+    assert all(len(sets_of(texts[a]) & sets_of(texts[b])) >= 0.8 * len(sets_of(texts[a]) | sets_of(texts[b])) for a, b in wanted)
+    assert got >= wanted and len(got) < 60
+
+
+def test_rows_that_meet_none_go_and_no_pair_is_lost():
+    np, pa, rng = similar.np, similar.pa, similar.np.random.default_rng(3)
+    for _ in range(20):
+        rows = sorted((int(t), int(s), i, int(r), int(rng.integers(0, s // 5 + 1))) for i, (t, s, r) in enumerate(zip(
+            rng.integers(0, 9, 80), rng.integers(1, 60, 80), rng.integers(0, 6, 80))))
+        token, size, node, root, place = (np.array(c, dtype=k) for c, k in zip(zip(*rows), (np.int64, np.int32, np.int64, np.int64, np.int32)))
+        names = ["token", "node", "root", "size", "place"]
+        whole = pa.RecordBatch.from_arrays([pa.array(c) for c in (token, node, root, size, place)], names=names)
+        parts = [whole.slice(at, 7) for at in range(0, 80, 7)]
+        pairs = {(min(node[a], node[b]), max(node[a], node[b])) for b in range(80) for a in range(b) if token[a] == token[b] and root[a] != root[b]
+                 and size[a] >= 0.8 * size[b] - 1e-6 and min(size[a] - place[a], size[b] - place[b]) >= 0.8 / 1.8 * (size[a] + size[b]) - 1e-6}
+        kept = pa.Table.from_batches(similar._meeting(0.8)(iter(parts)), whole.schema)
+        assert set(kept["node"].to_pylist()) >= {n for p in pairs for n in p}
+        assert kept.num_rows < 80
+        # Sketches of nothing rule nothing out.
+        blank = kept.append_column("sketch", pa.array([bytes(similar.SKETCH_BITS // 8)] * kept.num_rows, pa.binary()))
+        got = [p for b in similar._sharing(0.8)(iter(blank.to_batches(max_chunksize=7))) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())]
+        assert set(got) == pairs and len(got) == len(pairs)

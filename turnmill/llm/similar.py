@@ -32,6 +32,8 @@ BANDS, ROWS = 16, 5
 #: Shingles are ordered by how many fall into each of 2^CELL_BITS cells; bounds leave some room for rounding.
 CELL_BITS, SLACK = 18, 1e-6
 SKETCH_BITS = 2048
+#: Pairs of sketches compared at once in a task.
+SKETCH_ROWS = 1 << 14
 _DRAWN = np.random.default_rng(11).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64)
 FACTORS, MASKS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
 
@@ -64,6 +66,16 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _bits(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(len(sketches), SKETCH_BITS // 64)
+
+
+def _may_be(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Whether the sketches leave the similarity possible. ``sizes``: of both texts together."""
+    apart = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    return apart <= (1 - least) / (1 + least) * sizes + SLACK
+
+
 def node_of(text: Column) -> Column:
     """What stands for a text; equal texts are one node."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -108,48 +120,80 @@ def _first_shingles(width: int, least: float, levels: np.ndarray):
     return run
 
 
-def _sharing(least: float):
-    """Over rows sorted by token and size: pairs of nodes of different roots that share a token and may be similar."""
-    def pairs(token, node, root, size, place):
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        one_root = np.minimum.reduceat(root, starts) == np.maximum.reduceat(root, starts)
-        at, step = np.flatnonzero(~np.repeat(one_root, np.diff(np.r_[starts, len(token)]))), 1
-        while len(at):
-            at = at[at + step < len(token)]
-            other = at + step
-            # Sizes grow, so what is too large now ends the search from here.
-            on = (token[at] == token[other]) & (size[at] >= least * size[other] - SLACK)
-            at, other = at[on], other[on]
-            most = np.minimum(size[at] - place[at], size[other] - place[other])
-            met = (root[at] != root[other]) & (most >= least / (1 + least) * (size[at] + size[other]) - SLACK)
-            if met.any():
-                a, b = node[at[met]], node[other[met]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            step += 1
-
+def _whole_tokens(found):
+    """Over rows sorted by their first column: what ``found`` yields for their columns, a token's rows never parted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy() for c in batch.columns]
+            columns = [_bits(c) if pa.types.is_binary(c.type) else c.to_numpy() for c in batch.columns]
             last = int(np.searchsorted(columns[0], columns[0][-1]))
             if held and (last or held[0][0][0] != columns[0][0]):
-                yield from pairs(*[np.concatenate(c) for c in zip(*held, [c[:last] for c in columns])])
+                yield from found(*[np.concatenate(c) for c in zip(*held, [c[:last] for c in columns])])
                 held = []
             elif last:
-                yield from pairs(*[c[:last] for c in columns])
+                yield from found(*[c[:last] for c in columns])
             held.append([c[last:].copy() for c in columns])
         if held:
-            yield from pairs(*[np.concatenate(c) for c in zip(*held)])
+            yield from found(*[np.concatenate(c) for c in zip(*held)])
 
     return run
 
 
-def missed(nodes: DataFrame, cells: DataFrame, width: int, least: float) -> DataFrame:
-    """All pairs ``a, b`` of different roots that may reach the similarity.
+def _reach(size: np.ndarray, place: np.ndarray, least: float) -> np.ndarray:
+    """The largest size of a text that can be similar to one of ``size``, if the first shingle they share is at ``place`` in it."""
+    return np.minimum((size + SLACK) / least, (size - place + SLACK) * (1 + least) / least - size)
+
+
+def _meeting(least: float):
+    """Over rows sorted by token and size: those that may be similar to one of another root with their token."""
+    def found(token, node, root, size, place):
+        rows = np.arange(len(token))
+        fresh = np.r_[True, token[1:] != token[:-1]]
+        starts = np.flatnonzero(fresh | np.r_[True, root[1:] != root[:-1]])
+        run = np.searchsorted(starts, rows, "right") - 1
+        before, after = starts[run] - 1, np.r_[starts[1:], len(rows)][run]
+        # Sizes grow, so if the nearest of another root on one side is too far off, all on that side are.
+        smaller = (before >= 0) & (token[before] == token) & (size[before] >= least * size - SLACK)
+        inside, after = after < len(rows), np.minimum(after, len(rows) - 1)
+        larger = inside & (token[after] == token) & (size[after] <= _reach(size, place, least))
+        on = smaller | larger
+        if on.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (token, node, root, size, place)],
+                                             names=["token", "node", "root", "size", "place"])
+
+    return _whole_tokens(found)
+
+
+def _sharing(least: float):
+    """Over rows sorted by token and size: pairs of nodes of different roots that share a token and may be similar by their sketches."""
+    def pairs(token, node, root, size, place, sketches):
+        at, step, reach = np.arange(len(token)), 1, _reach(size, place, least)
+        while len(at):
+            at = at[at + step < len(token)]
+            other = at + step
+            # Sizes grow, so what is too large now ends the search from here.
+            on = (token[at] == token[other]) & (size[other] <= reach[at])
+            at, other = at[on], other[on]
+            met = np.flatnonzero((root[at] != root[other]) & (size[at] <= reach[other]))
+            for part in (met[i:i + SKETCH_ROWS] for i in range(0, len(met), SKETCH_ROWS)):
+                left, right = at[part], other[part]
+                near = _may_be(sketches[left], sketches[right], size[left] + size[right], least)
+                if near.any():
+                    a, b = node[left[near]], node[right[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            step += 1
+
+    return _whole_tokens(pairs)
+
+
+def missed(nodes: DataFrame, cells: DataFrame, prints: DataFrame, width: int, least: float) -> DataFrame:
+    """All pairs ``a, b`` of different roots that may reach the similarity, by their sketches too.
 
     ``nodes``: node, root, text, one row per node. ``cells``: cell, n, how many shingles, counted per text, fall into each.
+    ``prints``: node, size, sketch, one row per node. Sketches are sent with the tokens that texts of several roots share,
+    so that pairs are judged where they meet, and only those that pass become rows.
     """
     counted = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     # The order only has to be the same for all texts; a rough one, of a byte per cell, meets few pairs in vain.
@@ -158,23 +202,24 @@ def missed(nodes: DataFrame, cells: DataFrame, width: int, least: float) -> Data
     posted = nodes.select("node", "root", "text").mapInArrow(
         _first_shingles(width, least, levels), "token bigint, node bigint, root bigint, size int, place int")
     sorted_by_token = posted.repartition("token").sortWithinPartitions("token", "size")
-    return sorted_by_token.mapInArrow(_sharing(least), "a bigint, b bigint").distinct()
+    met = materialize(sorted_by_token.mapInArrow(_meeting(least), "token bigint, node bigint, root bigint, size int, place int"), "met")
+    judged = met.join(prints.select("node", "sketch"), "node").select("token", "node", "root", "size", "place", "sketch")
+    judged = judged.repartition("token").sortWithinPartitions("token", "size")
+    return judged.mapInArrow(_sharing(least), "a bigint, b bigint").distinct()
 
 
 def possible(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     """The ``pairs`` whose sketches do not rule the similarity out. ``prints``: node, size, sketch, one row per node."""
     @F.arrow_udf("boolean")
     def may_be(left: pa.Array, right: pa.Array, sizes: pa.Array) -> pa.Array:
-        bits = [np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), SKETCH_BITS // 64) for x in (left, right)]
-        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-        return pa.array(apart <= (1 - least) / (1 + least) * sizes.to_numpy(zero_copy_only=False) + SLACK)
+        return pa.array(_may_be(_bits(left), _bits(right), sizes.to_numpy(zero_copy_only=False), least))
 
     left, right = (prints.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b"))
     return pairs.join(left, "a").join(right, "b").filter(may_be("a_sketch", "b_sketch", F.col("a_size") + F.col("b_size"))).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, prints: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The ``pairs`` whose shingle sets have at least that similarity. ``texts``: node, text, one row per node."""
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The ``pairs``, written already, whose shingle sets have at least that similarity. ``texts``: node, text, one row per node."""
     @F.arrow_udf("binary")
     def packed(values: pa.Array) -> pa.Array:
         return pa.array([shingles(t, width).tobytes() for part in slices(values) for t in part.to_pylist()], pa.binary())
@@ -189,7 +234,6 @@ def confirmed(pairs: DataFrame, prints: DataFrame, texts: DataFrame, width: int,
                 out.append(both >= least * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    pairs = materialize(possible(pairs, prints, least), "possible")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(texts.join(wanted, "node", "left_semi").select("node", packed("text").alias("hashes")), "shingles")
     left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_hashes")) for n in ("a", "b"))
@@ -238,10 +282,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     repeated = materialize(known.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), "repeated")
     several = named.join(repeated, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
     texts = named.join(repeated, "node", "left_anti").select("node", "text").unionByName(several)
-    links = materialize(confirmed(pairs, sketches, texts, width, least), "similar")
+    links = materialize(confirmed(materialize(possible(pairs, sketches, least), "possible"), texts, width, least), "similar")
     roots = materialize(components(links), "roots")
     rooted = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = materialize(confirmed(materialize(missed(rooted, cells, width, least), "pairs"), sketches, texts, width, least), "similar")
+    more = materialize(confirmed(materialize(missed(rooted, cells, sketches, width, least), "possible"), texts, width, least), "similar")
     if not more.isEmpty():
         roots = materialize(components(links.unionByName(more)), "roots")
     firsts = known.groupBy("node").agg(F.min("id").alias("first_id"))
