@@ -106,3 +106,20 @@ def test_rows_that_meet_none_go_and_no_pair_is_lost():
         blank = kept.append_column("sketch", pa.array([bytes(similar.SKETCH_BITS // 8)] * kept.num_rows, pa.binary()))
         got = [p for b in similar._sharing(0.8)(iter(blank.to_batches(max_chunksize=7))) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())]
         assert set(got) == pairs and len(got) == len(pairs)
+
+
+def test_sketches_tell_long_texts_apart():
+    # Before, texts of over 4,600 shingles passed whatever they held.
+    np, rng = similar.np, similar.np.random.default_rng(9)
+    sizes, hashes = [6000, 6000, 9000, 1000, 5000], []
+    for n in sizes:
+        hashes.append(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) ^ rng.integers(0, 2, n, dtype=np.uint64)))
+    hashes += [np.r_[hashes[0][:5400], hashes[1][:600]], np.r_[hashes[3][:950], hashes[1][:50]], np.r_[hashes[0], hashes[2][:1000]]]
+    sketches = np.array([similar.sketch(h) for h in hashes], dtype=object)
+    for a in range(len(hashes)):
+        for b in range(len(hashes)):
+            both = len(np.intersect1d(hashes[a], hashes[b]))
+            near = both >= 0.8 * (len(hashes[a]) + len(hashes[b]) - both)
+            got = similar._may_be(sketches[[a]], sketches[[b]], np.array([len(hashes[a]) + len(hashes[b])]), 0.8)
+            # What sizes alone rule out is not asked of sketches.
+            assert got.tolist() == [near] or min(len(hashes[a]), len(hashes[b])) < 0.8 * max(len(hashes[a]), len(hashes[b]))

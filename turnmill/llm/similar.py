@@ -10,8 +10,8 @@ What both searches leave out is found by a third one, which is exact. Shingles a
 shingles is as similar to another as asked for, they share one among the first n - ceil(least * n) + 1 of each, and from the
 first they share on enough are left in both. Texts that are linked already are not compared again.
 
-A pair is first judged by two prints of a fixed size, which hold the parity of how many shingles fall into each of SKETCH_BITS
-cells. Each cell where they differ is a shingle that only one text has, so a pair with too many such cells is not similar
+A pair is first judged by two prints, which hold the parity of how many shingles fall into each of SKETCH_BITS cells, or more
+for long texts. Each cell where they differ is a shingle that only one text has, so a pair with too many such cells is not similar
 enough, whatever the shingles are. Only for pairs that pass are whole sets of shingles sent and compared.
 """
 
@@ -33,7 +33,7 @@ BANDS, ROWS = 16, 5
 CELL_BITS, SLACK = 18, 1e-6
 SKETCH_BITS = 2048
 #: Pairs of sketches compared at once in a task.
-SKETCH_ROWS = 1 << 14
+SKETCH_ROWS = 1 << 12
 _DRAWN = np.random.default_rng(11).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64)
 FACTORS, MASKS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
 
@@ -61,18 +61,25 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """The parity of the number of shingles in each cell."""
-    counts = np.bincount((hashes >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS)
+    """The parity of the number of shingles in each cell; texts of more shingles than cells have as many more, a power of two."""
+    cells = max(SKETCH_BITS, 1 << (len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _bits(sketches: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(len(sketches), SKETCH_BITS // 64)
-
-
 def _may_be(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
     """Whether the sketches leave the similarity possible. ``sizes``: of both texts together."""
-    apart = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    lengths = np.array([[len(a), len(b)] for a, b in zip(left, right)]).reshape(-1, 2)
+    apart = np.zeros(len(left), dtype=np.int64)
+    for pair in np.unique(lengths, axis=0):
+        rows, bits = np.flatnonzero((lengths == pair).all(axis=1)), []
+        for side in (left, right):
+            bits.append(np.frombuffer(b"".join(side[rows]), np.uint64).reshape(len(rows), -1))
+            # Cells go by the lowest bits of hashes, so the halves of a longer sketch make one of half as many cells.
+            while bits[-1].shape[1] * 8 > pair.min():
+                half = bits[-1].shape[1] // 2
+                bits[-1] = bits[-1][:, :half] ^ bits[-1][:, half:]
+        apart[rows] = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
     return apart <= (1 - least) / (1 + least) * sizes + SLACK
 
 
@@ -127,7 +134,7 @@ def _whole_tokens(found):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [_bits(c) if pa.types.is_binary(c.type) else c.to_numpy() for c in batch.columns]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             last = int(np.searchsorted(columns[0], columns[0][-1]))
             if held and (last or held[0][0][0] != columns[0][0]):
                 yield from found(*[np.concatenate(c) for c in zip(*held, [c[:last] for c in columns])])
@@ -212,7 +219,7 @@ def possible(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     """The ``pairs`` whose sketches do not rule the similarity out. ``prints``: node, size, sketch, one row per node."""
     @F.arrow_udf("boolean")
     def may_be(left: pa.Array, right: pa.Array, sizes: pa.Array) -> pa.Array:
-        return pa.array(_may_be(_bits(left), _bits(right), sizes.to_numpy(zero_copy_only=False), least))
+        return pa.array(_may_be(*(x.to_numpy(zero_copy_only=False) for x in (left, right, sizes)), least))
 
     left, right = (prints.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b"))
     return pairs.join(left, "a").join(right, "b").filter(may_be("a_sketch", "b_sketch", F.col("a_size") + F.col("b_size"))).select("a", "b")
