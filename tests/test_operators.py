@@ -1,5 +1,7 @@
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,35 @@ def test_stretches_are_rows_only_where_needles_are(spark, rows):
         assert set(wanted) <= set(found) and len(found) == len(set(found)) <= 1.1 * len(wanted)
     either = set(rows(prints.stretches(sought, hay, []), "owner_id", "needle"))
     assert {(o, needle) for o, _, needle in wanted} <= either
+
+
+def test_needles_of_many_lengths_give_few_stretches_by_chance(spark):
+    rng = random.Random(5)
+    letters = lambda size: "".join(rng.choice("abcdefgh ") for _ in range(size))
+    needles = [("p", letters(rng.randint(16, 500))) for _ in range(4000)]
+    texts = [("p", n, letters(2000) + needles[n][1] + letters(500)) for n in range(100)]
+    sought = spark.createDataFrame(needles, "owner_id string, needle string")
+    found = prints.stretches(sought, spark.createDataFrame(texts, "owner_id string, n int, haystack string"), ["n"])
+    assert found.join(sought, ["owner_id", "needle"], "left_semi").count() == 100
+    # There are some 250,000 places and 480 lengths.
+    assert found.count() < 400
+
+
+def test_long_texts_are_searched_in_pieces_and_finds_leave_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    letters = lambda size: "".join(rng.choice("ab ß") for _ in range(size))
+    needles = sorted({letters(rng.randint(1, 40)) for _ in range(60)} | {"ab" * 9})
+    texts = [letters(rng.randint(0, 90)) for _ in range(30)] + [letters(3000), "ab" * 700, "", letters(20)]
+    sought = spark.createDataFrame([("p", n) for n in needles], "owner_id string, needle string")
+    table = prints._table(sought, prints.LEAST_BITS, len(needles))
+    owner = sought.select(F.xxhash64("owner_id")).first()[0]
+    levels = {}
+    for size in sorted({len(n) for n in needles}):
+        levels.setdefault(size.bit_length() - 1, []).append(size)
+    rows = pa.RecordBatch.from_pydict({"__owner": [owner] * len(texts), "owner_id": ["p"] * len(texts), "n": list(range(len(texts))), "haystack": texts})
+    monkeypatch.setattr(prints, "SLICE_CHARS", 200)
+    monkeypatch.setattr(prints, "FOUND_CHARS", 10)
+    assert max(len(t) for _, part in prints._parts(rows, 40) for t in part) < 240
+    parts = list(prints._stretches(SimpleNamespace(value=table), levels)([rows]))
+    found = [(n, needle) for part in parts for n, needle in zip(part["n"].to_pylist(), part["needle"].to_pylist()) if needle in needles]
+    assert len(parts) > 2 and sorted(found) == sorted((n, needle) for n, t in enumerate(texts) for needle in needles if needle in t)

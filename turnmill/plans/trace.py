@@ -161,9 +161,10 @@ def trace(quotes: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def trace_results(quotes: DataFrame, traced: DataFrame) -> DataFrame:
-    """Per quote, in how many sessions it stands."""
-    counts = traced.groupBy("owner_id", "profile_id", "needle").agg(F.countDistinct("session_id").alias("sessions"))
-    return quotes.join(counts, ["owner_id", "profile_id", "needle"], "left").fillna(0, ["sessions"]).withColumn(
+    """Per quote, in how many sessions it stands. ``traced`` may leave out profile_id; it then has a row for each needle and session."""
+    key = [c for c in ("owner_id", "profile_id", "needle") if c in traced.columns]
+    counts = traced.groupBy(*key).agg(F.countDistinct("session_id").alias("sessions"))
+    return quotes.join(counts, key, "left").fillna(0, ["sessions"]).withColumn(
         "supported", F.col("sessions") > 0)
 
 
