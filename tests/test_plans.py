@@ -221,6 +221,15 @@ def test_trace(spark, rows, profile, want):
     assert rows(results, "quote", "sessions") == want
 
 
+def test_results_from_needles_traced_once(spark, rows):
+    profiles = [("o", 1, '"run the full test suite"'), ("o", 2, '"Run the full test suite" and "never said by anyone here"'), ("p", 1, '"run the full test suite"')]
+    quotes = trace.extract_quotes(spark.createDataFrame(profiles, "owner_id string, profile_id int, text string"))
+    traced = trace.trace(quotes.select("owner_id", "needle").distinct(), numbered(spark, *CORPUS))
+    assert traced.count() == traced.select("needle", "session_id").distinct().count() > 0
+    each = trace.trace_results(quotes, trace.trace(quotes, numbered(spark, *CORPUS)))
+    assert rows(trace.trace_results(quotes, traced), *each.columns) == rows(each)
+
+
 def test_trace_over_the_borders_of_messages(spark, rows):
     long = " ".join(f"w{n}" for n in range(4000))
     said = [("s1", n, "2026-01-0%d" % (n % 9 + 1), t) for n, t in enumerate(["we start here", "ok", long, "then stop", long + " end of it"])]
@@ -391,6 +400,26 @@ def test_many_quotes_of_one_day(spark):
     assert bad == set(range(len(quotes))) - good and good
 
 
+def test_appendix_searches_only_for_what_no_line_is(spark, rows, monkeypatch):
+    asked = []
+
+    def spans(needles, texts, key):
+        asked.append(needles.select("needle").distinct())
+        return trace.find_spans(needles, texts, key)
+
+    monkeypatch.setattr(evidence, "find_spans", spans)
+    ids = spark.createDataFrame([("o", "ev-1"), ("o", "ev-2"), ("o", "ev-3"), ("p", "ev-1"), (None, None), ("o", None)], "owner_id string, evidence_id string")
+    said = [("o", "ev-1", "2026", "ask: first"), ("o", "ev-1", "2026", "keep *it* small"), ("o", "ev-2", "2027", "never shown"), ("o", "ev-2", None, "ask: first"),
+            ("p", "ev-1", "2026", "plain"), ("o", "ev-3", "2026", "two\nlines"), ("o", "ev-3", "2026", "small")]
+    lines = [("o", "## ev-1\n\n- s 2026: ask: first"), ("o", "- s 2026: keep \\*it\\* small\n# ev-22"), ("o", "- s 2026: two\nlines"), ("p", "# ev-1"), ("p", "- s: quite plain"), ("o", None)]
+    found = evidence.appendix_issues(
+        spark.createDataFrame(lines, "owner_id string, line string"), ids, spark.createDataFrame(said, "owner_id string, evidence_id string, date string, text string"))
+    assert rows(found) == sorted([("o", "ev-2", "missing-quote"), ("o", "ev-3", "missing-id"), ("p", "ev-1", "missing-quote"),
+                                  (None, None, "missing-id"), ("o", None, "missing-id")], key=str)
+    # Not sought any more: ev-1 of both owners and the first two texts.
+    assert rows(asked[0]) == sorted([("ev-2",), ("ev-3",), (None,), ("2026",), ("2027",), ("never shown",), ("plain",), ("two\nlines",), ("small",)], key=str)
+
+
 # --- sinks ------------------------------------------------------------------------------------
 
 def test_a_batch_opens_only_files_with_its_keys(spark, tmp_path):

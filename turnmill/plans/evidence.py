@@ -434,9 +434,23 @@ def appendix_issues(appendix: DataFrame, referenced: DataFrame, quote_rows: Data
         "owner_id", "evidence_id", F.explode(F.array(*shown.values())).alias("needle")).distinct(), "appendix-quotes")
     wanted = ids.select("owner_id", "evidence_id", F.col("evidence_id").alias("needle"), F.lit("missing-id").alias("problem")).unionByName(
         quotes.filter("needle != ''").withColumn("problem", F.lit("missing-quote")))
-    blocks = appendix.select("owner_id", F.col("line").alias("haystack"))
-    found = find_spans(wanted.select("owner_id", "needle"), blocks, []).distinct()
-    return wanted.join(found, ["owner_id", "needle"], "left_anti").select("owner_id", "evidence_id", "problem").distinct()
+    blocks = materialize(appendix.select("owner_id", F.col("line").alias("haystack")), "appendix-blocks")
+    # Most needles are all of a line behind its opening. Only the others are looked for everywhere.
+    sought = wanted.select("owner_id", "needle").distinct()
+    left = materialize(sought.join(_line_bodies(blocks), ["owner_id", "needle"], "left_anti"), "appendix-needles")
+    # Written, as the optimizer would search once for each part of ``wanted``.
+    missing = materialize(left.join(find_spans(left, blocks, []).distinct(), ["owner_id", "needle"], "left_anti"), "appendix-missing").alias("m")
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("owner_id", "needle")]
+    return wanted.alias("w").join(missing, same, "left_semi").select("owner_id", "evidence_id", "problem").distinct()
+
+
+def _line_bodies(blocks: DataFrame) -> DataFrame:
+    """``owner_id, needle``: what follows the marks of a heading or the date of a quote, for each line of the blocks."""
+    lines = blocks.select("owner_id", F.explode(F.split("haystack", "\n")).alias("line"))
+    after = F.instr("line", ": ")
+    body = F.when(F.col("line").startswith("- ") & (after > 0), F.substr("line", after + 2)).when(
+        F.col("line").startswith("#"), F.regexp_replace("line", "^#+ ", ""))
+    return lines.select("owner_id", body.alias("needle")).filter("needle != ''").distinct()
 
 
 def coverage_recall(required: DataFrame, recovered: DataFrame) -> DataFrame:
